@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longwave.llm import textbuf as tb
 
@@ -141,7 +142,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], threshold: float = 0
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*kept).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         intercept, weights = shared.value
