@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longwave.llm import quality
+from longwave.llm import langid, licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_crc(4) != 2).select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
     "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}
