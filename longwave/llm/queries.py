@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longwave.llm import langid, licenses, quality
+from longwave.llm import langid, licenses, lines, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _crc(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_crc(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -25,6 +29,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, threshold=0.3).select("doc_id", (_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k_inner(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_cosine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_crc(4) != 2).select("doc_id", "text", "lang"))
@@ -37,9 +49,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxscore": op1_maxscore,
+    "op2_multi_index": op2_multi_index,
     "op4_langid": op4_langid,
+    "op6_line_dedup": op6_line_dedup,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_maxscore": vectors.ORACLE_SQL,
+    "op6_line_dedup": lines.ORACLE_SQL,
+}
