@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longwave.llm import langid, licenses, lines, quality, vectors
+from longwave.llm import jaccard, langid, licenses, lines, quality, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_crc(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_multi_index": op2_multi_index,
     "op4_langid": op4_langid,
     "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard": op7_jaccard,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
