@@ -10,10 +10,10 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
   its one-deletion neighbourhood).  If the levels add up to more than H, linking sets share a key.
 * Allocation: how many segments of each level a band has is the cheapest of several choices by keys to
   write plus unrelated sets met, which grow with the band's number of sets (counted over all documents).
-* Keys that one set alone has are dropped by a count; what is left is compared with a pivot per key,
-  verified on the whole sets, and joined into components.  A key's further sets are compared only with
-  sets that are not yet in their component, until no key has two components left uncompared; so a group
-  of near copies costs its size, not its square, and no link between components is missed.
+* Keys that one set alone has are dropped by a count.  Shared keys connect sets into families; sets of
+  different families cannot link.  A family is verified on the whole sets, in cells of two blocks of a
+  bounded number of sets and elements, whatever its size; a cell gives back one row per set that links,
+  never pairs.  Links, and what cells have found connected, are joined into components.
 
 Sets that are equal (by a 64-bit digest) are one node from the start, so that copies are never paired.
 
@@ -41,8 +41,8 @@ from longwave.llm.durable import components, durable, members, membership
 SHARED = 0.5
 #: Cells (as powers of two) of the bitmaps that keep unneeded keys and sets from being shuffled.
 KEY_BITS, NODE_BITS = 26, 24
-#: Keys of up to so many sets are compared pair by pair from the second turn on.
-SMALL_KEY = 24
+#: Bounds of a block of sets; a cell holds two.
+CELL_SETS, CELL_ELEMENTS = 2048, 1 << 20
 
 _SEGMENT, _BAND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -242,14 +242,54 @@ def _whole_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "node long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of distinct (a, b), those whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    met = met.where(F.least(F.size("x"), F.size("y")) * den >= F.greatest(F.size("x"), F.size("y")) * num)
-    common = F.size(F.array_intersect("x", "y"))
-    return met.where(common * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+def _common(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many elements each two of n sets have in common, as an (n, n) matrix."""
+    _, column, held = np.unique(elements, return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    begin = np.cumsum(held) - held
+    wide = np.flatnonzero((held >= 2) & (held * 32 >= n))
+    for k in range(0, len(wide), 2048):
+        part = wide[k : k + 2048]
+        take = np.repeat(begin[part] - np.cumsum(held[part]) + held[part], held[part]) + np.arange(int(held[part].sum()))
+        x = np.zeros((n, len(part)), np.float32)
+        x[owner[take], np.repeat(np.arange(len(part)), held[part])] = 1
+        out += x @ x.T
+    for size in np.unique(held[(held >= 2) & (held * 32 < n)]):
+        lists = owner[begin[np.flatnonzero(held == size)][:, None] + np.arange(size)]
+        for k in range(0, len(lists), max(1, (1 << 20) // int(size * size))):
+            part = lists[k : k + max(1, (1 << 20) // int(size * size))]
+            np.add.at(out, (part[:, :, None], part[:, None, :]), 1)
+    return out
+
+
+def _cell(num: int, den: int):
+    """Links within a bounded number of sets, as (node, smallest node that it is connected with)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = np.asarray(table["node"])
+        lists = table["elements"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.asarray(lists.value_lengths()).astype(np.float64)
+        n = len(node)
+        common = _common(np.asarray(lists.flatten()), np.repeat(np.arange(n), size.astype(np.int64)), n)
+        linked = common.astype(np.float64) * (den + num) >= num * (size[:, None] + size[None, :])
+        np.fill_diagonal(linked, False)
+        left, made = linked.any(axis=1), []
+        while left.any():
+            reach = np.zeros(n, bool)
+            front = np.flatnonzero(left)[:1]
+            while len(front):
+                reach[front] = True
+                front = np.flatnonzero(linked[front].any(axis=0) & ~reach)
+            left &= ~reach
+            group = node[reach]
+            made.append(np.stack([group, np.full(len(group), group.min())]))
+        a, b = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
+
+    return run
 
 
 def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
@@ -257,10 +297,9 @@ def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     longest = sized.agg(F.max("n")).first()[0] or 0
     edges = band_edges(longest, num, den)
     lows = F.array(*(F.lit(low) for low, _ in edges))
-    found = {r["band"]: r["count"] for r in sized.where("n > 0").select("node", F.size(F.filter(lows, lambda x: x <= F.col("n"))).alias("band")).groupBy("band").agg(F.approx_count_distinct("node").alias("count")).collect()}
-    bands = [
-        allocate(low, top, edges[max(k - 1, 0)][0], found.get(k + 1, 0) + found.get(k, 0), num, den) for k, (low, top) in enumerate(edges)
-    ]
+    band_of = F.size(F.filter(lows, lambda x: x <= F.col("n"))).alias("band")
+    found = {r["band"]: r["count"] for r in sized.where("n > 0").select("node", band_of).groupBy("band").agg(F.approx_count_distinct("node").alias("count")).collect()}
+    bands = [allocate(low, top, edges[max(k - 1, 0)][0], found.get(k + 1, 0) + found.get(k, 0), num, den) for k, (low, top) in enumerate(edges)]
     plan = {"low": np.array([b.low for b in bands]), "ones": np.array([b.ones for b in bands]), "twos": np.array([b.twos for b in bands]), "spare": np.array([b.spare for b in bands])}
     shared_keys = _keys(docs, words, plan).groupBy("key").count().where("count > 1")
     wanted = membership(shared_keys, "key", KEY_BITS)
@@ -269,31 +308,18 @@ def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     # From here on, rows are in proportion to the documents that share a key with another set.
     rows = durable(_keys(docs, words, plan, wanted).distinct())
     pivot = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = durable(rows.join(pivot, "key"))
-    pairs = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    # A set is fetched once, for all turns.
-    needed = buckets.select("node").distinct()
-    whole = _whole_sets(docs, words, membership(needed, "node", NODE_BITS)).dropDuplicates(["node"])
-    sets = durable(whole.join(needed, "node", "left_semi"))
-    links = durable(_verified(pairs, sets, num, den))
-    roots = durable(components(links))
-    rest = buckets.where("node <> pivot").select("key", "node")
-    while True:
-        placed = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("node").alias("pivot"), F.count("*").alias("held")).where("r0 < r1").select("key", "pivot", "held")
-        rest = durable(placed.join(open_keys, "key"))
-        if rest.isEmpty():
-            return roots
-        few = rest.where(F.col("held") <= SMALL_KEY)
-        other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        close = few.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b")
-        many = rest.where(F.col("held") > SMALL_KEY)
-        of_pivot = many.where("node = pivot").select("key", F.col("root").alias("pivot_root"))
-        star = many.join(of_pivot, "key").where("node <> pivot and root <> pivot_root").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        more = _verified(close.unionAll(star).distinct(), sets, num, den)
-        links = durable(links.unionAll(more))
-        roots = durable(components(links))
-        rest = many.where("node <> pivot").select("key", "node")
+    met = rows.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # Families: what shared keys connect.  Sets of different families share no key, so cannot link.
+    families = durable(components(met))
+    whole = _whole_sets(docs, words, membership(families, "node", NODE_BITS)).dropDuplicates(["node"])
+    sets = durable(families.join(whole, "node"))
+    totals = sets.groupBy("root").agg(F.count("*").alias("held"), F.sum(F.size("elements")).alias("weight"))
+    blocks = totals.select("root", F.greatest(F.ceil(F.col("held") / CELL_SETS), F.ceil(F.col("weight") / CELL_ELEMENTS)).cast("int").alias("blocks"))
+    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
+    links = durable(cells.groupBy("root", "i", "j").applyInArrow(_cell(num, den), "a long, b long"))
+    return durable(components(links))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
