@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longwave.llm import jaccard, langid, licenses, lines, quality, vectors
+from longwave.llm import chunks, jaccard, langid, licenses, lines, mixing, pieces, quality, vectors
+
+
+#: A public vocabulary with byte pieces; another model file can be given instead.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,21 @@ def _crc(modulus: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+#: Target weights of the domains that the labels make.
+MIX_WEIGHTS = {"clean": 0.94, "low": 0.03, "toxic": 0.03}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain): clean, low (quality 0) or toxic."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mix(docs, domain_labels(spark, sf_dir), MIX_WEIGHTS)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,6 +45,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op8_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(_crc(5) != 0).select("doc_id", F.col("quality").alias("label"))
@@ -41,6 +64,13 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest_cosine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    vocabulary = pieces.load(model_file)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    sampled = pieces.decode(pieces.encode(docs, vocabulary, F.col("doc_id"), alpha=1.0, seed=17), vocabulary)
+    return sampled.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(_crc(4) != 2).select("doc_id", "text", "lang"))
@@ -55,9 +85,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_multi_index": op2_multi_index,
+    "op3_pieces": op3_pieces,
     "op4_langid": op4_langid,
+    "op5_mixing": op5_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_jaccard": op7_jaccard,
+    "op8_chunks": op8_chunks,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
 }
