@@ -24,8 +24,8 @@ EV = """ev AS (
 ), tot AS (SELECT file, max(t) AS total FROM ev GROUP BY file)"""
 UB = """ub0 AS (
   SELECT user_id::VARCHAR AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord,
-    (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS s,
-    (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS e FROM events
+    (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 / 1e3 AS s,
+    (lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 1000 / 1e3 AS e FROM events
 ), ub AS (SELECT * FROM ub0 WHERE e > s), ut AS (SELECT file, max(e) AS total FROM ub GROUP BY file)"""
 
 
@@ -203,11 +203,11 @@ def segment_driver(spark, d):
 @query(
     "slicing_stats",
     f"""WITH {DRIVER}, q AS (SELECT file, round(e, 6) - round(s, 6) AS d FROM sp)
-SELECT file, count(*) AS n, round(avg(d), 5) AS mean, round(quantile_cont(d, 0.5), 5) AS median, round(min(d), 5) AS min, round(max(d), 5) AS max FROM q GROUP BY file""",
+SELECT file, count(*) AS n, round(avg(d), 7) AS mean, round(quantile_cont(d, 0.5), 7) AS median, round(min(d), 7) AS min, round(max(d), 7) AS max FROM q GROUP BY file""",
 )
 def slicing_stats(spark, d):
     s = slicing.duration_stats(_driver(spark, d))
-    return s.select("file", "n", *(r(c, digits=5) for c in ("mean", "median", "min", "max")))
+    return s.select("file", "n", *(r(c, digits=7) for c in ("mean", "median", "min", "max")))
 
 
 @query("sample_slice", f"WITH {SLICE} SELECT file, segment::BIGINT AS segment, count(*) AS n_samples, min(i)::BIGINT AS first_i, max(i)::BIGINT AS last_i FROM sl GROUP BY ALL")

@@ -34,17 +34,18 @@ def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file (user), ord, start, end: from each event of a user to the next one."""
+    """file (user), ord, start, end: from each event of a user to the next one, in whole milliseconds."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     by = Window.partitionBy("user_id")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", us.alias("us"))
     e = e.select(
         F.col("user_id").cast("string").alias("file"),
         (F.row_number().over(by.orderBy("us", "event_id")) - 1).cast("long").alias("ord"),
-        ((F.col("us") - F.min("us").over(by)) / F.lit(1e6)).alias("start"),
-        ((F.lead("us").over(by.orderBy("us", "event_id")) - F.min("us").over(by)) / F.lit(1e6)).alias("end"),
+        (F.col("us") - F.min("us").over(by)).alias("us"),
+        (F.lead("us").over(by.orderBy("us", "event_id")) - F.min("us").over(by)).alias("next"),
     )
-    return e.where("end > start")
+    seconds = lambda c: F.expr(f"{c} div 1000") / F.lit(1e3)
+    return e.select("file", "ord", seconds("us").alias("start"), seconds("next").alias("end")).where("end > start")
 
 
 def user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
