@@ -38,7 +38,7 @@ from longwave.llm import textbuf as tb
 from longwave.llm.durable import components, durable, members, membership
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
-SHARED = 0.5
+SHARED = 0.2
 #: Cells (as powers of two) of the bitmaps that keep unneeded keys and sets from being shuffled.
 KEY_BITS, NODE_BITS = 26, 24
 #: Bounds of a block of sets; a cell holds two.
