@@ -47,14 +47,19 @@ def n_peaks(m: Column, threshold: float = 1e-5) -> Column:
     return F.size(F.filter(inner, lambda k: (at(k) > threshold) & (at(k) > at(k - 1)) & (at(k) >= at(k + 1))))
 
 
+def _power(k: int):
+    return lambda v: F.pow(v, F.lit(float(k)))
+
+
 def with_moments(frames: DataFrame, m: str = "m", nyquist: float = NYQUIST) -> DataFrame:
     """Add centroid, spread (variance), skewness and kurtosis of the magnitudes; null for silence."""
     total = array_sum(F.col(m))
     frames = frames.withColumn("__f", frequencies(F.col(m), nyquist)).withColumn("__total", F.when(total > 0, total))
     frames = frames.withColumn("centroid", weighted(F.col(m), F.col("__f")) / F.col("__total"))
+    away = F.transform("__f", lambda f: f - F.col("centroid"))
     for k in (2, 3, 4):
-        power = F.zip_with(m, "__f", lambda a, f, k=k: a * F.pow(f - F.col("centroid"), F.lit(float(k))))
-        frames = frames.withColumn(f"__m{k}", array_sum(power) / F.col("__total"))
+        power = F.transform(away, _power(k))
+        frames = frames.withColumn(f"__m{k}", weighted(F.col(m), power) / F.col("__total"))
     spread = F.when(F.col("__m2") > 0, F.col("__m2"))
     return (
         frames.withColumn("spread", F.col("__m2")).withColumn("skewness", F.col("__m3") / F.pow(spread, F.lit(1.5)))

@@ -129,8 +129,8 @@ def parse_markers(lines: DataFrame) -> DataFrame:
     kinds = lines.groupBy("file").agg(F.max(F.contains(F.col("line"), F.lit("\t"))).alias("tabs"))
     cells = F.when(F.col("tabs"), F.split("line", "\t")).otherwise(F.split("line", ","))
     cells = F.filter(F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))), lambda c: c != "")
-    read = lines.join(kinds, "file").withColumn("c", cells).where("size(c) > 0 AND NOT startswith(c[0], '#')")
-    read = read.withColumn("start", F.expr("try_cast(c[0] AS double)")).where("start IS NOT NULL")
+    read = lines.join(kinds, "file").withColumn("c", cells).where("NOT coalesce(startswith(get(c, 0), '#'), true)")
+    read = read.withColumn("start", F.expr("try_cast(get(c, 0) AS double)")).where("start IS NOT NULL")
     end = F.coalesce(F.expr("try_cast(get(c, 1) AS double)"), F.lit(float("nan")))
     return read.select("file", "ord", "start", end.alias("end"), F.expr("get(c, 2)").alias("label"))
 
