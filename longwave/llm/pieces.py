@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from longwave.llm import textbuf as tb
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BLANK = "▁"
 
 
@@ -248,24 +248,6 @@ def sample_slice(buf: np.ndarray, offsets: np.ndarray, key: np.ndarray, v: Vocab
     return out, place[np.append(unit_first, len(first))].astype(np.int32)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: Column, alpha: float = 1.0, seed: int = 0, into: str = "pieces") -> DataFrame:
-    """Add the sampled piece ids of column text, drawn for ``key``, as array<int>."""
-    kept = [c for c in docs.columns if c != into]
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = docs.select(*kept).schema.add(into, T.ArrayType(T.IntegerType(), False))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, keys = batch.column("text"), np.asarray(batch.column("__key"))
-            void = np.asarray(text.is_null())
-            for lo, hi, buf, offsets in tb.slices(text, SLICE_BYTES):
-                ids, cut = sample_slice(buf, offsets, keys[lo:hi], shared.value, alpha, seed)
-                lists = pa.ListArray.from_arrays(pa.array(cut, mask=np.append(void[lo:hi], False)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in batch.columns[:-1]), lists], names=schema.names)
-
-    return docs.select(*kept, F.xxhash64(key).alias("__key")).mapInArrow(run, schema)
-
-
 def decode_slice(ids: np.ndarray, cut: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts whose piece ids stand between the cuts."""
     size = np.diff(v.text_at)[ids]
@@ -279,6 +261,38 @@ def decode_slice(ids: np.ndarray, cut: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return out[keep], offsets - np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
 
 
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: Column, alpha: float = 1.0, seed: int = 0, into: str = "pieces", proof: str | None = None) -> DataFrame:
+    """Add the sampled piece ids of column text, drawn for ``key``, as array<int>.
+
+    With ``proof``, also a boolean of that name: whether the ids, decoded, give the text's very bytes.
+    The proof is made beside the ids, so that they need not travel to another worker.
+    """
+    kept = [c for c in docs.columns if c not in (into, proof)]
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = docs.select(*kept).schema.add(into, T.ArrayType(T.IntegerType(), False))
+    schema = schema.add(proof, T.BooleanType()) if proof else schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, keys = batch.column("text"), np.asarray(batch.column("__key"))
+            void = np.asarray(text.is_null())
+            for lo, hi, buf, offsets in tb.slices(text, SLICE_BYTES):
+                ids, cut = sample_slice(buf, offsets, keys[lo:hi], shared.value, alpha, seed)
+                made = [pa.ListArray.from_arrays(pa.array(cut, mask=np.append(void[lo:hi], False)), pa.array(ids))]
+                if proof:
+                    raw, back = decode_slice(ids, cut.astype(np.int64), shared.value)
+                    same = np.diff(back) == np.diff(offsets)
+                    if len(raw) == len(buf) and same.all():
+                        wrong = np.concatenate([[0], np.cumsum(raw != buf)])
+                        same = wrong[offsets[1:]] == wrong[offsets[:-1]]
+                    else:
+                        same = np.array([np.array_equal(raw[a:b], buf[c:d]) for a, b, c, d in zip(back[:-1], back[1:], offsets[:-1], offsets[1:], strict=True)])
+                    made.append(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in batch.columns[:-1]), *made], names=schema.names)
+
+    return docs.select(*kept, F.xxhash64(key).alias("__key")).mapInArrow(run, schema)
+
+
 def decode(docs: DataFrame, vocabulary: Vocabulary, column: str = "pieces", into: str = "decoded") -> DataFrame:
     """Add the text that the piece ids of ``column`` stand for."""
     kept = [c for c in docs.columns if c != into]

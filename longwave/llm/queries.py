@@ -67,8 +67,8 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
     vocabulary = pieces.load(model_file)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    sampled = pieces.decode(pieces.encode(docs, vocabulary, F.col("doc_id"), alpha=1.0, seed=17), vocabulary)
-    return sampled.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    sampled = pieces.encode(docs, vocabulary, F.col("doc_id"), alpha=1.0, seed=17, proof="lossless")
+    return sampled.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
