@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longwave.llm import jaccard, lines, mixing, pieces, quality
-from longwave.llm.queries import MIX_WEIGHTS, PIECE_MODEL, domain_labels
+from longwave.llm.queries import PIECE_MODEL, domain_labels
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents below this score are rejected.
 LEAST_QUALITY = 0.3
+#: Target weights after that: documents of low quality are no domain of the mixture any more.
+MIX_WEIGHTS = {"clean": 0.97, "toxic": 0.03}
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin documents so that expected tokens meet the target weights."""
-    rated = mixing.mix(docs.select("doc_id", "text"), domain_labels(spark, sf_dir), MIX_WEIGHTS)
+    labels = domain_labels(spark, sf_dir).where(F.col("domain").isin(*MIX_WEIGHTS))
+    rated = mixing.mix(docs.select("doc_id", "text"), labels, MIX_WEIGHTS)
     copies = rated.where("copies <> 1").groupBy("doc_id").agg(F.min("copies").alias("__copies"))
     repeated = docs.join(copies, "doc_id", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     return repeated.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*COLUMNS)
@@ -52,8 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of each document, with proof that they decode to it."""
     vocabulary = pieces.load(PIECE_MODEL)
-    sampled = pieces.decode(pieces.encode(docs.select("doc_id", "text"), vocabulary, F.col("doc_id"), seed=17), vocabulary)
-    return sampled.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    sampled = pieces.encode(docs.select("doc_id", "text"), vocabulary, F.col("doc_id"), seed=17, proof="lossless")
+    return sampled.select("doc_id", F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

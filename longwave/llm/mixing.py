@@ -5,9 +5,9 @@
    the others is softened, as the words of a document are not independent.
 2. Each document i has n_i tokens, a posterior p_i and a rate r_i >= 0, one at the start.  The expected
    tokens of domain k are T_k = sum_i r_i n_i p_ik.  Projected gradient steps lower the squared distance of
-   T from the targets, whitened by M = sum_i n_i p_i p_i': r_i <- max(0, r_i - p_i . M^-1 (T - target)).
-   In that metric the Lipschitz constant is one, so full steps never overshoot.  A step needs one
-   aggregation of as many numbers as there are domains; rates are never gathered.
+   T from the targets, whitened by M, the sum of n_i p_i p_i' over documents whose rate is above zero:
+   r_i <- max(0, r_i - p_i . M^-1 (T - target)).  While no rate meets the bound, one step is exact.  A step
+   needs one aggregation of a few numbers per pair of domains; rates are never gathered.
 3. A document of rate r appears floor(r) times, once more with probability r - floor(r), drawn from its id.
 
 The total of the targets is ``budget`` times what makes the domain of the largest weight fit without
@@ -104,30 +104,42 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, float], budget: float = 1.0) -> Column:
-    """The rate of a row of members (n_tokens, p_<domain>), as an expression over these columns."""
+    """The rate of a row of members (n_tokens, p_<domain>), as an expression over these columns.
+
+    Domains without a weight are left free.
+    """
+    domains = [d for d in domains if d in weights]
+    if not domains:
+        return F.lit(1.0)
     p = [F.col(f"p_{d}") for d in domains]
     n = F.col("n_tokens").cast("double")
     k = len(domains)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = members.agg(*(F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs), *(F.sum(n * x).alias(f"t{i}") for i, x in enumerate(p))).first()
-    have = [first[f"t{i}"] or 0.0 for i in range(k)]
-    wanted = [max(0.0, weights.get(d, 0.0)) for d in domains]
+
+    def state(rate: Column):
+        rated = members.withColumn("__rate", rate)
+        free = F.when(F.col("__rate") > 0, n).otherwise(0.0)
+        return rated.agg(
+            *(F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs), *(F.sum(F.col("__rate") * n * x).alias(f"t{i}") for i, x in enumerate(p))
+        ).first()
+
     rate = F.lit(1.0)
+    now = state(rate)
+    have = [now[f"t{i}"] or 0.0 for i in range(k)]
+    wanted = [max(0.0, weights.get(d, 0.0)) for d in domains]
     if sum(have) <= 0 or sum(wanted) <= 0:
         return rate
     main = max(range(k), key=lambda i: wanted[i])
     total = budget * have[main] / wanted[main]
     target = [total * w for w in wanted]
-    matrix = [[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
     for _ in range(STEPS):
         off = [x - y for x, y in zip(have, target, strict=True)]
         if max(map(abs, off)) <= CLOSE * max(sum(target), 1.0):
             break
-        move = _solve(matrix, off)
-        shift = sum((p[i] * F.lit(move[i]) for i in range(1, k)), p[0] * F.lit(move[0]))
-        rate = F.greatest(F.lit(0.0), rate - shift)
-        row = members.agg(*(F.sum(rate * n * x).alias(f"t{i}") for i, x in enumerate(p))).first()
-        have = [row[f"t{i}"] for i in range(k)]
+        move = _solve([[now[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], off)
+        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * F.lit(move[i]) for i in range(1, k)), p[0] * F.lit(move[0])))
+        now = state(rate)
+        have = [now[f"t{i}"] for i in range(k)]
     return rate
 
 
