@@ -75,8 +75,8 @@ def analyse(spark: SparkSession, paths: list[str], c: AnalysisConfig | None = No
     parts = []
     if c.descriptors.enabled:
         frames = kernels.describe(arrays, c.audio.sample_rate, c.descriptors.groups, c.descriptors.frame_size, c.descriptors.hop_size)
-        parts.append(stats.frame_stats(frames.where("name <> 'n_frames'"), c.descriptors.stats))
-        parts.append(frames.where("name = 'n_frames'").select("file", "segment", F.lit("signal.n_frames").alias("name"), "value"))
+        parts.append(stats.frame_stats(frames, c.descriptors.stats))
+        parts.append(kernels.describe_whole(arrays, c.audio.sample_rate, c.descriptors.groups, c.descriptors.hop_size))
     if c.psychoacoustics.enabled:
         rate = c.psychoacoustics.sample_rate
         resampled = kernels.resample(arrays.select("file", "segment", "x"), c.audio.sample_rate, rate)

@@ -14,15 +14,47 @@ from longwave.operators.stats import finite
 INDEX_COLUMNS = ("segment", "start", "end", "duration")
 GROUP_ORDER = ("dynamics", "psycho", "spectral", "noisiness", "harmonic", "tonal")
 
-#: The columns shown and compared when none are asked for.
+#: The columns shown and the patterns compared when none are asked for.
 DEFAULT_VIEW = (
-    "dynamics.loudness_dB", "spectral.centroid.mean", "spectral.flux.mean", "spectral.flatness.mean",
-    "noisiness.zcr.mean", "psycho.loudness.mean", "psycho.sharpness.mean", "psycho.roughness.mean",
-)
+    "dynamics.rms.mean",
+    "spectral.centroid.mean",
+    "spectral.flatness.mean",
+    "spectral.flux.mean",
+    "noisiness.zcr.mean",
+    "psycho.loudness.mean",
+    "psycho.sharpness.mean",
+    "psycho.roughness.mean",
+)
 DEFAULT_FEATURES = (
-    "dynamics.rms.mean", "dynamics.dynamic_complexity", "spectral.*.mean", "noisiness.*.mean", "mfcc.coeffs.mean.*",
-    "barkbands.*.mean", "psycho.loudness.mean", "psycho.sharpness.mean", "psycho.roughness.mean",
-)
+    "spectral.*.mean",
+    "spectral.*.stdev",
+    "noisiness.*.mean",
+    "mfcc.coeffs.mean.*",
+    "mfcc.coeffs.stdev.*",
+    "barkbands.*.mean",
+    "psycho.sharpness.mean",
+    "psycho.roughness.mean",
+    "psycho.loudness.bark_centroid",
+)
+
+#: Columns of the batch extract and their short names.
+BATCH_COLUMNS = (
+    ("dynamics.rms.mean", "rms.mean"),
+    ("spectral.centroid.mean", "centroid.mean"),
+    ("spectral.flatness.mean", "flatness.mean"),
+    ("spectral.flux.mean", "flux.mean"),
+    ("psycho.loudness.mean", "loudness.mean"),
+    ("psycho.sharpness.mean", "sharpness.mean"),
+    ("psycho.roughness.mean", "roughness.mean"),
+    ("dynamics.dynamic_complexity", "dynamics.dynamic_complexity"),
+    ("spectral.crest.mean", "crest.mean"),
+    ("spectral.complexity.mean", "complexity.mean"),
+    ("noisiness.dissonance.mean", "dissonance.mean"),
+    ("psycho.tonality.n_tones", "tonality.n_tones"),
+    ("psycho.tonality.strongest_tone_Hz", "tonality.strongest_tone_Hz"),
+    ("noisiness.f0.max", "f0.max"),
+    ("dynamics.loudness_dB", "dynamics.loudness_dB"),
+)
 
 
 def descriptor_columns(columns: Iterable[str]) -> list[str]:

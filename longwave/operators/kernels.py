@@ -240,7 +240,7 @@ def describe_frames(x: np.ndarray, rate: float, groups: Sequence[str], size: int
             out |= makers[group]()
         except (ValueError, IndexError, np.linalg.LinAlgError):
             continue
-    return out | {"n_frames": np.array([float(len(frames))])}
+    return out
 
 
 def dynamic_complexity(x: np.ndarray, rate: float) -> tuple[float, float]:
@@ -267,6 +267,31 @@ def describe(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6
     return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInPandas(run, "file string, segment long, frame long, name string, value double")
 
 
+#: Fixed value: the name of a segment's frame count.
+FRAME_COUNT = "essentia.n_frames"
+
+
+def describe_whole(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], hop: int = HOP) -> DataFrame:
+    """Values of whole segments that no statistic summarises: (file, segment, name, value).
+
+    The frame count is always there; dynamic complexity and level belong to the group dynamics.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for file, segment, x in zip(rows["file"], rows["segment"], rows["x"], strict=True):
+                if not len(x):
+                    continue
+                out.append((file, segment, FRAME_COUNT, float(max(1, -(-len(x) // hop)))))
+                if "dynamics" in groups:
+                    complexity, level = dynamic_complexity(x, rate)
+                    out += [(file, segment, "dynamics.dynamic_complexity", complexity), (file, segment, "dynamics.loudness_dB", level)]
+            yield pd.DataFrame(out, columns=["file", "segment", "name", "value"])
+
+    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInPandas(run, "file string, segment long, name string, value double")
+
+
 ONSET_METHODS = ("hfc", "complex", "complex_phase", "flux", "melflux", "rms", "superflux")
 
 

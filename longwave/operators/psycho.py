@@ -167,6 +167,20 @@ def tonality(p: np.ndarray, rate: float) -> dict[str, float]:
     return out
 
 
+@register("loudness_ecma")
+def loudness_ecma(p: np.ndarray, rate: float) -> dict[str, float]:
+    """Loudness with the flatter compression of the hearing-model standard; summed over bands, no deviation."""
+    excitation = _bark_pressure(p, rate) / (20e-6) ** 2
+    bands = np.maximum((1 + excitation / 10 ** (4 / 10)) ** 0.20 - 1, 0) * 0.2
+    return _summary("psycho.loudness_ecma", bands.sum(axis=1), "N", std=False)
+
+
+@register("roughness_ecma")
+def roughness_ecma(p: np.ndarray, rate: float) -> dict[str, float]:
+    """Roughness as above, without the deviation."""
+    return {k.replace("psycho.roughness", "psycho.roughness_ecma"): v for k, v in roughness(p, rate).items() if not k.endswith(".std")}
+
+
 def describe(segments: DataFrame, rate: float, names: Sequence[str] = ("loudness", "sharpness", "roughness", "tonality"), full_scale_db: float = FULL_SCALE_DB) -> DataFrame:
     """(file, segment, name, value) for segments (file, segment, x); a metric that fails leaves its columns out."""
     unknown = [n for n in names if n not in _METRICS]

@@ -48,7 +48,10 @@ def frame_stats(values: DataFrame, stats: Sequence[str] = DEFAULT_STATS, keys: S
     wide = values.groupBy(*keys).agg(*(_aggregate(s).alias(s) for s in stats))
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in stats))).alias("p")
     others = [k for k in keys if k != "name"]
-    return wide.select(*others, "name", pairs).select(*others, F.concat_ws(".", "name", "p.stat").alias("name"), F.col("p.value").alias("value"))
+    # Components of a vector keep their index last: name.stat.index.
+    base, index = F.regexp_extract("name", r"^(.*?)((?:\.\d+)?)$", 1), F.regexp_extract("name", r"^(.*?)((?:\.\d+)?)$", 2)
+    named = F.concat(base, F.lit("."), F.col("p.stat"), index)
+    return wide.select(*others, "name", pairs).select(*others, named.alias("name"), F.col("p.value").alias("value"))
 
 
 def weighted_summary(table: DataFrame) -> DataFrame:

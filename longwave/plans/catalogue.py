@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longwave.functions import scalars
-from longwave.operators import features, kernels, psycho, similarity, slicing, spectral, stats
+from longwave.operators import features, kernels, plots, psycho, similarity, slicing, spectral, stats
 from longwave.sources import adapters as src
 from longwave.sources import sinks
 
@@ -723,6 +723,16 @@ def linkage_cut(spark, d):
     return similarity.analyse(src.embedding_rows(spark, d), method="hierarchical", link="ward", k=6).select("segment", "cluster", "silhouette")
 
 
+@query("merge_steps")
+def merge_steps(spark, d):
+    return plots.merge_steps(src.embedding_rows(spark, d).where("segment < 300"), link="average").select("step", "a", "b", "height", "size")
+
+
+@query("map_edges", f'WITH {SEG} SELECT file, segment::BIGINT AS ord, round(s, 6) AS t FROM seg UNION ALL SELECT file, max(segment)::BIGINT + 1, round(arg_max(e, segment), 6) FROM seg GROUP BY file')
+def map_edges(spark, d):
+    return plots.map_edges(src.daily_segments(spark, d)).select("file", "ord", r("t"))
+
+
 @query("auto_k")
 def auto_k(spark, d):
     return similarity.analyse(src.embedding_rows(spark, d).where("segment < 300")).select("segment", "cluster", "k", "silhouette")
@@ -742,7 +752,8 @@ def _event_arrays(spark, d) -> DataFrame:
 def kernel_descriptors(spark, d):
     """All descriptor groups of the event files as signals of 44.1 kHz, summarised per file."""
     arrays = _event_arrays(spark, d).withColumn("segment", F.lit(0).cast("long"))
-    return stats.frame_stats(kernels.describe(arrays, 44100, kernels.GROUPS, 512, 256))
+    whole = kernels.describe_whole(arrays, 44100, kernels.GROUPS, 256)
+    return stats.frame_stats(kernels.describe(arrays, 44100, kernels.GROUPS, 512, 256)).unionByName(whole)
 
 
 @query("onset_detect")
@@ -764,7 +775,7 @@ def resample(spark, d):
 @query("psycho_describe")
 def psycho_describe(spark, d):
     arrays = _event_arrays(spark, d).withColumn("segment", F.lit(0).cast("long"))
-    return psycho.describe(arrays, 1000.0)
+    return psycho.describe(arrays, 1000.0, psycho.metrics())
 
 
 @query("dynamic_complexity")

@@ -122,3 +122,18 @@ def test_kmeans_is_repeatable_and_total():
     x = np.vstack([np.zeros((5, 2)), np.ones((5, 2)) * 4])
     assert len(set(similarity.kmeans(x, 2))) == 2
     assert (similarity.kmeans(x, 50) >= 1).all() and (similarity.kmeans(x, 3, 1) == similarity.kmeans(x, 3, 1)).all()
+
+
+def test_plot_data():
+    from longwave.operators import plots
+
+    assert plots.colour_threshold([1.0, 2.0, 5.0], 2) == 5.0 and plots.colour_threshold([1.0], 1) == 0.0
+    assert plots.facets([1, 2, 2]) == [[1, 2]] and plots.facets([1, 2, 3, 4]) == [[1], [2], [3], [4]]
+    assert "weak separation" in plots.report([{"cluster": 1, "n": 2, "seconds": 3.0, "share": 100.0, "mean_s": 0.1}])[-1]
+
+
+def test_vector_names(spark):
+    from longwave.operators import stats
+
+    v = spark.createDataFrame([("f", 0, 0, "mfcc.coeffs.00", 1.0), ("f", 0, 0, "spectral.flux", 2.0)], "file string, segment long, frame long, name string, value double")
+    assert sorted(r["name"] for r in stats.frame_stats(v, ["mean"]).collect()) == ["mfcc.coeffs.mean.00", "spectral.flux.mean"]
