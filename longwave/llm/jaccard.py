@@ -38,7 +38,7 @@ from longwave.llm import textbuf as tb
 from longwave.llm.durable import components, durable, members, membership
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
-SHARED = 0.2
+SHARED = 0.01
 #: Cells (as powers of two) of the bitmaps that keep unneeded keys and sets from being shuffled.
 KEY_BITS, NODE_BITS = 26, 24
 #: Bounds of a block of sets; a cell holds two.
@@ -87,8 +87,9 @@ def allocate(low: int, top: int, below: int, sets: int, num: int, den: int) -> B
         twos = math.ceil(share * need / 2)
         ones = max(0, need - 2 * twos)
         width = (low + top) / 2 / (ones + twos)
-        apart = 2 * width * (1 - SHARED)
-        met = sets * (ones * math.exp(-apart) + twos * math.exp(-apart) * (1 + apart))
+        # Unrelated sets meet where they have a common element and no others (or, at level 2, one other).
+        apart, some = 2 * width * (1 - SHARED), -math.expm1(-width * SHARED)
+        met = sets * some * math.exp(-apart) * (ones + twos * (1 + apart))
         cost = ones + twos * (1 + width) + met
         if best is None or cost < best[0]:
             best = (cost, Band(low, top, ones, twos, spare))
@@ -311,11 +312,12 @@ def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     met = rows.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     # Families: what shared keys connect.  Sets of different families share no key, so cannot link.
     families = durable(components(met))
-    whole = _whole_sets(docs, words, membership(families, "node", NODE_BITS)).dropDuplicates(["node"])
-    sets = durable(families.join(whole, "node"))
-    totals = sets.groupBy("root").agg(F.count("*").alias("held"), F.sum(F.size("elements")).alias("weight"))
+    placed = families.join(sized.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n")), "node")
+    totals = placed.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
     blocks = totals.select("root", F.greatest(F.ceil(F.col("held") / CELL_SETS), F.ceil(F.col("weight") / CELL_ELEMENTS)).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    homes = placed.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    # Whole sets are shuffled twice: to meet their family, and to their cells.
+    dealt = _whole_sets(docs, words, membership(families, "node", NODE_BITS)).dropDuplicates(["node"]).join(homes, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
     links = durable(cells.groupBy("root", "i", "j").applyInArrow(_cell(num, den), "a long, b long"))
