@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
         if name != "pieces":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
     counts = {n: d.count() for n, d in kept.items()}
-    assert 0 < counts["near_duplicates"] <= counts["line_dedup"] <= counts["quality"] < whole
+    assert 0 < counts["near_duplicates"] <= counts["line_dedup"] <= counts["quality"] <= whole
     assert kept["pieces"].where("NOT lossless").count() == 0 and counts["pieces"] == counts["mixing"] > 0
     assert lines.dedup(kept["line_dedup"].select("doc_id", "text")).where("n_removed > 0").count() <= 0.02 * counts["line_dedup"]
     assert jaccard.near_duplicates(kept["near_duplicates"]).where("doc_id <> component_id").count() == 0
