@@ -87,9 +87,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[float, np.nda
     if not 0 < positive < len(rows):
         p = (positive + 1) / (len(rows) + 2)
         return float(np.log(p / (1 - p))), w[:size]
-    examples = [(np.append(c, size), np.append(v, 1.0), y) for c, v, y in rows]
     for _ in range(EPOCHS):
-        for i, x, y in examples:
+        for column, value, y in rows:
+            # Widened here, one row at a time: all rows at once would take the driver several times their size.
+            i, x = np.append(column, size), np.append(value.astype(np.float64), 1.0)
             wi = weights(i)
             g = (1 / (1 + np.exp(-np.clip(wi @ x, -35, 35))) - y) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -133,8 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[f
         .limit(fit_rows)
         .toArrow()
     )
-    columns, values, labels = (table[c].combine_chunks() for c in ("columns", "values", "label"))
-    return train([(np.asarray(columns[k].values, np.int64), np.asarray(values[k].values, np.float64), labels[k].as_py()) for k in range(len(labels))])
+    rows = []
+    for batch in table.to_batches():
+        # Views of the batches, not copies.
+        columns, values = batch.column("columns"), batch.column("values")
+        cut, flat, weight = np.asarray(columns.offsets), np.asarray(columns.values), np.asarray(values.values)
+        rows += [(flat[a:b], weight[a:b], y) for a, b, y in zip(cut[:-1], cut[1:], batch.column("label").to_pylist(), strict=True)]
+    return train(rows)
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray], threshold: float = 0.5) -> DataFrame:
