@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that no frame refers to any more.
+
+    Spark finds them when the driver collects its garbage, which a driver with little to do rarely does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits cells in which the cell of every key is set; for :func:`members`.
 

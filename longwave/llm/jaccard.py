@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longwave.llm import textbuf as tb
-from longwave.llm.durable import components, durable, members, membership
+from longwave.llm.durable import components, durable, members, membership, release
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
 SHARED = 0.01
@@ -306,12 +306,17 @@ def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     wanted = membership(shared_keys, "key", KEY_BITS)
     if not wanted.any():
         return None
+    # The shuffle of all keys, by far the largest, has served.
+    del shared_keys
+    release(docs.sparkSession)
     # From here on, rows are in proportion to the documents that share a key with another set.
     rows = durable(_keys(docs, words, plan, wanted).distinct())
     pivot = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
     met = rows.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     # Families: what shared keys connect.  Sets of different families share no key, so cannot link.
     families = durable(components(met))
+    del met, pivot, rows
+    release(docs.sparkSession)
     placed = families.join(sized.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n")), "node")
     totals = placed.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
     blocks = totals.select("root", F.greatest(F.ceil(F.col("held") / CELL_SETS), F.ceil(F.col("weight") / CELL_ELEMENTS)).cast("int").alias("blocks"))
