@@ -417,6 +417,20 @@ def similarity_map(spark, d):
     return similarity.similarity_map(similarity.pairwise(_standard_rows(spark, d))).select("i", "j", r("s"))
 
 
+def _whole_distances(metric: str) -> Query:
+    return lambda spark, d: similarity.pairwise(_standard_rows(spark, d, None), metric).select("i", "j", r("d"))
+
+
+# The five queries above keep the few ids that their SQL compares; these cover every row of the table.
+for _metric in ("euclidean", "cityblock", "cosine", "correlation"):
+    query(f"dist_{_metric}_whole")(_whole_distances(_metric))
+
+
+@query("similarity_map_whole")
+def similarity_map_whole(spark, d):
+    return similarity.similarity_map(similarity.pairwise(_standard_rows(spark, d, None))).select("i", "j", r("s"))
+
+
 _ALL_PAIRS = f"{EM}, pr AS (SELECT a.segment AS i, b.segment AS j, a.cluster AS ci, b.cluster AS cj, {_EUCLID} AS d FROM em a JOIN em b ON a.segment <> b.segment)"
 _SILHOUETTE = f"""{_ALL_PAIRS}, mn AS (SELECT i, ci, cj, avg(d) AS m FROM pr GROUP BY ALL),
 ab AS (SELECT i, ci, max(m) FILTER (ci = cj) AS a, min(m) FILTER (ci <> cj) AS b FROM mn GROUP BY ALL),
@@ -725,7 +739,7 @@ def linkage_cut(spark, d):
 
 @query("merge_steps")
 def merge_steps(spark, d):
-    return plots.merge_steps(src.embedding_rows(spark, d).where("segment < 300"), link="average").select("step", "a", "b", "height", "size")
+    return plots.merge_steps(src.embedding_rows(spark, d), link="average").select("step", "a", "b", "height", "size")
 
 
 @query("map_edges", f'WITH {SEG} SELECT file, segment::BIGINT AS ord, round(s, 6) AS t FROM seg UNION ALL SELECT file, max(segment)::BIGINT + 1, round(arg_max(e, segment), 6) FROM seg GROUP BY file')
@@ -735,7 +749,7 @@ def map_edges(spark, d):
 
 @query("auto_k")
 def auto_k(spark, d):
-    return similarity.analyse(src.embedding_rows(spark, d).where("segment < 300")).select("segment", "cluster", "k", "silhouette")
+    return similarity.analyse(src.embedding_rows(spark, d)).select("segment", "cluster", "k", "silhouette")
 
 
 @query("pca")
