@@ -1,9 +1,9 @@
 """License scan with ordered signature rules, in built-in SQL functions only.
 
 A text is lower-cased (A-Z), read as a sequence of words (runs of a-z, 0-9 and non-ASCII characters)
-and joined with single blanks.  Rules are regular expressions over that word string.  A text reaches
-the rules only if it holds one of a few anchor words; a rule is tried only if the text holds the
-rule's own keyword.  Every place a rule matches is a detection.  Of detections whose intervals are
+and joined with single blanks.  Rules are regular expressions over that word string.  A rule is tried
+only if the text holds one of the rule's keywords and, for a statement about a named license, one of
+the statement's own words; every place of a rule holds them, so that no detection is lost.  Every place a rule matches is a detection.  Of detections whose intervals are
 nested the wider stays; of equal intervals that of the smallest priority stays.  All of it happens
 within the text's row: there is no shuffle, and a row needs memory in proportion to its text.
 
@@ -14,6 +14,8 @@ The score is the largest weight of a detection that stays, 0 without any.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 #: The phrases of the base contract, by label.
 BASE_PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-#: label, keyword that a text must hold, and how the license is named in running words.
+#: label, keyword (or several, with "|") that every place of the pattern holds, and how the license is named in running words.
 NAMES: list[tuple[str, str, str]] = [
     ("mit", "mit", r"(?:the )?mit"),
     ("mit-0", "mit", r"mit (?:0|no attribution)"),
@@ -61,7 +63,7 @@ NAMES: list[tuple[str, str, str]] = [
     ("wtfpl", "wtfpl", r"(?:the )?wtfpl(?: version)?(?: 2)?"),
     ("beerware", "beer", r"(?:the )?beer ?ware"),
     ("ofl-1.1", "open font", r"(?:the )?(?:sil )?open font license(?: version)?(?: 1 1)?"),
-    ("python-2", "python", r"(?:the )?(?:psf|python software foundation|python) license(?: version)?(?: 2)?"),
+    ("python-2", "python|psf license", r"(?:the )?(?:psf|python software foundation|python) license(?: version)?(?: 2)?"),
     ("php-3", "php", r"(?:the )?php license(?: version)?(?: 3(?: 0[01]?)?)?"),
     ("ruby", "ruby", r"(?:the )?ruby"),
     ("postgresql", "postgresql", r"(?:the )?postgresql"),
@@ -73,7 +75,7 @@ NAMES: list[tuple[str, str, str]] = [
     ("cecill-2.1", "cecill", r"(?:the )?cecill(?: [abc])?(?: version)?(?: 2 [01])?"),
     ("ms-pl", "microsoft public", r"(?:the )?microsoft public license"),
     ("ms-rl", "microsoft reciprocal", r"(?:the )?microsoft reciprocal license"),
-    ("odbl-1", "open database", r"(?:the )?open (?:data commons )?(?:open )?database license(?: version)?(?: 1 0)?"),
+    ("odbl-1", "database license", r"(?:the )?open (?:data commons )?(?:open )?database license(?: version)?(?: 1 0)?"),
     ("pddl-1", "public domain dedication", r"(?:the )?(?:open data commons )?public domain dedication and license"),
     ("bsl-1.1", "business source", r"(?:the )?business source license(?: version)?(?: 1 1)?"),
     ("sspl-1", "server side public", r"(?:the )?server side public license(?: version)?(?: 1)?"),
@@ -113,8 +115,8 @@ NOTICES: list[tuple[str, str, float, str]] = [
     ("apache-2", "apache", 1.0, r"you may not use this file except in compliance with the license(?: you may obtain a copy of the license at)? (?:\S+ ){0,6}?apache"),
     ("apache-2", "apache", 0.9, r"(?:www )?apache org licenses license 2 0"),
     ("apache-2", "apache", 0.7, r"apache license version 2(?: 0)?"),
-    ("gpl-2", "general public", 0.9, r"either version 2 of the license or (?:at your option )?any later version"),
-    ("gpl-3", "general public", 0.9, r"either version 3 of the license or (?:at your option )?any later version"),
+    ("gpl-2", "either version 2", 0.9, r"either version 2 of the license or (?:at your option )?any later version"),
+    ("gpl-3", "either version 3", 0.9, r"either version 3 of the license or (?:at your option )?any later version"),
     ("gpl-3", "general public", 0.7, r"(?:gnu )?general public license version 3(?: 0)?"),
     ("gpl-2", "general public", 0.7, r"(?:gnu )?general public license version 2(?: 0)?"),
     ("gpl", "general public", 0.5, r"(?:gnu )?general public license"),
@@ -136,8 +138,9 @@ NOTICES: list[tuple[str, str, float, str]] = [
     ("mit", "mit", 0.7, r"under the mit license"),
 ]
 
-#: A text without any of these words cannot satisfy a rule.
-ANCHORS = ("licen", "public", "cc by", "cc0", "creativecommons", "creative commons", "spdx", "rights reserved", "permission", "redistribution", "neither the name", "altered source", "gpl")
+#: Words of which every place of a statement holds one: those of releases, and those of the other kinds.
+RELEASES = ("released under ", "distributed under ", "published under ", "available under ", "provided under ")
+AROUND = {kind: RELEASES if kind == "release" else ("licen",) for kind, _, _ in STATEMENTS}
 
 
 class Rule(NamedTuple):
@@ -146,30 +149,35 @@ class Rule(NamedTuple):
     keyword: str
     weight: float
     pattern: str
+    around: tuple[str, ...]  # empty for a rule that stands alone
 
 
 def rules() -> list[Rule]:
     """All rules in order of priority: stand-alone notices, then each statement with each name."""
-    found = [(label, keyword, weight, pattern) for label, keyword, weight, pattern in NOTICES]
-    found += [(label, keyword, weight, around.format(name)) for _, weight, around in STATEMENTS for label, keyword, name in NAMES]
-    return [Rule(k, label, keyword, weight, rf"(?<![^ ]){pattern}(?![^ ])") for k, (label, keyword, weight, pattern) in enumerate(found)]
+    found = [(label, keyword, weight, pattern, ()) for label, keyword, weight, pattern in NOTICES]
+    found += [(label, keyword, weight, around.format(name), AROUND[kind]) for kind, weight, around in STATEMENTS for label, keyword, name in NAMES]
+    return [Rule(k, label, keyword, weight, rf"(?<![^ ]){pattern}(?![^ ])", around) for k, (label, keyword, weight, pattern, around) in enumerate(found)]
+
+
+def _held(around: tuple[str, ...]) -> str:
+    return "release" if around == RELEASES else "license" if around else ""
 
 
 def _rule_array(of: list[Rule]) -> str:
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    groups: dict[str, list[Rule]] = {}
+    groups: dict[tuple[str, tuple[str, ...]], list[Rule]] = {}
     for r in of:
-        groups.setdefault(r.keyword, []).append(r)
+        groups.setdefault((r.keyword, r.around), []).append(r)
     listed = [
-        f"named_struct('keyword', {quote(k)}, 'rules', array({', '.join(f'named_struct({chr(39)}p{chr(39)}, {r.priority}, {chr(39)}l{chr(39)}, {quote(r.label)}, {chr(39)}w{chr(39)}, {r.weight}D, {chr(39)}x{chr(39)}, {quote(r.pattern)})' for r in v)}))"
-        for k, v in groups.items()
+        f"named_struct('keywords', array({', '.join(map(quote, k.split('|')))}), 'around', {quote(_held(around))}, 'rules', array({', '.join(f'named_struct({chr(39)}p{chr(39)}, {r.priority}, {chr(39)}l{chr(39)}, {quote(r.label)}, {chr(39)}w{chr(39)}, {r.weight}D, {chr(39)}x{chr(39)}, {quote(r.pattern)})' for r in v)}))"
+        for (k, around), v in groups.items()
     ]
     return f"array({', '.join(listed)})"
 
 
 #: From a word string s: every place of a rule's pattern as (start, end, priority, label, weight), in characters.
 _PLACES = """
-transform(filter({table}, g -> contains({s}, g.keyword)), g -> flatten(transform(g.rules, r ->
+transform(filter({table}, g -> (g.around = '' OR (g.around = 'license' AND __license) OR (g.around = 'release' AND __release)) AND exists(g.keywords, k -> contains({s}, k))), g -> flatten(transform(g.rules, r ->
   aggregate(
     zip_with(regexp_extract_all({s}, r.x, 0), split({s}, r.x), (m, gap) -> struct(m AS m, gap AS gap)),
     named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)),
@@ -206,9 +214,9 @@ def scan(docs: DataFrame) -> DataFrame:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     read = docs.select(*kept, F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("__low"))
     read = read.select(*kept, F.trim(F.regexp_replace("__low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("__s"))
-    gate = F.lit(False)
-    for a in ANCHORS:
-        gate = gate | F.contains(F.col("__s"), F.lit(a))
+    holds = lambda words: reduce(or_, (F.contains(F.col("__s"), F.lit(w)) for w in words))
+    alone = [w for r in rules() if not r.around for w in r.keyword.split("|")]
+    gate = holds(dict.fromkeys([*alone, *(w for words in AROUND.values() for w in words)]))
     n_words = F.when(F.col("__s") == "", F.lit(0)).otherwise(F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(" "), F.lit(""))) + 1)
     read = read.select(*kept, n_words.cast("long").alias("n_words"), F.when(gate, F.col("__s")).alias("__s"))
     has_base = F.lit(False)
@@ -222,6 +230,7 @@ def scan(docs: DataFrame) -> DataFrame:
     none = "cast(array() AS array<struct<i:int,l:string>>)"
     read = read.select(*kept, "n_words", "__s", F.flatten(F.array(*(F.coalesce(b, F.expr(none)) for b in base))).alias("__base"))
     empty = "cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)"
+    read = read.withColumns({"__license": holds(AROUND["name"]), "__release": holds(RELEASES)})
     read = read.withColumn("__all", F.expr(f"if(__s IS NULL, {empty}, flatten({_PLACES.format(table=_rule_array(rules()), s='__s')}))"))
     read = read.withColumn("detections", F.expr(_KEPT.format(d="__all")))
     at = F.expr("transform(__base, b -> b.i)")

@@ -138,6 +138,46 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300 and licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def _example(parsed, rng):
+    """A text that the parsed pattern takes, its choices made at random."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kind, value = arg[int(rng.integers(len(arg)))]
+            out.append("w" if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else int(rng.integers(value[0], value[1] + 1))))
+        elif op == "SUBPATTERN":
+            out.append(_example(arg[3], rng))
+        elif op == "BRANCH":
+            out.append(_example(arg[1][int(rng.integers(len(arg[1])))], rng))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [_example(arg[2], rng) for _ in range(int(rng.integers(arg[0], min(arg[1], arg[0] + 3) + 1)))]
+        else:
+            assert op == "ASSERT_NOT", op
+    return "".join(out)
+
+
+def test_license_gates_lose_nothing(spark):
+    rules = licenses.rules()
+    rng = np.random.default_rng(4)
+    texts = [f"so {_example(re._parser.parse(r.pattern), rng)} it is" for r in rules for _ in range(4)]
+    texts += ["released under MIT", "distributed under BSD 3-Clause", "published under zlib", "available under Apache 2.0", "licensed under the PSF license", "licensed under the open data commons database license"]
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+    rows = licenses.scan(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").select("text", "detections").collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        s = " ".join(re.findall(r"[a-z0-9]+", row["text"].lower()))
+        found = sorted((m.start(), -m.end(), r.priority, r.label) for r, x in compiled for m in x.finditer(s))
+        want, top = [], -1
+        for a, b, p, label in found:
+            if -b > top:
+                top = -b
+                want.append((a, -b, p, label))
+        assert want and [(d["s"], d["e"], d["p"], d["l"]) for d in row["detections"]] == want, s
+
+
 # ---- lines, chunks
 
 
