@@ -4,8 +4,8 @@ A gear hash rolls over a text's bytes: h = 2h + gear[byte], kept to 16 bits, so
 last 16 bytes alone.  A chunk ends where the upper ``MASK_BITS`` bits are zero and it has ``LEAST`` bytes, or
 at ``MOST`` bytes; so chunk borders follow the content and fall into step again soon after an insertion.
 Chunks are compared by a 128-bit digest.  A chunk's first place in the corpus (smallest doc_id, then
-position) stays; elsewhere it is a duplicate.  Duplicates that follow each other form a span; spans of
-at least ``least_span`` bytes are reported and can be cut, shorter ones are common phrases and stay.
+position) stays; elsewhere it is a duplicate.  Duplicates that follow each other form a span.  All spans
+are reported, however short; :func:`cut` takes out those of at least ``least_span`` bytes.
 
 Nothing is gathered by chunk but its first place and count, which partial aggregation shrinks before the
 shuffle; a very common chunk is joined back in as many parts as its partition is split into.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from longwave.llm import textbuf as tb
 
 MASK_BITS, LEAST, MOST = 5, 16, 128
-#: Bytes that a run of duplicate chunks needs to count.
+#: Bytes that a run of duplicate chunks needs to be cut.
 LEAST_SPAN = 100
 
 _GEAR = np.random.default_rng(1618).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -94,7 +94,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "__id long, __hash long, a long, b long, at int, to int")
 
 
-def duplicate_spans(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
+def duplicate_spans(docs: DataFrame) -> DataFrame:
     """__id, __hash, byte_spans: the runs of later occurrences, as array<struct<at, to>> in bytes, in order."""
     chunks = _chunks(docs)
     here = F.struct("__id", "at", "__hash")
@@ -109,13 +109,13 @@ def duplicate_spans(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
                             array_append(slice(acc, 1, size(acc) - 1), named_struct('at', acc[size(acc) - 1].at, 'to', x.to)),
                             array_append(acc, x)))"""
     )
-    return later.groupBy("__id", "__hash").agg(F.filter(spans, lambda s: s["to"] - s["at"] >= least_span).alias("byte_spans")).where("size(byte_spans) > 0")
+    return later.groupBy("__id", "__hash").agg(spans.alias("byte_spans"))
 
 
-def find(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, dup_bytes and byte_spans (empty where nothing repeats)."""
     kept = [c for c in docs.columns if c not in ("n_bytes", "dup_bytes", "byte_spans")]
-    spans = duplicate_spans(docs, least_span)
+    spans = duplicate_spans(docs)
     marked = docs.select(*kept).withColumn("__text_hash", F.xxhash64("text"))
     met = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
     none = F.expr("cast(array() AS array<struct<at:int,to:int>>)")
@@ -127,14 +127,16 @@ def find(docs: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
     )
 
 
-def cut(found: DataFrame) -> DataFrame:
-    """The result of :func:`find` with the spans cut out of text."""
+def cut(found: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
+    """The result of :func:`find` with the spans of at least ``least_span`` bytes cut out of text."""
+    long_spans = F.filter("byte_spans", lambda s: s["to"] - s["at"] >= least_span)
+    shown, found = found.columns, found.withColumn("__spans", long_spans)
     kept_parts = F.expr(
-        """transform(sequence(0, size(byte_spans)), i -> substring(
+        """transform(sequence(0, size(__spans)), i -> substring(
              encode(text, 'UTF-8'),
-             if(i = 0, 1, byte_spans[i - 1].to + 1),
-             if(i = size(byte_spans), octet_length(text), byte_spans[i].at) - if(i = 0, 0, byte_spans[i - 1].to)))"""
+             if(i = 0, 1, __spans[i - 1].to + 1),
+             if(i = size(__spans), octet_length(text), __spans[i].at) - if(i = 0, 0, __spans[i - 1].to)))"""
     )
-    whole = F.expr("size(byte_spans) = 0 OR text IS NULL")
+    whole = F.expr("size(__spans) = 0 OR text IS NULL")
     rest = F.decode(F.aggregate(kept_parts, F.lit(b""), lambda t, p: F.concat(t, p)), "UTF-8")
-    return found.withColumn("text", F.when(whole, F.col("text")).otherwise(rest))
+    return found.withColumn("text", F.when(whole, F.col("text")).otherwise(rest)).select(*shown)

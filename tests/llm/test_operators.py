@@ -217,6 +217,25 @@ def test_chunks_find_shared_passages_only(spark):
     assert chunks.find(docs_of(spark, [])).count() == 0
 
 
+def test_chunks_report_short_duplicates(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 7))
+    words = [word() for _ in range(400)]
+    near = [word() if k % 14 == 7 else w for k, w in enumerate(words)]
+    d = docs_of(spark, [(1, "a short text, twice"), (2, "a short text, twice"), (3, "another one"), (4, " ".join(words)), (5, " ".join(near))])
+    found = chunks.find(d)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert [got[k]["dup_bytes"] for k in (1, 2, 3, 4)] == [0, 19, 0, 0]
+    first, second = " ".join(words).encode(), " ".join(near).encode()
+    cut_up = lambda t: chunks.borders(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[:2]
+    known = {first[a:b] for a, b in zip(*cut_up(first), strict=True)}
+    same = [(a, b) for a, b in zip(*cut_up(second), strict=True) if second[a:b] in known]
+    assert got[5]["dup_bytes"] == sum(b - a for a, b in same) > 0
+    assert any(s["to"] - s["at"] < chunks.LEAST_SPAN for s in got[5]["byte_spans"])
+    texts = lambda least: {r["doc_id"]: r["text"] for r in chunks.cut(found, least).collect()}
+    assert texts(100)[2] == "a short text, twice" and texts(1)[2] == ""
+
+
 # ---- Jaccard join
 
 
