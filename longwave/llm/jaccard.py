@@ -96,6 +96,13 @@ def allocate(low: int, top: int, below: int, sets: int, num: int, den: int) -> B
     return best[1]
 
 
+def _distinct(bands: list[tuple[int, int, int]]) -> int:
+    """How many sets bands of (estimate, smallest, largest node) hold: estimated, but exact in whether there are two."""
+    if not bands or min(b[1] for b in bands) == max(b[2] for b in bands):
+        return len(bands[:1])
+    return max(2, sum(b[0] for b in bands))
+
+
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after another, and where each text's begin."""
     n = len(offsets) - 1
@@ -299,8 +306,10 @@ def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     edges = band_edges(longest, num, den)
     lows = F.array(*(F.lit(low) for low, _ in edges))
     band_of = F.size(F.filter(lows, lambda x: x <= F.col("n"))).alias("band")
-    found = {r["band"]: r["count"] for r in sized.where("n > 0").select("node", band_of).groupBy("band").agg(F.approx_count_distinct("node").alias("count")).collect()}
-    bands = [allocate(low, top, edges[max(k - 1, 0)][0], found.get(k + 1, 0) + found.get(k, 0), num, den) for k, (low, top) in enumerate(edges)]
+    counts = sized.where("n > 0").select("node", band_of).groupBy("band").agg(F.approx_count_distinct("node").alias("count"), F.min("node").alias("least"), F.max("node").alias("most")).collect()
+    found = {r["band"]: (r["count"], r["least"], r["most"]) for r in counts}
+    near = [[found[x] for x in (k, k + 1) if x in found] for k in range(len(edges))]
+    bands = [allocate(low, top, edges[max(k - 1, 0)][0], _distinct(near[k]), num, den) for k, (low, top) in enumerate(edges)]
     plan = {"low": np.array([b.low for b in bands]), "ones": np.array([b.ones for b in bands]), "twos": np.array([b.twos for b in bands]), "spare": np.array([b.spare for b in bands])}
     shared_keys = _keys(docs, words, plan).groupBy("key").count().where("count > 1")
     wanted = membership(shared_keys, "key", KEY_BITS)
