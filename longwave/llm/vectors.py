@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longwave.llm.durable import durable
+
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 #: Rows that the codes are learned from (those of the smallest hashed ids), and how many of them act as queries.
 FIT_ROWS, FIT_QUERIES = 8192, 512
@@ -242,12 +244,23 @@ def nearest_cosine(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFram
     """The k rows of largest cosine found for each query (multi-index hashing over learned codes).
 
     Codes and radius are fitted on at most ``FIT_ROWS`` rows; every row is indexed.  All rows within
-    the Hamming radius of a query are reranked by the cosine of the original vectors.  Returns
-    query_id, rank, vec_id, score (double).
+    the Hamming radius of a query are reranked by the cosine of the original vectors.  Queries with fewer
+    than k rows within it are asked again at twice the radius, up to all bits.  Returns query_id, rank, vec_id, score (double).
     """
     rows = _valid(vectors, nonzero=True)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toArrow()
     if not sample.num_rows:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codes = learn_codes(_tamed(_matrix(sample["v"])), np.asarray(sample["vec_id"]), k)
-    return _in_grid(rows, is_query, _probe(codes), k)
+    found = durable(_in_grid(rows, is_query, _probe(codes), k))
+    least = min(k, rows.count() - 1)
+    while codes.radius < BITS:
+        full = found.groupBy("query_id").count().where(F.col("count") >= least).select("query_id")
+        short = durable(rows.where(is_query).select(F.col("vec_id").alias("query_id")).join(full, "query_id", "left_anti"))
+        if short.isEmpty():
+            break
+        codes = codes._replace(radius=min(BITS, max(2 * codes.radius, SUBSTRINGS)))
+        asked = rows.join(short.select(F.col("query_id").alias("vec_id"), F.lit(True).alias("asked")), "vec_id", "left")
+        again = _in_grid(asked, F.col("asked").isNotNull(), _probe(codes), k)
+        found = durable(found.join(short, "query_id", "left_anti").unionByName(again))
+    return found
