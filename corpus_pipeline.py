@@ -37,10 +37,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles of Jaccard 0.8 or more connect, keep that of the smallest id."""
-    groups = jaccard.near_duplicates(docs, words=5, num=80, den=100)
-    extra = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents that five-word shingles of Jaccard 0.8 or more connect, keep one row.
+
+    It is decided by row, that is by id and text.  Of connected rows that of the smallest id stays (null
+    ids come last, ties go to the text's hash), so rows that share an id but not a text stand or fall
+    alone.  Rows equal in id and text, null being equal to null, stay once: that whose other columns sort
+    first.  Rows without words are connected with nothing.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = jaccard.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, num=80, den=100)
+    rows = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"))
+    places = groups.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"))
+    order = F.struct(F.col("id").isNull(), "id", "__key")
+    stay = rows.join(places, "__key").groupBy("component").agg(F.min_by("__key", order).alias("__key")).select("__key")
+    # The join has dealt the rows by key, so that repeated ones meet without another shuffle.
+    first = keyed.join(stay, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return first.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
