@@ -80,7 +80,8 @@ def analyse(spark: SparkSession, paths: list[str], c: AnalysisConfig | None = No
     if c.psychoacoustics.enabled:
         rate = c.psychoacoustics.sample_rate
         resampled = kernels.resample(arrays.select("file", "segment", "x"), c.audio.sample_rate, rate)
-        parts.append(psycho.describe(resampled, rate, c.psychoacoustics.metrics, c.psychoacoustics.spl_full_scale))
+        q = c.psychoacoustics
+        parts.append(psycho.describe(resampled, rate, q.metrics, q.spl_full_scale, q.min_duration, q.max_duration, q.percentiles))
     values = parts[0]
     for part in parts[1:]:
         values = values.unionByName(part)

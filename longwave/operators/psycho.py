@@ -9,6 +9,8 @@ of 60 dB fully modulated at 70 Hz is one asper.  They are not certified implemen
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
+from inspect import signature
 
 import numpy as np
 import pandas as pd
@@ -93,18 +95,18 @@ def specific_loudness(p: np.ndarray, rate: float) -> np.ndarray:
     return raw * 0.135
 
 
-def _summary(prefix: str, curve: np.ndarray, letter: str, std: bool = True) -> dict[str, float]:
+def _summary(prefix: str, curve: np.ndarray, letter: str, percentiles: Sequence[float], std: bool = True) -> dict[str, float]:
     curve = curve[np.isfinite(curve)]
     if not len(curve):
         return {}
     out = {f"{prefix}.mean": curve.mean(), f"{prefix}.max": curve.max()} | ({f"{prefix}.std": curve.std()} if std else {})
-    return {k: float(v) for k, v in (out | {f"{prefix}.{letter}_{p:g}": np.percentile(curve, 100 - p) for p in PERCENTILES}).items()}
+    return {k: float(v) for k, v in (out | {f"{prefix}.{letter}_{p:g}": np.percentile(curve, 100 - p) for p in percentiles}).items()}
 
 
 @register("loudness")
-def loudness(p: np.ndarray, rate: float) -> dict[str, float]:
+def loudness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
     specific = specific_loudness(p, rate)
-    out = _summary("psycho.loudness", specific.sum(axis=1), "N")
+    out = _summary("psycho.loudness", specific.sum(axis=1), "N", percentiles)
     pattern = specific.mean(axis=0)
     if pattern.sum() > 0:
         z = np.arange(len(pattern)) + 0.5
@@ -114,16 +116,16 @@ def loudness(p: np.ndarray, rate: float) -> dict[str, float]:
 
 
 @register("sharpness")
-def sharpness(p: np.ndarray, rate: float) -> dict[str, float]:
+def sharpness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
     specific = specific_loudness(p, rate)
     z = np.arange(specific.shape[1]) + 0.5
     weight = np.where(z <= 15.8, 1.0, 0.15 * np.exp(0.42 * (z - 15.8)) + 0.85)
     total = specific.sum(axis=1)
-    return _summary("psycho.sharpness", np.where(total > 0, 0.11 * (specific * weight * z).sum(axis=1) / np.where(total > 0, total, 1), 0.0), "S")
+    return _summary("psycho.sharpness", np.where(total > 0, 0.11 * (specific * weight * z).sum(axis=1) / np.where(total > 0, total, 1), 0.0), "S", percentiles)
 
 
 @register("roughness")
-def roughness(p: np.ndarray, rate: float) -> dict[str, float]:
+def roughness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
     size = int(0.2 * rate)
     p = np.pad(p, (0, max(0, size - len(p))))
     starts = np.arange(0, len(p) - size + 1, max(1, size // 2))
@@ -142,61 +144,81 @@ def roughness(p: np.ndarray, rate: float) -> dict[str, float]:
         f = np.fft.rfftfreq(size, 1 / rate)
         shape = np.where(f > 0, (f / 70) * np.exp(1 - f / 70), 0)
         curve.append(float(np.sqrt(((modulation * shape) ** 2)[(f >= 15) & (f <= 300)].sum())))
-    return _summary("psycho.roughness", np.array(curve), "R")
+    return _summary("psycho.roughness", np.array(curve), "R", percentiles)
 
 
 @register("tonality")
 def tonality(p: np.ndarray, rate: float) -> dict[str, float]:
-    """Tone-to-noise ratios: a local maximum against the other bins of its critical band."""
+    """Tone-to-noise and prominence ratios of all local maxima.
+
+    The first is a maximum against the other bins of its critical band, the second its critical band
+    against the mean of the bands below and above (the lower one begins at 20 Hz and is scaled up to 100 Hz).
+    """
     power = np.abs(np.fft.rfft(p * np.hanning(len(p)))) ** 2
     f = np.fft.rfftfreq(len(p), 1 / rate)
     inner = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] >= power[2:])) + 1
     inner = inner[(f[inner] >= 90) & (f[inner] <= 11200)]
+    critical = lambda hz: 25 + 75 * (1 + 1.4 * (hz / 1000) ** 2) ** 0.69
     tones: list[tuple[float, float]] = []
-    for k in inner[np.argsort(-power[inner])][:200]:
-        width = 25 + 75 * (1 + 1.4 * (f[k] / 1000) ** 2) ** 0.69
+    prominent: list[tuple[float, float]] = []
+    for k in inner[np.argsort(-power[inner], kind="stable")]:
+        width = critical(f[k])
         lo, hi = np.searchsorted(f, (f[k] - width / 2, f[k] + width / 2))
         a, b = max(lo, k - 2), min(hi, k + 3)
         tone, noise = power[a:b].sum(), power[lo:hi].sum() - power[a:b].sum()
         ratio = 10 * np.log10(tone / noise) if noise > 0 else np.inf
         if ratio >= 8 + max(0.0, 8.33 * np.log10(1000 / f[k])) and all(abs(f[k] - g) > width / 2 for g, _ in tones):
             tones.append((float(f[k]), float(ratio)))
-    out = {"psycho.tonality.n_tones": float(len(tones)), "psycho.tonality.tnr_total_dB": float(10 * np.log10(sum(10 ** (t / 10) for _, t in tones))) if tones else 0.0}
+        below, above = max(20.0, f[k] - width / 2 - critical(f[k] - width)), f[k] + width / 2 + critical(f[k] + width)
+        start, end = np.searchsorted(f, (below, above))
+        scale = 100 / max(f[k] - width / 2 - below, 1e-9) if below == 20.0 else 1.0
+        beside = (power[start:lo].sum() * scale + power[hi:end].sum()) / 2
+        prominence = 10 * np.log10(power[lo:hi].sum() / beside) if beside > 0 else np.inf
+        if prominence >= 9 + max(0.0, 10 * np.log10(1000 / f[k])) and all(abs(f[k] - g) > width / 2 for g, _ in prominent):
+            prominent.append((float(f[k]), float(prominence)))
+    sum_dB = lambda found: float(10 * np.log10(sum(10 ** (t / 10) for _, t in found))) if found else 0.0  # noqa: E731, N806
+    out = {"psycho.tonality.n_tones": float(len(tones)), "psycho.tonality.tnr_total_dB": sum_dB(tones), "psycho.tonality.pr_total_dB": sum_dB(prominent)}
     if tones:
         out |= {"psycho.tonality.tnr_max_dB": max(t for _, t in tones), "psycho.tonality.strongest_tone_Hz": max(tones, key=lambda t: t[1])[0]}
+    if prominent:
+        out["psycho.tonality.pr_max_dB"] = max(t for _, t in prominent)
     return out
 
 
 @register("loudness_ecma")
-def loudness_ecma(p: np.ndarray, rate: float) -> dict[str, float]:
+def loudness_ecma(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
     """Loudness with the flatter compression of the hearing-model standard; summed over bands, no deviation."""
     excitation = _bark_pressure(p, rate) / (20e-6) ** 2
     bands = np.maximum((1 + excitation / 10 ** (4 / 10)) ** 0.20 - 1, 0) * 0.2
-    return _summary("psycho.loudness_ecma", bands.sum(axis=1), "N", std=False)
+    return _summary("psycho.loudness_ecma", bands.sum(axis=1), "N", percentiles, std=False)
 
 
 @register("roughness_ecma")
-def roughness_ecma(p: np.ndarray, rate: float) -> dict[str, float]:
+def roughness_ecma(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
     """Roughness as above, without the deviation."""
-    return {k.replace("psycho.roughness", "psycho.roughness_ecma"): v for k, v in roughness(p, rate).items() if not k.endswith(".std")}
+    return {k.replace("psycho.roughness", "psycho.roughness_ecma"): v for k, v in roughness(p, rate, percentiles).items() if not k.endswith(".std")}
+
+
+def _with(metric: Metric, percentiles: Sequence[float]) -> Metric:
+    return partial(metric, percentiles=percentiles) if "percentiles" in signature(metric).parameters else metric
 
 
-def describe(segments: DataFrame, rate: float, names: Sequence[str] = ("loudness", "sharpness", "roughness", "tonality"), full_scale_db: float = FULL_SCALE_DB) -> DataFrame:
+def describe(segments: DataFrame, rate: float, names: Sequence[str] = ("loudness", "sharpness", "roughness", "tonality"), full_scale_db: float = FULL_SCALE_DB, least: float = LEAST_SECONDS, most: float = MOST_SECONDS, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
     """(file, segment, name, value) for segments (file, segment, x); a metric that fails leaves its columns out."""
     unknown = [n for n in names if n not in _METRICS]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}; known: {', '.join(metrics())}")
-    factor, chosen = pascal_factor(full_scale_db), {n: _METRICS[n] for n in names}
+    factor, chosen = pascal_factor(full_scale_db), {n: _with(_METRICS[n], tuple(percentiles)) for n in names}
 
     def run(batches):
         for rows in batches:
             out = []
             for file, segment, x in zip(rows["file"], rows["segment"], rows["x"], strict=True):
                 x = np.asarray(x, float)
-                if len(x) < LEAST_SECONDS * rate:
+                if len(x) < least * rate:
                     out.append((file, segment, "psycho.skipped", 1.0))
                     continue
-                p = x[: int(MOST_SECONDS * rate)] * factor
+                p = x[: int(most * rate)] * factor
                 level = np.sqrt((p * p).mean())
                 values = {"psycho.skipped": 0.0, "psycho.spl_dB": 20 * np.log10(level / 20e-6) if level > 0 else -np.inf, "psycho.analysed_duration": len(p) / rate}
                 for metric in chosen.values():
