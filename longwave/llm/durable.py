@@ -1,33 +1,65 @@
-"""Results that outlive the executors that made them."""
+"""Results that outlive the executors that made them, and bitmaps that spare shuffles."""
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of tables that are still there.
+_KEPT: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that setting is missing (as in tests), a temporary one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
 
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read from there, without its lineage.
+    """df as a table in the shared folder, read from there: without its lineage.  :func:`discard` deletes it.
 
-    Only where that setting is missing (a single machine, as in tests) a temporary folder is used.
+    Tables that nobody discards, because the result still reads them, go when the driver ends.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _KEPT:
+        atexit.register(_discard_all)
+    _KEPT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle and checkpoint files that no frame refers to any more.
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`durable` made.  Nothing may read them any more."""
+    for table in tables:
+        path = getattr(table, "kept_at", None)
+        if path is not None and _KEPT.pop(path, None) is not None:
+            delete(table.sparkSession, path)
 
-    Spark finds them when the driver collects its garbage, which a driver with little to do rarely does.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the cluster's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _discard_all() -> None:
+    for path, spark in list(_KEPT.items()):
+        with contextlib.suppress(Exception):  # the session may have ended first
+            delete(spark, path)
 
 
 def membership(keys: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -49,8 +81,19 @@ def members(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
 
 
+def may_hold(spark: SparkSession, bitmap: np.ndarray, key: Column) -> Column:
+    """Whether the bitmap may hold a key, as a column: what it denies needs no shuffle to be told apart."""
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(members(shared.value, keys.to_numpy(np.int64)))
+
+    return held(key)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of a link; the root is the component's smallest node.
+    """(node, root) for every node of a link, as a durable table; the root is the component's smallest node.
 
     Alternating large and small stars: edges are turned towards smaller neighbours until every
     component is a star around its root.  Each round is two aggregations and is made durable.
@@ -64,14 +107,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.select(F.col("u").alias("x"), "m"), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        after = sign(edges)
+        turned = durable(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(edges)
+        edges, after = turned, sign(turned)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("the components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = durable(edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(edges)
+    return roots
 
 
 def at_random(*columns: str) -> Column:

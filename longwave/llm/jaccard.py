@@ -10,10 +10,16 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
   its one-deletion neighbourhood).  If the levels add up to more than H, linking sets share a key.
 * Allocation: how many segments of each level a band has is the cheapest of several choices by keys to
   write plus unrelated sets met, which grow with the band's number of sets (counted over all documents).
-* Keys that one set alone has are dropped by a count.  Shared keys connect sets into families; sets of
-  different families cannot link.  A family is verified on the whole sets, in cells of two blocks of a
-  bounded number of sets and elements, whatever its size; a cell gives back one row per set that links,
-  never pairs.  Links, and what cells have found connected, are joined into components.
+* Keys that one set alone has are told apart by 32-bit fingerprints of a key's slice of the key space, packed,
+  sorted and counted; only keys whose fingerprint repeats are written out.  Keys that exactly the same sets
+  share make one group.
+* Pairs of a group are first tested on parity sketches, about one bit per element: sets differ in at least as
+  many elements as their sketches in bits, so that a pair whose sketches differ too much cannot link.
+  What passes is verified on whole texts, in bins of bounded size.
+* Every member of a group is first tested against the group's pivot (its smallest set), and verified against
+  the nearest of its pivots.  Groups that the links found connect are done.  In what is left, members that
+  are not connected yet are tested in cells of two blocks of a bounded number of sketches, and the
+  pairs that pass are verified as well.  Links make the components.
 
 Sets that are equal (by a 64-bit digest) are one node from the start, so that copies are never paired.
 
@@ -31,18 +37,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longwave.llm import textbuf as tb
-from longwave.llm.durable import components, durable, members, membership, release
+from longwave.llm.durable import components, discard, durable, members, membership
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
 SHARED = 0.01
-#: Cells (as powers of two) of the bitmaps that keep unneeded keys and sets from being shuffled.
-KEY_BITS, NODE_BITS = 26, 24
-#: Bounds of a block of sets; a cell holds two.
-CELL_SETS, CELL_ELEMENTS = 2048, 1 << 20
+#: Cells (as powers of two) of the bitmaps that keep unneeded keys, sets and rows from being shuffled.
+KEY_BITS, NODE_BITS, ROW_BITS = 26, 24, 24
+#: About so many keys go into one slice of the key space, and at most so many are packed at a time.
+SLICE_KEYS = 1 << 22
+#: A block of a group has about so many sets; a cell holds two blocks.
+CELL_SETS = 2048
+#: A bin of texts to verify has about so many shingles, besides those of one more pivot and block.
+BIN_ELEMENTS = 1 << 20
 
 _SEGMENT, _BAND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -195,10 +205,24 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int):
             yield batch, lo, hi, hashes, cut, nodes_of(hashes, cut)
 
 
-def _unseen(node: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Numbers of the non-empty sets that this task meets for the first time."""
+def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches: 64-bit words, one set after another, and where each set's begin.
+
+    A set of n elements has the least power of two of words with n bits or more (an empty set: none); a bit is the parity of the
+    number of elements that fall on it.  Halves of a sketch combined by XOR are the sketch of half the size.
+    """
+    size = np.diff(cut)
+    words = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(1, -(-size // 64)))).astype(np.int64), 0)
+    place = np.concatenate(([0], np.cumsum(words)))
+    bit = (hashes & np.repeat((words * 64 - 1).astype(np.uint64), size)).astype(np.int64) + 64 * np.repeat(place[:-1], size)
+    odd = (np.bincount(bit, minlength=64 * int(place[-1])) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64), place
+
+
+def _first_of_copies(node: np.ndarray, size: np.ndarray, rows: np.ndarray, firsts: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Numbers of the non-empty sets to work on: of copies, that whose row the bitmap ``firsts`` holds, once in a task."""
     out = []
-    for k in np.flatnonzero(size).tolist():
+    for k in np.flatnonzero((size > 0) & members(firsts, rows)).tolist():
         x = int(node[k])
         if x not in seen:
             seen.add(x)
@@ -208,134 +232,280 @@ def _unseen(node: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
 
 def _describe(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for batch, lo, hi, _, cut, node in _sets(batches, words):
+        for batch, lo, hi, hashes, cut, node in _sets(batches, words):
             size = np.diff(cut)
-            columns = [batch.column("doc_id").slice(lo, hi - lo), pa.array(size), pa.array(node, mask=size == 0)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node"])
+            sketch, place = sketches_of(hashes, cut)
+            lists = pa.ListArray.from_arrays(place.astype(np.int32), pa.array(sketch))
+            columns = [*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")), pa.array(size), pa.array(node, mask=size == 0), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "node", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, node long, sketch array<long>")
 
 
-def _keys(docs: DataFrame, words: int, plan: dict[str, np.ndarray], wanted: np.ndarray | None = None) -> DataFrame:
-    """(key, node) of every set, once per task; with a bitmap of wanted keys, only those."""
-    shared = docs.sparkSession.sparkContext.broadcast((plan, wanted))
+def _keys_by_set(docs: DataFrame, words: int, plan: dict[str, np.ndarray], firsts: np.ndarray):
+    """A function from batches of docs to (keys, owners, nodes), each set once, but for copies that bitmaps do not tell apart."""
+    shared = docs.sparkSession.sparkContext.broadcast((plan, firsts))
 
-    def run(batches):
-        plan, wanted = shared.value
+    def keys(batches):
+        plan, firsts = shared.value
         seen: set[int] = set()
-        for _, _, _, hashes, cut, node in _sets(batches, words):
-            key, owner = keys_of(hashes, cut, _unseen(node, np.diff(cut), seen), plan)
-            if wanted is not None:
-                keep = members(wanted, key)
-                key, owner = key[keep], owner[keep]
+        for batch, lo, hi, hashes, cut, node in _sets(batches, words):
+            rows = np.asarray(batch.column("row").slice(lo, hi - lo))
+            yield *keys_of(hashes, cut, _first_of_copies(node, np.diff(cut), rows, firsts, seen), plan), node
+
+    return keys
+
+
+def _packed(keys: np.ndarray, slice_bits: int) -> Iterator[tuple[int, bytes]]:
+    """The keys' slices and, packed, the 32 bits that follow in each; what is there more than twice, twice."""
+    keys = np.sort(keys.view(np.uint64)) >> np.uint64(32 - slice_bits)
+    keep = np.ones(len(keys), bool)
+    keep[2:] = keys[2:] != keys[:-2]
+    keys = keys[keep]
+    cut = np.searchsorted(keys >> np.uint64(32), np.arange((1 << slice_bits) + 1, dtype=np.uint64))
+    low = keys.astype(np.uint32)
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        steps = np.diff(low[cut[k] : cut[k + 1]], prepend=np.uint32(0))
+        yield k, steps.view(np.uint8).reshape(-1, 4).T.tobytes()  # by planes, of which the upper ones compress well
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def _repeated(docs: DataFrame, keys, expected: float) -> np.ndarray:
+    """A bitmap of the upper ``KEY_BITS`` bits of the keys whose fingerprint is there at least twice."""
+    slice_bits = min(20, max(4, math.ceil(math.log2(max(1.0, expected / SLICE_KEYS)))))
+
+    def pack(batches):
+        held, count = [], 0
+
+        def out():
+            made = list(_packed(np.concatenate(held), slice_bits)) if count else []
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], ["slice", "packed"])
+
+        for key, _, _ in keys(batches):
+            held.append(key)
+            count += len(key)
+            if count >= SLICE_KEYS:
+                yield from out()
+                held, count = [], 0
+        yield from out()
+
+    def repeated(table: pa.Table) -> pa.Table:
+        found = np.sort(np.concatenate([_unpacked(b.as_buffer()) for b in table["packed"]]))
+        twice = np.unique(found[1:][found[1:] == found[:-1]]).astype(np.int64) + (table["slice"][0].as_py() << 32)
+        return pa.table({"cell": pa.array(np.unique(twice >> (32 + slice_bits - KEY_BITS)))})
+
+    cells = docs.mapInArrow(pack, "slice int, packed binary").groupBy("slice").applyInArrow(repeated, "cell long")
+    return membership(cells, "cell", KEY_BITS)
+
+
+def _shared_keys(docs: DataFrame, keys, wanted: np.ndarray) -> DataFrame:
+    """(key, node) for the keys that the bitmap may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for key, owner, node in keys(batches):
+            keep = members(shared.value, (key.view(np.uint64) >> np.uint64(64 - KEY_BITS)).view(np.int64))
+            key, owner = key[keep], owner[keep]
             for k in range(0, len(key), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)]), pa.array(node[owner[k : k + (1 << 16)]])], ["key", "node"])
 
-    return docs.mapInArrow(run, "key long, node long")
+    return docs.mapInArrow(run, "key long, node long").distinct()
 
 
-def _whole_sets(docs: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def _can_link(na, nb, differ, num: int, den: int):
+    """Whether sets of na and nb elements that differ in at least ``differ`` can link (numbers, arrays or columns)."""
+    return (na + nb - differ) * (den + num) >= (na + nb) * (2 * num)
+
+
+def _differ(x: Column, y: Column, halvings: int) -> Column:
+    """In how many bits two sketches differ; the larger is halved, at most so many times, until they are of one size."""
+
+    def halved(s: Column, other: Column) -> Column:
+        half = (F.size(s) / 2).cast("int")
+        folded = F.zip_with(F.slice(s, F.lit(1), half), F.slice(s, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(s) > F.size(other), folded).otherwise(s)
+
+    for _ in range(halvings):
+        x, y = halved(x, y), halved(y, x)
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+
+
+def _folded(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches as rows of a matrix, all halved to the smallest size among them."""
+    least = int(size.min())
+    out = np.zeros((len(size), least), np.uint64)
+    for words in np.unique(size).tolist():
+        rows = np.flatnonzero(size == words)
+        whole = flat[begin[rows][:, None] + np.arange(words)]
+        out[rows] = np.bitwise_xor.reduce(whole.reshape(len(rows), words // least, least), axis=1)
+    return out
+
+
+def _cells(num: int, den: int):
+    """Pairs within cells whose sketches let them link and that are not connected yet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.lexsort([np.asarray(table[c]) for c in ("node", "j", "i", "key")])
+        key, i, j, node, root, n = (np.asarray(table[c])[order] for c in ("key", "i", "j", "node", "root", "n"))
+        lists = table["sketch"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        size = np.asarray(lists.value_lengths()).astype(np.int64)
+        flat, begin = np.asarray(lists.flatten()).view(np.uint64), (np.cumsum(size) - size)[order]
+        size = size[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        edges = np.append(np.flatnonzero(fresh), len(key))
+        found = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (root[a:b] == root[a]).all():
+                continue
+            rows = _folded(flat, begin[a:b], size[a:b])
+            step = max(1, (1 << 21) // (len(rows) * rows.shape[1]))
+            for k in range(0, b - a, step):
+                part = slice(a + k, min(b, a + k + step))
+                differ = np.bitwise_count(rows[k : k + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
+                may = _can_link(n[part][:, None], n[None, a:b], differ, num, den) & (root[part][:, None] != root[None, a:b]) & (node[part][:, None] < node[None, a:b])
+                x, y = np.nonzero(may)
+                found.append(np.stack([node[part][x], node[a:b][y], n[part][x], n[a:b][y]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        return pa.table(dict(zip(("a", "b", "na", "nb"), map(pa.array, pairs), strict=True)))
+
+    return run
+
+
+def _texts(docs: DataFrame, words: int, wanted: np.ndarray, firsts: np.ndarray) -> DataFrame:
+    """(node, text) of the sets that the bitmap may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted, firsts))
 
     def run(batches):
+        wanted, firsts = shared.value
         seen: set[int] = set()
-        for _, _, _, hashes, cut, node in _sets(batches, words):
-            size = np.diff(cut)
-            keep = _unseen(node, np.where(members(shared.value, node), size, 0), seen)
+        for batch, lo, hi, _, cut, node in _sets(batches, words):
+            rows = np.asarray(batch.column("row").slice(lo, hi - lo))
+            keep = _first_of_copies(node, np.where(members(wanted, node), np.diff(cut), 0), rows, firsts, seen)
             if len(keep):
-                flat = np.concatenate([hashes[cut[k] : cut[k + 1]] for k in keep]).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "elements"])
-
-    return docs.mapInArrow(run, "node long, elements array<long>")
-
-
-def _common(elements: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """How many elements each two of n sets have in common, as an (n, n) matrix."""
-    _, column, held = np.unique(elements, return_inverse=True, return_counts=True)
-    out = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    begin = np.cumsum(held) - held
-    wide = np.flatnonzero((held >= 2) & (held * 32 >= n))
-    for k in range(0, len(wide), 2048):
-        part = wide[k : k + 2048]
-        take = np.repeat(begin[part] - np.cumsum(held[part]) + held[part], held[part]) + np.arange(int(held[part].sum()))
-        x = np.zeros((n, len(part)), np.float32)
-        x[owner[take], np.repeat(np.arange(len(part)), held[part])] = 1
-        out += x @ x.T
-    for size in np.unique(held[(held >= 2) & (held * 32 < n)]):
-        lists = owner[begin[np.flatnonzero(held == size)][:, None] + np.arange(size)]
-        for k in range(0, len(lists), max(1, (1 << 20) // int(size * size))):
-            part = lists[k : k + max(1, (1 << 20) // int(size * size))]
-            np.add.at(out, (part[:, :, None], part[:, None, :]), 1)
-    return out
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), batch.column("text").take(pa.array(keep + lo))], ["node", "text"])
 
+    return docs.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
-def _cell(num: int, den: int):
-    """Links within a bounded number of sets, as (node, smallest node that it is connected with)."""
+
+def _links_of(words: int, num: int, den: int):
+    """The pairs of a bin that link: rows (a, node, text), where the row of a's own text has node a."""
 
     def run(table: pa.Table) -> pa.Table:
-        node = np.asarray(table["node"])
-        lists = table["elements"].combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.asarray(lists.value_lengths()).astype(np.float64)
-        n = len(node)
-        common = _common(np.asarray(lists.flatten()), np.repeat(np.arange(n), size.astype(np.int64)), n)
-        linked = common.astype(np.float64) * (den + num) >= num * (size[:, None] + size[None, :])
-        np.fill_diagonal(linked, False)
-        left, made = linked.any(axis=1), []
-        while left.any():
-            reach = np.zeros(n, bool)
-            front = np.flatnonzero(left)[:1]
-            while len(front):
-                reach[front] = True
-                front = np.flatnonzero(linked[front].any(axis=0) & ~reach)
-            left &= ~reach
-            group = node[reach]
-            made.append(np.stack([group, np.full(len(group), group.min())]))
-        a, b = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a[a != b]), "b": pa.array(b[a != b])})
+        a, node = np.asarray(table["a"]), np.asarray(table["node"])
+        sets: list[np.ndarray] = []
+        for _, _, buf, offsets in tb.slices(table["text"]):
+            hashes, cut = shingle_sets(buf, offsets, words)
+            sets += [hashes[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        own = {int(node[k]): sets[k] for k in np.flatnonzero(a == node).tolist()}
+        linked = []
+        for k in np.flatnonzero(a != node).tolist():
+            x, y = own[int(a[k])], sets[k]
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            if int((y[at] == x).sum()) * (den + num) >= num * (len(x) + len(y)):
+                linked.append(k)
+        return pa.table({"a": pa.array(a[linked]), "b": pa.array(node[linked])})
 
     return run
 
 
-def _links(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
-    """(node, root) of the sets that link with another; None if no two sets share a key."""
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, firsts: np.ndarray) -> DataFrame:
+    """The (a, b) of pairs (a, b, na, nb) that link, as a durable table; each pair is compared on whole texts."""
+    pairs = durable(pairs)
+    involved = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    texts = _texts(docs, words, membership(involved, "node", NODE_BITS), firsts)
+    weights = pairs.groupBy("a").agg(F.max("na").alias("na"), F.sum("nb").alias("weight"))
+    blocks = weights.select("a", "na", F.ceil(F.col("weight") / BIN_ELEMENTS).cast("int").alias("blocks"))
+    whole = blocks.agg(F.sum(F.col("na") * F.col("blocks"))).first()[0] or 0
+    bins = 1 + int((whole + (pairs.agg(F.sum("nb")).first()[0] or 0)) // BIN_ELEMENTS)
+    binned = lambda df: df.select("node", "a", F.pmod(F.xxhash64("a", "block"), F.lit(bins)).alias("bin"))
+    others = pairs.join(blocks.select("a", "blocks"), "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    pivots = blocks.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
+    dealt = texts.join(binned(others).unionAll(binned(pivots)), "node")
+    links = durable(dealt.groupBy("bin").applyInArrow(_links_of(words, num, den), "a long, b long"))
+    discard(pairs)
+    return links
+
+
+def _plan(sized: DataFrame, num: int, den: int) -> tuple[dict[str, np.ndarray], float]:
+    """The allocation by band, and about how many keys it makes."""
     longest = sized.agg(F.max("n")).first()[0] or 0
     edges = band_edges(longest, num, den)
     lows = F.array(*(F.lit(low) for low, _ in edges))
     band_of = F.size(F.filter(lows, lambda x: x <= F.col("n"))).alias("band")
-    counts = sized.where("n > 0").select("node", band_of).groupBy("band").agg(F.approx_count_distinct("node").alias("count"), F.min("node").alias("least"), F.max("node").alias("most")).collect()
+    counts = sized.where("n > 0").select("node", "n", band_of).groupBy("band").agg(
+        F.approx_count_distinct("node").alias("count"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"), F.sum("n").alias("elements")
+    ).collect()
     found = {r["band"]: (r["count"], r["least"], r["most"]) for r in counts}
     near = [[found[x] for x in (k, k + 1) if x in found] for k in range(len(edges))]
     bands = [allocate(low, top, edges[max(k - 1, 0)][0], _distinct(near[k]), num, den) for k, (low, top) in enumerate(edges)]
     plan = {"low": np.array([b.low for b in bands]), "ones": np.array([b.ones for b in bands]), "twos": np.array([b.twos for b in bands]), "spare": np.array([b.spare for b in bands])}
-    shared_keys = _keys(docs, words, plan).groupBy("key").count().where("count > 1")
-    wanted = membership(shared_keys, "key", KEY_BITS)
+    schemes = [(r, bands[k]) for r in counts for k in (r["band"] - 1, min(r["band"], len(bands) - 1))]
+    return plan, sum(r["rows"] * (b.ones + b.twos) + r["elements"] * b.twos / max(1, b.ones + b.twos) for r, b in schemes)
+
+
+def _groups(docs: DataFrame, keys, expected: float) -> DataFrame | None:
+    """(key, node, pivot, held) for one key of each different collection of sets that share a key; None if there are none."""
+    wanted = _repeated(docs, keys, expected)
     if not wanted.any():
         return None
-    # The shuffle of all keys, by far the largest, has served.
-    del shared_keys
-    release(docs.sparkSession)
     # From here on, rows are in proportion to the documents that share a key with another set.
-    rows = durable(_keys(docs, words, plan, wanted).distinct())
-    pivot = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot")
-    met = rows.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    # Families: what shared keys connect.  Sets of different families share no key, so cannot link.
-    families = durable(components(met))
-    del met, pivot, rows
-    release(docs.sparkSession)
-    placed = families.join(sized.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n")), "node")
-    totals = placed.groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
-    blocks = totals.select("root", F.greatest(F.ceil(F.col("held") / CELL_SETS), F.ceil(F.col("weight") / CELL_ELEMENTS)).cast("int").alias("blocks"))
-    homes = placed.join(blocks, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    # Whole sets are shuffled twice: to meet their family, and to their cells.
-    dealt = _whole_sets(docs, words, membership(families, "node", NODE_BITS)).dropDuplicates(["node"]).join(homes, "node")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "elements")
-    links = durable(cells.groupBy("root", "i", "j").applyInArrow(_cell(num, den), "a long, b long"))
-    return durable(components(links))
+    rows = durable(_shared_keys(docs, keys, wanted))
+    by_key = rows.groupBy("key").agg(
+        F.count("*").alias("held"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    kept = by_key.where("held > 1").groupBy("held", "pivot", "x", "y").agg(F.min("key").alias("key"))
+    groups = durable(rows.join(kept.select("key", "pivot", "held"), "key").select("key", "node", "pivot", "held"))
+    discard(rows)
+    return groups
+
+
+def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
+    """(node, root) of the sets that link with another, as a durable table; None if no two sets share a key."""
+    plan, expected = _plan(sized, num, den)
+    firsts = membership(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")), "row", ROW_BITS)
+    groups = _groups(docs, _keys_by_set(docs, words, plan, firsts), expected)
+    if groups is None:
+        return None
+    sets = sized.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = durable(sets.join(groups.select("node").distinct(), "node", "left_semi"))
+    named = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch{side}"))
+    # A member of a group and its pivot.
+    pairs = groups.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    met = pairs.join(named("b"), "b").join(named("a"), "a")
+    differ = _differ(F.col("sketcha"), F.col("sketchb"), 1 + math.ceil(2 * math.log2(den / num)))
+    near = durable(met.select("a", "b", "na", "nb", differ.alias("differ")).where(_can_link(F.col("na"), F.col("nb"), F.col("differ"), num, den)))
+    nearest = near.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("differ", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    links = _verified(docs, nearest, words, num, den, firsts)
+    roots = components(links)
+    # What the links do not connect yet: pivots that passed but were not the nearest, and members other than pivots.
+    root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root{side}"))
+    passed = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    passed = passed.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b", "na", "nb")
+    placed = groups.where("held > 2 AND node <> pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
+    left = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "root", "held"))
+    bins = 1 + left.agg(F.sum(F.ceil(F.col("held") / CELL_SETS))).first()[0] // CELL_SETS if not left.isEmpty() else 1
+    blocks = left.withColumn("blocks", F.ceil(F.col("held") / CELL_SETS).cast("int"))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    cells = cells.join(sets, "node").withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
+    within = cells.groupBy("bin").applyInArrow(_cells(num, den), "a long, b long, na long, nb long")
+    more = durable(passed.unionAll(within).distinct())
+    if not more.isEmpty():
+        further = _verified(docs, more, words, num, den, firsts)
+        first, roots = roots, components(links.unionAll(further))
+        discard(first, further)
+    discard(groups, sets, near, links, left, more)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -343,9 +513,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Two documents link if den * |common| >= num * |union|; a component is what links connect.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("row"))
     sized = durable(_describe(docs, words))
-    roots = _links(docs, sized, words, num, den)
+    roots = _roots(docs, sized, words, num, den)
     classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if roots is not None:
         placed = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -353,4 +523,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         classes = placed.join(smallest, "root").select("node", "component_id")
     else:
         classes = classes.withColumnRenamed("least", "component_id")
-    return sized.join(classes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = sized.select("doc_id", "n", "node").join(classes, "node", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -10,7 +10,7 @@ def test_pair_that_is_estimated_as_one_set_links(spark):
     rows = [(0, " ".join(base))] + [(k, " ".join([*base[:-1], f"n{k}"])) for k in range(1, 4001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
     register = F.shiftrightunsigned(F.xxhash64("node"), 55)
-    placed = jaccard._describe(docs, 3).select("doc_id", "node", register.alias("register")).cache()
+    placed = jaccard._describe(docs.withColumn("row", F.xxhash64("doc_id")), 3).select("doc_id", "node", register.alias("register")).cache()
     own = placed.where("doc_id = 0").first()["register"]
     pairs = [r["doc_id"] for r in placed.where((F.col("register") == own) & (F.col("doc_id") > 0)).collect()]
     lost = [k for k in pairs if placed.where(F.col("doc_id").isin(0, k)).agg(F.approx_count_distinct("node")).first()[0] == 1]
