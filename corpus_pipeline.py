@@ -6,17 +6,18 @@ rows are written as Parquet and read again.  All but the last stage return the c
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longwave.llm import jaccard, lines, mixing, pieces, quality
+from longwave.llm.durable import discard, durable, may_hold, membership
 from longwave.llm.queries import PIECE_MODEL, domain_labels
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Cells (as a power of two) of the bitmaps of rows that a stage changes; rows outside of it are not shuffled.
+TOUCHED_BITS = 24
 #: Documents below this score are rejected.
 LEAST_QUALITY = 0.3
 #: Target weights after that: documents of low quality are no domain of the mixture any more.
@@ -44,15 +45,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     alone.  Rows equal in id and text, null being equal to null, stay once: that whose other columns sort
     first.  Rows without words are connected with nothing.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("__key"))
     groups = jaccard.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, num=80, den=100)
-    rows = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"))
-    places = groups.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"))
-    order = F.struct(F.col("id").isNull(), "id", "__key")
-    stay = rows.join(places, "__key").groupBy("component").agg(F.min_by("__key", order).alias("__key")).select("__key")
-    # The join has dealt the rows by key, so that repeated ones meet without another shuffle.
-    first = keyed.join(stay, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
-    return first.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS))
+    places = groups.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
+    crowded = F.struct(F.min("__key").alias("low"), F.max("__key").alias("top"), F.max("n").alias("n"))
+    by_component = places.groupBy("component").agg(crowded.alias("c")).where("c.low < c.top OR c.n > 1").select("component")
+    # Rows of components of one row stay, and need no shuffle.
+    touched = durable(places.join(by_component, "component").select("__key", "component"))
+    flagged = keyed.withColumn("__touched", may_hold(spark, membership(touched, "__key", TOUCHED_BITS), F.col("__key")))
+    alone = flagged.where("NOT __touched").select(*COLUMNS)
+    met = flagged.where("__touched").join(touched, "__key", "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    stay = met.groupBy(F.coalesce("component", "__key").alias("component")).agg(F.min_by("__key", order).alias("__key")).select("__key")
+    # Repeated rows are equal in __key.
+    first = met.join(stay, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return alone.unionAll(first.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,11 +91,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """All stages over documents, each result written to the shared folder and read again; it goes when the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+        discard(before)
+        before = docs
     return docs
