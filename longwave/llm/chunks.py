@@ -7,12 +7,13 @@ Chunks are compared by a 128-bit digest.  A chunk's first place in the corpus (s
 position) stays; elsewhere it is a duplicate.  Duplicates that follow each other form a span.  All spans
 are reported, however short; :func:`cut` takes out those of at least ``least_span`` bytes.
 
-Nothing is gathered by chunk but its first place and count, which partial aggregation shrinks before the
-shuffle; a very common chunk is joined back in as many parts as its partition is split into.
+Only chunks whose digest may repeat are shuffled (see repeats.py).  Nothing is gathered by chunk but its first
+place and count, which partial aggregation shrinks before the shuffle; a very common chunk is joined back in many parts.
 
 Defined results: null and empty texts have no chunks and no spans; texts shorter than ``LEAST`` bytes are one
 chunk.  Rows equal in doc_id and text count as one place.  Texts are read whole.  Offsets count bytes of
-UTF-8; spans begin and end on whole characters.  Columns named like the results are replaced, others carried along.
+UTF-8; spans begin and end on whole characters.  Columns named like the results are replaced, others carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longwave.llm import textbuf as tb
+from longwave.llm.durable import discard, durable
+from longwave.llm.repeats import join_counted, may_repeat, repeated
 
 MASK_BITS, LEAST, MOST = 5, 16, 128
 #: Bytes that a run of duplicate chunks needs to be cut.
@@ -72,56 +75,61 @@ def borders(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, doc
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """__id, __hash (of the text), and a chunk: a, b (digest), at, to (bytes)."""
+def _digests(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, two digests, first and end byte of the chunks, some texts at a time."""
+    for lo, _, buf, offsets in tb.slices(batch.column("text")):
+        start, end, doc = borders(buf, offsets)
+        digest = tb.span_hashes(buf, start, end)
+        other = tb.span_hashes(buf[::-1].copy(), len(buf) - end, len(buf) - start)
+        yield doc + lo, digest.view(np.int64), other.view(np.int64), (start - offsets[doc]).astype(np.int32), (end - offsets[doc]).astype(np.int32)
+
+
+def _chunks(texts: DataFrame, expected: float) -> DataFrame:
+    """id, hash (of the text), and a chunk that may repeat: a, b (digest), at, to (bytes)."""
+    wanted = repeated(texts, lambda batches: (a for batch in batches for _, a, _, _, _ in _digests(batch)), expected)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in tb.slices(batch.column("text")):
-                start, end, doc = borders(buf, offsets)
-                digest = tb.span_hashes(buf, start, end)
-                other = tb.span_hashes(buf[::-1].copy(), len(buf) - end, len(buf) - start)
-                rows = pa.array(doc + lo)
+            for row, a, b, at, to in _digests(batch):
+                keep = may_repeat(shared.value, a)
+                rows = pa.array(row[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("__id").take(rows), batch.column("__hash").take(rows), pa.array(digest.view(np.int64)), pa.array(other.view(np.int64)),
-                        pa.array((start - offsets[doc]).astype(np.int32)), pa.array((end - offsets[doc]).astype(np.int32)),
-                    ],
-                    ["__id", "__hash", "a", "b", "at", "to"],
-                )
+                    [batch.column("id").take(rows), batch.column("hash").take(rows), *(pa.array(x[keep]) for x in (a, b, at, to))], ["id", "hash", "a", "b", "at", "to"]
+                )
 
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), "text")
-    return rows.mapInArrow(run, "__id long, __hash long, a long, b long, at int, to int")
+    return texts.mapInArrow(run, "id long, hash long, a long, b long, at int, to int")
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """__id, __hash, byte_spans: the runs of later occurrences, as array<struct<at, to>> in bytes, in order."""
-    chunks = _chunks(docs)
-    here = F.struct("__id", "at", "__hash")
+    """id, hash (of the text), byte_spans: the runs of later occurrences, as array<struct<at, to>> in bytes, in order."""
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = durable(_chunks(texts, size / (LEAST + (1 << MASK_BITS))))
+    here = F.struct("id", "at", "hash")
     # Text-internal repeats of a chunk count too, except at its very first place.
-    first = chunks.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = chunks.join(first, ["a", "b"]).where(~here.eqNullSafe(F.col("first")))
-    spans = F.expr(
-        """aggregate(
-             array_sort(collect_set(named_struct('at', at, 'to', to))),
-             cast(array() AS array<struct<at:int,to:int>>),
-             (acc, x) -> if(size(acc) > 0 AND acc[size(acc) - 1].to = x.at,
-                            array_append(slice(acc, 1, size(acc) - 1), named_struct('at', acc[size(acc) - 1].at, 'to', x.to)),
-                            array_append(acc, x)))"""
-    )
-    return later.groupBy("__id", "__hash").agg(spans.alias("byte_spans"))
+    first = durable(chunks.groupBy("a", "b").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    later = join_counted(chunks, first, ["a", "b"], "n", here).where(~here.eqNullSafe(F.col("first")))
+    sorted_runs = later.groupBy("id", "hash").agg(F.array_sort(F.collect_set(F.struct("at", "to"))).alias("x"))
+    last = "size(x) - 1"
+    starts = F.expr(f"transform(filter(sequence(0, {last}), i -> i = 0 OR x[greatest(i - 1, 0)].to <> x[i].at), i -> x[i].at)")
+    ends = F.expr(f"transform(filter(sequence(0, {last}), i -> i = {last} OR x[least(i + 1, {last})].at <> x[i].to), i -> x[i].to)")
+    spans = durable(sorted_runs.select("id", "hash", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), b.alias("to"))).alias("byte_spans")))
+    discard(chunks, first)
+    return spans
 
 
 def find(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, dup_bytes and byte_spans (empty where nothing repeats)."""
     kept = [c for c in docs.columns if c not in ("n_bytes", "dup_bytes", "byte_spans")]
     spans = duplicate_spans(docs)
-    marked = docs.select(*kept).withColumn("__text_hash", F.xxhash64("text"))
-    met = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_hash"), size)
+    met = marked.join(spans, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left")
     none = F.expr("cast(array() AS array<struct<at:int,to:int>>)")
     return met.select(
-        *kept,
-        F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"),
+        *(F.col(f"row.`{c}`").alias(c) for c in kept),
+        F.col("size").alias("n_bytes"),
         F.coalesce(F.aggregate("byte_spans", F.lit(0), lambda t, s: t + s["to"] - s["at"]), F.lit(0)).alias("dup_bytes"),
         F.coalesce("byte_spans", none).alias("byte_spans"),
     )
@@ -130,13 +138,15 @@ def find(docs: DataFrame) -> DataFrame:
 def cut(found: DataFrame, least_span: int = LEAST_SPAN) -> DataFrame:
     """The result of :func:`find` with the spans of at least ``least_span`` bytes cut out of text."""
     long_spans = F.filter("byte_spans", lambda s: s["to"] - s["at"] >= least_span)
-    shown, found = found.columns, found.withColumn("__spans", long_spans)
+    shown = found.columns
+    spans = next(name for k in range(len(shown) + 1) if (name := f"spans{k}") not in shown)
+    found = found.withColumn(spans, long_spans)
     kept_parts = F.expr(
-        """transform(sequence(0, size(__spans)), i -> substring(
+        f"""transform(sequence(0, size({spans})), i -> substring(
              encode(text, 'UTF-8'),
-             if(i = 0, 1, __spans[i - 1].to + 1),
-             if(i = size(__spans), octet_length(text), __spans[i].at) - if(i = 0, 0, __spans[i - 1].to)))"""
+             if(i = 0, 1, {spans}[i - 1].to + 1),
+             if(i = size({spans}), octet_length(text), {spans}[i].at) - if(i = 0, 0, {spans}[i - 1].to)))"""
     )
-    whole = F.expr("size(__spans) = 0 OR text IS NULL")
+    whole = F.expr(f"size({spans}) = 0 OR text IS NULL")
     rest = F.decode(F.aggregate(kept_parts, F.lit(b""), lambda t, p: F.concat(t, p)), "UTF-8")
-    return found.withColumn("text", F.when(whole, F.col("text")).otherwise(rest)).select(*shown)
+    return found.withColumn("text", F.when(whole, F.col("text")).otherwise(rest)).select(*(F.col(f"`{c}`") for c in shown))

@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders of tables that are still there.
@@ -98,18 +98,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     Alternating large and small stars: edges are turned towards smaller neighbours until every
     component is a star around its root.  Each round is two aggregations and is made durable.
     """
-    edges = durable(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    sign = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    before = sign(edges)
+
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        """A durable table of edges, with their number and a checksum, counted while it is written."""
+        seen = Observation()
+        number = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        return durable(df.observe(seen, F.count(F.lit(1)).alias("n"), number.alias("sum"))), seen.get
+
+    edges, before = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.select(F.col("u").alias("x"), "m"), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turned = durable(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        turned, after = written(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         discard(edges)
-        edges, after = turned, sign(turned)
+        edges = turned
         if after == before:
             break
         before = after

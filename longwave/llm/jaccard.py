@@ -17,9 +17,11 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
   many elements as their sketches in bits, so that a pair whose sketches differ too much cannot link.
   What passes is verified on whole texts, in bins of bounded size.
 * Every member of a group is first tested against the group's pivot (its smallest set), and verified against
-  the nearest of its pivots.  Groups that the links found connect are done.  In what is left, members that
-  are not connected yet are tested in cells of two blocks of a bounded number of sketches, and the
-  pairs that pass are verified as well.  Links make the components.
+  the nearest of its pivots, then against the others that it is not connected with yet.  Groups that the links found
+  connect are done.  In what is left, members that are not connected are tested in cells of two blocks of
+  a bounded number of sketches.  A cell gives back the few most similar pairs of each component that pass and are
+  not tried yet, more in every round, until no cell has any; so families that links connect early cost little, and no
+  pair that can link is left out unless it is connected already.  Links make the components.
 
 Sets that are equal (by a 64-bit digest) are one node from the start, so that copies are never paired.
 
@@ -42,18 +44,18 @@ from pyspark.sql import functions as F
 
 from longwave.llm import textbuf as tb
 from longwave.llm.durable import components, discard, durable, members, membership
+from longwave.llm.repeats import join_counted, may_repeat, repeated
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
 SHARED = 0.01
-#: Cells (as powers of two) of the bitmaps that keep unneeded keys, sets and rows from being shuffled.
-KEY_BITS, NODE_BITS, ROW_BITS = 26, 24, 24
-#: About so many keys go into one slice of the key space, and at most so many are packed at a time.
-SLICE_KEYS = 1 << 22
+#: Cells (as powers of two) of the bitmaps that keep unneeded sets and rows from being shuffled.
+NODE_BITS, ROW_BITS = 24, 24
 #: A block of a group has about so many sets; a cell holds two blocks.
 CELL_SETS = 2048
 #: A bin of texts to verify has about so many shingles, besides those of one more pivot and block.
 BIN_ELEMENTS = 1 << 20
 
+_PAIRS = "key long, i int, j int, a long, b long, na long, nb long"
 _SEGMENT, _BAND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -256,60 +258,13 @@ def _keys_by_set(docs: DataFrame, words: int, plan: dict[str, np.ndarray], first
     return keys
 
 
-def _packed(keys: np.ndarray, slice_bits: int) -> Iterator[tuple[int, bytes]]:
-    """The keys' slices and, packed, the 32 bits that follow in each; what is there more than twice, twice."""
-    keys = np.sort(keys.view(np.uint64)) >> np.uint64(32 - slice_bits)
-    keep = np.ones(len(keys), bool)
-    keep[2:] = keys[2:] != keys[:-2]
-    keys = keys[keep]
-    cut = np.searchsorted(keys >> np.uint64(32), np.arange((1 << slice_bits) + 1, dtype=np.uint64))
-    low = keys.astype(np.uint32)
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        steps = np.diff(low[cut[k] : cut[k + 1]], prepend=np.uint32(0))
-        yield k, steps.view(np.uint8).reshape(-1, 4).T.tobytes()  # by planes, of which the upper ones compress well
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
-    return np.cumsum(steps, dtype=np.uint32)
-
-
-def _repeated(docs: DataFrame, keys, expected: float) -> np.ndarray:
-    """A bitmap of the upper ``KEY_BITS`` bits of the keys whose fingerprint is there at least twice."""
-    slice_bits = min(20, max(4, math.ceil(math.log2(max(1.0, expected / SLICE_KEYS)))))
-
-    def pack(batches):
-        held, count = [], 0
-
-        def out():
-            made = list(_packed(np.concatenate(held), slice_bits)) if count else []
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], ["slice", "packed"])
-
-        for key, _, _ in keys(batches):
-            held.append(key)
-            count += len(key)
-            if count >= SLICE_KEYS:
-                yield from out()
-                held, count = [], 0
-        yield from out()
-
-    def repeated(table: pa.Table) -> pa.Table:
-        found = np.sort(np.concatenate([_unpacked(b.as_buffer()) for b in table["packed"]]))
-        twice = np.unique(found[1:][found[1:] == found[:-1]]).astype(np.int64) + (table["slice"][0].as_py() << 32)
-        return pa.table({"cell": pa.array(np.unique(twice >> (32 + slice_bits - KEY_BITS)))})
-
-    cells = docs.mapInArrow(pack, "slice int, packed binary").groupBy("slice").applyInArrow(repeated, "cell long")
-    return membership(cells, "cell", KEY_BITS)
-
-
 def _shared_keys(docs: DataFrame, keys, wanted: np.ndarray) -> DataFrame:
     """(key, node) for the keys that the bitmap may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for key, owner, node in keys(batches):
-            keep = members(shared.value, (key.view(np.uint64) >> np.uint64(64 - KEY_BITS)).view(np.int64))
+            keep = may_repeat(shared.value, key)
             key, owner = key[keep], owner[keep]
             for k in range(0, len(key), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + (1 << 16)]), pa.array(node[owner[k : k + (1 << 16)]])], ["key", "node"])
@@ -346,10 +301,10 @@ def _folded(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
-def _cells(num: int, den: int):
-    """Pairs within cells whose sketches let them link and that are not connected yet."""
+def _cells(num: int, den: int, most: int):
+    """Of the pairs within cells whose sketches let them link, which are neither connected nor tried, the ``most`` closest of each component."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, tried: pa.Table) -> pa.Table:
         order = np.lexsort([np.asarray(table[c]) for c in ("node", "j", "i", "key")])
         key, i, j, node, root, n = (np.asarray(table[c])[order] for c in ("key", "i", "j", "node", "root", "n"))
         lists = table["sketch"].combine_chunks()
@@ -357,22 +312,41 @@ def _cells(num: int, den: int):
         size = np.asarray(lists.value_lengths()).astype(np.int64)
         flat, begin = np.asarray(lists.flatten()).view(np.uint64), (np.cumsum(size) - size)[order]
         size = size[order]
+        known = {}
+        for *cell, x, y in zip(*(tried[c].to_pylist() for c in ("key", "i", "j", "a", "b")), strict=True):
+            known.setdefault(tuple(cell), []).append((x, y))
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        edges = np.append(np.flatnonzero(fresh), len(key))
+        edges = np.append(np.flatnonzero(fresh[: len(key)]), len(key))
         found = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if (root[a:b] == root[a]).all():
                 continue
-            rows = _folded(flat, begin[a:b], size[a:b])
-            step = max(1, (1 << 21) // (len(rows) * rows.shape[1]))
+            rows, own, size_of = _folded(flat, begin[a:b], size[a:b]), root[a:b], n[a:b]
+            past = known.get((int(key[a]), int(i[a]), int(j[a])), [])
+            place = np.searchsorted(node[a:b], np.array(past, np.int64).reshape(-1, 2))
+            codes = np.concatenate((place[:, 0] * (b - a) + place[:, 1], place[:, 1] * (b - a) + place[:, 0]))
+            step, best = max(1, (1 << 21) // (len(rows) * rows.shape[1])), np.zeros((3, 0))
             for k in range(0, b - a, step):
-                part = slice(a + k, min(b, a + k + step))
                 differ = np.bitwise_count(rows[k : k + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
-                may = _can_link(n[part][:, None], n[None, a:b], differ, num, den) & (root[part][:, None] != root[None, a:b]) & (node[part][:, None] < node[None, a:b])
-                x, y = np.nonzero(may)
-                found.append(np.stack([node[part][x], node[a:b][y], n[part][x], n[a:b][y]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
-        return pa.table(dict(zip(("a", "b", "na", "nb"), map(pa.array, pairs), strict=True)))
+                both = size_of[k : k + step, None] + size_of[None, :]
+                x, y = np.nonzero(_can_link(size_of[k : k + step, None], size_of[None, :], differ, num, den) & (own[k : k + step, None] != own[None, :]))
+                if len(codes) and len(x):
+                    left = ~np.isin((k + x) * (b - a) + y, codes)
+                    x, y = x[left], y[left]
+                best = np.concatenate((best, np.stack([k + x, y, differ[x, y] / both[x, y]])), axis=1)
+                # The closest pairs of each component, seen from it.
+                ranked = np.lexsort((best[1], best[0], best[2], own[best[0].astype(np.int64)]))
+                best = best[:, ranked]
+                of = own[best[0].astype(np.int64)]
+                best = best[:, np.arange(len(of)) - np.searchsorted(of, of) < most]
+            x, y = best[:2].astype(np.int64)
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            pairs = np.unique(np.stack([x, y]), axis=1)
+            x, y = pairs + a
+            found.append(np.stack([key[x], i[x], j[x], node[x], node[y], n[x], n[y]]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((7, 0), np.int64)
+        columns = [pa.array(c) for c in pairs]
+        return pa.table([columns[0], columns[1].cast(pa.int32()), columns[2].cast(pa.int32()), *columns[3:]], names=["key", "i", "j", "a", "b", "na", "nb"])
 
     return run
 
@@ -453,7 +427,7 @@ def _plan(sized: DataFrame, num: int, den: int) -> tuple[dict[str, np.ndarray],
 
 def _groups(docs: DataFrame, keys, expected: float) -> DataFrame | None:
     """(key, node, pivot, held) for one key of each different collection of sets that share a key; None if there are none."""
-    wanted = _repeated(docs, keys, expected)
+    wanted = repeated(docs, lambda batches: (key for key, _, _ in keys(batches)), expected)
     if not wanted.any():
         return None
     # From here on, rows are in proportion to the documents that share a key with another set.
@@ -461,9 +435,9 @@ def _groups(docs: DataFrame, keys, expected: float) -> DataFrame | None:
     by_key = rows.groupBy("key").agg(
         F.count("*").alias("held"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     )
-    kept = by_key.where("held > 1").groupBy("held", "pivot", "x", "y").agg(F.min("key").alias("key"))
-    groups = durable(rows.join(kept.select("key", "pivot", "held"), "key").select("key", "node", "pivot", "held"))
-    discard(rows)
+    kept = durable(by_key.where("held > 1").groupBy("held", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", "held"))
+    groups = durable(join_counted(rows, kept, ["key"], "held", F.col("node")).select("key", "node", "pivot", "held"))
+    discard(rows, kept)
     return groups
 
 
@@ -485,26 +459,46 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     nearest = near.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("differ", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
     links = _verified(docs, nearest, words, num, den, firsts)
     roots = components(links)
-    # What the links do not connect yet: pivots that passed but were not the nearest, and members other than pivots.
+
+    def with_more(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links, and the components they make, with those of further pairs."""
+        further = _verified(docs, pairs, words, num, den, firsts)
+        both = durable(links.unionAll(further))
+        discard(links, further, roots)
+        return both, components(both)
+
+    # Pivots that passed but were not the nearest.
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root{side}"))
     passed = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    passed = passed.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b", "na", "nb")
-    placed = groups.where("held > 2 AND node <> pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
-    left = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "root", "held"))
-    bins = 1 + left.agg(F.sum(F.ceil(F.col("held") / CELL_SETS))).first()[0] // CELL_SETS if not left.isEmpty() else 1
-    blocks = left.withColumn("blocks", F.ceil(F.col("held") / CELL_SETS).cast("int"))
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
-    cells = cells.join(sets, "node").withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
-    within = cells.groupBy("bin").applyInArrow(_cells(num, den), "a long, b long, na long, nb long")
-    more = durable(passed.unionAll(within).distinct())
-    if not more.isEmpty():
-        further = _verified(docs, more, words, num, den, firsts)
-        first, roots = roots, components(links.unionAll(further))
-        discard(first, further)
-    discard(groups, sets, near, links, left, more)
+    passed = durable(passed.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b", "na", "nb"))
+    if not passed.isEmpty():
+        links, roots = with_more(passed)
+    # Members other than pivots: all that are not connected yet, in cells.
+    left = durable(groups.where("held > 2 AND node <> pivot").select("key", "node", "held"))
+    tried = durable(docs.sparkSession.createDataFrame([], "key long, i int, j int, a long, b long"))
+    most = 1
+    while True:
+        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
+        rest = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root"))
+        bins = 1 + (rest.agg(F.sum(F.ceil(F.col("held") / CELL_SETS))).first()[0] or 0) // CELL_SETS
+        dealt = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))  # noqa: B023, E731
+        blocks = rest.withColumn("blocks", F.ceil(F.col("held") / CELL_SETS).cast("int"))
+        blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(sets, "node")
+        both = dealt(cells).groupBy("bin").cogroup(dealt(tried.join(rest.select("key").distinct(), "key", "left_semi")).groupBy("bin"))
+        found = durable(both.applyInArrow(_cells(num, den, most), _PAIRS))
+        if found.isEmpty():
+            discard(rest, found)
+            break
+        links, roots = with_more(found.select("a", "b", "na", "nb").distinct())
+        # Cells that had nothing have nothing later either.
+        tried_now = durable(tried.unionAll(found.select(*tried.columns)))
+        left_now = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held"))
+        discard(rest, found, tried, left)
+        tried, left, most = tried_now, left_now, most * 4
+    discard(groups, sets, near, passed, links, left, tried)
     return roots
 
 

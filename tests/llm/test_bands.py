@@ -17,3 +17,14 @@ def test_pair_that_is_estimated_as_one_set_links(spark):
     assert lost
     got = jaccard.near_duplicates(docs.where(F.col("doc_id").isin(0, lost[0])), 3, 90, 100).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 2
+
+
+def test_chains_that_no_pivot_connects(spark, monkeypatch):
+    """Windows that slide over one long text: each links with the next few only, and many share keys without linking."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", 7)
+    order = sorted(range(80), key=lambda k: (k * 37) % 80)
+    texts = [" ".join(f"{c}{x}" for x in range(3 * k, 3 * k + 60)) for c in "ab" for k in range(40)]
+    docs = spark.createDataFrame([(d, texts[k]) for d, k in enumerate(order)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs, 1, 80, 100).collect()}
+    first = {c: min(d for d, k in enumerate(order) if k // 40 == c) for c in (0, 1)}
+    assert got == {d: first[k // 40] for d, k in enumerate(order)}

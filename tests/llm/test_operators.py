@@ -190,7 +190,20 @@ def test_line_dedup_equals_sql(spark, documents):
     want = {r[0]: r[1:] for r in connection.execute(lines.ORACLE_SQL).fetchall()}
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in lines.dedup(d.withColumn("n_lines", F.lit("x"))).collect()}
     assert got == want
-    assert got[2001] == (5, 3, "x\ny") and got[2006][2] == "" and got[2003][1] == 0 and got[2002] == (5, 4, "r")
+    assert got[2001] == (5, 3, "x\ny") and got[2006][2] == "" and got[2002] == (5, 4, "r") and got[2003][1] > 0
+    kept = {r["doc_id"]: r["n_removed"] for r in lines.dedup(docs_of(spark, made), skip_blank=True).collect()}
+    assert kept[2003] == 0 and kept[2002] == 4
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    names = ["id", "hash", "lines", "kept", "cut", "touched", "own", "at", "first", "n", "a.b"]
+    rows = docs_of(spark, [(1, "p\nq\nr"), (2, "p\nq\nr\ns")])
+    for name in names:
+        rows = rows.withColumn(name, F.lit(name))
+    got = {r["doc_id"]: r for r in lines.dedup(rows).collect()}
+    assert got[2]["text"] == "s" and all(got[k][n] == n for k in got for n in names)
+    assert {r["doc_id"]: r["dup_bytes"] for r in chunks.find(rows.withColumn("byte_spans", F.lit(0)).withColumn("spans0", F.lit(0))).collect()}.keys() == {1, 2}
+    assert len(chunks.cut(chunks.find(rows), 1).collect()) == 2
 
 
 def test_line_dedup_edges(spark):
