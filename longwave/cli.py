@@ -125,7 +125,7 @@ def main(argv: list[str] | None = None) -> int:
             parser.error("no usable feature")
         done = similarity.analyse(rows, args.metric, args.method, args.linkage, args.k, tuple(args.k_range), args.seed)
         sinks.clusters_table(done, wide.select("file", *features.INDEX_COLUMNS)).write.mode("overwrite").csv(f"{args.out}/clusters", header=True)
-        near = similarity.neighbours(similarity.pairwise(rows, args.metric), args.neighbours)
+        near = similarity.neighbours(rows, args.neighbours, args.metric)
         sinks.neighbours_table(near, wide.select("file", "segment", "start")).write.mode("overwrite").csv(f"{args.out}/neighbours", header=True)
         return 0
     wide = files.read_segment_table(spark, args.folder)

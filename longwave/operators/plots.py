@@ -23,15 +23,9 @@ def merge_steps(features: DataFrame, metric: str = "euclidean", link: str = "war
     """(file, step, a, b, height, size): the merge tree of each file's segments."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = rows.sort_values("segment")
-        if len(rows) > similarity.MOST_SEGMENTS:
-            raise ValueError(f"{len(rows)} segments in one file; at most {similarity.MOST_SEGMENTS} can be compared")
-        d = similarity.distance_matrix(np.stack(rows["v"].to_numpy()).astype(float), metric)
-        steps = similarity.linkage(d, "average" if link == "ward" and metric != "euclidean" else link)
+        steps = similarity.tree_of(rows, metric, link)
         made = pd.DataFrame(steps, columns=["a", "b", "height", "size"]).astype({"a": "int64", "b": "int64", "size": "int64"})
-        return made.assign(file=rows["file"].iloc[0], step=np.arange(len(steps), dtype="int64"))[["file", "step", "a", "b", "height", "size"]]
+        return made.assign(file=rows["file"].iloc[0], step=range(len(steps)))[["file", "step", "a", "b", "height", "size"]]
 
     return features.select("file", "segment", "v").groupBy("file").applyInPandas(run, "file string, step long, a long, b long, height double, size long")
 

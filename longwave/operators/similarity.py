@@ -1,56 +1,110 @@
 """Distances, neighbours, silhouettes, clusters and components of segments.
 
-Relational parts (distances, similarity map, neighbours, silhouette, profiles, fixed-start k-means) are
-DataFrame plans over (file, segment, v ARRAY<DOUBLE>).  Linkage, k-means with random starts, the choice of
-k and principal components need a file's whole matrix and run once per file, vectorised; a file has at
-most ``MOST_SEGMENTS`` segments there, since its distances grow with the square.
+Everything works on (file, segment, v ARRAY<DOUBLE>).  All-pairs operators deal a file's rows into blocks; a
+cell of two blocks is one Arrow task that computes their distances and gives back no more than is asked
+for: pairs, the nearest few of each row, or each row's sums by cluster.  No task sees more than two blocks.
+k-means is Lloyd's iteration by aggregation from k-means|| starts, and principal components come from
+summed products, so neither needs a distance matrix.  Hierarchical linkage alone does: it runs once per file, and
+a file has at most ``MOST_SEGMENTS`` segments there, since its memory grows with the square.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longwave.operators.lineage import settled
+
 METRICS = ("euclidean", "cityblock", "cosine", "correlation")
 LINKAGES = ("ward", "average", "complete", "single")
-MOST_SEGMENTS = 8000
+#: Rows of a block, the blocks that a file of some size is cut into at least, and the most rows of a file for linkage.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_SEGMENTS = 1024, 8, 8000
+#: Numbers that a step within a cell holds at a time.
+_STEP_NUMBERS = 1 << 22
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+# ---- distances within a cell ----------------------------------------------------------------------
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x * y))
+def _check(metric: str) -> None:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
 
 
-def distance(a: Column, b: Column, metric: str) -> Column:
-    """The distance of two arrays of doubles."""
-    if metric == "euclidean":
-        return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
-    if metric == "cityblock":
-        return _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    if metric == "cosine":
-        return 1 - _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+def _strips(a: np.ndarray, b: np.ndarray, metric: str) -> Iterator[tuple[slice, np.ndarray]]:
+    """The distances of rows of a from all rows of b, some rows of a at a time."""
     if metric == "correlation":
-        centred = lambda v: F.transform(v, lambda x: x - _sum(v) / F.size(v))
-        return distance(centred(a), centred(b), "cosine")
-    raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+        a, b, metric = a - a.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True), "cosine"
+    long_a, long_b = (np.sqrt((x * x).sum(axis=1)) for x in (a, b))
+    step = max(1, _STEP_NUMBERS // max(1, b.size))
+    for k in range(0, len(a), step):
+        part = slice(k, min(k + step, len(a)))
+        if metric == "cosine":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                yield part, 1 - (a[part] @ b.T) / (long_a[part, None] * long_b[None, :])
+        else:
+            gap = a[part, None, :] - b[None, :, :]
+            yield part, np.abs(gap).sum(axis=2) if metric == "cityblock" else np.sqrt(np.square(gap, out=gap).sum(axis=2))
+
+
+def distance_matrix(x: np.ndarray, metric: str) -> np.ndarray:
+    _check(metric)
+    d = np.concatenate([part for _, part in _strips(x, x, metric)]) if len(x) else np.zeros((0, 0))
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, 0.0)
+    return d
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.to_numpy()
+    return np.stack(rows).astype(float) if len(rows) else np.zeros((0, 1))
+
+
+def _in_cells(features: DataFrame, work: Callable[..., dict[str, np.ndarray]], schema: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Run work(left, right, same) on every two blocks of a file; left and right are dicts of a block's columns, in order of segment."""
+    counts = features.groupBy("file").agg(F.count("*").alias("__n"))
+    blocks = F.greatest(F.ceil(F.col("__n") / BLOCK_ROWS), F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("__n") / 128))).cast("int")
+    dealt = features.join(counts.select("file", blocks.alias("__blocks")), "file")
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64("segment"), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    cells = dealt.select("file", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), "__own", F.col("segment").cast("long").alias("segment"), "v", *carried)
+
+    def run(table: pa.Table) -> pa.Table:
+        own, i, j = (np.asarray(table[c]) for c in ("__own", "__i", "__j"))
+        segment = np.asarray(table["segment"])
+        order = np.argsort(segment, kind="stable")
+        columns = {"segment": segment, "v": _matrix(table["v"]), **{c: _matrix(table[c]) if pa.types.is_list(table.schema.field(c).type) else table[c].to_numpy() for c in carried}}
+        side = lambda block: {c: x[order[own[order] == block]] for c, x in columns.items()}
+        made = work(side(i[0]), side(j[0]), bool(i[0] == j[0]))
+        size = len(next(iter(made.values())))
+        return pa.table({"file": pa.array([table["file"][0].as_py()] * size, pa.string()), **{c: pa.array(x) for c, x in made.items()}})
+
+    return cells.groupBy("file", "__i", "__j").applyInArrow(run, f"file string, {schema}")
+
+
+# ---- all pairs ------------------------------------------------------------------------------------
 
 
 def pairwise(features: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(file, i, j, d) for i < j within a file."""
-    if metric == "correlation":
-        features, metric = features.withColumn("v", F.transform("v", lambda x: x - _sum(F.col("v")) / F.size("v"))), "cosine"
-    a = features.select("file", F.col("segment").alias("i"), F.col("v").alias("a"))
-    b = features.select("file", F.col("segment").alias("j"), F.col("v").alias("b"))
-    return a.join(b, (a["file"] == b["file"]) & (F.col("i") < F.col("j"))).select(a["file"], "i", "j", distance(F.col("a"), F.col("b"), metric).alias("d"))
+    _check(metric)
 
+    def work(left, right, same):
+        found = []
+        for part, d in _strips(left["v"], right["v"], metric):
+            a, b = np.broadcast_arrays(left["segment"][part, None], right["segment"][None, :])
+            keep = a < b if same else np.ones(a.shape, bool)
+            found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]))
+        none = np.zeros(0, np.int64)
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none.astype(float))
+        return {"i": i, "j": j, "d": d}
 
-def both_ways(distances: DataFrame) -> DataFrame:
-    return distances.unionByName(distances.select("file", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    return _in_cells(features, work, "i long, j long, d double")
 
 
 def similarity_map(distances: DataFrame) -> DataFrame:
@@ -59,26 +113,88 @@ def similarity_map(distances: DataFrame) -> DataFrame:
     return distances.join(top, "file").select("file", "i", "j", F.when(F.col("top") > 0, 1 - F.col("d") / F.col("top")).otherwise(1.0).alias("s"))
 
 
-def neighbours(distances: DataFrame, count: int = 3) -> DataFrame:
-    """(file, segment, rank, neighbour, distance): the nearest others, ties to the smaller segment."""
-    by = Window.partitionBy("file", "i").orderBy("d", "j")
-    ranked = both_ways(distances).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= count)
-    return ranked.select("file", F.col("i").alias("segment"), "rank", F.col("j").alias("neighbour"), F.col("d").alias("distance"))
+def square(distances: DataFrame, features: DataFrame) -> DataFrame:
+    """(file, i, j, d) in both directions and with the diagonal: the whole matrix."""
+    ways = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    both = distances.select("file", ways.alias("p"), "d").select("file", "p.i", "p.j", "d")
+    own = F.col("segment").cast("long")
+    return both.unionByName(features.select("file", own.alias("i"), own.alias("j"), F.lit(0.0).alias("d")))
 
 
-def silhouette(distances: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(file, segment, cluster, s) for clusters (file, segment, cluster); 0 for singletons and single clusters."""
-    other = clusters.select("file", F.col("segment").alias("j"), F.col("cluster").alias("cj"))
-    sums = both_ways(distances).join(other, ["file", "j"]).groupBy("file", "i", "cj").agg(F.sum("d").alias("total"), F.count("*").alias("n"))
-    own = clusters.select("file", F.col("segment").alias("i"), "cluster")
-    met = own.join(sums, ["file", "i"], "left")
-    parts = met.groupBy("file", "i", "cluster").agg(
-        F.max(F.when(F.col("cj") == F.col("cluster"), F.col("total") / F.col("n"))).alias("a"),
-        F.min(F.when(F.col("cj") != F.col("cluster"), F.col("total") / F.col("n"))).alias("b"),
-    )
+def _nearest(d: np.ndarray, own: np.ndarray, other: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest few of each row of d, ties to the smaller of other; a row is no neighbour of itself."""
+    d = np.where(own[:, None] == other[None, :], np.inf, d)
+    kept = min(count, d.shape[1])
+    limit = np.partition(d, kept - 1, axis=1)[:, kept - 1]
+    row, column = np.nonzero((d <= limit[:, None]) & (own[:, None] != other[None, :]))
+    order = np.lexsort((other[column], d[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < count
+    return own[row[keep]], other[column[keep]], d[row[keep], column[keep]]
+
+
+def neighbours(features: DataFrame, count: int = 3, metric: str = "euclidean") -> DataFrame:
+    """(file, segment, rank, neighbour, distance): the nearest others, ties to the smaller segment."""
+    _check(metric)
+
+    def work(left, right, same):
+        found = [_nearest(d, left["segment"][part], right["segment"], count) for part, d in _strips(left["v"], right["v"], metric) if d.size]
+        if not same:
+            found += [_nearest(d, right["segment"][part], left["segment"], count) for part, d in _strips(right["v"], left["v"], metric) if d.size]
+        none = np.zeros(0, np.int64)
+        i, j, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none.astype(float))
+        return {"segment": i, "neighbour": j, "distance": d}
+
+    by = Window.partitionBy("file", "segment").orderBy("distance", "neighbour")
+    near = _in_cells(features, work, "segment long, neighbour long, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= count)
+    return ranked.select("file", "segment", "rank", "neighbour", "distance")
+
+
+def _silhouettes(features: DataFrame, metric: str) -> DataFrame:
+    """(file, segment, try, cluster, s) for features with an array ``labels``: a clustering per try."""
+    _check(metric)
+
+    def sums(a, b, found):
+        totals = [[] for _ in range(a["labels"].shape[1])]
+        clusters = [np.unique(b["labels"][:, t], return_inverse=True) for t in range(b["labels"].shape[1])]
+        members = [np.eye(len(names))[place] for names, place in clusters]
+        for part, d in _strips(a["v"], b["v"], metric):
+            self_of = a["segment"][part, None] == b["segment"][None, :]
+            d = np.where(self_of, 0.0, d)
+            for t, member in enumerate(members):
+                totals[t].append((d @ member, member.sum(axis=0)[None, :] - self_of @ member))
+        for t, (names, _) in enumerate(clusters):
+            total, n = (np.concatenate(x) for x in zip(*totals[t], strict=True))
+            row, column = np.nonzero(n)
+            found.append((a["segment"][row], np.full(len(row), t), a["labels"][row, t].astype(np.int64), names[column].astype(np.int64), total[row, column], n[row, column].astype(np.int64)))
+
+    def work(left, right, same):
+        found: list[tuple] = []
+        if len(left["segment"]) and len(right["segment"]):
+            sums(left, right, found)
+            if not same:
+                sums(right, left, found)
+        none = np.zeros(0, np.int64)
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [none, none, none, none, none.astype(float), none]
+        return dict(zip(("segment", "try", "cluster", "other", "total", "n"), columns, strict=True))
+
+    parts = _in_cells(features, work, "segment long, try long, cluster long, other long, total double, n long", ("labels",))
+    means = parts.groupBy("file", "segment", "try", "cluster", "other").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    own = F.col("other") == F.col("cluster")
+    met = means.groupBy("file", "segment", "try", "cluster").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
     top = F.greatest("a", "b")
     s = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
-    return parts.select("file", F.col("i").alias("segment"), "cluster", s.alias("s"))
+    return met.select("file", "segment", "try", F.col("cluster").cast("int").alias("cluster"), s.alias("s"))
+
+
+def silhouette(features: DataFrame, clusters: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(file, segment, cluster, s) for clusters (file, segment, cluster); 0 for singletons and single clusters."""
+    labelled = features.select("file", "segment", "v").join(clusters.select("file", "segment", F.array(F.col("cluster").cast("long")).alias("labels")), ["file", "segment"])
+    found = _silhouettes(labelled, metric).select("file", "segment", "cluster", "s")
+    alone = clusters.select("file", "segment", F.col("cluster").cast("int").alias("cluster"))  # a file of one segment has no pairs
+    return alone.join(found.select("file", "segment", "s"), ["file", "segment"], "left").select("file", "segment", "cluster", F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
 def profiles(standardised: DataFrame, clusters: DataFrame, top: int = 6) -> DataFrame:
@@ -88,55 +204,160 @@ def profiles(standardised: DataFrame, clusters: DataFrame, top: int = 6) -> Data
     return means.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 
 
+# ---- k-means --------------------------------------------------------------------------------------
+
+
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def _closest(v: Column, centres: Column) -> Column:
+    """(d2, at) of the nearest of an array of centres; ties to the first."""
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(_squared(v, c).alias("d2"), i.alias("at"))))
+
+
+def _lloyd(rows: DataFrame, centres: DataFrame, width: int) -> DataFrame:
+    """The centres (file, c) after one step: means of the rows that are nearest; empty clusters stay."""
+    placed = rows.join(centres, "file").select("file", "v", _closest(F.col("v"), F.col("c"))["at"].alias("at"))
+    means = placed.groupBy("file", "at").agg(*(F.avg(F.get("v", F.lit(k))).alias(f"m{k}") for k in range(width)))
+    mean = F.filter(F.array(*(F.col(f"m{k}") for k in range(width))), lambda x: x.isNotNull())
+    by_file = means.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("at", mean.alias("m")))).alias("means"))
+    moved = F.transform("c", lambda c, i: F.coalesce(F.try_element_at("means", i), c))
+    return centres.join(by_file, "file", "left").select("file", F.when(F.col("means").isNull(), F.col("c")).otherwise(moved).alias("c"))
+
+
+def _width(features: DataFrame) -> int:
+    return features.agg(F.max(F.size("v"))).first()[0] or 0
+
+
 def kmeans_fixed_start(features: DataFrame, centres: list[list[float]], steps: int = 3) -> DataFrame:
     """(file, segment, cluster from 1): Lloyd steps from given centres, ties to the lowest, empty clusters stay."""
-    size = len(centres[0])
+    start = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in centres))
+    now = settled(features.select("file").distinct().select("file", start.alias("c")))
+    for _ in range(steps):
+        now = settled(_lloyd(features, now, len(centres[0])))
+    return features.join(now, "file").select("file", "segment", (_closest(F.col("v"), F.col("c"))["at"] + 1).cast("int").alias("cluster"))
+
+
+def _starts(rows: DataFrame, k: int, seed: int, rounds: int = 4) -> DataFrame:
+    """(file, c) by k-means||: a few rounds draw about 2k far rows each, which weighted k-means++ thins to k."""
+    draw = lambda r: F.pmod(F.xxhash64("segment", F.lit(seed), F.lit(r)), F.lit(1 << 52)) / float(1 << 52)
+    found = settled(rows.groupBy("file").agg(F.array(F.min_by("v", F.struct(F.xxhash64("segment", F.lit(seed)), F.col("segment")))).alias("c")))
+    for r in range(rounds):
+        near = rows.join(found, "file").select("file", "segment", "v", _closest(F.col("v"), F.col("c"))["d2"].alias("d2"))
+        cost = near.groupBy("file").agg(F.sum("d2").alias("cost"))
+        drawn = near.join(cost, "file").where((F.col("cost") > 0) & (draw(r) * F.col("cost") < 2 * k * F.col("d2")))
+        more = drawn.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "v"))), lambda x: x["v"]).alias("more"))
+        found = settled(found.join(more, "file", "left").select("file", F.when(F.col("more").isNull(), F.col("c")).otherwise(F.concat("c", "more")).alias("c")))
+    weighed = rows.join(found, "file").select("file", _closest(F.col("v"), F.col("c"))["at"].alias("at")).groupBy("file", "at").agg(F.count("*").alias("n"))
+    weights = weighed.groupBy("file").agg(F.collect_list(F.struct("at", "n")).alias("weights"))
+
+    def thin(table: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(table["c"].iloc[0]).astype(float)
+        held = np.zeros(len(x))
+        for w in table["weights"].iloc[0]:
+            held[w["at"]] = w["n"]
+        random, gap, chosen = np.random.default_rng(seed), np.full(len(x), np.inf), []
+        while len(chosen) < k:
+            chance = gap * held if chosen else held
+            if chance.sum() <= 0:
+                break
+            chosen.append(int(random.choice(len(x), p=chance / chance.sum())))
+            gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        return pd.DataFrame({"file": table["file"], "c": [x[chosen].tolist()]})
+
+    return found.join(weights, "file").groupBy("file").applyInPandas(thin, "file string, c array<array<double>>")
+
+
+def kmeans(features: DataFrame, k: int, seed: int = 0, most_steps: int = 100) -> DataFrame:
+    """(file, segment, cluster from 1): Lloyd's iteration from k-means|| starts until no centre moves.
+
+    A file with fewer different rows than k gets fewer clusters.  Ties go to the lowest cluster; empty clusters keep their centre.
+    """
+    rows = features.select("file", "segment", "v")
+    width, k = _width(rows), max(1, k)
+    centres = settled(_starts(rows, k, seed))
+    for _ in range(most_steps):
+        moved = settled(_lloyd(rows, centres, width))
+        same = moved.join(centres.withColumnRenamed("c", "before"), "file").where("NOT c <=> before").isEmpty()
+        centres = moved
+        if same:
+            break
+    return rows.join(centres, "file").select("file", "segment", (_closest(F.col("v"), F.col("c"))["at"] + 1).cast("int").alias("cluster"))
 
-    def nearest(v: Column, c: list[list[float]]) -> Column:
-        gaps = [distance(v, F.array(*(F.lit(float(x)) for x in row)), "euclidean") for row in c]
-        return F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))).cast("int")
 
-    for _ in range(steps):
-        placed = features.select(nearest(F.col("v"), centres).alias("cluster"), "v")
-        rows = placed.groupBy("cluster").agg(*(F.avg(F.col("v")[k]).alias(f"m{k}") for k in range(size))).collect()
-        found = {r["cluster"]: [r[f"m{k}"] for k in range(size)] for r in rows}
-        centres = [found.get(k + 1, c) for k, c in enumerate(centres)]
-    return features.select("file", "segment", nearest(F.col("v"), centres).alias("cluster"))
+# ---- principal components -------------------------------------------------------------------------
 
 
-# ---- whole matrices of one file -------------------------------------------------------------------
+def principal_components(features: DataFrame, count: int = 2) -> DataFrame:
+    """(file, segment, xy, share): coordinates and explained shares, null where a file has fewer components.
 
+    The components come from the summed products of centred rows; the largest loading is positive.
+    """
+    width = _width(features)
+    means = features.groupBy("file").agg(F.count("*").alias("n"), F.filter(F.array(*(F.avg(F.get("v", F.lit(k))) for k in range(width))), lambda x: x.isNotNull()).alias("mean"))
+    centred = features.join(means, "file").select("file", "segment", "n", F.zip_with("v", "mean", lambda x, m: x - m).alias("x"))
 
-def distance_matrix(x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cityblock":
-        return np.stack([np.abs(x - row).sum(axis=1) for row in x])
-    if metric == "correlation":
-        x = x - x.mean(axis=1, keepdims=True)
-    if metric in ("cosine", "correlation"):
-        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        d = 1 - unit @ unit.T
-    elif metric == "euclidean":
-        square = (x * x).sum(axis=1)
-        d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-    else:
-        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
-    d = (d + d.T) / 2
-    np.fill_diagonal(d, 0.0)
-    return d
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out():
+            flat = [m.ravel() for m in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(flat, pa.list_(pa.float64()))], ["file", "p"])
+
+        for batch in batches:
+            files = batch.column("file").to_numpy(zero_copy_only=False)
+            for f in dict.fromkeys(files):
+                x = np.stack(batch.column("x").filter(pa.array(files == f)).to_numpy(zero_copy_only=False))
+                held[f] = held.get(f, 0.0) + x.T @ x
+            if len(held) > 256:
+                yield from out()
+                held.clear()
+        if held:
+            yield from out()
+
+    partial = centred.select("file", "x").mapInArrow(products, "file string, p array<double>")
+    summed = partial.select("file", F.posexplode("p").alias("at", "value")).groupBy("file", "at").agg(F.sum("value").alias("value"))
+
+    def axes(table: pd.DataFrame) -> pd.DataFrame:
+        values = table.sort_values("at")["value"].to_numpy()
+        size = int(round(len(values) ** 0.5))
+        power, loading = np.linalg.eigh(values.reshape(size, size))
+        power, loading = np.maximum(power[::-1], 0.0), loading[:, ::-1].T
+        sign = np.sign(loading[np.arange(size), np.abs(loading).argmax(axis=1)])
+        kept = min(count, size)
+        share = power[:kept] / max(power.sum(), 1e-300)
+        return pd.DataFrame({"file": [table["file"].iloc[0]], "loading": [(loading * sign[:, None])[:kept].tolist()], "share": [share.tolist()]})
+
+    model = summed.groupBy("file").applyInPandas(axes, "file string, loading array<array<double>>, share array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    met = centred.join(model, "file")
+    limit = F.least(F.col("n").cast("int"), F.size("share"))
+    return met.select("file", "segment", F.slice(F.transform("loading", lambda a: dot(F.col("x"), a)), F.lit(1), limit).alias("xy"), F.slice("share", F.lit(1), limit).alias("share"))
+
+
+# ---- hierarchies: a file's whole matrix -----------------------------------------------------------
 
 
 def linkage(d: np.ndarray, method: str) -> np.ndarray:
-    """Merge steps (a, b, height, size) of agglomerative clustering on a distance matrix."""
+    """Merge steps (a, b, height, size) of agglomerative clustering, by chains of nearest neighbours."""
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}; known: {', '.join(LINKAGES)}")
     n = len(d)
     gap = d.astype(float).copy()
     np.fill_diagonal(gap, np.inf)
-    size, name, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    steps = []
-    for turn in range(n - 1):
-        i, j = divmod(int(np.argmin(gap)), n)
-        i, j, height = min(i, j), max(i, j), gap[i, j]
+    size, alive, chain, merged = np.ones(n), np.ones(n, bool), [], []
+    while len(merged) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            row = gap[chain[-1]]
+            near = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        j, i = chain.pop(), chain.pop()
+        height = gap[i, j]
         rest = alive.copy()
         rest[[i, j]] = False
         x, y = gap[i, rest], gap[j, rest]
@@ -149,13 +370,27 @@ def linkage(d: np.ndarray, method: str) -> np.ndarray:
         else:
             s = size[rest]
             new = np.sqrt(((size[i] + s) * x * x + (size[j] + s) * y * y - s * height * height) / (size[i] + size[j] + s))
-        low, high = sorted((name[i], name[j]))
+        merged.append((height, i, j))
         size[i] += size[j]
-        steps.append((low, high, height, size[i]))
-        name[i], alive[j] = n + turn, False
+        alive[j] = False
         gap[j, :] = gap[:, j] = np.inf
         gap[i, rest] = gap[rest, i] = new
-    return np.array(steps).reshape(-1, 4)
+    # In order of height; a cluster is known by any of its rows until its number is looked up.
+    parent, steps = np.arange(2 * n - 1) if n else np.zeros(0, int), []
+    held = np.concatenate((np.ones(n), np.zeros(max(0, n - 1))))
+    for t, (height, i, j) in enumerate(sorted(merged, key=lambda m: m[0])):
+        a, b = sorted((_top(parent, i), _top(parent, j)))
+        parent[a] = parent[b] = n + t
+        held[n + t] = held[a] + held[b]
+        steps.append((a, b, height, held[n + t]))
+    return np.array(steps, float).reshape(-1, 4)
+
+
+def _top(parent: np.ndarray, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = int(parent[x])
+    return x
 
 
 def cut_tree(steps: np.ndarray, k: int) -> np.ndarray:
@@ -164,102 +399,77 @@ def cut_tree(steps: np.ndarray, k: int) -> np.ndarray:
     order = np.sort(steps[:, 2]) if len(steps) else np.zeros(0)
     limit = -np.inf if k >= n else order[n - k - 1]
     parent = np.arange(2 * n - 1)
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
     for t, (a, b, height, _) in enumerate(steps):
-        parent[n + t] = n + t
         if height <= limit:
-            parent[top(int(a))] = parent[top(int(b))] = n + t
-    tops = [top(i) for i in range(n)]
-    return np.array([{x: c + 1 for c, x in enumerate(dict.fromkeys(tops))}[x] for x in tops])
-
-
-def kmeans(x: np.ndarray, k: int, seed: int = 0, most_steps: int = 100) -> np.ndarray:
-    """Labels from 1: k-means++ starts, Lloyd steps; empty clusters keep their centre."""
-    k = min(max(1, k), len(x))
-    random = np.random.default_rng(seed)
-    centres = [x[random.integers(len(x))]]
-    while len(centres) < k:
-        near = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        total = near.sum()
-        centres.append(x[random.choice(len(x), p=near / total) if total > 0 else random.integers(len(x))])
-    c, labels = np.array(centres), np.zeros(len(x), int)
-    for _ in range(most_steps):
-        new = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(axis=2), axis=1)
-        if (new == labels).all():
-            break
-        labels = new
-        for j in range(k):
-            if (labels == j).any():
-                c[j] = x[labels == j].mean(axis=0)
-    return labels + 1
-
-
-def silhouettes(d: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    names, place = np.unique(labels, return_inverse=True)
-    if len(names) < 2:
-        return np.zeros(len(d))
-    member = np.eye(len(names))[place]
-    count = member.sum(axis=0)
-    total = d @ member
-    own = total[np.arange(len(d)), place] / np.maximum(count[place] - 1, 1)
-    mean = total / count
-    mean[np.arange(len(d)), place] = np.inf
-    b = mean.min(axis=1)
-    top = np.maximum(own, b)
-    return np.where((count[place] > 1) & (top > 0), (b - own) / np.where(top > 0, top, 1), 0.0)
-
-
-def principal(x: np.ndarray, count: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates (null-padded to ``count``) and explained shares; the largest loading is positive."""
-    centred = x - x.mean(axis=0)
-    u, s, vt = np.linalg.svd(centred, full_matrices=False)
-    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])
-    kept = min(count, len(s))
-    coordinates = np.full((len(x), count), np.nan)
-    coordinates[:, :kept] = (u * s * np.where(sign == 0, 1, sign))[:, :kept]
-    share = np.full(count, np.nan)
-    share[:kept] = (s**2 / max((s**2).sum(), 1e-300))[:kept]
-    return coordinates, share
-
-
-def choose(x: np.ndarray, metric: str, method: str, link: str, k: int | None, k_range: tuple[int, int], seed: int) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
-    """Labels, mean silhouette per tried k, and the distances; the smallest of the best k wins."""
-    if len(x) < 2:
-        raise ValueError("at least two segments are needed")
-    d = distance_matrix(x, metric)
-    if not np.isfinite(d).all():
-        raise ValueError("a distance is not finite")
-    tree = None
-    if method == "hierarchical":
-        tree = linkage(d, "average" if link == "ward" and metric != "euclidean" else link)
-    label = lambda n: cut_tree(tree, n) if tree is not None else kmeans(x, n, seed)
-    if k is not None:
-        return label(k), {}, d
-    scores = {n: float(silhouettes(d, label(n)).mean()) for n in range(max(2, k_range[0]), min(k_range[1], len(x) - 1) + 1)}
-    if not scores:
-        return np.ones(len(x), int), {}, d
-    return label(max(scores, key=lambda n: (scores[n], -n))), scores, d
+            parent[_top(parent, int(a))] = parent[_top(parent, int(b))] = n + t
+    tops = [_top(parent, i) for i in range(n)]
+    number = {x: c + 1 for c, x in enumerate(dict.fromkeys(tops))}
+    return np.array([number[x] for x in tops])
 
 
-def analyse(features: DataFrame, metric: str = "euclidean", method: str = "hierarchical", link: str = "ward", k: int | None = None, k_range: tuple[int, int] = (2, 10), seed: int = 0) -> DataFrame:
-    """(file, segment, cluster, silhouette, pc1, pc2, k, explained1, explained2) per file of features."""
+def tree_of(rows: pd.DataFrame, metric: str, link: str) -> np.ndarray:
+    """The merge steps of a file's rows (segment, v), in order of segment."""
+    if len(rows) > MOST_SEGMENTS:
+        raise ValueError(f"{len(rows)} segments in one file; linkage takes at most {MOST_SEGMENTS}")
+    d = distance_matrix(np.stack(rows.sort_values("segment")["v"].to_numpy()).astype(float), metric)
+    return linkage(d, "average" if link == "ward" and metric != "euclidean" else link)
+
+
+def _tree_labels(features: DataFrame, metric: str, link: str, ks: list[int]) -> DataFrame:
+    """(file, segment, labels): a cut of each file's tree for every k."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("segment")
-        if len(rows) > MOST_SEGMENTS:
-            raise ValueError(f"{len(rows)} segments in one file; at most {MOST_SEGMENTS} can be compared")
-        x = np.stack(rows["v"].to_numpy()).astype(float)
-        labels, _, d = choose(x, metric, method, link, k, k_range, seed)
-        xy, share = principal(x)
-        return pd.DataFrame(
-            {"file": rows["file"].to_numpy(), "segment": rows["segment"].to_numpy(), "cluster": labels, "silhouette": silhouettes(d, labels), "pc1": xy[:, 0], "pc2": xy[:, 1],
-             "k": int(len(set(labels))), "explained1": share[0], "explained2": share[1]}
-        )
-
-    schema = "file string, segment long, cluster int, silhouette double, pc1 double, pc2 double, k int, explained1 double, explained2 double"
-    return features.select("file", F.col("segment").cast("long").alias("segment"), "v").groupBy("file").applyInPandas(run, schema)
+        steps = tree_of(rows, metric, link)
+        labels = np.stack([cut_tree(steps, min(k, len(rows))) for k in ks], axis=1)
+        return pd.DataFrame({"file": rows["file"].to_numpy(), "segment": rows["segment"].to_numpy(), "labels": labels.tolist()})
+
+    return features.groupBy("file").applyInPandas(run, "file string, segment long, labels array<long>")
+
+
+# ---- the whole comparison -------------------------------------------------------------------------
+
+
+def analyse(features: DataFrame, metric: str = "euclidean", method: str = "hierarchical", link: str = "ward", k: int | None = None, k_range: tuple[int, int] = (2, 10), seed: int = 0) -> DataFrame:
+    """(file, segment, cluster, silhouette, pc1, pc2, k, explained1, explained2) per file of features.
+
+    Without k, that of the best mean silhouette is taken for each file, the smallest of the best; a file for which
+    the range holds no k below its number of segments gets one cluster.
+    """
+    _check(metric)
+    rows = settled(features.select("file", F.col("segment").cast("long").alias("segment"), "v"))
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    if not counts.where("n < 2").isEmpty():
+        raise ValueError("at least two segments are needed")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    if metric in ("cosine", "correlation"):
+        level = F.get("v", F.lit(0)) if metric == "correlation" else F.lit(0.0)
+        bad = bad | F.forall("v", lambda x: x == level)
+    if not rows.where(bad).isEmpty():
+        raise ValueError("a distance is not finite")
+    ks = [k] if k is not None else list(range(max(2, k_range[0]), k_range[1] + 1))
+    one = F.array(F.lit(1).cast("long"))
+    if not ks:
+        labels = rows.select("file", "segment", one.alias("labels"))
+    elif method == "hierarchical":
+        labels = _tree_labels(rows, metric, link, ks)
+    else:
+        parts = [kmeans(rows, x, seed).withColumnRenamed("cluster", f"c{t}") for t, x in enumerate(ks)]
+        labels = parts[0]
+        for part in parts[1:]:
+            labels = labels.join(part, ["file", "segment"])
+        labels = labels.select("file", "segment", F.array(*(F.col(f"c{t}").cast("long") for t in range(len(ks)))).alias("labels"))
+    labels = settled(labels)
+    scored = settled(_silhouettes(rows.join(labels, ["file", "segment"]), metric))
+    may = F.lit(True) if k is not None else F.element_at(F.array(*(F.lit(x) for x in ks or [0])), (F.col("try") + 1).cast("int")) < F.col("n")
+    means = scored.join(counts, "file").where(may).groupBy("file", "try").agg(F.avg("s").alias("mean"))
+    best = means.groupBy("file").agg(F.max_by("try", F.struct("mean", -F.col("try"))).alias("best"))
+    chosen = labels.join(best, "file", "left").select("file", "segment", "best", F.when(F.col("best").isNull() | F.lit(not ks), F.lit(1)).otherwise(F.get("labels", F.col("best").cast("int"))).cast("int").alias("cluster"))
+    own = scored.select("file", "segment", F.col("try").alias("best"), "s")
+    with_s = chosen.join(own, ["file", "segment", "best"], "left").select("file", "segment", "cluster", F.coalesce("s", F.lit(0.0)).alias("silhouette"))
+    number = chosen.groupBy("file").agg(F.countDistinct("cluster").cast("int").alias("k"))
+    placed = principal_components(rows)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return with_s.join(placed, ["file", "segment"]).join(number, "file").select(
+        "file", "segment", "cluster", "silhouette", at("xy", 0).alias("pc1"), at("xy", 1).alias("pc2"), "k", at("share", 0).alias("explained1"), at("share", 1).alias("explained2")
+    )

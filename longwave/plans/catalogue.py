@@ -303,13 +303,13 @@ def batch_projection(spark, d):
 
 @query(
     "union_files",
-    f"WITH {EV} SELECT file, i::BIGINT AS i, round(x, 6) AS a, NULL::DOUBLE AS b FROM ev WHERE file = 'error' UNION ALL SELECT file, i::BIGINT, NULL, round(t, 6) FROM ev WHERE file = 'click'",
+    f"WITH {EV} SELECT file, i::BIGINT AS i, CASE WHEN file IN ('error', 'purchase', 'view') THEN round(x, 6) END AS a, CASE WHEN file NOT IN ('error', 'purchase', 'view') THEN round(t, 6) END AS b FROM ev",
 )
 def union_files(spark, d):
+    """Tables of some files with one column and of the others with another one."""
     ev = src.event_samples(spark, d)
-    one = ev.where("file = 'error'").select("file", "i", r("x", "a"))
-    two = ev.where("file = 'click'").select("file", "i", r("t", "b"))
-    return one.unionByName(two, allowMissingColumns=True)
+    first = F.col("file").isin("error", "purchase", "view")
+    return ev.where(first).select("file", "i", r("x", "a")).unionByName(ev.where(~first).select("file", "i", r("t", "b")), allowMissingColumns=True)
 
 
 @query(
@@ -322,14 +322,34 @@ def column_ranges(spark, d):
     return stats.column_ranges(src.segment_table(spark, d)).select("name", r("lo"), r("hi"))
 
 
-@query("group_listing", "SELECT 'events' AS \"group\", 5::BIGINT AS n, 1::BIGINT AS ordinal")
+#: Descriptor names of several groups that follow from the data: one for each event type, and one for each nation.
+_NAMED = """nm AS (SELECT DISTINCT 'psycho.' || event_type || '.mean' AS name FROM events
+UNION SELECT DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN 'dynamics.' WHEN n_nationkey % 3 = 1 THEN 'zeta.' ELSE 'alpha.' END || lower(replace(n_name, ' ', '_')) || '.max' FROM nation)"""
+
+
+def _named(spark, d) -> DataFrame:
+    group = F.when(F.col("n_nationkey") % 3 == 0, "dynamics.").when(F.col("n_nationkey") % 3 == 1, "zeta.").otherwise("alpha.")
+    nations = src.table(spark, d, "nation").select(F.concat(group, F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.lit(".max")).alias("name"))
+    events = src.table(spark, d, "events").select(F.concat(F.lit("psycho."), "event_type", F.lit(".mean")).alias("name"))
+    return events.unionByName(nations).distinct().select(F.lit("all").alias("file"), F.lit(0).cast("long").alias("segment"), "name", F.lit(1.0).alias("value"))
+
+
+@query(
+    "group_listing",
+    f"""WITH {_NAMED}, g AS (SELECT split_part(name, '.', 1) AS "group", count(*) AS n FROM nm GROUP BY 1)
+SELECT "group", n, row_number() OVER (ORDER BY CASE "group" WHEN 'dynamics' THEN 0 WHEN 'psycho' THEN 1 ELSE 2 END, "group") AS ordinal FROM g""",
+)
 def group_listing(spark, d):
-    return features.group_listing(src.segment_table(spark, d))
+    return features.group_listing(_named(spark, d))
 
 
-@query("glob_select", "SELECT * FROM (VALUES (0::BIGINT, 'events.value.max'), (1, 'events.value.mean'), (2, 'events.value.median'), (3, 'events.value.min')) t(ordinal, name)")
+@query(
+    "glob_select",
+    f"""WITH {_NAMED}, p AS (SELECT name, CASE WHEN name = 'zeta.brazil.max' THEN 0 WHEN name GLOB 'psycho.*' THEN 2 WHEN name GLOB '*.[!c-m]*.max' THEN 3 END AS place FROM nm)
+SELECT (row_number() OVER (ORDER BY place, name) - 1)::BIGINT AS ordinal, name FROM p WHERE place IS NOT NULL""",
+)
 def glob_select(spark, d):
-    return features.select_names(src.segment_table(spark, d), ["events.value.max", "nothing.*", "*.m*"])
+    return features.select_names(_named(spark, d), ["zeta.brazil.max", "nothing.*", "psycho.*", "*.[!c-m]*.max"])
 
 
 @query("usable_features", f"WITH {SV}, n AS (SELECT file, count(DISTINCT segment) AS n FROM sv GROUP BY file) SELECT sv.file, name FROM sv JOIN n USING (file) GROUP BY sv.file, name, n HAVING count(*) = n AND max(value) > min(value)")
@@ -383,10 +403,9 @@ def asof_segment(spark, d):
 
 # ---- similarity -----------------------------------------------------------------------------------
 
-_FEW = 100
 _PAIR = "list_transform(range(1, 65), lambda i: a.v[i] {op} b.v[i])"
-_STANDARD = f"""{EL}, fw AS (SELECT segment, name, value FROM el WHERE segment < {_FEW}), mo AS (SELECT name, avg(value) AS m, stddev_pop(value) AS sd FROM fw GROUP BY name),
-st AS (SELECT segment, list((value - m) / sd ORDER BY name) AS v FROM fw JOIN mo USING (name) GROUP BY segment)"""
+_STANDARD = f"""{EL}, mo AS (SELECT name, avg(value) AS m, stddev_pop(value) AS sd FROM el GROUP BY name HAVING max(value) > min(value)),
+st AS (SELECT segment, list((value - m) / sd ORDER BY el.name) AS v FROM el JOIN mo ON el.name = mo.name GROUP BY segment)"""
 _EUCLID = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) ** 2)))"
 _COSINE = "1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 
@@ -395,10 +414,8 @@ def _distance_sql(expression: str, source: str = "st") -> str:
     return f"WITH {_STANDARD}, ce AS (SELECT segment, list_transform(v, lambda x: x - list_avg(v)) AS v FROM st) SELECT a.segment AS i, b.segment AS j, round({expression}, 6) AS d FROM {source} a JOIN {source} b ON a.segment < b.segment"
 
 
-def _standard_rows(spark, d, few: int | None = _FEW) -> DataFrame:
-    long = src.embedding_features(spark, d)
-    long = long.where(F.col("segment") < few) if few else long
-    z = features.standardise(long)
+def _standard_rows(spark, d) -> DataFrame:
+    z = features.standardise(src.embedding_features(spark, d))
     return z.groupBy("file", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "z"))), lambda s: s["z"]).alias("v"))
 
 
@@ -406,29 +423,27 @@ def _distances(metric: str) -> Query:
     return lambda spark, d: similarity.pairwise(_standard_rows(spark, d), metric).select("i", "j", r("d"))
 
 
-query("dist_euclidean", _distance_sql(_EUCLID))(_distances("euclidean"))
-query("dist_cityblock", _distance_sql("list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))"))(_distances("cityblock"))
-query("dist_cosine", _distance_sql(_COSINE))(_distances("cosine"))
-query("dist_correlation", _distance_sql(_COSINE, "ce"))(_distances("correlation"))
+# Each under a second name, which it had when the first ones compared fewer rows.
+for _metric, _expression, _source in (
+    ("euclidean", _EUCLID, "st"), ("cityblock", "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i])))", "st"), ("cosine", _COSINE, "st"), ("correlation", _COSINE, "ce"),
+):
+    for _name in (f"dist_{_metric}", f"dist_{_metric}_whole"):
+        query(_name, _distance_sql(_expression, _source))(_distances(_metric))
 
 
-@query("similarity_map", f"WITH {_STANDARD}, q AS (SELECT a.segment AS i, b.segment AS j, {_EUCLID} AS d FROM st a JOIN st b ON a.segment < b.segment) SELECT i, j, round(1 - d / max(d) OVER (), 6) AS s FROM q")
-def similarity_map(spark, d):
-    return similarity.similarity_map(similarity.pairwise(_standard_rows(spark, d))).select("i", "j", r("s"))
-
-
-def _whole_distances(metric: str) -> Query:
-    return lambda spark, d: similarity.pairwise(_standard_rows(spark, d, None), metric).select("i", "j", r("d"))
+_MAP_SQL = f"WITH {_STANDARD}, q AS (SELECT a.segment AS i, b.segment AS j, {_EUCLID} AS d FROM st a JOIN st b ON a.segment < b.segment) SELECT i, j, round(1 - d / max(d) OVER (), 6) AS s FROM q"
 
 
-# The five queries above keep the few ids that their SQL compares; these cover every row of the table.
-for _metric in ("euclidean", "cityblock", "cosine", "correlation"):
-    query(f"dist_{_metric}_whole")(_whole_distances(_metric))
+@query("similarity_map", _MAP_SQL)
+@query("similarity_map_whole", _MAP_SQL)
+def similarity_map(spark, d):
+    return similarity.similarity_map(similarity.pairwise(_standard_rows(spark, d))).select("i", "j", r("s"))
 
 
-@query("similarity_map_whole")
-def similarity_map_whole(spark, d):
-    return similarity.similarity_map(similarity.pairwise(_standard_rows(spark, d, None))).select("i", "j", r("s"))
+@query("distance_matrix", f"WITH {EM} SELECT a.segment AS i, b.segment AS j, round({_EUCLID}, 6) AS d FROM em a JOIN em b ON true")
+def distance_matrix(spark, d):
+    rows = src.embedding_rows(spark, d)
+    return similarity.square(similarity.pairwise(rows), rows).select("i", "j", r("d"))
 
 
 _ALL_PAIRS = f"{EM}, pr AS (SELECT a.segment AS i, b.segment AS j, a.cluster AS ci, b.cluster AS cj, {_EUCLID} AS d FROM em a JOIN em b ON a.segment <> b.segment)"
@@ -439,7 +454,7 @@ si AS (SELECT i AS segment, ci AS cluster, CASE WHEN a IS NULL OR b IS NULL OR g
 
 def _silhouette(spark, d):
     rows = src.embedding_rows(spark, d)
-    return similarity.silhouette(similarity.pairwise(rows), rows.select("file", "segment", "cluster"))
+    return similarity.silhouette(rows, rows.select("file", "segment", "cluster"))
 
 
 @query("silhouette", f"WITH {_SILHOUETTE} SELECT segment, cluster, round(s, 6) AS s FROM si")
@@ -452,7 +467,7 @@ def silhouette(spark, d):
     f"WITH {_ALL_PAIRS}, k AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM pr) SELECT i AS segment, rank::INT AS rank, j AS neighbour, round(d, 6) AS distance FROM k WHERE rank <= 3",
 )
 def neighbours(spark, d):
-    near = similarity.neighbours(similarity.pairwise(src.embedding_rows(spark, d)), 3)
+    near = similarity.neighbours(src.embedding_rows(spark, d), 3)
     return near.select("segment", "rank", "neighbour", r("distance"))
 
 

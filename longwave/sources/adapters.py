@@ -30,7 +30,9 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_samples(spark, sf_dir).groupBy("file").agg(F.max("t").alias("total"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    by_type = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("file"))
+    return by_type.agg(((F.max(us) - F.min(us)) / F.lit(1e6)).alias("total"))
 
 
 def user_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
