@@ -1,9 +1,11 @@
-"""Results that outlive the executors that made them, and bitmaps that spare shuffles."""
+"""Results that outlive the executors that made them, bitmaps that spare shuffles, and connected components."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Folders of tables that are still there.
 _KEPT: dict[str, SparkSession] = {}
+#: After so many tables the garbage is collected: Spark deletes shuffles and broadcasts that no frame refers to any more only
+#: when the driver does so, which a driver with little to do rarely does.
+TIDY_EVERY = 6
+_MADE = itertools.count(1)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +43,9 @@ def durable(df: DataFrame) -> DataFrame:
     if not _KEPT:
         atexit.register(_discard_all)
     _KEPT[path] = spark
+    if next(_MADE) % TIDY_EVERY == 0:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -96,31 +105,36 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, root) for every node of a link, as a durable table; the root is the component's smallest node.
 
     Alternating large and small stars: edges are turned towards smaller neighbours until every
-    component is a star around its root.  Each round is two aggregations and is made durable.
+    component is a star around its root, that is until no edge begins where another one ends.  Each round is made durable.
     """
 
-    def written(df: DataFrame) -> tuple[DataFrame, dict]:
-        """A durable table of edges, with their number and a checksum, counted while it is written."""
+    def written(df: DataFrame) -> tuple[DataFrame, int]:
+        """A durable table of edges, and how many there are, counted while it is written."""
         seen = Observation()
-        number = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        return durable(df.observe(seen, F.count(F.lit(1)).alias("n"), number.alias("sum"))), seen.get
+        return durable(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
 
-    edges, before = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    def nearest(edges: DataFrame) -> DataFrame:
+        return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+    edges, count = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(most_rounds):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.select(F.col("u").alias("x"), "m"), F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turned, after = written(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        discard(edges)
+        if not count or edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty():
+            # No root is a member elsewhere; what is left is to see that every member has one root.
+            if edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("top")).where("low < top").isEmpty():
+                break
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = edges.select(ways.alias("e")).select("e.u", "e.v")
+        low = nearest(both).select("u", F.least("u", "m").alias("m"))
+        large, _ = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = nearest(large)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        turned, count = written(small.unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(edges, large)
         edges = turned
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("the components did not settle")
-    roots = durable(edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    ends = F.explode(F.array("u", "v"))
+    roots = durable(edges.select(ends.alias("node"), F.col("v").alias("root")).distinct())
     discard(edges)
     return roots
 

@@ -13,11 +13,11 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
 * Keys that one set alone has are told apart by 32-bit fingerprints of a key's slice of the key space, packed,
   sorted and counted; only keys whose fingerprint repeats are written out.  Keys that exactly the same sets
   share make one group.
-* Pairs of a group are first tested on parity sketches, about one bit per element: sets differ in at least as
+* Pairs of a group are first tested on parity sketches, a few bits per element: sets differ in at least as
   many elements as their sketches in bits, so that a pair whose sketches differ too much cannot link.
   What passes is verified on whole texts, in bins of bounded size.
 * Every member of a group is first tested against the group's pivot (its smallest set), and verified against
-  the nearest of its pivots, then against the others that it is not connected with yet.  Groups that the links found
+  the nearest of its pivots, then against those others that it is not connected with yet.  Groups that the links found
   connect are done.  In what is left, members that are not connected are tested in cells of two blocks of
   a bounded number of sketches.  A cell gives back the few most similar pairs of each component that pass and are
   not tried yet, more in every round, until no cell has any; so families that links connect early cost little, and no
@@ -52,6 +52,10 @@ SHARED = 0.01
 NODE_BITS, ROW_BITS = 24, 24
 #: A block of a group has about so many sets; a cell holds two blocks.
 CELL_SETS = 2048
+#: Bits of a sketch per element, at least.
+SKETCH = 4
+#: Pairs that a component tries at a time in the largest groups alone, and then in the first round of all.
+FIRST_TRIED, LEAST_TRIED = 2, 4
 #: A bin of texts to verify has about so many shingles, besides those of one more pivot and block.
 BIN_ELEMENTS = 1 << 20
 
@@ -210,11 +214,11 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int):
 def sketches_of(hashes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches: 64-bit words, one set after another, and where each set's begin.
 
-    A set of n elements has the least power of two of words with n bits or more (an empty set: none); a bit is the parity of the
-    number of elements that fall on it.  Halves of a sketch combined by XOR are the sketch of half the size.
+    A set of n elements has the least power of two of words with SKETCH n bits or more (an empty set: none); a bit is the parity of
+    the number of elements that fall on it.  Halves of a sketch combined by XOR are the sketch of half the size.
     """
     size = np.diff(cut)
-    words = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(1, -(-size // 64)))).astype(np.int64), 0)
+    words = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(1, -(-SKETCH * size // 64)))).astype(np.int64), 0)
     place = np.concatenate(([0], np.cumsum(words)))
     bit = (hashes & np.repeat((words * 64 - 1).astype(np.uint64), size)).astype(np.int64) + 64 * np.repeat(place[:-1], size)
     odd = (np.bincount(bit, minlength=64 * int(place[-1])) & 1).astype(np.uint8)
@@ -390,21 +394,37 @@ def _links_of(words: int, num: int, den: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, firsts: np.ndarray) -> DataFrame:
+class _Texts:
+    """The texts of sets by node; each is looked up among the documents once, however often it is asked for."""
+
+    def __init__(self, docs: DataFrame, words: int, firsts: np.ndarray):
+        self.docs, self.words, self.firsts, self.known = docs, words, firsts, None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) of at least these distinct nodes."""
+        missing = durable(nodes if self.known is None else nodes.join(self.known.select("node"), "node", "left_anti"))
+        wanted = membership(missing, "node", NODE_BITS)
+        discard(missing)
+        if wanted.any():
+            more = _texts(self.docs, self.words, wanted, self.firsts)
+            before, self.known = self.known, durable(more if self.known is None else more.join(self.known.select("node"), "node", "left_anti").unionAll(self.known))
+            discard(before)
+        return self.known
+
+
+def _verified(texts: _Texts, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The (a, b) of pairs (a, b, na, nb) that link, as a durable table; each pair is compared on whole texts."""
     pairs = durable(pairs)
-    involved = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    texts = _texts(docs, words, membership(involved, "node", NODE_BITS), firsts)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     weights = pairs.groupBy("a").agg(F.max("na").alias("na"), F.sum("nb").alias("weight"))
-    blocks = weights.select("a", "na", F.ceil(F.col("weight") / BIN_ELEMENTS).cast("int").alias("blocks"))
-    whole = blocks.agg(F.sum(F.col("na") * F.col("blocks"))).first()[0] or 0
-    bins = 1 + int((whole + (pairs.agg(F.sum("nb")).first()[0] or 0)) // BIN_ELEMENTS)
+    blocks = durable(weights.select("a", "na", "weight", F.ceil(F.col("weight") / BIN_ELEMENTS).cast("int").alias("blocks")))
+    bins = 1 + int((blocks.agg(F.sum(F.col("na") * F.col("blocks") + F.col("weight"))).first()[0] or 0) // BIN_ELEMENTS)
     binned = lambda df: df.select("node", "a", F.pmod(F.xxhash64("a", "block"), F.lit(bins)).alias("bin"))
     others = pairs.join(blocks.select("a", "blocks"), "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
     pivots = blocks.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"))
-    dealt = texts.join(binned(others).unionAll(binned(pivots)), "node")
+    dealt = texts.of(involved).join(binned(others).unionAll(binned(pivots)), "node")
     links = durable(dealt.groupBy("bin").applyInArrow(_links_of(words, num, den), "a long, b long"))
-    discard(pairs)
+    discard(pairs, blocks)
     return links
 
 
@@ -457,12 +477,13 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     differ = _differ(F.col("sketcha"), F.col("sketchb"), 1 + math.ceil(2 * math.log2(den / num)))
     near = durable(met.select("a", "b", "na", "nb", differ.alias("differ")).where(_can_link(F.col("na"), F.col("nb"), F.col("differ"), num, den)))
     nearest = near.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("differ", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
-    links = _verified(docs, nearest, words, num, den, firsts)
+    texts = _Texts(docs, words, firsts)
+    links = _verified(texts, nearest, words, num, den)
     roots = components(links)
 
     def with_more(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links, and the components they make, with those of further pairs."""
-        further = _verified(docs, pairs, words, num, den, firsts)
+        further = _verified(texts, pairs, words, num, den)
         both = durable(links.unionAll(further))
         discard(links, further, roots)
         return both, components(both)
@@ -471,16 +492,19 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     root_of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root{side}"))
     passed = near.join(nearest.select("a", "b"), ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     passed = durable(passed.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b", "na", "nb"))
-    if not passed.isEmpty():
-        links, roots = with_more(passed)
     # Members other than pivots: all that are not connected yet, in cells.
     left = durable(groups.where("held > 2 AND node <> pivot").select("key", "node", "held"))
     tried = durable(docs.sparkSession.createDataFrame([], "key long, i int, j int, a long, b long"))
-    most = 1
+    most, first = LEAST_TRIED, True
     while True:
         placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
-        rest = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root"))
+        rest = placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root")
+        if first:
+            # The largest group of each member first: what links there need not be found again in many groups alike.
+            largest = rest.groupBy("node").agg(F.max_by("key", F.struct("held", "key")).alias("key")).select("key").distinct()
+            rest = rest.join(largest, "key", "left_semi")
+        rest = durable(rest)
         bins = 1 + (rest.agg(F.sum(F.ceil(F.col("held") / CELL_SETS))).first()[0] or 0) // CELL_SETS
         dealt = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))  # noqa: B023, E731
         blocks = rest.withColumn("blocks", F.ceil(F.col("held") / CELL_SETS).cast("int"))
@@ -488,17 +512,23 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
         cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(sets, "node")
         both = dealt(cells).groupBy("bin").cogroup(dealt(tried.join(rest.select("key").distinct(), "key", "left_semi")).groupBy("bin"))
-        found = durable(both.applyInArrow(_cells(num, den, most), _PAIRS))
-        if found.isEmpty():
-            discard(rest, found)
+        found = durable(both.applyInArrow(_cells(num, den, FIRST_TRIED if first else most), _PAIRS))
+        pairs = found.select("a", "b", "na", "nb")
+        more = durable((pairs.unionAll(passed) if first else pairs).distinct())
+        if not more.isEmpty():
+            links, roots = with_more(more)
+        elif not first:
+            discard(rest, found, more)
             break
-        links, roots = with_more(found.select("a", "b", "na", "nb").distinct())
-        # Cells that had nothing have nothing later either.
         tried_now = durable(tried.unionAll(found.select(*tried.columns)))
-        left_now = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held"))
-        discard(rest, found, tried, left)
-        tried, left, most = tried_now, left_now, most * 4
-    discard(groups, sets, near, passed, links, left, tried)
+        left_now = left
+        if not first:
+            # Cells that had nothing have nothing later either.
+            left_now, most = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held")), most * 8
+            discard(left)
+        discard(rest, found, tried, more)
+        tried, left, first = tried_now, left_now, False
+    discard(groups, sets, near, passed, links, left, tried, texts.known)
     return roots
 
 

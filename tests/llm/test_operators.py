@@ -322,7 +322,7 @@ def test_rates_equal_plain_projected_gradient(spark):
     rows = [(int(n[k]), *map(float, p[k])) for k in range(200)]
     t = spark.createDataFrame(rows, "n_tokens long, p_a double, p_b double, p_c double")
     weights = {"a": 0.7, "b": 0.2, "c": 0.1}
-    got = np.array([r[0] for r in t.select(mixing.fit_rates(t, ["a", "b", "c"], weights).alias("r")).collect()])
+    got = np.array([r[0] for r in t.select(mixing.fit_rates(t, ["a", "b", "c"], weights)[0].alias("r")).collect()])
     have = n @ p
     target = have[0] / 0.7 * np.array([0.7, 0.2, 0.1])
     rate = np.ones(200)
