@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,72 +22,77 @@ class AnalysisFrames:
     table: DataFrame  # file, segment, start, end, duration, name, value
     summary: DataFrame  # file, name, wmean, wstdev
     whole: DataFrame  # file, name, value of whole-file globals
+    failures: DataFrame  # file, name, n: groups and metrics that failed, and in how many segments
+    decoded: DataFrame  # the samples, kept by the executors until release()
 
-
-def edges_to_bounds(totals: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = totals.select("file", F.col("total").alias("t")).unionByName(totals.select("file", F.lit(0.0).alias("t")))
-    inner = edges.join(totals, "file").where("t > 0 AND t < total").select("file", "t")
-    return slicing.between_edges(inner.unionByName(ends))
+    def release(self) -> None:
+        self.decoded.unpersist()
 
 
 def slice_files(audio: DataFrame, c: AnalysisConfig, marks: DataFrame | None = None) -> DataFrame:
     """Segments (relative seconds) of decoded files by the configured method."""
     s, rate = c.segmentation, c.audio.sample_rate
     totals = audio.select("file", F.col("duration").alias("total"))
+    grid = (s.window, s.hop, s.drop_last_partial)
+    options = {}
     if s.method == "fixed":
-        bounds = slicing.fixed(totals, s.window, s.hop, s.drop_last_partial)
+        options = dict(zip(("window", "hop", "drop_last_partial"), grid, strict=True))
     elif s.method == "onset":
         onsets = kernels.detect_onsets(audio, rate, s.onset_method, s.onset_frame_size, s.onset_hop_size, s.onset_alpha, s.onset_delay, s.onset_silence_threshold)
-        bounds = slicing.onset(totals, onsets, s.onset_include_lead)
+        options = {"onsets": onsets, "include_lead": s.onset_include_lead}
     elif s.method == "sbic":
-        options = {"cpw": s.sbic_cpw, "size1": s.sbic_size1, "inc1": s.sbic_inc1, "size2": s.sbic_size2, "inc2": s.sbic_inc2, "least": s.sbic_min_length}
-        long_enough = F.ceil(F.size("x") / s.sbic_hop_size) >= max(s.sbic_size1, s.sbic_size2)
-        edges = kernels.sbic_edges(audio.where(long_enough), rate, s.sbic_frame_size, s.sbic_hop_size, s.sbic_coefficients, **options)
-        # Files of too few frames for the criterion fall back to the constant grid.
-        changing = edges_to_bounds(audio.where(long_enough).select("file", F.col("duration").alias("total")), edges)
-        short = slicing.fixed(audio.where(~long_enough).select("file", F.col("duration").alias("total")), s.window, s.hop, s.drop_last_partial)
-        bounds = changing.unionByName(short)
+        options = {"audio": audio, "rate": rate, "size": s.sbic_frame_size, "hop": s.sbic_hop_size, "coefficients": s.sbic_number_coefficients, "window": s.window, "grid_hop": s.hop, "drop_last_partial": s.drop_last_partial}
+        options |= {"cpw": s.sbic_cpw, "size1": s.sbic_size1, "inc1": s.sbic_inc1, "size2": s.sbic_size2, "inc2": s.sbic_inc2, "least": s.sbic_min_length}
     elif s.method == "markers":
         if marks is None:
             raise ValueError("method markers needs marks")
-        bounds = slicing.markers(totals, marks, c.audio.start)
-    else:
-        bounds = slicing.strategy(s.method)(totals)
-    return slicing.constrain(bounds, totals, s.pad, s.min_duration, s.max_duration)
+        options = {"marks": files.markers_for(marks, totals), "offset": c.audio.start}
+    return slicing.constrain(slicing.strategy(s.method)(totals, **options), totals, s.pad, s.min_duration, s.max_duration)
 
 
 def segment_arrays(audio: DataFrame, segments: DataFrame, rate: int) -> DataFrame:
     """Each segment with its own samples (file, segment, start, end, duration, x), cut from the file's array."""
-    met = segments.join(audio.select("file", F.col("x").alias("__x")), "file")
+    met = segments.join(audio.select("file", F.col("x").alias("whole")), "file")
     first = F.greatest(F.lit(0), F.bround(F.col("start") * rate)).cast("int")
-    last = F.least(F.size("__x"), F.bround(F.col("end") * rate).cast("int"))
-    return met.withColumn("x", F.slice("__x", first + 1, F.greatest(last - first, F.lit(0)))).drop("__x")
+    last = F.least(F.size("whole"), F.bround(F.col("end") * rate).cast("int"))
+    return met.withColumn("x", F.slice("whole", first + 1, F.greatest(last - first, F.lit(0)))).drop("whole")
+
+
+def kernel_settings(c: AnalysisConfig) -> kernels.Settings:
+    known = kernels.Settings.__dataclass_fields__
+    values = {k: v for k, v in c.essentia.as_dict().items() if k in known}
+    return kernels.Settings(**values | {"energy_bands": tuple(map(tuple, values["energy_bands"]))})
 
 
 def analyse(spark: SparkSession, paths: list[str], c: AnalysisConfig | None = None, marks: DataFrame | None = None) -> AnalysisFrames:
-    """Plan the analysis of audio files; a file that fails has an error and no segments."""
+    """Plan the analysis of audio files; a file that fails has an error and no segments.
+
+    Files are decoded once: the samples stay with the executors (in memory, or on their disks) and are made anew if one is lost.
+    """
     c = c or AnalysisConfig()
     validate(c)
+    d, q = c.essentia, c.psychoacoustics
     found = spark.read.format("binaryFile").load(paths).select("path", "content")
     audio = files.read_audio(found, c.audio.sample_rate, c.audio.downmix, c.audio.start, c.audio.duration, c.audio.normalize, c.audio.keep_stereo)
+    audio = audio.persist(StorageLevel.MEMORY_AND_DISK)
     good = audio.where("error IS NULL")
+    if marks is None and c.segmentation.method == "markers":
+        marks = files.read_markers(spark, c.segmentation.markers_file)
     relative = slice_files(good, c, marks)
     arrays = segment_arrays(good, relative, c.audio.sample_rate)
     parts = []
-    if c.descriptors.enabled:
-        frames = kernels.describe(arrays, c.audio.sample_rate, c.descriptors.groups, c.descriptors.frame_size, c.descriptors.hop_size)
-        parts.append(stats.frame_stats(frames, c.descriptors.stats))
-        parts.append(kernels.describe_whole(arrays, c.audio.sample_rate, c.descriptors.groups, c.descriptors.hop_size))
-    if c.psychoacoustics.enabled:
-        rate = c.psychoacoustics.sample_rate
-        resampled = kernels.resample(arrays.select("file", "segment", "x"), c.audio.sample_rate, rate)
-        q = c.psychoacoustics
-        parts.append(psycho.describe(resampled, rate, q.metrics, q.spl_full_scale, q.min_duration, q.max_duration, q.percentiles))
+    if d.enabled:
+        parts.append(kernels.describe_segments(arrays, c.audio.sample_rate, d.groups, d.stats, d.frame_size, d.hop_size, kernel_settings(c)))
+    if q.enabled:
+        resampled = kernels.resample(arrays.select("file", "segment", "x"), c.audio.sample_rate, q.sample_rate)
+        parts.append(psycho.describe(resampled, q.sample_rate, q.metrics, q.spl_full_scale, q.min_duration, q.max_duration, q.percentiles, q.field_type))
     values = parts[0]
     for part in parts[1:]:
         values = values.unionByName(part)
     offset = F.lit(float(c.audio.start))
     segments = relative.withColumn("start", F.col("start") + offset).withColumn("end", F.col("end") + offset)
-    table = segments.join(values, ["file", "segment"])
+    failed = F.startswith(F.col("name"), F.lit("failed."))
+    table = segments.join(values.where(~failed), ["file", "segment"])
+    failures = values.where(failed).groupBy("file", F.substring("name", 8, 1000).alias("name")).agg(F.count("*").alias("n"))
     whole = kernels.file_globals(good, c.audio.sample_rate)
-    return AnalysisFrames(audio.drop("x", "stereo"), segments, table, stats.weighted_summary(table), whole)
+    return AnalysisFrames(audio.drop("x", "stereo"), segments, table, stats.weighted_summary(table), whole, failures, audio)

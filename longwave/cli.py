@@ -1,36 +1,92 @@
-"""Command line: analyse files, compare segments, summarise folders, draw up plot data."""
+"""Command line: analyse files, compare segments, extract folders, give out plot data."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from collections.abc import Sequence
 
-from longwave.operators import features, kernels, psycho, similarity, slicing, stats
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from longwave.operators import features, kernels, plots, psycho, similarity, slicing, stats
 from longwave.sources import config, files, sinks
 
+#: Flags of ``analyse`` and the options that they set.
+FLAGS = """
+sample-rate             audio.sample_rate                    int
+downmix                 audio.downmix                        str
+start                   audio.start                          float
+duration                audio.duration                       float
+segmentation            segmentation.method                  str
+window                  segmentation.window                  float
+hop                     segmentation.hop                     float
+onset-method            segmentation.onset_method            str
+onset-frame-size        segmentation.onset_frame_size        int
+onset-hop-size          segmentation.onset_hop_size          int
+onset-alpha             segmentation.onset_alpha             float
+onset-silence-threshold segmentation.onset_silence_threshold float
+markers                 segmentation.markers_file            str
+min-duration            segmentation.min_duration            float
+max-duration            segmentation.max_duration            float
+pad                     segmentation.pad                     float
+groups                  essentia.groups                      list
+frame-size              essentia.frame_size                  int
+hop-size                essentia.hop_size                    int
+stats                   essentia.stats                       list
+psycho-metrics          psychoacoustics.metrics              list
+spl-full-scale          psychoacoustics.spl_full_scale       float
+field-type              psychoacoustics.field_type           str
+psycho-max-duration     psychoacoustics.max_duration         float
+out                     output.directory                     str
+basename                output.basename                      str
+precision               output.precision                     int
+label-format            output.label_formats                 list
+jobs                    jobs                                 int
+"""
+#: Switches, the option that each sets, and to what.
+SWITCHES = """
+normalize     audio.normalize         true
+no-essentia   essentia.enabled        false
+no-psycho     psychoacoustics.enabled false
+no-csv        output.csv              false
+no-json       output.json             false
+no-labels     output.labels           false
+label-markers output.label_regions    false
+verbose       verbose                 true
+"""
+_SHORT = {"segmentation": "-s", "out": "-o", "jobs": "-j", "verbose": "-v"}
+_KINDS = {"int": int, "float": float, "str": str, "list": str}
+
+
+def _rows(table: str) -> list[list[str]]:
+    return [line.split() for line in table.strip().splitlines()]
+
+
+def _analyse_flags(a: argparse.ArgumentParser) -> None:
+    a.add_argument("--list", action="store_true", help="what is available")
+    a.add_argument("--config")
+    a.add_argument("--dry-run", action="store_true", help="slice only")
+    for flag, _, kind in _rows(FLAGS):
+        a.add_argument(*filter(None, (_SHORT.get(flag), f"--{flag}")), type=_KINDS[kind], nargs="+" if kind == "list" else None)
+    for flag, _, _ in _rows(SWITCHES):
+        a.add_argument(*filter(None, (_SHORT.get(flag), f"--{flag}")), action="store_true")
+    a.add_argument("--reaper", action="store_true")
+    a.add_argument("--reaper-script", action="store_true")
+    a.add_argument("-q", "--quiet", action="store_true")
+
 
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="longwave")
     sub = top.add_subparsers(dest="command", required=True)
     a = sub.add_parser("analyse", help="slice and describe audio files")
     a.add_argument("inputs", nargs="*")
-    a.add_argument("--list", action="store_true", help="what is available")
-    a.add_argument("--config")
-    a.add_argument("--dry-run", action="store_true", help="slice only")
-    for flag, kind in (("sample-rate", int), ("start", float), ("duration", float), ("window", float), ("hop", float), ("onset-frame-size", int), ("onset-hop-size", int), ("onset-alpha", float),
-                       ("onset-silence-threshold", float), ("min-duration", float), ("max-duration", float), ("pad", float), ("frame-size", int), ("hop-size", int), ("spl-full-scale", float),
-                       ("psycho-max-duration", float), ("precision", int)):
-        a.add_argument(f"--{flag}", type=kind)
-    for flag in ("downmix", "markers", "onset-method", "field-type", "out", "basename"):
-        a.add_argument(f"--{flag}")
-    a.add_argument("-s", "--segmentation")
-    for flag in ("groups", "stats", "psycho-metrics", "label-format"):
-        a.add_argument(f"--{flag}", nargs="+")
-    for flag in ("normalize", "no-descriptors", "no-psycho", "no-csv", "no-json", "no-labels", "reaper", "reaper-script", "label-markers"):
-        a.add_argument(f"--{flag}", action="store_true")
+    _analyse_flags(a)
     s = sub.add_parser("similarity", help="compare the segments of a table")
     s.add_argument("csv")
     s.add_argument("-f", "--features", nargs="+")
+    s.add_argument("-l", "--list", action="store_true", help="the columns of the table by group")
     s.add_argument("--metric", default="euclidean", choices=similarity.METRICS)
     s.add_argument("--method", default="hierarchical", choices=("hierarchical", "kmeans"))
     s.add_argument("--linkage", default="ward", choices=similarity.LINKAGES)
@@ -38,102 +94,229 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--k-range", nargs=2, type=int, default=(2, 10))
     s.add_argument("--neighbours", type=int, default=3)
     s.add_argument("--seed", type=int, default=0)
+    s.add_argument("--label-format", nargs="+", default=[])
+    s.add_argument("--reaper", action="store_true")
+    s.add_argument("--reaper-script", action="store_true")
+    s.add_argument("--no-merge-labels", action="store_true")
+    s.add_argument("--save-matrix", action="store_true", help="write the square of distances as a table")
     s.add_argument("-o", "--out", default="analysis")
-    b = sub.add_parser("rollup", help="one row per file from segment tables")
+    s.add_argument("-q", "--quiet", action="store_true")
+    v = sub.add_parser("visualise", help="data of an interactive plot of a table")
+    v.add_argument("csv")
+    v.add_argument("-d", "--descriptors", nargs="+")
+    v.add_argument("-l", "--list", action="store_true")
+    v.add_argument("--overlay", action="store_true")
+    v.add_argument("--smooth", type=int, default=1)
+    v.add_argument("-o", "--out", default="analysis")
+    b = sub.add_parser("batch", help="analyse a folder's new files, then extract and roll up all of them")
     b.add_argument("folder")
-    b.add_argument("-o", "--out", default="analysis")
+    b.add_argument("--force", action="store_true", help="analyse all files anew")
+    _analyse_flags(b)
+    r = sub.add_parser("rollup", help="one row per file from segment tables")
+    r.add_argument("folder")
+    r.add_argument("-o", "--out", default="analysis")
     return top
 
 
 def configure(args: argparse.Namespace) -> config.AnalysisConfig:
     """Defaults, then the file, then flags."""
     c = config.load(args.config) if args.config else config.AnalysisConfig()
-    places = {
-        "sample_rate": (c.audio, "sample_rate"), "downmix": (c.audio, "downmix"), "start": (c.audio, "start"), "duration": (c.audio, "duration"), "segmentation": (c.segmentation, "method"),
-        "frame_size": (c.descriptors, "frame_size"), "hop_size": (c.descriptors, "hop_size"), "groups": (c.descriptors, "groups"), "stats": (c.descriptors, "stats"),
-        "psycho_metrics": (c.psychoacoustics, "metrics"), "spl_full_scale": (c.psychoacoustics, "spl_full_scale"), "field_type": (c.psychoacoustics, "field_type"),
-        "psycho_max_duration": (c.psychoacoustics, "max_duration"), "out": (c.output, "directory"), "basename": (c.output, "basename"), "precision": (c.output, "precision"), "label_format": (c.output, "label_formats"),
-    } | {k: (c.segmentation, k) for k in ("window", "hop", "onset_method", "onset_frame_size", "onset_hop_size", "onset_alpha", "onset_silence_threshold", "min_duration", "max_duration", "pad", "markers")}
-    for name, (section, key) in places.items():
-        if getattr(args, name) is not None:
-            setattr(section, key, getattr(args, name))
+    given = lambda flag: getattr(args, flag.replace("-", "_"))
+
+    def put(name: str, value) -> None:
+        section, _, key = name.rpartition(".")
+        setattr(getattr(c, section) if section else c, key, value)
+
+    for flag, name, _ in _rows(FLAGS):
+        if given(flag) is not None:
+            put(name, given(flag))
+    for flag, name, value in _rows(SWITCHES):
+        if given(flag):
+            put(name, json.loads(value))
     if args.max_duration == 0:
         c.segmentation.max_duration = None
-    if args.markers:
+    if args.markers and not args.segmentation:
         c.segmentation.method = "markers"
-    c.audio.normalize |= args.normalize
-    c.descriptors.enabled &= not args.no_descriptors
-    c.psychoacoustics.enabled &= not args.no_psycho
-    c.output.csv &= not args.no_csv
-    c.output.json &= not args.no_json
-    c.output.labels &= not args.no_labels
-    c.output.label_regions &= not args.label_markers
-    c.output.label_formats = [*c.output.label_formats, *["reaper"] * args.reaper, *["reaper_script"] * args.reaper_script]
+    c.output.label_formats = list(dict.fromkeys([*c.output.label_formats, *["reaper"] * args.reaper, *["reaper_script"] * args.reaper_script]))
     return c
 
 
+def _available() -> None:
+    listed = {"segmentation": slicing.strategies(), "groups": kernels.known_groups(), "metrics": psycho.metrics(), "statistics": (*stats.STATS, *stats.VECTOR_STATS), "labels": sinks.label_formats()}
+    print("\n".join(f"{k}: {', '.join(v)}" for k, v in listed.items()))
+
+
+def _analyse(spark: SparkSession, paths: Sequence[str], c: config.AnalysisConfig, dry_run: bool, say) -> int:
+    from longwave import analysis
+
+    frames = analysis.analyse(spark, list(paths), c)
+    try:
+        if dry_run:
+            slicing.duration_stats(frames.segments).show(truncate=False)
+            return 0
+        out, o = c.output.directory, c.output
+        table = frames.table.cache()
+        if o.csv:
+            names = sorted(r["name"] for r in table.select("name").distinct().collect())
+            for path in sinks.segments_csv(sinks.wide_form(table, names), out, o.precision, o.basename):
+                say(path)
+        if o.json:
+            documents = sinks.analysis_documents(frames.pieces, table, frames.summary, frames.whole, c.as_dict(), o.precision)
+            for path in sinks.write_files(documents, out, ".analysis.json", basename=o.basename):
+                say(path)
+        if o.labels:
+            for name in o.label_formats:
+                lines, suffix = sinks.label_lines(sinks.markers(frames.segments), name, o.label_regions)
+                for path in sinks.write_files(lines, out, suffix, basename=o.basename):
+                    say(path)
+        if c.verbose:
+            frames.failures.show(truncate=False)
+        table.unpersist()
+        bad = frames.pieces.where("error IS NOT NULL").select("file", "error")
+        for r in bad.limit(1000).collect():
+            print(f"{r['file']}: {r['error']}", file=sys.stderr)
+        return int(not bad.isEmpty())
+    finally:
+        frames.release()
+
+
+def _segment_table(spark: SparkSession, path: str) -> DataFrame:
+    wide = files.read_segment_table(spark, path)
+    wide = wide if "file" in wide.columns else wide.withColumn("file", F.input_file_name())
+    return wide.withColumn("segment", F.col("segment").cast("long"))
+
+
+def _groups(wide: DataFrame) -> None:
+    names = features.descriptor_columns([c for c in wide.columns if c != "file"])
+    for group in dict.fromkeys(n.split(".")[0] for n in names):
+        print(f"{group}: {', '.join(n for n in names if n.split('.')[0] == group)}")
+
+
+def _similarity(spark: SparkSession, args: argparse.Namespace, fail) -> int:
+    wide = _segment_table(spark, args.csv)
+    if args.list:
+        _groups(wide)
+        return 0
+    names = features.glob_select(features.descriptor_columns([c for c in wide.columns if c != "file"]), args.features, features.DEFAULT_FEATURES)
+    if not names:
+        fail("no column fits the features")
+    z = features.standardise(files.long_form(wide.select("file", *features.INDEX_COLUMNS, *(f"`{n}`" for n in names))))
+    rows = z.groupBy("file", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "z"))), lambda s: s["z"]).alias("v")).cache()
+    if rows.isEmpty():
+        fail("no usable feature")
+    try:
+        done = similarity.analyse(rows, args.metric, args.method, args.linkage, args.k, tuple(args.k_range), args.seed).cache()
+    except ValueError as wrong:
+        fail(str(wrong))
+    index = wide.select("file", *features.INDEX_COLUMNS).cache()
+    table = sinks.clusters_table(done, index)
+    table.write.mode("overwrite").csv(f"{args.out}/clusters", header=True)
+    near = similarity.neighbours(rows, args.neighbours, args.metric)
+    sinks.neighbours_table(near, index.select("file", "segment", "start")).write.mode("overwrite").csv(f"{args.out}/neighbours", header=True)
+    if args.save_matrix:
+        similarity.square(similarity.pairwise(rows, args.metric), rows).write.mode("overwrite").parquet(f"{args.out}/distances")
+    clustered = done.select("file", "segment", "cluster", "silhouette").join(index, ["file", "segment"])
+    runs = clustered if args.no_merge_labels else features.merge_runs(clustered)
+    marks = runs.select("file", F.row_number().over(features.by_start()).cast("long").alias("ord"), "start", "end", F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("name"), F.lit(None).cast("string").alias("color"))
+    for name in dict.fromkeys([*args.label_format, *["reaper"] * args.reaper, *["reaper_script"] * args.reaper_script]):
+        lines, suffix = sinks.label_lines(marks, name)
+        sinks.write_files(lines, args.out, f".clusters{suffix}")
+    if not args.quiet:
+        print("\n".join(plots.report([r.asDict() for r in stats.cluster_report(clustered).collect()])))
+    return 0
+
+
+def _visualise(spark: SparkSession, args: argparse.Namespace, fail) -> int:
+    wide = _segment_table(spark, args.csv)
+    if args.list:
+        _groups(wide)
+        return 0
+    known = features.descriptor_columns([c for c in wide.columns if c != "file"])
+    names = features.glob_select(known, args.descriptors)
+    if not names:
+        fail("no column fits the descriptors")
+    if args.overlay and len(names) > 8:
+        fail("at most 8 series can be laid over each other")
+    for n in names if args.smooth > 1 else ():
+        part = features.rolling_median(wide.select("file", "segment", "start", F.col(f"`{n}`").cast("double").alias("value")), args.smooth, order="start", into="smooth")
+        wide = wide.drop(n).join(part.select("file", "segment", F.col("smooth").alias(n)), ["file", "segment"])
+    if args.overlay:
+        for n in names:
+            part = features.overlay(wide.select("file", "segment", F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("value")), ("file", "name"), 8)
+            wide = wide.drop(n).join(part.select("file", "segment", F.col("z").alias(n)), ["file", "segment"])
+    documents = sinks.plot_documents(wide.select("file", *features.INDEX_COLUMNS, *(F.col(f"`{n}`") for n in names)), names, list(features.DEFAULT_VIEW))
+    for path in sinks.write_files(documents, args.out, ".plot.json"):
+        print(path)
+    return 0
+
+
+def _extract(spark: SparkSession, folder: str, out: str) -> int:
+    """The tables of a batch: chosen columns of all segments, and one row per file."""
+    wide = _segment_table(spark, f"{folder}/*.segments.csv")
+    wide = wide.withColumn("file", sinks.stem(F.regexp_replace("file", r"\.segments\.csv$", "")))
+    chosen = features.project(wide, features.BATCH_COLUMNS)
+    chosen.write.mode("overwrite").csv(f"{out}/all_segments", header=True)
+    plain = {short: short.replace(".", "_") for _, short in features.BATCH_COLUMNS}
+    rows = chosen.select("file", "start", "end", "duration", *(F.col(f"`{k}`").alias(v) for k, v in plain.items()))
+    rolled = stats.file_rollup(rows, list(plain.values()))
+    shown = rolled.select("file", "n_segments", F.format_string("%.4f", "duration").alias("duration"), *(F.format_string("%.6g", v).alias(k) for k, v in plain.items()))
+    shown.coalesce(1).write.mode("overwrite").csv(f"{out}/all_files", header=True)
+    return 0
+
+
+def _batch(spark: SparkSession, args: argparse.Namespace, c: config.AnalysisConfig, fail, say) -> int:
+    out = c.output.directory
+    c.output.csv = True
+    inputs = files.scan_folder(spark, args.folder).select("path", "modificationTime", sinks.stem(F.col("path")).alias("key"))
+    if inputs.isEmpty():
+        fail("no audio in the folder")
+    made = spark.read.format("binaryFile").option("pathGlobFilter", "*.segments.csv")
+    try:
+        outputs = made.load(out).select(sinks.stem(F.regexp_replace("path", r"\.segments\.csv$", "")).alias("key"), "modificationTime", "length")
+        outputs.isEmpty()
+    except Exception as missing:  # noqa: BLE001  Spark raises an analysis error if the folder is not there yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        outputs = spark.createDataFrame([], "key string, modificationTime timestamp, length long")
+    new = [r["path"] for r in files.stale_inputs(inputs, outputs, args.force).select("path").orderBy("path").collect()]
+    say(f"{len(new)} of {inputs.count()} files to analyse")
+    failed = _analyse(spark, new, c, False, say) if new else 0
+    return max(failed, _extract(spark, out, out))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = _parser()
     args = parser.parse_args(argv)
-    if args.command == "analyse" and args.list:
-        print("segmentation:", ", ".join([*slicing.strategies(), "sbic"]), "\ngroups:", ", ".join(kernels.GROUPS), "\nmetrics:", ", ".join(psycho.metrics()), "\nstatistics:", ", ".join(stats.STATS))
+    say = (lambda *_: None) if getattr(args, "quiet", False) else print
+    if args.command in ("analyse", "batch") and args.list:
+        _available()
         return 0
-    from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
-
-    spark = SparkSession.builder.getOrCreate()
-    if args.command == "analyse":
-        from longwave import analysis
-
+    if args.command in ("analyse", "batch"):
         try:
             c = configure(args)
             config.validate(c)
-        except ValueError as wrong:
+        except (ValueError, OSError) as wrong:
             parser.error(str(wrong))
+    if args.command == "analyse":
         paths = files.expand_inputs(args.inputs)
         if not paths:
             parser.error("no inputs")
-        marks = files.read_markers(spark, c.segmentation.markers) if c.segmentation.markers else None
-        frames = analysis.analyse(spark, paths, c, marks)
-        if args.dry_run:
-            slicing.duration_stats(frames.segments).show(truncate=False)
-            return 0
-        out = c.output.directory
-        table = frames.table.cache()
-        if c.output.csv:
-            names = sorted(r["name"] for r in table.select("name").distinct().collect())
-            sinks.segments_csv(sinks.wide_form(table, names), f"{out}/segments.csv", c.output.precision)
-        if c.output.json:
-            frames.summary.write.mode("overwrite").json(f"{out}/summary.json")
-            frames.whole.write.mode("overwrite").json(f"{out}/whole.json")
-        if c.output.labels:
-            for name in c.output.label_formats:
-                lines, suffix = sinks.label_format(name)
-                sinks.write_lines(lines(sinks.markers(frames.segments)), f"{out}/labels{suffix}")
-        failed = frames.pieces.where("error IS NOT NULL").select("file", "error").collect()
-        for r in failed:
-            print(f"{r['file']}: {r['error']}", file=sys.stderr)
-        return int(bool(failed))
+    builder = SparkSession.builder
+    if getattr(args, "jobs", None):
+        builder = builder.master(f"local[{args.jobs}]")
+    spark = builder.getOrCreate()
+    if args.command == "analyse":
+        try:
+            return _analyse(spark, paths, c, args.dry_run, say)
+        except ValueError as wrong:
+            parser.error(str(wrong))
+    if args.command == "batch":
+        return _batch(spark, args, c, parser.error, say)
     if args.command == "similarity":
-        wide = files.read_segment_table(spark, args.csv)
-        wide = wide if "file" in wide.columns else wide.withColumn("file", F.lit(args.csv))
-        wide = wide.withColumn("segment", F.col("segment").cast("long"))
-        names = features.glob_select(features.descriptor_columns([c for c in wide.columns if c != "file"]), args.features, features.DEFAULT_FEATURES)
-        z = features.standardise(files.long_form(wide.select("file", *features.INDEX_COLUMNS, *(f"`{n}`" for n in names))))
-        rows = z.groupBy("file", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("name", "z"))), lambda s: s["z"]).alias("v")).cache()
-        if rows.isEmpty():
-            parser.error("no usable feature")
-        done = similarity.analyse(rows, args.metric, args.method, args.linkage, args.k, tuple(args.k_range), args.seed)
-        sinks.clusters_table(done, wide.select("file", *features.INDEX_COLUMNS)).write.mode("overwrite").csv(f"{args.out}/clusters", header=True)
-        near = similarity.neighbours(rows, args.neighbours, args.metric)
-        sinks.neighbours_table(near, wide.select("file", "segment", "start")).write.mode("overwrite").csv(f"{args.out}/neighbours", header=True)
-        return 0
-    wide = files.read_segment_table(spark, args.folder)
-    wide = wide if "file" in wide.columns else wide.withColumn("file", F.col("_metadata.file_path"))
-    names = [n for n in features.DEFAULT_VIEW if n in wide.columns]
-    short = wide.select("file", "start", "end", "duration", *(F.col(f"`{n}`").alias(n.replace(".", "_")) for n in names))
-    stats.file_rollup(short, [n.replace(".", "_") for n in names]).write.mode("overwrite").csv(f"{args.out}/all_files", header=True)
-    return 0
+        return _similarity(spark, args, parser.error)
+    if args.command == "visualise":
+        return _visualise(spark, args, parser.error)
+    return _extract(spark, args.folder, args.out)
 
 
 if __name__ == "__main__":

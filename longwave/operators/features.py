@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from longwave.operators.stats import finite
 
@@ -109,13 +110,19 @@ def standardise(table: DataFrame) -> DataFrame:
     return used.join(moments, ["file", "name"]).select("file", "segment", "name", ((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
 
 
-def overlay(table: DataFrame, keys: Sequence[str] = ("file",), most: int = 8) -> DataFrame:
-    """value as a z-score within keys; 0 where all values are equal."""
+def overlay(table: DataFrame, keys: Sequence[str] = ("file",), most: int | None = None) -> DataFrame:
+    """value as a z-score within keys; 0 where all values are equal.  More than ``most`` names are an error: they would hide each other."""
+    if most is not None and len(table.select("name").distinct().limit(most + 1).collect()) > most:
+        raise ValueError(f"at most {most} series can be laid over each other")
     by = Window.partitionBy(*keys)
     s = F.stddev_pop("value").over(by)
     return table.withColumn("z", F.when(s > 0, (F.col("value") - F.avg("value").over(by)) / s).otherwise(0.0))
 
 
+def by_start() -> WindowSpec:
+    return Window.partitionBy("file").orderBy("start")
+
+
 def rolling_median(table: DataFrame, rows: int, keys: Sequence[str] = ("file",), order: str = "i", into: str = "median") -> DataFrame:
     """The median of ``rows`` neighbouring rows, centred; non-finite values do not count."""
     value = F.when(finite(F.col("value")), F.col("value"))

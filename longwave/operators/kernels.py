@@ -6,12 +6,18 @@ task holds a bounded number of samples.  A group that fails for a segment leaves
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from longwave.operators import slicing
 from longwave.operators.spectral import BARK_EDGES
 
 FRAME, HOP = 2048, 1024
@@ -26,10 +32,19 @@ def frame_array(x: np.ndarray, size: int = FRAME, hop: int = HOP) -> np.ndarray:
     return padded[np.arange(count)[:, None] * hop + np.arange(size)]
 
 
-def spectra(frames: np.ndarray) -> np.ndarray:
-    """Magnitudes of Hann-windowed frames, scaled so that a full-scale sine gives about one half."""
-    window = np.hanning(frames.shape[1] + 1)[:-1]
-    return np.abs(np.fft.rfft(frames * window, axis=1)) / window.sum()
+#: Window functions by name, from the number of samples.
+WINDOWS: dict[str, Callable[[int], np.ndarray]] = {
+    "hann": lambda n: np.hanning(n + 1)[:-1],
+    "hamming": lambda n: np.hamming(n + 1)[:-1],
+    "blackman": lambda n: np.blackman(n + 1)[:-1],
+    "square": np.ones,
+}
+
+
+def spectra(frames: np.ndarray, window: str = "hann") -> np.ndarray:
+    """Magnitudes of windowed frames, scaled so that a full-scale sine gives about one half."""
+    shape = WINDOWS[window](frames.shape[1])
+    return np.abs(np.fft.rfft(frames * shape, axis=1)) / shape.sum()
 
 
 def _triangles(edges: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -50,8 +65,9 @@ def erb_weights(f: np.ndarray, bands: int = 40) -> np.ndarray:
     return (1 + ((f[None, :] - centres[:, None]) / width[:, None]) ** 2) ** -2.0
 
 
-def bark_weights(f: np.ndarray) -> np.ndarray:
-    return np.array([(f >= lo) & (f < hi) for lo, hi in zip(BARK_EDGES, BARK_EDGES[1:], strict=False)], float)
+def bark_weights(f: np.ndarray, bands: int = len(BARK_EDGES) - 1) -> np.ndarray:
+    edges = BARK_EDGES[: bands + 1]
+    return np.array([(f >= lo) & (f < hi) for lo, hi in zip(edges, edges[1:], strict=False)], float)
 
 
 def cosine_basis(bands: int, count: int) -> np.ndarray:
@@ -155,9 +171,6 @@ def _entropy(v: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-GROUPS = ("dynamics", "spectral", "noisiness", "mfcc", "gfcc", "barkbands", "melbands", "erbbands", "harmonic", "tonal")
-
-
 def _vector(prefix: str, rows: np.ndarray) -> dict[str, np.ndarray]:
     digits = len(str(rows.shape[1] - 1))
     return {f"{prefix}.{k:0{digits}d}": rows[:, k] for k in range(rows.shape[1])}
@@ -169,77 +182,157 @@ def _shape(prefix: str, bands: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{prefix}.flatness": np.where(mean > 0, geometric / np.where(mean > 0, mean, 1), 0), f"{prefix}.crest": np.where(mean > 0, bands.max(axis=1) / np.where(mean > 0, mean, 1), 0)}
 
 
-def describe_frames(x: np.ndarray, rate: float, groups: Sequence[str], size: int = FRAME, hop: int = HOP) -> dict[str, np.ndarray]:
-    """Per-frame values of the asked groups; names whose frames have no value are shorter or missing."""
-    frames = frame_array(np.asarray(x, float), size, hop)
-    if not len(frames):
-        return {}
-    m, f, out = spectra(frames), np.fft.rfftfreq(size, 1 / rate), {}
-    picked = [peaks(row, f) for row in m] if {"noisiness", "harmonic", "tonal"} & set(groups) else []
-    pitch = np.array([yin(row, rate) for row in frames]) if {"noisiness", "harmonic"} & set(groups) else np.zeros((0, 2))
+@dataclass(frozen=True)
+class Settings:
+    """What descriptor groups can be told."""
+
+    window: str = "hann"
+    mfcc_bands: int = 40
+    mfcc_coefficients: int = 13
+    gfcc_bands: int = 40
+    gfcc_coefficients: int = 13
+    bark_bands: int = len(BARK_EDGES) - 1
+    mel_bands: int = 40
+    erb_bands: int = 40
+    rolloff_cutoff: float = 0.85
+    peaks_magnitude_threshold: float = 1e-5
+    peaks_max: int = 100
+    peaks_min_frequency: float = 20.0
+    peaks_max_frequency: float = 8000.0
+    energy_bands: tuple[tuple[float, float], ...] = ((20, 150), (150, 800), (800, 4000), (4000, 20000))
+
+
+class Frames:
+    """The frames of a segment with what several groups need, computed once."""
+
+    def __init__(self, x: np.ndarray, rate: float, size: int, hop: int, settings: Settings):
+        self.x, self.rate, self.size, self.settings = frame_array(np.asarray(x, float), size, hop), rate, size, settings
+        self.f = np.fft.rfftfreq(size, 1 / rate)
+
+    @cached_property
+    def m(self) -> np.ndarray:
+        return spectra(self.x, self.settings.window)
+
+    @cached_property
+    def peaks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        s = self.settings
+        return [peaks(row, self.f, s.peaks_magnitude_threshold, s.peaks_min_frequency, s.peaks_max_frequency, s.peaks_max) for row in self.m]
+
+    @cached_property
+    def pitch(self) -> np.ndarray:
+        return np.array([yin(row, self.rate) for row in self.x])
+
+
+Group = Callable[[Frames], dict[str, np.ndarray]]
+_GROUPS: dict[str, Group] = {}
+
+
+def group(name: str) -> Callable[[Group], Group]:
+    """Make a descriptor group (frames) -> {name: values by frame} available."""
+
+    def keep(made: Group) -> Group:
+        _GROUPS[name] = made
+        return made
+
+    return keep
+
+
+@group("dynamics")
+def _dynamics(s: Frames) -> dict[str, np.ndarray]:
+    power = (s.x**2).mean(axis=1)
+    return {"dynamics.rms": np.sqrt(power), "dynamics.loudness": (power * s.size) ** 0.67, "dynamics.power_dB": 10 * np.log10(power + 1e-12)}
+
+
+@group("spectral")
+def _spectral(s: Frames) -> dict[str, np.ndarray]:
+    m, f = s.m, s.f
     total = m.sum(axis=1)
     safe = np.where(total > 0, total, 1)
-
-    def dynamics():
-        power = (frames**2).mean(axis=1)
-        return {"dynamics.rms": np.sqrt(power), "dynamics.loudness": (power * size) ** 0.67, "dynamics.power_dB": 10 * np.log10(power + 1e-12)}
-
-    def spectral():
-        c = (m @ f) / safe
-        moment = lambda k: (m * (f[None, :] - c[:, None]) ** k).sum(axis=1) / safe
-        m2 = moment(2)
-        spread = np.where(m2 > 0, m2, 1)
-        energy = np.cumsum(m**2, axis=1)
-        p = m / safe[:, None]
-        flux = np.sqrt((np.diff(m, axis=0, prepend=np.zeros((1, m.shape[1]))) ** 2).sum(axis=1))
-        slope = ((m - m.mean(axis=1, keepdims=True)) @ (f - f.mean())) / ((f - f.mean()) ** 2).sum()
-        top = m.max(axis=1)
-        values = {
-            "centroid": c, "spread": m2, "skewness": moment(3) / spread**1.5, "kurtosis": moment(4) / spread**2 - 3, "rolloff": f[(energy < 0.85 * energy[:, -1:]).sum(axis=1)], "decrease": slope,
-            "entropy": -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1), "hfc": (m**2) @ f, "complexity": np.array([len(peaks(r, f, 0.005, 100, 5000)[0]) for r in m], float),
-            "strong_peak": top / np.maximum((m >= top[:, None] / 2).sum(axis=1), 1), "flux": flux,
-        }
-        for lo, hi in ((20, 150), (150, 800), (800, 4000), (4000, 20000)):
-            inside = (f >= lo) & (f < min(hi, rate / 2 - 1))
-            values[f"energy_band_{lo}_{hi}"] = (m[:, inside] ** 2).sum(axis=1) / np.where(energy[:, -1] > 0, energy[:, -1], 1)
-        return {f"spectral.{k}": v for k, v in values.items()} | _shape("spectral", m)
-
-    def noisiness():
-        sign = frames < 0
-        pairs = [dissonance(*p) for p in picked if len(p[0]) > 1]
-        salience = []
-        for row in frames:
-            r = np.fft.irfft(np.abs(np.fft.rfft(row, 2 * size)) ** 2)[: size // 2]
-            salience.append(max(0.0, r[int(rate / 5000) : ].max() / r[0]) if r[0] > 0 else 0.0)
-        return {"noisiness.zcr": (sign[:, 1:] != sign[:, :-1]).sum(axis=1) / size, "noisiness.pitch_salience": np.array(salience), "noisiness.f0": pitch[:, 0], "noisiness.f0_confidence": pitch[:, 1],
-                "noisiness.n_peaks": np.array([len(p[0]) for p in picked], float)} | ({"noisiness.dissonance": np.array(pairs)} if pairs else {})
-
-    def bands(name: str, weights: np.ndarray):
-        energies = (m**2) @ weights.T
-        return _vector(f"{name}.energies", energies) | _shape(name, energies)
-
-    def harmonic():
-        found = [harmonic_values(*p, f0) for p, f0 in zip(picked, pitch[:, 0], strict=True)]
-        return {k: np.array([v[k] for v in found if v]) for v in found[:1] or [{}] for k in next((v for v in found if v), {})}
-
-    def tonal():
-        profiles = np.array([pitch_classes(*p) for p in picked if (p[0] > 0).any()])
-        if not len(profiles):
-            return {}
-        return _vector("tonal.hpcp", profiles) | {"tonal.hpcp_entropy": np.array([_entropy(v) for v in profiles]), "tonal.hpcp_crest": profiles.max(axis=1) / np.maximum(profiles.mean(axis=1), 1e-300)}
-
-    makers: dict[str, Callable[[], dict[str, np.ndarray]]] = {
-        "dynamics": dynamics, "spectral": spectral, "noisiness": noisiness, "harmonic": harmonic, "tonal": tonal,
-        "mfcc": lambda: _vector("mfcc.coeffs", cepstra(m, mel_weights(f))), "gfcc": lambda: _vector("gfcc.coeffs", cepstra(m, erb_weights(f))),
-        "barkbands": lambda: bands("barkbands", bark_weights(f)), "melbands": lambda: bands("melbands", mel_weights(f)), "erbbands": lambda: bands("erbbands", erb_weights(f)),
+    c = (m @ f) / safe
+    moment = lambda k: (m * (f[None, :] - c[:, None]) ** k).sum(axis=1) / safe
+    m2 = moment(2)
+    spread = np.where(m2 > 0, m2, 1)
+    energy = np.cumsum(m**2, axis=1)
+    p = m / safe[:, None]
+    flux = np.sqrt((np.diff(m, axis=0, prepend=np.zeros((1, m.shape[1]))) ** 2).sum(axis=1))
+    slope = ((m - m.mean(axis=1, keepdims=True)) @ (f - f.mean())) / ((f - f.mean()) ** 2).sum()
+    top = m.max(axis=1)
+    values = {
+        "centroid": c, "spread": m2, "skewness": moment(3) / spread**1.5, "kurtosis": moment(4) / spread**2 - 3, "rolloff": f[(energy < s.settings.rolloff_cutoff * energy[:, -1:]).sum(axis=1)],
+        "decrease": slope, "entropy": -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1), "hfc": (m**2) @ f, "complexity": np.array([len(peaks(r, f, 0.005, 100, 5000)[0]) for r in m], float),
+        "strong_peak": top / np.maximum((m >= top[:, None] / 2).sum(axis=1), 1), "flux": flux,
     }
-    for group in groups:
-        if group not in makers:
-            raise ValueError(f"unknown group {group!r}; known: {', '.join(GROUPS)}")
+    for lo, hi in s.settings.energy_bands:
+        inside = (f >= lo) & (f < min(hi, s.rate / 2 - 1))
+        values[f"energy_band_{lo:g}_{hi:g}"] = (m[:, inside] ** 2).sum(axis=1) / np.where(energy[:, -1] > 0, energy[:, -1], 1)
+    return {f"spectral.{k}": v for k, v in values.items()} | _shape("spectral", m)
+
+
+@group("noisiness")
+def _noisiness(s: Frames) -> dict[str, np.ndarray]:
+    sign = s.x < 0
+    pairs = [dissonance(*p) for p in s.peaks if len(p[0]) > 1]
+    r = np.fft.irfft(np.abs(np.fft.rfft(s.x, 2 * s.size, axis=1)) ** 2, axis=1)[:, : s.size // 2]
+    top = r[:, int(s.rate / 5000) :].max(axis=1, initial=0.0)
+    salience = np.where(r[:, 0] > 0, np.maximum(0.0, top / np.where(r[:, 0] > 0, r[:, 0], 1)), 0.0)
+    values = {"zcr": (sign[:, 1:] != sign[:, :-1]).sum(axis=1) / s.size, "pitch_salience": salience, "f0": s.pitch[:, 0], "f0_confidence": s.pitch[:, 1], "n_peaks": np.array([len(p[0]) for p in s.peaks], float)}
+    return {f"noisiness.{k}": v for k, v in values.items()} | ({"noisiness.dissonance": np.array(pairs)} if pairs else {})
+
+
+def _bands(s: Frames, name: str, weights: np.ndarray) -> dict[str, np.ndarray]:
+    energies = (s.m**2) @ weights.T
+    return _vector(f"{name}.energies", energies) | _shape(name, energies)
+
+
+group("mfcc")(lambda s: _vector("mfcc.coeffs", cepstra(s.m, mel_weights(s.f, s.settings.mfcc_bands), s.settings.mfcc_coefficients)))
+group("gfcc")(lambda s: _vector("gfcc.coeffs", cepstra(s.m, erb_weights(s.f, s.settings.gfcc_bands), s.settings.gfcc_coefficients)))
+group("barkbands")(lambda s: _bands(s, "barkbands", bark_weights(s.f, s.settings.bark_bands)))
+group("melbands")(lambda s: _bands(s, "melbands", mel_weights(s.f, s.settings.mel_bands)))
+group("erbbands")(lambda s: _bands(s, "erbbands", erb_weights(s.f, s.settings.erb_bands)))
+
+
+@group("harmonic")
+def _harmonic(s: Frames) -> dict[str, np.ndarray]:
+    found = [v for v in (harmonic_values(*p, f0) for p, f0 in zip(s.peaks, s.pitch[:, 0], strict=True)) if v]
+    return {k: np.array([v[k] for v in found]) for k in (found[0] if found else {})}
+
+
+@group("tonal")
+def _tonal(s: Frames) -> dict[str, np.ndarray]:
+    profiles = np.array([pitch_classes(*p) for p in s.peaks if (p[0] > 0).any()])
+    if not len(profiles):
+        return {}
+    return _vector("tonal.hpcp", profiles) | {"tonal.hpcp_entropy": np.array([_entropy(v) for v in profiles]), "tonal.hpcp_crest": profiles.max(axis=1) / np.maximum(profiles.mean(axis=1), 1e-300)}
+
+
+#: The groups that come with this module, in the order of views; :func:`group` adds others.
+GROUPS = ("dynamics", "spectral", "noisiness", "mfcc", "gfcc", "barkbands", "melbands", "erbbands", "harmonic", "tonal")
+
+
+def known_groups() -> list[str]:
+    return [*GROUPS, *sorted(set(_GROUPS) - set(GROUPS))]
+
+
+def _chosen(groups: Sequence[str]) -> dict[str, Group]:
+    """The functions of groups, taken on the driver, so that executors need no registry."""
+    unknown = [g for g in groups if g not in _GROUPS]
+    if unknown:
+        raise ValueError(f"unknown groups {unknown}; known: {', '.join(known_groups())}")
+    return {g: _GROUPS[g] for g in groups}
+
+
+def describe_frames(x: np.ndarray, rate: float, groups: Sequence[str] | dict[str, Group], size: int = FRAME, hop: int = HOP, settings: Settings = Settings(), failed: list[str] | None = None) -> dict[str, np.ndarray]:
+    """Per-frame values of the asked groups; names whose frames have no value are shorter or missing, those of groups that fail are too."""
+    made = groups if isinstance(groups, dict) else _chosen(groups)
+    frames, out = Frames(x, rate, size, hop, settings), {}
+    if not len(frames.x):
+        return {}
+    for name, group_of in made.items():
         try:
-            out |= makers[group]()
+            out |= group_of(frames)
         except (ValueError, IndexError, np.linalg.LinAlgError):
-            continue
+            if failed is not None:
+                failed.append(name)
     return out
 
 
@@ -252,44 +345,112 @@ def dynamic_complexity(x: np.ndarray, rate: float) -> tuple[float, float]:
     return float(np.abs(level - whole).mean()), float(whole)
 
 
-def describe(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], size: int = FRAME, hop: int = HOP) -> DataFrame:
+def describe(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], size: int = FRAME, hop: int = HOP, settings: Settings = Settings()) -> DataFrame:
     """Long per-frame values (file, segment, frame, name, value) of segments (file, segment, x)."""
-    unknown = [g for g in groups if g not in GROUPS]
-    if unknown:
-        raise ValueError(f"unknown groups {unknown}; known: {', '.join(GROUPS)}")
+    chosen = _chosen(groups)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for rows in batches:
-            for file, segment, x in zip(rows["file"], rows["segment"], rows["x"], strict=True):
-                for name, values in describe_frames(x, rate, groups, size, hop).items():
-                    yield pd.DataFrame({"file": file, "segment": segment, "frame": np.arange(len(values), dtype=np.int64), "name": name, "value": np.asarray(values, float)})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for file, segment, x in _signals(batches):
+            found = describe_frames(x, rate, chosen, size, hop, settings)
+            if found:
+                count = np.array([len(v) for v in found.values()])
+                columns = [
+                    pa.array([file] * int(count.sum()), pa.string()), pa.array(np.full(count.sum(), segment, np.int64)), pa.array(np.concatenate([np.arange(n) for n in count])),
+                    pa.array(np.repeat(np.array(list(found), object), count), pa.string()), pa.array(np.concatenate(list(found.values())).astype(float)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "segment", "frame", "name", "value"])
+
+    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInArrow(run, "file string, segment long, frame long, name string, value double")
 
-    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInPandas(run, "file string, segment long, frame long, name string, value double")
+
+def _signals(batches: Iterable[pa.RecordBatch]) -> Iterable[tuple[str, int, np.ndarray]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.column("file")[k].as_py(), batch.column("segment")[k].as_py(), np.asarray(batch.column("x")[k].values)
+
+
+def summarise(values: dict[str, np.ndarray], wanted: Sequence[str]) -> dict[str, float]:
+    """Statistics of a segment's frames: name.stat, and for components of a vector name.stat.index.
+
+    Derivatives are differences between neighbouring frames; dmean is the mean of their absolute values, dvar their population
+    variance, and the second ones likewise; with too few frames they are left out.  cov and icov are the
+    covariance matrix of a vector and its (pseudo-)inverse, row by row.
+    """
+    out: dict[str, float] = {}
+    by_length: dict[int, list[str]] = {}
+    for name, v in values.items():
+        by_length.setdefault(len(v), []).append(name)
+    for length, names in by_length.items():
+        if not length:
+            continue
+        x = np.stack([values[n] for n in names]).astype(float)
+        first = np.diff(x, axis=1)
+        second = np.diff(first, axis=1)
+        made = {
+            "mean": lambda: x.mean(axis=1), "stdev": lambda: x.std(axis=1), "var": lambda: x.var(axis=1), "median": lambda: np.median(x, axis=1), "min": lambda: x.min(axis=1), "max": lambda: x.max(axis=1),
+            "dmean": lambda: np.abs(first).mean(axis=1), "dvar": lambda: first.var(axis=1), "dmean2": lambda: np.abs(second).mean(axis=1), "dvar2": lambda: second.var(axis=1),
+        }
+        need = {"dmean": first, "dvar": first, "dmean2": second, "dvar2": second}
+        for stat in wanted:
+            if stat in made and need.get(stat, x).shape[1]:
+                for name, value in zip(names, made[stat]().tolist(), strict=True):
+                    base, dot, index = name.rpartition(".")
+                    out[f"{base}.{stat}.{index}" if dot and index.isdigit() else f"{name}.{stat}"] = value
+        if {"cov", "icov"} & set(wanted):
+            for base in dict.fromkeys(re.sub(r"\.\d+$", "", n) for n in names if re.search(r"\.\d+$", n)):
+                parts = [k for k, n in enumerate(names) if re.fullmatch(re.escape(base) + r"\.\d+", n)]
+                cov = np.atleast_2d(np.cov(x[parts], bias=True))
+                for stat, matrix in (("cov", cov), ("icov", np.linalg.pinv(cov) if "icov" in wanted else None)):
+                    if stat in wanted:
+                        digits = len(str(matrix.size - 1))
+                        out |= {f"{base}.{stat}.{k:0{digits}d}": float(v) for k, v in enumerate(matrix.ravel())}
+    return out
+
+
+def describe_segments(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], wanted: Sequence[str] = (), size: int = FRAME, hop: int = HOP, settings: Settings = Settings()) -> DataFrame:
+    """(file, segment, name, value): statistics of each segment's frames and its values as a whole, in one pass over its samples.
+
+    A segment is whole in its task, so no frame leaves it.  A group that fails leaves its names out; ``failed.<group>`` is 1 then.
+    """
+    chosen = _chosen(groups)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for file, segment, x in _signals(batches):
+            if not len(x):
+                continue
+            failed: list[str] = []
+            found = summarise(describe_frames(x, rate, chosen, size, hop, settings, failed), wanted) | {f"failed.{g}": 1.0 for g in failed}
+            found |= whole_values(x, rate, groups, hop)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([file] * len(found), pa.string()), pa.array(np.full(len(found), segment, np.int64)), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())],
+                ["file", "segment", "name", "value"],
+            )
+
+    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInArrow(run, "file string, segment long, name string, value double")
 
 
 #: Fixed value: the name of a segment's frame count.
 FRAME_COUNT = "essentia.n_frames"
 
 
-def describe_whole(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], hop: int = HOP) -> DataFrame:
-    """Values of whole segments that no statistic summarises: (file, segment, name, value).
+def whole_values(x: np.ndarray, rate: float, groups: Sequence[str], hop: int) -> dict[str, float]:
+    """Values of a whole segment that no statistic summarises: the frame count, and of the group dynamics complexity and level."""
+    out = {FRAME_COUNT: float(max(1, -(-len(x) // hop)))}
+    if "dynamics" in groups:
+        out["dynamics.dynamic_complexity"], out["dynamics.loudness_dB"] = dynamic_complexity(x, rate)
+    return out
 
-    The frame count is always there; dynamic complexity and level belong to the group dynamics.
-    """
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for file, segment, x in zip(rows["file"], rows["segment"], rows["x"], strict=True):
-                if not len(x):
-                    continue
-                out.append((file, segment, FRAME_COUNT, float(max(1, -(-len(x) // hop)))))
-                if "dynamics" in groups:
-                    complexity, level = dynamic_complexity(x, rate)
-                    out += [(file, segment, "dynamics.dynamic_complexity", complexity), (file, segment, "dynamics.loudness_dB", level)]
-            yield pd.DataFrame(out, columns=["file", "segment", "name", "value"])
+def describe_whole(segments: DataFrame, rate: float, groups: Sequence[str] = GROUPS[:6], hop: int = HOP) -> DataFrame:
+    """The values of whole segments alone: (file, segment, name, value); empty segments have none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for file, segment, x in _signals(batches):
+            if len(x):
+                found = whole_values(x, rate, groups, hop)
+                yield pa.RecordBatch.from_pydict({"file": [file] * len(found), "segment": [segment] * len(found), "name": list(found), "value": list(found.values())})
 
-    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInPandas(run, "file string, segment long, name string, value double")
+    return segments.selectExpr("file", "cast(segment as bigint) segment", "x").mapInArrow(run, "file string, segment long, name string, value double")
 
 
 ONSET_METHODS = ("hfc", "complex", "complex_phase", "flux", "melflux", "rms", "superflux")
@@ -411,6 +572,17 @@ def sbic_edges(files: DataFrame, rate: float, size: int = 2048, hop: int = 1024,
     return files.select("file", "x").mapInPandas(run, "file string, t double")
 
 
+@slicing.register("sbic")
+def sbic(totals: DataFrame, audio: DataFrame, rate: float, size: int, hop: int, coefficients: int, window: float, grid_hop: float | None = None, drop_last_partial: bool = True, **options) -> DataFrame:
+    """Bounds between change points of the audio (file, x); files of too few frames for the criterion get the constant grid."""
+    long_enough = F.ceil(F.size("x") / hop) >= max(options.get("size1", 300), options.get("size2", 200))
+    edges = sbic_edges(audio.where(long_enough), rate, size, hop, coefficients, **options)
+    known = totals.join(audio.select("file", long_enough.alias("changing")), "file")
+    ends = known.where("changing").select("file", F.explode(F.array(F.lit(0.0), F.col("total"))).alias("t"))
+    inner = edges.join(totals, "file").where("t > 0 AND t < total").select("file", "t")
+    return slicing.between_edges(inner.unionByName(ends)).unionByName(slicing.fixed(known.where("NOT changing").select("file", "total"), window, grid_hop, drop_last_partial))
+
+
 def resample_array(x: np.ndarray, source: int, target: int, half_width: int = 16) -> np.ndarray:
     """Windowed-sinc interpolation at the target rate; as it is if rates agree or nothing is there."""
     x = np.asarray(x, float)

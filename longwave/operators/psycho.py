@@ -87,11 +87,23 @@ def _bark_pressure(p: np.ndarray, rate: float, size: int = 4096, hop: int = 2048
     return np.stack([power[:, (f >= lo) & (f < hi)].sum(axis=1) for lo, hi in zip(BARK_EDGES, BARK_EDGES[1:], strict=False)], axis=1)
 
 
-def specific_loudness(p: np.ndarray, rate: float) -> np.ndarray:
-    """Sone per band and frame: a power law above a threshold in quiet of 4 dB."""
+#: By Bark band, by how many dB a diffuse field excites the ear more than a free one.
+DIFFUSE_DB = (0.0, 0.0, 0.5, 0.9, 1.2, 1.6, 2.3, 2.8, 3.0, 2.0, 0.0, -1.4, -2.0, -1.9, -1.0, 0.5, 3.0, 4.0, 4.3, 4.0)
+
+
+def specific_loudness(p: np.ndarray, rate: float, field: str = "free", shared: dict | None = None) -> np.ndarray:
+    """Sone per band and frame: a power law above a threshold in quiet of 4 dB.  shared keeps it for the segment's other metrics."""
+    if shared is not None and "specific" in shared:
+        return shared["specific"]
     excitation = _bark_pressure(p, rate) / (20e-6) ** 2
+    if field == "diffuse":
+        more = np.resize(np.array(DIFFUSE_DB), excitation.shape[1])
+        more[len(DIFFUSE_DB) :] = DIFFUSE_DB[-1]
+        excitation = excitation * 10 ** (more / 10)
     quiet = 10 ** (4 / 10)
     raw = np.maximum((1 + excitation / quiet) ** 0.23 - 1, 0)
+    if shared is not None:
+        shared["specific"] = raw * 0.135
     return raw * 0.135
 
 
@@ -104,8 +116,8 @@ def _summary(prefix: str, curve: np.ndarray, letter: str, percentiles: Sequence[
 
 
 @register("loudness")
-def loudness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
-    specific = specific_loudness(p, rate)
+def loudness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES, field: str = "free", shared: dict | None = None) -> dict[str, float]:
+    specific = specific_loudness(p, rate, field, shared)
     out = _summary("psycho.loudness", specific.sum(axis=1), "N", percentiles)
     pattern = specific.mean(axis=0)
     if pattern.sum() > 0:
@@ -116,8 +128,8 @@ def loudness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTI
 
 
 @register("sharpness")
-def sharpness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
-    specific = specific_loudness(p, rate)
+def sharpness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES, field: str = "free", shared: dict | None = None) -> dict[str, float]:
+    specific = specific_loudness(p, rate, field, shared)
     z = np.arange(specific.shape[1]) + 0.5
     weight = np.where(z <= 15.8, 1.0, 0.15 * np.exp(0.42 * (z - 15.8)) + 0.85)
     total = specific.sum(axis=1)
@@ -199,16 +211,20 @@ def roughness_ecma(p: np.ndarray, rate: float, percentiles: Sequence[float] = PE
     return {k.replace("psycho.roughness", "psycho.roughness_ecma"): v for k, v in roughness(p, rate, percentiles).items() if not k.endswith(".std")}
 
 
-def _with(metric: Metric, percentiles: Sequence[float]) -> Metric:
-    return partial(metric, percentiles=percentiles) if "percentiles" in signature(metric).parameters else metric
+def _with(metric: Metric, **given) -> Metric:
+    """The metric with those of the given arguments that it takes."""
+    return partial(metric, **{k: v for k, v in given.items() if k in signature(metric).parameters})
 
 
-def describe(segments: DataFrame, rate: float, names: Sequence[str] = ("loudness", "sharpness", "roughness", "tonality"), full_scale_db: float = FULL_SCALE_DB, least: float = LEAST_SECONDS, most: float = MOST_SECONDS, percentiles: Sequence[float] = PERCENTILES) -> DataFrame:
-    """(file, segment, name, value) for segments (file, segment, x); a metric that fails leaves its columns out."""
+def describe(
+    segments: DataFrame, rate: float, names: Sequence[str] = ("loudness", "sharpness", "roughness", "tonality"), full_scale_db: float = FULL_SCALE_DB, least: float = LEAST_SECONDS,
+    most: float | None = MOST_SECONDS, percentiles: Sequence[float] = PERCENTILES, field: str = "free",
+) -> DataFrame:
+    """(file, segment, name, value) for segments (file, segment, x); a metric that fails leaves its columns out, and ``failed.<metric>`` is 1."""
     unknown = [n for n in names if n not in _METRICS]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}; known: {', '.join(metrics())}")
-    factor, chosen = pascal_factor(full_scale_db), {n: _with(_METRICS[n], tuple(percentiles)) for n in names}
+    factor, chosen = pascal_factor(full_scale_db), {n: _METRICS[n] for n in names}
 
     def run(batches):
         for rows in batches:
@@ -218,14 +234,15 @@ def describe(segments: DataFrame, rate: float, names: Sequence[str] = ("loudness
                 if len(x) < least * rate:
                     out.append((file, segment, "psycho.skipped", 1.0))
                     continue
-                p = x[: int(most * rate)] * factor
+                p = (x if most is None else x[: int(most * rate)]) * factor
                 level = np.sqrt((p * p).mean())
                 values = {"psycho.skipped": 0.0, "psycho.spl_dB": 20 * np.log10(level / 20e-6) if level > 0 else -np.inf, "psycho.analysed_duration": len(p) / rate}
-                for metric in chosen.values():
+                shared: dict = {}
+                for name, metric in chosen.items():
                     try:
-                        values |= metric(p, rate)
+                        values |= _with(metric, percentiles=tuple(percentiles), field=field, shared=shared)(p, rate)
                     except (ValueError, FloatingPointError, ZeroDivisionError):
-                        continue
+                        values[f"failed.{name}"] = 1.0
                 out += [(file, segment, k, float(v)) for k, v in values.items()]
             yield pd.DataFrame(out, columns=["file", "segment", "name", "value"])
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Statistics known by name, in the order of the configuration.
 STATS = ("mean", "stdev", "median", "min", "max", "dmean", "dvar", "var", "dmean2", "dvar2")
 DEFAULT_STATS = STATS[:7]
+#: Statistics of vectors as a whole: their covariance matrix and its inverse, row by row.
+VECTOR_STATS = ("cov", "icov")
 
 
 def finite(value: Column) -> Column:
@@ -54,6 +56,15 @@ def frame_stats(values: DataFrame, stats: Sequence[str] = DEFAULT_STATS, keys: S
     return wide.select(*others, "name", pairs).select(*others, named.alias("name"), F.col("p.value").alias("value"))
 
 
+def vector_covariance(values: DataFrame, keys: Sequence[str] = ("file", "segment")) -> DataFrame:
+    """(keys, base, i, j, cov): population covariances of the components of vectors, base.i and base.j, over the frames of a key."""
+    parts = values.select(*keys, "frame", F.regexp_extract("name", r"^(.*)\.(\d+)$", 1).alias("base"), F.regexp_extract("name", r"^(.*)\.(\d+)$", 2).alias("i"), "value").where("base <> ''")
+    vectors = parts.groupBy(*keys, "base", "frame").agg(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "value")).alias("v"))
+    # A frame's vector is one row, so that its pairs need no join.
+    pairs = vectors.select(*keys, "base", F.explode("v").alias("a"), "v").select(*keys, "base", "a", F.explode("v").alias("b"))
+    return pairs.groupBy(*keys, "base", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.covar_pop("a.value", "b.value").alias("cov"))
+
+
 def weighted_summary(table: DataFrame) -> DataFrame:
     """Per file and name the duration-weighted mean and deviation over finite values of (file, name, duration, value).
 

@@ -260,6 +260,17 @@ def frame_derivative_stats(spark, d):
     return stats.frame_stats(src.daily_values(spark, d), ("dmean", "dvar", "dmean2", "dvar2")).withColumn("value", r("value"))
 
 
+_VECTORS = "vv AS (SELECT cluster, segment, unnest(range(0, 8)) AS i, v FROM em), vc AS (SELECT cluster, segment, i, v[i + 1] AS value FROM vv)"
+
+
+@query("frame_covariance", f"WITH {EM}, {_VECTORS} SELECT a.cluster, a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.value, b.value), 6) AS cov FROM vc a JOIN vc b ON a.cluster = b.cluster AND a.segment = b.segment GROUP BY a.cluster, a.i, b.i")
+def frame_covariance(spark, d):
+    """Covariances of the first components of the vectors of a cluster, as frames."""
+    parts = src.embedding_rows(spark, d).select("cluster", F.col("segment").alias("frame"), F.posexplode(F.slice("v", 1, 8)).alias("i", "value"))
+    frames = parts.select("cluster", "frame", F.concat(F.lit("v."), F.col("i").cast("string")).alias("name"), "value")
+    return stats.vector_covariance(frames, ("cluster",)).select("cluster", "i", "j", r("cov"))
+
+
 @query(
     "weighted_summary",
     f"""WITH {SV}, m AS (SELECT file, name, sum(value * greatest(d, 1e-9)) / sum(greatest(d, 1e-9)) AS wm FROM sv GROUP BY ALL)
@@ -781,8 +792,7 @@ def _event_arrays(spark, d) -> DataFrame:
 def kernel_descriptors(spark, d):
     """All descriptor groups of the event files as signals of 44.1 kHz, summarised per file."""
     arrays = _event_arrays(spark, d).withColumn("segment", F.lit(0).cast("long"))
-    whole = kernels.describe_whole(arrays, 44100, kernels.GROUPS, 256)
-    return stats.frame_stats(kernels.describe(arrays, 44100, kernels.GROUPS, 512, 256)).unionByName(whole)
+    return kernels.describe_segments(arrays, 44100, kernels.GROUPS, stats.DEFAULT_STATS, 512, 256)
 
 
 @query("onset_detect")

@@ -6,7 +6,7 @@ import glob
 import io
 import os
 import wave
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,27 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
 
 
+Decoder = Callable[[bytes], tuple[np.ndarray, int]]
+_DECODERS: dict[bytes, Decoder] = {}
+
+
+def decoder(start: bytes) -> Callable[[Decoder], Decoder]:
+    """Make a decoder of contents that begin so available, as for compressed audio: (channels, samples) in -1..1 and the rate."""
+
+    def keep(made: Decoder) -> Decoder:
+        _DECODERS[start] = made
+        return made
+
+    return keep
+
+
+def decode(content: bytes, decoders: dict[bytes, Decoder]) -> tuple[np.ndarray, int]:
+    for start, made in decoders.items():
+        if content.startswith(start):
+            return made(content)
+    return decode_pcm(content)
+
+
 def decode_pcm(content: bytes) -> tuple[np.ndarray, int]:
     """(channels, samples) in -1..1 and the rate of a PCM WAV or AIFF file."""
     if content[:4] == b"FORM":
@@ -86,8 +107,10 @@ def read_audio(files: DataFrame, rate: int = 44100, how: str = "mix", start: flo
     """
     from longwave.operators.kernels import resample_array
 
+    decoders = dict(_DECODERS)
+
     def one(content: bytes) -> dict:
-        parts, source = decode_pcm(content)
+        parts, source = decode(content, decoders)
         count = len(parts)
         mono = resample_array(downmix(parts, how), source, rate)
         pair = [resample_array(c, source, rate) for c in parts[:2]] if keep_stereo and count >= 2 else None
@@ -135,6 +158,16 @@ def parse_markers(lines: DataFrame) -> DataFrame:
     return read.select("file", "ord", "start", end.alias("end"), F.expr("get(c, 2)").alias("label"))
 
 
+def markers_for(marks: DataFrame, files: DataFrame) -> DataFrame:
+    """The marks of one marker file for every one of files (file); without a usable mark it is an error."""
+    if marks.isEmpty():
+        raise ValueError("no usable marker")
+    # What every file gets is the whole marker file, which is a list made by hand.
+    one = F.lit(1).alias("one")
+    each = files.select("file", one).join(F.broadcast(marks.drop("file").select("*", one)), "one")
+    return each.drop("one")
+
+
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line"))
     return parse_markers(lines)

@@ -86,6 +86,14 @@ def test_config(tmp_path):
     c.segmentation.method = "markers"
     with pytest.raises(ValueError, match="marker"):
         config.validate(c)
+    for section, key, value in (("psychoacoustics", "metrics", ["none"]), ("output", "label_formats", ["none"]), ("essentia", "stats", ["none"]), ("essentia", "window", "none"), ("segmentation", "window", 0)):
+        c = config.AnalysisConfig()
+        setattr(getattr(c, section), key, value)
+        with pytest.raises(ValueError, match=key):
+            config.validate(c)
+    with pytest.raises(AttributeError):
+        c.audio.none = 1
+    config.validate(config.AnalysisConfig())
 
 
 def test_sinks(spark, tmp_path):
@@ -95,15 +103,18 @@ def test_sinks(spark, tmp_path):
     assert sinks.reaper(marks, regions=False).orderBy("ord").first()["line"] == "M1,0000,10.000000,,0,"
     text = sinks.script([r["line"] for r in sinks.reaper_script(marks).orderBy("ord").collect()])
     assert '{10.000000, 11.500000, "0000", 128, 128, 128},' in text
-    sinks.write_lines(sinks.audacity(marks), str(tmp_path / "labels"))
-    assert spark.read.text(str(tmp_path / "labels")).count() == 2
+    (path,) = sinks.write_files(*sinks.label_lines(marks, "reaper")[:1], str(tmp_path / "labels"), ".regions.csv")
+    assert open(path).read() == "#,Name,Start,End,Length,Color\nR1,0000,10.000000,11.500000,1.500000,\nR2,0001,11.500000,12.000000,0.500000,\n"
+    (path,) = sinks.write_files(*sinks.label_lines(marks, "reaper_script")[:1], str(tmp_path / "labels"), ".lua", basename="named")
+    assert path.endswith("labels/named.lua") and open(path).read() == text
     with pytest.raises(ValueError):
         sinks.label_format("none")
     long = spark.createDataFrame([("f", 0, 0.0, 1.5, 1.5, "a.b", 1.0), ("f", 1, 1.5, 2.0, 0.5, "a.c", float("nan"))], "file string, segment long, start double, end double, duration double, name string, value double")
     wide = sinks.wide_form(long, ["a.c", "a.b"])
     assert wide.columns == ["file", "segment", "start", "end", "duration", "a.b", "a.c"]
-    sinks.segments_csv(wide, str(tmp_path / "csv"))
-    again = files.read_segment_table(spark, str(tmp_path / "csv"))
+    (path,) = sinks.segments_csv(wide, str(tmp_path / "csv"))
+    assert open(path, "rb").read() == b"segment,start,end,duration,a.b,a.c\r\n0.0,0.0,1.5,1.5,1.0,\r\n1.0,1.5,2.0,0.5,,nan\r\n"
+    again = files.read_segment_table(spark, path)
     assert again.where("`a.b` IS NULL").count() == 1 and again.where("isnan(`a.c`)").count() == 1
     assert json.loads(sinks.plot_payload([{"start": 0.0, "end": 1.0, "a": math.nan, "b": 2.0}], ["a", "b"], ["a"]))["initial"] == ["b"]
     assert "NaN" in sinks.analysis_json({}, {}, [], {"x": math.nan}, [])
