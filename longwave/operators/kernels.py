@@ -182,6 +182,19 @@ def _shape(prefix: str, bands: np.ndarray) -> dict[str, np.ndarray]:
     return {f"{prefix}.flatness": np.where(mean > 0, geometric / np.where(mean > 0, mean, 1), 0), f"{prefix}.crest": np.where(mean > 0, bands.max(axis=1) / np.where(mean > 0, mean, 1), 0)}
 
 
+def weighted_bands(spectra: DataFrame, weights: np.ndarray, coefficients: int = 0) -> DataFrame:
+    """(segment, i, value) of spectra (segment, m): the energy in each weighted band, or that many cepstral coefficients of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            m = np.stack(batch.column("m").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, weights.shape[1]))
+            found = cepstra(m, weights, coefficients) if coefficients else (m**2) @ weights.T
+            segment = np.repeat(np.asarray(batch.column("segment")), found.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(np.tile(np.arange(found.shape[1], dtype=np.int32), len(found))), pa.array(found.ravel())], ["segment", "i", "value"])
+
+    return spectra.select(F.col("segment").cast("long").alias("segment"), "m").mapInArrow(run, "segment long, i int, value double")
+
+
 @dataclass(frozen=True)
 class Settings:
     """What descriptor groups can be told."""

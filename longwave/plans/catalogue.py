@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -630,6 +631,39 @@ def band_energies(spark, d):
     return spread.select("segment", "band", r("energy"))
 
 
+_MEL = """ed AS (SELECT j, 700 * (exp(j * ln(1 + 22050::DOUBLE / 700) / 9) - 1) AS e FROM (SELECT unnest(range(0, 10)) AS j)),
+tr AS (SELECT m.j - 1 AS b, l.e AS lo, m.e AS mid, h.e AS hi FROM ed m JOIN ed l ON l.j = m.j - 1 JOIN ed h ON h.j = m.j + 1),
+en AS (SELECT segment, b, sum(a * a * greatest(0, least((f - lo) / (mid - lo), (hi - f) / (hi - mid)))) AS energy FROM sl JOIN tr ON true GROUP BY segment, b)"""
+_BINS = np.arange(64) * 22050.0 / 63
+
+
+@query("mel_energies", f"WITH {SP}, {_MEL} SELECT segment, b::INT AS band, round(energy, 6) AS energy FROM en")
+def mel_energies(spark, d):
+    found = kernels.weighted_bands(src.embedding_spectra(spark, d), kernels.mel_weights(_BINS, 8))
+    return found.select("segment", F.col("i").alias("band"), r("value", "energy"))
+
+
+@query(
+    "cepstra",
+    f"""WITH {SP}, {_MEL}, q AS (SELECT unnest(range(0, 5)) AS q)
+SELECT segment, q::INT AS i, round(sum(10 * log10(energy + 1e-10) * cos(pi() * q * (b + 0.5::DOUBLE) / 8)) * sqrt(2 / 8.0::DOUBLE) / CASE WHEN q = 0 THEN sqrt(2::DOUBLE) ELSE 1 END, 5) AS value FROM en JOIN q ON true GROUP BY segment, q""",
+)
+def cepstra(spark, d):
+    return kernels.weighted_bands(src.embedding_spectra(spark, d), kernels.mel_weights(_BINS, 8), 5).select("segment", "i", r("value", digits=5))
+
+
+@query(
+    "erb_energies",
+    f"""WITH {SP}, s AS (SELECT 21.4 * log10(1 + 0.00437::DOUBLE * 50) AS low, 21.4 * log10(1 + 0.00437::DOUBLE * 22050 * 0.95) AS top),
+ce AS (SELECT b, (pow(10, (low + b * (top - low) / 7) / 21.4) - 1) / 0.00437::DOUBLE AS c FROM s, (SELECT unnest(range(0, 8)) AS b)),
+wi AS (SELECT b, c, 1.019::DOUBLE * 24.7 * (1 + 0.00437::DOUBLE * c) AS w FROM ce)
+SELECT segment, b::INT AS band, round(sum(a * a * pow(1 + pow((f - c) / w, 2), -2)), 6) AS energy FROM sl JOIN wi ON true GROUP BY segment, b""",
+)
+def erb_energies(spark, d):
+    found = kernels.weighted_bands(src.embedding_spectra(spark, d), kernels.erb_weights(_BINS, 8))
+    return found.select("segment", F.col("i").alias("band"), r("value", "energy"))
+
+
 @query("zcr", f"WITH {EM} SELECT segment, round(list_sum(list_transform(range(1, 64), lambda i: ((v[i] < 0) <> (v[i + 1] < 0))::INT)) / 64.0, 6) AS zcr FROM em")
 def zcr(spark, d):
     return src.embedding_rows(spark, d).select("segment", r(spectral.zero_crossings(F.col("v")), "zcr"))
