@@ -21,15 +21,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from longwave.llm import textbuf as tb
 
 BITS, LONGEST, BLOCK = 13, 4, 1024
-#: Bounds of the fit: labelled texts, landmarks among them, and words of the excerpts added per text.
-FIT_ROWS, LANDMARKS, EXCERPTS = 3000, 96, (1, 4, 16, 64)
+#: Bounds of the fit: labelled texts, landmarks among them, words of the excerpts added per text, and languages.
+FIT_ROWS, LANDMARKS, EXCERPTS, LANGUAGES = 3000, 96, (1, 4, 16, 64), 1024
 RIDGE, SHARPNESS = 1e-2, 3.0
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -132,27 +132,27 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["doc_id", "lang", "words", "bits"])
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, languages: int = LANGUAGES) -> Model | None:
     """Fit on docs (doc_id, text, lang); rows with a null among these or without a letter take no part.
 
-    At most ``fit_rows`` texts are used, those whose id hashes lowest, evenly over the languages seen.
+    At most ``fit_rows`` texts are used, those whose id hashes lowest, evenly over the languages, but two of each at
+    least.  The model has a regression for each language, so their number is bounded too: of more than ``languages`` the
+    most frequent are learned.  Of a text, excerpts of up to ``BLOCK`` bytes are learned from.
     """
     known = docs.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     if not langs:
         return None
     each = max(2, fit_rows // len(langs))
-    parts = [known.where(F.col("lang") == x).select("doc_id").orderBy(*order).limit(each) for x in langs]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionAll(part)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    chosen = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang")
     table = (
-        known.join(F.broadcast(chosen.distinct()), "doc_id")
+        known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
         .select("doc_id", "lang", "text")
         .mapInArrow(_sampled, "doc_id long, lang string, words int, bits binary")
         .orderBy(*order, "words", "lang")
-        .limit(fit_rows * (1 + len(EXCERPTS)))
+        .limit(max(fit_rows, 2 * len(langs)) * (1 + len(EXCERPTS)))
         .toArrow()
     )
     packed = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
@@ -163,13 +163,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to docs, which has a column text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    lettered = docs.select(*kept, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = docs.select(*kept).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    plain = [F.col(f"`{c}`") for c in kept]
+    lettered = docs.select(*plain, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = docs.select(*plain).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            letter = np.asarray(batch.column("__letter").to_numpy(zero_copy_only=False), bool)
+            letter = np.asarray(batch.columns[-1].to_numpy(zero_copy_only=False), bool)
             for lo, hi, buf, offsets in tb.slices(batch.column("text")):
                 names, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if model is not None:

@@ -3,12 +3,14 @@
 A text is lower-cased (A-Z), read as a sequence of words (runs of a-z, 0-9 and non-ASCII characters)
 and joined with single blanks.  Rules are regular expressions over that word string.  A rule is tried
 only if the text holds one of the rule's keywords and, for a statement about a named license, one of
-the statement's own words; every place of a rule holds them, so that no detection is lost.  Every place a rule matches is a detection.  Of detections whose intervals are
-nested the wider stays; of equal intervals that of the smallest priority stays.  All of it happens
-within the text's row: there is no shuffle, and a row needs memory in proportion to its text.
+the statement's own words; every place of a rule holds them, so that no detection is lost.  Every place a rule
+matches is a detection.  Of detections whose intervals are nested the wider stays; of equal intervals that of the
+smallest priority stays.  All of it happens within the text's row: there is no shuffle, and a row needs memory in
+proportion to its text.
 
 Defined results: null counts as empty; a text without words has no detections; texts are read whole;
-repeated rows get equal results; columns named like the results are replaced, others carried along.
+repeated rows get equal results; columns named like the results are replaced, others carried along, whatever
+their names.
 The score is the largest weight of a detection that stays, 0 without any.
 """
 
@@ -136,6 +138,93 @@ NOTICES: list[tuple[str, str, float, str]] = [
     ("cc0-1", "creativecommons", 0.8, r"creativecommons org publicdomain zero 1 0"),
     ("proprietary", "all rights reserved", 0.5, r"all rights reserved"),
     ("mit", "mit", 0.7, r"under the mit license"),
+    # Passages of license texts.
+    ("mit", "this permission notice", 0.9, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "modify merge publish", 0.9, r"rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("bsd-2-clause", "must retain the above copyright", 0.7, r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2-clause", "must reproduce the above copyright", 0.7, r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse or promote products", 0.85, r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "all advertising materials", 0.95, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", "unless required by applicable law", 0.9, r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", "contributor license agreements", 0.6, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "developed by the apache software foundation", 0.8, r"this product includes software developed by the apache software foundation"),
+    ("gpl", "free software you can redistribute it", 0.9, r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "free software you can redistribute it", 0.95, r"free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl-3", "affero general public license as published", 0.95, r"affero general public license as published by the free software foundation"),
+    ("gpl", "should have received a copy of the gnu", 0.8, r"you should have received a copy of the gnu general public license"),
+    ("lgpl", "should have received a copy of the gnu", 0.85, r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl-3", "should have received a copy of the gnu", 0.9, r"you should have received a copy of the gnu affero general public license"),
+    ("gpl-2", "franklin", 0.6, r"free software foundation inc 51 franklin (?:st|street) fifth floor boston"),
+    ("gpl-2", "licenses for most software are", 0.95, r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", "most software and other practical works", 0.95, r"the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("agpl-3", "network server software", 0.95, r"specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("lgpl-2.1", "either version 2 1", 0.9, r"either version 2 1 of the license or (?:at your option )?any later version"),
+    ("gpl", "copies of this license document", 0.5, r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("lgpl-2", "library general public", 0.8, r"(?:gnu )?library general public license(?: version 2(?: 0)?)?"),
+    ("mpl-2", "this source code form is subject", 1.0, r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0"),
+    ("mpl-2", "incompatible with secondary licenses", 0.8, r"incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-1.1", "contents of this file are subject to the mozilla", 0.95, r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", "accompanying materials are made available", 0.95, r"the accompanying materials are made available under the terms of the eclipse public license (?:version|v) ?1 0"),
+    ("epl-2", "accompanying materials are made available", 0.95, r"the accompanying materials are made available under the terms of the eclipse public license (?:version|v) ?2 0"),
+    ("cddl-1", "common development and distribution", 0.9, r"subject to the terms of the common development and distribution license"),
+    ("boost-1", "machine executable object code", 0.95, r"solely in the form of machine executable object code generated by a source language processor"),
+    ("zlib", "must not be misrepresented", 0.95, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "be held liable for any damages arising", 0.6, r"in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("zlib", "may not be removed or altered", 0.6, r"this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "anyone is free to copy modify publish", 0.95, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "you just do what the fuck", 1.0, r"you just do what the fuck you want to"),
+    ("beerware", "buy me a beer", 0.95, r"you can buy me a beer in return"),
+    ("json", "good not evil", 1.0, r"the software shall be used for good not evil"),
+    ("python-2", "psf hereby grants licensee", 0.95, r"psf hereby grants licensee a nonexclusive royalty free world ?wide license"),
+    ("openssl", "openssl toolkit", 0.95, r"developed by the openssl project for use in the openssl toolkit"),
+    ("php-3", "includes php software", 0.9, r"this product includes php software freely available from"),
+    ("postgresql", "without a written agreement is hereby granted", 0.8, r"without fee and without a written agreement is hereby granted"),
+    ("x11", "x consortium", 0.7, r"the name of the x consortium shall not be used in advertising"),
+    ("ncsa", "deal with the software without restriction", 0.9, r"to deal with the software without restriction including without limitation the rights"),
+    ("ofl-1.1", "reserved font name", 0.9, r"with reserved font names?"),
+    ("ofl-1.1", "may be sold by itself", 0.9, r"individual components in original or modified versions may be sold by itself"),
+    ("elastic-2", "hosted or managed service", 0.9, r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1", "making the functionality of the program", 0.8, r"making the functionality of the program or (?:a )?modified version available to third parties as a service"),
+    ("bsl-1.1", "additional use grant", 0.8, r"additional use grant"),
+    ("upl-1", "the larger works", 0.8, r"the software and the larger works"),
+    ("cc-by", "must give appropriate credit", 0.7, r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", "use the material for commercial purposes", 0.85, r"you may not use the material for commercial purposes"),
+    ("cc-by-sa", "distribute your contributions under the same license", 0.85, r"you must distribute your contributions under the same license as the original"),
+    ("cc-by-nd", "distribute the modified material", 0.85, r"you may not distribute the modified material"),
+    ("cc0-1", "to the extent possible under law", 0.9, r"to the extent possible under law (?:\S+ ){1,12}?ha(?:s|ve) (?:waived|dedicated)"),
+    ("cc-by-nc-sa", "attribution noncommercial sharealike", 0.8, r"attribution noncommercial sharealike [1-4] [05](?: international| unported)?"),
+    ("cc-by-nc-nd", "attribution noncommercial noderivatives", 0.8, r"attribution noncommercial noderivatives [1-4] [05](?: international| unported)?"),
+    ("cc-by-nc", "attribution noncommercial", 0.8, r"attribution noncommercial [1-4] [05](?: international| unported)?"),
+    ("cc-by-sa", "attribution sharealike", 0.8, r"attribution sharealike [1-4] [05](?: international| unported)?"),
+    ("cc-by-nd", "attribution noderivatives", 0.8, r"attribution noderivatives [1-4] [05](?: international| unported)?"),
+    ("public-domain", "release this work", 0.9, r"hereby release this work (?:in|into|to) the public domain"),
+    ("public-domain", "no copyright is claimed", 0.8, r"no copyright is claimed"),
+    ("public-domain", "work of the united states government", 0.8, r"this is a work of the united states government"),
+    ("proprietary", "unauthorized copying of this file", 1.0, r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "proprietary and confidential", 0.9, r"proprietary and confidential"),
+    ("proprietary", "may be reproduced", 0.7, r"no part of this (?:publication|document|book|work) may be reproduced"),
+    # Addresses of license texts.
+    ("gpl-3", "gnu org licenses", 0.8, r"gnu org licenses gpl 3 0"),
+    ("gpl-2", "gnu org licenses", 0.8, r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("lgpl-3", "gnu org licenses", 0.8, r"gnu org licenses lgpl 3 0"),
+    ("lgpl-2.1", "gnu org licenses", 0.8, r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("agpl-3", "gnu org licenses", 0.8, r"gnu org licenses agpl 3 0"),
+    ("gfdl", "gnu org licenses", 0.8, r"gnu org licenses fdl(?: 1 [123])?"),
+    ("mit", "opensource org licenses mit", 0.9, r"opensource org licenses mit(?: license)?"),
+    ("bsd-3-clause", "opensource org licenses bsd", 0.9, r"opensource org licenses bsd 3 clause"),
+    ("bsd-2-clause", "opensource org licenses bsd", 0.9, r"opensource org licenses bsd 2 clause"),
+    ("isc", "opensource org licenses isc", 0.9, r"opensource org licenses isc"),
+    ("mpl-2", "mozilla org mpl 2 0", 0.9, r"mozilla org mpl 2 0"),
+    ("epl-2", "eclipse org legal epl", 0.9, r"eclipse org legal epl v?2 ?0"),
+    ("epl-1", "eclipse org legal epl", 0.9, r"eclipse org legal epl v1 ?0"),
+    ("unlicense", "unlicense org", 0.9, r"unlicense org"),
+    ("boost-1", "boost org license 1 0", 0.9, r"(?:www )?boost org license 1 0"),
+    ("wtfpl", "wtfpl net", 0.9, r"(?:www )?wtfpl net"),
+    ("ofl-1.1", "scripts sil org ofl", 0.9, r"scripts sil org ofl"),
+    ("json", "json org license", 0.9, r"json org license"),
+    ("odbl-1", "opendatacommons org licenses", 0.8, r"opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odc-by", "opendatacommons org licenses", 0.8, r"opendatacommons org licenses by(?: 1 0)?"),
+    ("pddl-1", "opendatacommons org licenses", 0.8, r"opendatacommons org licenses pddl(?: 1 0)?"),
 ]
 
 #: Words of which every place of a statement holds one: those of releases, and those of the other kinds.
@@ -176,27 +265,39 @@ def _rule_array(of: list[Rule]) -> str:
 
 
 #: From a word string s: every place of a rule's pattern as (start, end, priority, label, weight), in characters.
+#: Sums over all places run within blocks of BLOCK places and then over the blocks: a single run would copy its list for each place.
+BLOCK = 64
 _PLACES = """
-transform(filter({table}, g -> (g.around = '' OR (g.around = 'license' AND __license) OR (g.around = 'release' AND __release)) AND exists(g.keywords, k -> contains({s}, k))), g -> flatten(transform(g.rules, r ->
-  aggregate(
-    zip_with(regexp_extract_all({s}, r.x, 0), split({s}, r.x), (m, gap) -> struct(m AS m, gap AS gap)),
-    named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)),
-    (acc, y) -> if(y.m IS NULL, acc, named_struct(
-      'at', acc.at + length(y.gap) + length(y.m),
-      'out', array_append(acc.out, named_struct('s', acc.at + length(y.gap), 'e', acc.at + length(y.gap) + length(y.m), 'p', r.p, 'l', r.l, 'w', cast(r.w AS double)))
-    )),
-    acc -> acc.out
-  )
+transform(filter({table}, g -> (g.around = '' OR (g.around = 'license' AND held.license) OR (g.around = 'release' AND held.release)) AND exists(g.keywords, k -> contains({s}, k))), g -> flatten(transform(g.rules, r ->
+  flatten(transform(filter(array(zip_with(regexp_extract_all({s}, r.x, 0), split({s}, r.x), (m, gap) -> named_struct('m', length(m), 'gap', length(gap)))), p -> size(p) > 1), p ->
+    aggregate(
+      transform(sequence(0, (size(p) - 2) div {block}), b -> filter(slice(p, b * {block} + 1, {block}), y -> y.m IS NOT NULL)),
+      named_struct('at', 0, 'out', cast(array() AS array<array<struct<s:int,e:int,p:int,l:string,w:double>>>)),
+      (acc, part) -> named_struct(
+        'at', acc.at + aggregate(part, 0, (t, y) -> t + y.gap + y.m),
+        'out', array_append(acc.out, aggregate(
+          part,
+          named_struct('at', acc.at, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)),
+          (i, y) -> named_struct(
+            'at', i.at + y.gap + y.m,
+            'out', array_append(i.out, named_struct('s', i.at + y.gap, 'e', i.at + y.gap + y.m, 'p', r.p, 'l', r.l, 'w', cast(r.w AS double)))),
+          i -> i.out))),
+      acc -> flatten(acc.out))
+  ))
 )))
 """
 
 _KEPT = """
-aggregate(
-  array_sort({d}, (a, b) -> if(a.s <> b.s, a.s - b.s, if(a.e <> b.e, b.e - a.e, a.p - b.p))),
-  named_struct('top', -1, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)),
-  (acc, y) -> if(y.e > acc.top, named_struct('top', y.e, 'out', array_append(acc.out, y)), acc),
-  acc -> acc.out
-)
+flatten(transform(array(array_sort({d}, (a, b) -> if(a.s <> b.s, a.s - b.s, if(a.e <> b.e, b.e - a.e, a.p - b.p)))), d ->
+  aggregate(
+    transform(sequence(0, size(d) div {block}), b -> slice(d, b * {block} + 1, {block})),
+    array(named_struct('top', -1, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>))),
+    (acc, part) -> array_append(acc, aggregate(
+      part,
+      named_struct('top', acc[size(acc) - 1].top, 'out', cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)),
+      (i, y) -> if(y.e > i.top, named_struct('top', y.e, 'out', array_append(i.out, y)), i))),
+    acc -> flatten(transform(acc, x -> x.out)))
+))
 """
 
 
@@ -211,34 +312,34 @@ def scan(docs: DataFrame) -> DataFrame:
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score")
     kept = [c for c in docs.columns if c not in made]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    read = docs.select(*kept, F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("__low"))
-    read = read.select(*kept, F.trim(F.regexp_replace("__low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("__s"))
-    holds = lambda words: reduce(or_, (F.contains(F.col("__s"), F.lit(w)) for w in words))
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    read = docs.select(row, F.translate(F.coalesce("text", F.lit("")), upper, lower).alias("low"))
+    read = read.select("row", F.trim(F.regexp_replace("low", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("s"))
+    holds = lambda words: reduce(or_, (F.contains(F.col("s"), F.lit(w)) for w in words))
     alone = [w for r in rules() if not r.around for w in r.keyword.split("|")]
     gate = holds(dict.fromkeys([*alone, *(w for words in AROUND.values() for w in words)]))
-    n_words = F.when(F.col("__s") == "", F.lit(0)).otherwise(F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(" "), F.lit(""))) + 1)
-    read = read.select(*kept, n_words.cast("long").alias("n_words"), F.when(gate, F.col("__s")).alias("__s"))
+    n_words = F.when(F.col("s") == "", F.lit(0)).otherwise(F.length("s") - F.length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) + 1)
+    read = read.select("row", n_words.cast("long").alias("n_words"), F.when(gate, F.col("s")).alias("s"))
     has_base = F.lit(False)
     for phrase in BASE_PHRASES.values():
-        has_base = has_base | F.contains(F.col("__s"), F.lit(phrase))
-    read = read.select(*kept, "n_words", "__s", F.when(has_base, F.split("__s", " ")).alias("__words"))
+        has_base = has_base | F.contains(F.col("s"), F.lit(phrase))
+    read = read.select("row", "n_words", "s", F.when(has_base, F.split("s", " ")).alias("words"))
     base = [
-        F.when(F.contains(F.col("__s"), F.lit(phrase)), F.expr(f"transform({_base_starts('__words', phrase)}, i -> named_struct('i', i, 'l', '{label}'))"))
+        F.when(F.contains(F.col("s"), F.lit(phrase)), F.expr(f"transform({_base_starts('words', phrase)}, i -> named_struct('i', i, 'l', '{label}'))"))
         for label, phrase in BASE_PHRASES.items()
     ]
     none = "cast(array() AS array<struct<i:int,l:string>>)"
-    read = read.select(*kept, "n_words", "__s", F.flatten(F.array(*(F.coalesce(b, F.expr(none)) for b in base))).alias("__base"))
+    held = F.struct(holds(AROUND["name"]).alias("license"), holds(RELEASES).alias("release")).alias("held")
+    read = read.select("row", "n_words", "s", held, F.flatten(F.array(*(F.coalesce(b, F.expr(none)) for b in base))).alias("base"))
     empty = "cast(array() AS array<struct<s:int,e:int,p:int,l:string,w:double>>)"
-    read = read.withColumns({"__license": holds(AROUND["name"]), "__release": holds(RELEASES)})
-    read = read.withColumn("__all", F.expr(f"if(__s IS NULL, {empty}, flatten({_PLACES.format(table=_rule_array(rules()), s='__s')}))"))
-    read = read.withColumn("detections", F.expr(_KEPT.format(d="__all")))
-    at = F.expr("transform(__base, b -> b.i)")
-    base_names = F.array_distinct(F.expr("transform(__base, b -> b.l)"))
+    places = F.expr(f"if(s IS NULL, {empty}, flatten({_PLACES.format(table=_rule_array(rules()), s='s', block=BLOCK)}))").alias("places")
+    read = read.select("row", "n_words", "base", places).withColumn("detections", F.expr(_KEPT.format(d="places", block=BLOCK)))
+    at = F.expr("transform(base, b -> b.i)")
+    base_names = F.array_distinct(F.expr("transform(base, b -> b.l)"))
     return read.select(
-        *kept,
+        *(F.col(f"row.`{c}`").alias(c) for c in kept),
         "n_words",
-        F.size("__base").cast("long").alias("n_base"),
+        F.size("base").cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base_names), ",").alias("base_labels"),
