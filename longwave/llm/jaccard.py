@@ -20,7 +20,7 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
   the nearest of its pivots, then against those others that it is not connected with yet.  Groups that the links found
   connect are done.  In what is left, members that are not connected are tested in cells of two blocks of
   a bounded number of sketches.  A cell gives back the few most similar pairs of each component that pass and are
-  not tried yet, more in every round, until no cell has any; so families that links connect early cost little, and no
+  not tried yet, more in every round, until no cell keeps any back; so families that links connect early cost little, and no
   pair that can link is left out unless it is connected already.  Links make the components.
 
 Sets that are equal (by a 64-bit digest) are one node from the start, so that copies are never paired.
@@ -55,11 +55,11 @@ CELL_SETS = 2048
 #: Bits of a sketch per element, at least.
 SKETCH = 4
 #: Pairs that a component tries at a time in the largest groups alone, and then in the first round of all.
-FIRST_TRIED, LEAST_TRIED = 2, 4
+FIRST_TRIED, LEAST_TRIED = 8, 32
 #: A bin of texts to verify has about so many shingles, besides those of one more pivot and block.
 BIN_ELEMENTS = 1 << 20
 
-_PAIRS = "key long, i int, j int, a long, b long, na long, nb long"
+_PAIRS = "key long, i int, j int, a long, b long, na long, nb long, more long"
 _SEGMENT, _BAND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -329,7 +329,7 @@ def _cells(num: int, den: int, most: int):
             past = known.get((int(key[a]), int(i[a]), int(j[a])), [])
             place = np.searchsorted(node[a:b], np.array(past, np.int64).reshape(-1, 2))
             codes = np.concatenate((place[:, 0] * (b - a) + place[:, 1], place[:, 1] * (b - a) + place[:, 0]))
-            step, best = max(1, (1 << 21) // (len(rows) * rows.shape[1])), np.zeros((3, 0))
+            step, best, more = max(1, (1 << 21) // (len(rows) * rows.shape[1])), np.zeros((3, 0)), False
             for k in range(0, b - a, step):
                 differ = np.bitwise_count(rows[k : k + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
                 both = size_of[k : k + step, None] + size_of[None, :]
@@ -342,15 +342,16 @@ def _cells(num: int, den: int, most: int):
                 ranked = np.lexsort((best[1], best[0], best[2], own[best[0].astype(np.int64)]))
                 best = best[:, ranked]
                 of = own[best[0].astype(np.int64)]
-                best = best[:, np.arange(len(of)) - np.searchsorted(of, of) < most]
+                kept = np.arange(len(of)) - np.searchsorted(of, of) < most
+                best, more = best[:, kept], more or not kept.all()
             x, y = best[:2].astype(np.int64)
             x, y = np.minimum(x, y), np.maximum(x, y)
             pairs = np.unique(np.stack([x, y]), axis=1)
             x, y = pairs + a
-            found.append(np.stack([key[x], i[x], j[x], node[x], node[y], n[x], n[y]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((7, 0), np.int64)
+            found.append(np.stack([key[x], i[x], j[x], node[x], node[y], n[x], n[y], np.full(len(x), int(more))]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((8, 0), np.int64)
         columns = [pa.array(c) for c in pairs]
-        return pa.table([columns[0], columns[1].cast(pa.int32()), columns[2].cast(pa.int32()), *columns[3:]], names=["key", "i", "j", "a", "b", "na", "nb"])
+        return pa.table([columns[0], columns[1].cast(pa.int32()), columns[2].cast(pa.int32()), *columns[3:]], names=["key", "i", "j", "a", "b", "na", "nb", "more"])
 
     return run
 
@@ -484,6 +485,9 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
     def with_more(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links, and the components they make, with those of further pairs."""
         further = _verified(texts, pairs, words, num, den)
+        if further.isEmpty():
+            discard(further)
+            return links, roots
         both = durable(links.unionAll(further))
         discard(links, further, roots)
         return both, components(both)
@@ -517,14 +521,15 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
         more = durable((pairs.unionAll(passed) if first else pairs).distinct())
         if not more.isEmpty():
             links, roots = with_more(more)
-        elif not first:
+        if not first and found.where("more > 0").isEmpty():
+            # No cell has kept a pair back.
             discard(rest, found, more)
             break
         tried_now = durable(tried.unionAll(found.select(*tried.columns)))
         left_now = left
         if not first:
             # Cells that had nothing have nothing later either.
-            left_now, most = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held")), most * 8
+            left_now, most = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held")), most * 64
             discard(left)
         discard(rest, found, tried, more)
         tried, left, first = tried_now, left_now, False
