@@ -1,14 +1,19 @@
 """A pipeline over documents: quality filter, line dedup, near-duplicate removal, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; between stages
-rows are written as Parquet and read again.  All but the last stage return the columns of documents.
+rows are written as Parquet and read again.  All but the last stage return the columns of documents, and drop any others.
+
+Defined results, for every stage: nulls in any column, empty and very long texts, repeated rows and empty tables are taken as they
+come.  Null and empty texts are documents like any others: the classifier scores them, they have no lines to cut, link with
+nothing, hold no tokens and encode to no pieces.  Rows of equal id and text are treated alike until the near duplicates, which keep
+one of them; ties go to the smaller id, then to a hash of the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longwave.llm import jaccard, lines, mixing, pieces, quality
@@ -37,6 +42,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def _row_key() -> Column:
+    """A hash of a row's id and text, null being equal to null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that five-word shingles of Jaccard 0.8 or more connect, keep one row.
 
@@ -45,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     alone.  Rows equal in id and text, null being equal to null, stay once: that whose other columns sort
     first.  Rows without words are connected with nothing.
     """
-    keyed = docs.select(*COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("__key"))
+    keyed = docs.select(*COLUMNS, _row_key().alias("__key"))
     groups = jaccard.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, num=80, den=100)
     places = groups.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("component"), F.count("*").alias("n"))
     crowded = F.struct(F.min("__key").alias("low"), F.max("__key").alias("top"), F.max("n").alias("n"))
@@ -63,12 +73,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and thin documents so that expected tokens meet the target weights."""
+    """Repeat and thin documents so that expected tokens meet the target weights; decided by row, that is by id and text.
+
+    Without labels, or tokens, every row stays once.  Only rows that do not stay exactly once are shuffled.
+    """
+    keyed = docs.select(*COLUMNS, _row_key().alias("__key"))
     labels = domain_labels(spark, sf_dir).where(F.col("domain").isin(*MIX_WEIGHTS))
-    rated = mixing.mix(docs.select("doc_id", "text"), labels, MIX_WEIGHTS)
-    copies = rated.where("copies <> 1").groupBy("doc_id").agg(F.min("copies").alias("__copies"))
-    repeated = docs.join(copies, "doc_id", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    return repeated.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*COLUMNS)
+    rated = mixing.mix(keyed.select("doc_id", "text", F.col("__key").alias("key")), labels, MIX_WEIGHTS)
+    odd = durable(rated.where("copies <> 1").groupBy("key").agg(F.min("copies").cast("int").alias("copies")))
+    flagged = keyed.withColumn("__touched", may_hold(spark, membership(odd, "key", TOUCHED_BITS), F.col("__key")))
+    once = flagged.where("NOT __touched").select(*COLUMNS)
+    met = flagged.where("__touched").join(odd, F.col("__key") == F.col("key"), "left")
+    repeated = met.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))))
+    return once.unionAll(repeated.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
