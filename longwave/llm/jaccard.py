@@ -33,8 +33,9 @@ read whole.  Columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longwave.llm import textbuf as tb
-from longwave.llm.durable import components, discard, durable, members, membership
+from longwave.llm.durable import components, discard, durable, may_hold, members, membership
 from longwave.llm.repeats import join_counted, may_repeat, repeated
 
 #: The share of elements that unrelated sets of a band are taken to have in common, for costs only.
@@ -59,6 +60,9 @@ FIRST_TRIED, LEAST_TRIED = 8, 32
 #: A bin of texts to verify has about so many shingles, besides those of one more pivot and block.
 BIN_ELEMENTS = 1 << 20
 
+#: From shingle hashes, where sets begin in them, and the numbers of sets to work on: keys, and the numbers of their sets.
+Keys = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 _PAIRS = "key long, i int, j int, a long, b long, na long, nb long, more long"
 _SEGMENT, _BAND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -248,16 +252,16 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n long, node long, sketch array<long>")
 
 
-def _keys_by_set(docs: DataFrame, words: int, plan: dict[str, np.ndarray], firsts: np.ndarray):
+def _keys_by_set(docs: DataFrame, words: int, make: Keys, firsts: np.ndarray):
     """A function from batches of docs to (keys, owners, nodes), each set once, but for copies that bitmaps do not tell apart."""
-    shared = docs.sparkSession.sparkContext.broadcast((plan, firsts))
+    shared = docs.sparkSession.sparkContext.broadcast(firsts)
 
     def keys(batches):
-        plan, firsts = shared.value
+        firsts = shared.value
         seen: set[int] = set()
         for batch, lo, hi, hashes, cut, node in _sets(batches, words):
             rows = np.asarray(batch.column("row").slice(lo, hi - lo))
-            yield *keys_of(hashes, cut, _first_of_copies(node, np.diff(cut), rows, firsts, seen), plan), node
+            yield *make(hashes, cut, _first_of_copies(node, np.diff(cut), rows, firsts, seen)), node
 
     return keys
 
@@ -396,21 +400,24 @@ def _links_of(words: int, num: int, den: int):
 
 
 class _Texts:
-    """The texts of sets by node; each is looked up among the documents once, however often it is asked for."""
+    """The texts of sets by node; each is looked up among the documents once, and written once, however often it is asked for."""
 
     def __init__(self, docs: DataFrame, words: int, firsts: np.ndarray):
-        self.docs, self.words, self.firsts, self.known = docs, words, firsts, None
+        self.docs, self.words, self.firsts, self.known = docs, words, firsts, []
+
+    def _all(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionAll, self.known)
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of at least these distinct nodes."""
-        missing = durable(nodes if self.known is None else nodes.join(self.known.select("node"), "node", "left_anti"))
+        missing = durable(nodes.join(self._all().select("node"), "node", "left_anti") if self.known else nodes)
         wanted = membership(missing, "node", NODE_BITS)
         discard(missing)
-        if wanted.any():
+        if wanted.any() or not self.known:
             more = _texts(self.docs, self.words, wanted, self.firsts)
-            before, self.known = self.known, durable(more if self.known is None else more.join(self.known.select("node"), "node", "left_anti").unionAll(self.known))
-            discard(before)
-        return self.known
+            # The bitmap lets others through, some of which are known.
+            self.known.append(durable(more.join(self._all().select("node"), "node", "left_anti") if self.known else more))
+        return self._all()
 
 
 def _verified(texts: _Texts, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -462,21 +469,32 @@ def _groups(docs: DataFrame, keys, expected: float) -> DataFrame | None:
     return groups
 
 
-def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) -> DataFrame | None:
-    """(node, root) of the sets that link with another, as a durable table; None if no two sets share a key."""
+def universe_partition(sized: DataFrame, num: int, den: int) -> tuple[Keys, float]:
+    """The keys of the sets by segments of the universe, and about how many there will be."""
     plan, expected = _plan(sized, num, den)
+    return lambda hashes, cut, of: keys_of(hashes, cut, of, plan), expected
+
+
+def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, scheme) -> DataFrame | None:
+    """(node, root) of the sets that link with another, as a durable table; None if no two sets share a key."""
+    make, expected = scheme(sized, num, den)
     firsts = membership(sized.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")), "row", ROW_BITS)
-    groups = _groups(docs, _keys_by_set(docs, words, plan, firsts), expected)
+    groups = _groups(docs, _keys_by_set(docs, words, make, firsts), expected)
     if groups is None:
         return None
-    sets = sized.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    sets = durable(sets.join(groups.select("node").distinct(), "node", "left_semi"))
+    # Only the sketches of sets in groups are shuffled.
+    grouped = durable(groups.select("node").distinct())
+    near_groups = sized.where(may_hold(docs.sparkSession, membership(grouped, "node", NODE_BITS), F.col("node")))
+    sets = durable(near_groups.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(grouped, "node", "left_semi"))
+    discard(grouped)
     named = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"sketch{side}"))
     # A member of a group and its pivot.
     pairs = groups.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    met = pairs.join(named("b"), "b").join(named("a"), "a")
+    pivots = durable(pairs.groupBy("a").agg(F.count("*").alias("times")).join(named("a"), "a"))
+    met = join_counted(pairs.join(named("b"), "b"), pivots, ["a"], "times", F.col("b"))
     differ = _differ(F.col("sketcha"), F.col("sketchb"), 1 + math.ceil(2 * math.log2(den / num)))
     near = durable(met.select("a", "b", "na", "nb", differ.alias("differ")).where(_can_link(F.col("na"), F.col("nb"), F.col("differ"), num, den)))
+    discard(pivots)
     nearest = near.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("differ", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
     texts = _Texts(docs, words, firsts)
     links = _verified(texts, nearest, words, num, den)
@@ -533,24 +551,54 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int) ->
             discard(left)
         discard(rest, found, tried, more)
         tried, left, first = tried_now, left_now, False
-    discard(groups, sets, near, passed, links, left, tried, texts.known)
+    discard(groups, sets, near, passed, links, left, tried, *texts.known)
     return roots
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, scheme: Callable[[DataFrame, int, int], tuple[Keys, float]] = universe_partition) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    Two documents link if den * |common| >= num * |union|; a component is what links connect.
+    Two documents link if den * |common| >= num * |union|; a component is what links connect.  ``scheme`` makes the keys of which
+    linking sets share one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("row"))
     sized = durable(_describe(docs, words))
-    roots = _roots(docs, sized, words, num, den)
-    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = _roots(docs, sized, words, num, den, scheme)
+    classes = sized.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     if roots is not None:
-        placed = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes = placed.join(smallest, "root").select("node", "component_id")
+        placed = classes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
+        smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+        placed, smallest = durable(placed), durable(smallest)
+        classes = join_counted(placed, smallest, ["root"], "members", F.col("node")).select("node", "copies", "component_id")
     else:
         classes = classes.withColumnRenamed("least", "component_id")
-    found = sized.select("doc_id", "n", "node").join(classes, "node", "left")
+    classes = durable(classes)
+    if roots is not None:
+        discard(roots, placed, smallest)
+    # A row of its own for each copy: classes of very many copies are dealt to several tasks.
+    found = join_counted(sized.where("node is not null").select("doc_id", "n", "node"), classes, ["node"], "copies", F.col("doc_id")).select("doc_id", "n", "component_id")
+    found = durable(found.unionAll(sized.where("node is null").select("doc_id", "n", F.lit(None).cast("long"))))
+    discard(sized, classes)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def oracle_sql(words: int, num: int, den: int, more: str = "") -> str:
+    """The same by brute force in SQL: every two sets that share a shingle are compared."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {words - 1}], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {words - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c u ON u.doc_id = x JOIN c v ON v.doc_id = y WHERE {den} * k >= {num} * (u.n + v.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, n_shingles, component_id{more} FROM (
+  SELECT w.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id
+)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longwave.llm import chunks, jaccard, langid, licenses, lines, mixing, pieces, quality, vectors
+from longwave.llm import audit, chunks, jaccard, langid, licenses, lines, minhash, mixing, phrases, pieces, quality, vectors
 
 
 #: A public vocabulary with byte pieces; another model file can be given instead.
@@ -82,6 +82,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, num=80, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_multi_index": op2_multi_index,
@@ -93,9 +106,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunks": op8_chunks,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_superminhash": op11_superminhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": vectors.ORACLE_SQL,
     "op6_line_dedup": lines.ORACLE_SQL,
+    "op7_jaccard": jaccard.oracle_sql(words=3, num=90, den=100),
+    "op11_superminhash": minhash.ORACLE_SQL,
+    "op12_filter_audit": audit.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
