@@ -2,7 +2,8 @@
 
 A document's mask has a bit for each filter it fails.  A to D follow from its text; E (a repeated text) from the table:
 
-* Documents go through an RDD.  Each task keeps chains of the texts of one fingerprint (xxhash64) with the smallest id, so that of a very
+* A bitmap of fixed size tells which fingerprints (xxhash64) may be there more than once; a text of any other fingerprint is not repeated and stays in its task.
+* The others go through an RDD.  Each task keeps chains of the texts of one fingerprint with the smallest id, so that of a very
   common text it sends one row; what is not smallest there is known to be repeated already.
 * The smallest ones are partitioned by fingerprint.  A chain holds whole texts, so documents whose fingerprints collide are not taken for
   copies, and all but those of a text's smallest id are given out as repeated.
@@ -21,10 +22,12 @@ from collections.abc import Iterable, Iterator
 from itertools import permutations
 
 import numpy as np
-from pyspark import RDD
+from pyspark import RDD, Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from longwave.llm.repeats import CELL_BITS, repeated
+
 LETTERS = "ABCDE"
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 50, 65, 5, b"#$%&*|"
 #: A task forgets its chains beyond so many bytes of texts: then a common text is sent once more.
@@ -122,22 +125,26 @@ def _slim(doc_id: int | None, parts: Counter, mask: int) -> Iterator[tuple]:
         yield doc_id, part, mask, n
 
 
-def _within_task(rows: Iterable) -> Iterator[tuple]:
-    """(fingerprint, (text, id, parts)) of what may be smallest, and (any number, slim row) of what is decided."""
-    held = Chains()
-    for k, (fingerprint, doc_id, text, part) in enumerate(rows):
-        data = text.encode("utf-8", "surrogatepass")
-        if doc_id is None:
-            yield k, (None, part, text_mask(data, len(text)), 1)
-            continue
-        known = held.add(fingerprint, data, doc_id, Counter((part,)))
-        if known:
-            mask = text_mask(data, len(text)) | _REPEATED
-            for row in _slim(*known, mask):
-                yield k, row
-        if held.size > CHAIN_BYTES:
-            yield from held.drain()
-    yield from held.drain()
+def _within_task(bitmap: Broadcast[np.ndarray]):
+    """From (fingerprint, id, text, part): (fingerprint, (text, id, parts)) of what may be smallest, and (any number, slim row) of what is decided."""
+
+    def run(rows: Iterable) -> Iterator[tuple]:
+        held, cells = Chains(), bitmap.value
+        for k, (fingerprint, doc_id, text, part) in enumerate(rows):
+            data = text.encode("utf-8", "surrogatepass")
+            cell = (fingerprint & (1 << 64) - 1) >> 64 - CELL_BITS
+            if doc_id is None or not int(cells[cell >> 6]) >> (cell & 63) & 1:
+                yield k, (doc_id, part, text_mask(data, len(text)), 1)
+                continue
+            known = held.add(fingerprint, data, doc_id, Counter((part,)))
+            if known:
+                for row in _slim(*known, text_mask(data, len(text)) | _REPEATED):
+                    yield k, row
+            if held.size > CHAIN_BYTES:
+                yield from held.drain()
+        yield from held.drain()
+
+    return run
 
 
 def _between_tasks(rows: Iterable) -> Iterator[tuple]:
@@ -159,9 +166,11 @@ def _between_tasks(rows: Iterable) -> Iterator[tuple]:
 def failure_masks(docs: DataFrame) -> DataFrame:
     """(doc_id, part, mask, n): every document's failures; n rows that are equal in these."""
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    fingerprints = docs.select(F.xxhash64(text).alias("fingerprint"))
+    bitmap = spark.sparkContext.broadcast(repeated(fingerprints, lambda batches: (np.asarray(b.column("fingerprint")) for b in batches), docs.count()))
     rows = docs.select(F.xxhash64(text), F.col("doc_id").cast("long"), text, F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
     buckets = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_within_task).partitionBy(buckets, lambda fingerprint: fingerprint)
+    routed = rows.mapPartitions(_within_task(bitmap)).partitionBy(buckets, lambda fingerprint: fingerprint)
     return spark.createDataFrame(routed.mapPartitions(_between_tasks), _SLIM, verifySchema=False)
 
 
