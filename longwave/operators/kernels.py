@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longwave.operators import slicing
+from longwave.operators.resampling import resample, resample_array
 from longwave.operators.spectral import BARK_EDGES
 
 FRAME, HOP = 2048, 1024
@@ -509,24 +510,65 @@ def pick_onsets(curve: np.ndarray, frame_rate: float, alpha: float = 0.1, delay:
     if top <= 0:
         return np.zeros(0)
     c = curve / top
-    times = []
-    for k in range(len(c)):
-        near, past = c[max(0, k - 2) : k + 3], c[max(0, k - delay) : k + 1]
-        if c[k] >= silence and c[k] == near.max() and c[k] > np.median(past) + alpha * past.mean() and (not times or k - times[-1] > 2):
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(c, 2, constant_values=-np.inf), 5).max(axis=1)
+    limit = np.empty(len(c))
+    for k in range(min(delay, len(c))):
+        limit[k] = np.median(c[: k + 1]) + alpha * c[: k + 1].mean()
+    for k in range(delay, len(c), 1 << 16):
+        past = np.lib.stride_tricks.sliding_window_view(c[k - delay : k + (1 << 16)], delay + 1)
+        limit[k : k + len(past)] = np.median(past, axis=1) + alpha * past.mean(axis=1)
+    times: list[int] = []
+    for k in np.flatnonzero((c >= silence) & (c == near) & (c > limit)).tolist():
+        if not times or k - times[-1] > 2:
             times.append(k)
     return np.array(times) / frame_rate
 
 
-def detect_onsets(files: DataFrame, rate: float, method: str = "complex", size: int = 1024, hop: int = 512, alpha: float = 0.1, delay: int = 5, silence: float = 0.02) -> DataFrame:
-    """(file, t) of files (file, x)."""
+def whole_chunks(files: DataFrame) -> DataFrame:
+    """Files (file, x) as one chunk each."""
+    none = F.lit(0).cast("long")
+    return files.select("file", none.alias("chunk"), none.alias("first"), none.alias("lead"), F.size("x").cast("long").alias("n"), "x")
 
-    def run(batches):
-        for rows in batches:
-            for file, x in zip(rows["file"], rows["x"], strict=True):
-                t = pick_onsets(onset_curve(x, rate, method, size, hop), rate / hop, alpha, delay, silence)
-                yield pd.DataFrame({"file": file, "t": np.asarray(t, float)})
 
-    return files.select("file", "x").mapInPandas(run, "file string, t double")
+def _by_chunk(chunks: DataFrame, size: int, hop: int, before: int, values: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(file, k, v): from the frames that begin in each chunk (with halos of ``before`` frames and ``size`` samples), in order, one row of v for each frame from k on."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                file, first, lead, n = (batch.column(c)[r].as_py() for c in ("file", "first", "lead", "n"))
+                x = np.asarray(batch.column("x")[r].values, float)
+                k0, k1 = -(-first // hop), -(-(first + n) // hop)
+                warm = min(before, k0)
+                begin = (k0 - warm) * hop - (first - lead)
+                if k1 > k0:
+                    found = values(x[begin : (k1 - 1) * hop - (first - lead) + size])[warm : k1 - k0 + warm]
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.string()), pa.array([k0], pa.int64()), pa.array([np.ascontiguousarray(found).ravel()], pa.list_(pa.float64()))], ["file", "k", "v"])
+
+    return chunks.select("file", "first", "lead", "n", "x").mapInArrow(run, "file string, k long, v array<double>")
+
+
+def _edges_of(parts: DataFrame, find: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(file, t) found in the curves of each file: a few numbers for each frame, not its samples."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        t = np.asarray(find(np.concatenate([np.asarray(v.values, float) for v in table["v"]])), float)
+        return pa.table({"file": pa.array([table["file"][0].as_py()] * len(t), pa.string()), "t": pa.array(t, pa.float64())})
+
+    return parts.groupBy("file").applyInArrow(run, "file string, t double")
+
+
+def onset_halo(size: int, hop: int) -> tuple[int, int]:
+    """Samples before and after a chunk that its frames of :func:`detect_onsets` need."""
+    return 2 * hop, max(size, 2048)
+
+
+def detect_onsets(chunks: DataFrame, rate: float, method: str = "complex", size: int = 1024, hop: int = 512, alpha: float = 0.1, delay: int = 5, silence: float = 0.02) -> DataFrame:
+    """(file, t) of chunks with a halo of at least :func:`onset_halo`."""
+    long_frames = max(size, 2048) if method == "superflux" else size
+    curves = _by_chunk(chunks, long_frames, hop, 2, lambda x: onset_curve(x, rate, method, size, hop))
+    return _edges_of(curves, lambda c: pick_onsets(c, rate / hop, alpha, delay, silence))
 
 
 def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int = 60, size2: int = 200, inc2: int = 20, least: int = 10) -> list[int]:
@@ -568,123 +610,25 @@ def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int =
     return kept
 
 
-def sbic_edges(files: DataFrame, rate: float, size: int = 2048, hop: int = 1024, coefficients: int = 13, **options) -> DataFrame:
-    """(file, t) of timbral changes in files (file, x); too few frames give none, as does no change."""
+def sbic_edges(chunks: DataFrame, rate: float, size: int = 2048, hop: int = 1024, coefficients: int = 13, **options) -> DataFrame:
+    """(file, t) of timbral changes in files given as chunks (with ``size`` samples of halo after them); too few frames give none, as does no change."""
     least_frames = max(options.get("size1", 300), options.get("size2", 200))
+    mel = mel_weights(np.fft.rfftfreq(size, 1 / rate))
+    vectors = _by_chunk(chunks, size, hop, 0, lambda x: cepstra(spectra(frame_array(x, size, hop)), mel, coefficients))
 
-    def run(batches):
-        for rows in batches:
-            for file, x in zip(rows["file"], rows["x"], strict=True):
-                frames = frame_array(np.asarray(x, float), size, hop)
-                t = []
-                if len(frames) >= least_frames:
-                    v = cepstra(spectra(frames), mel_weights(np.fft.rfftfreq(size, 1 / rate)), coefficients)
-                    t = [k * hop / rate for k in change_frames(v, **options)]
-                yield pd.DataFrame({"file": file, "t": np.asarray(t, float)})
+    def find(flat: np.ndarray) -> np.ndarray:
+        v = flat.reshape(-1, coefficients)
+        return np.array(change_frames(v, **options) if len(v) >= least_frames else []) * (hop / rate)
 
-    return files.select("file", "x").mapInPandas(run, "file string, t double")
+    return _edges_of(vectors, find)
 
 
 @slicing.register("sbic")
-def sbic(totals: DataFrame, audio: DataFrame, rate: float, size: int, hop: int, coefficients: int, window: float, grid_hop: float | None = None, drop_last_partial: bool = True, **options) -> DataFrame:
-    """Bounds between change points of the audio (file, x); files of too few frames for the criterion get the constant grid."""
-    long_enough = F.ceil(F.size("x") / hop) >= max(options.get("size1", 300), options.get("size2", 200))
-    edges = sbic_edges(audio.where(long_enough), rate, size, hop, coefficients, **options)
-    known = totals.join(audio.select("file", long_enough.alias("changing")), "file")
+def sbic(totals: DataFrame, chunks: DataFrame, rate: float, size: int, hop: int, coefficients: int, window: float, grid_hop: float | None = None, drop_last_partial: bool = True, **options) -> DataFrame:
+    """Bounds between change points of the chunks of files; files of too few frames for the criterion get the constant grid."""
+    samples = chunks.groupBy("file").agg(F.sum("n").alias("samples"))
+    known = totals.join(samples, "file").withColumn("changing", F.ceil(F.col("samples") / hop) >= max(options.get("size1", 300), options.get("size2", 200)))
+    edges = sbic_edges(chunks, rate, size, hop, coefficients, **options)
     ends = known.where("changing").select("file", F.explode(F.array(F.lit(0.0), F.col("total"))).alias("t"))
     inner = edges.join(totals, "file").where("t > 0 AND t < total").select("file", "t")
     return slicing.between_edges(inner.unionByName(ends)).unionByName(slicing.fixed(known.where("NOT changing").select("file", "total"), window, grid_hop, drop_last_partial))
-
-
-def resample_array(x: np.ndarray, source: int, target: int, half_width: int = 16) -> np.ndarray:
-    """Windowed-sinc interpolation at the target rate; as it is if rates agree or nothing is there."""
-    x = np.asarray(x, float)
-    if source == target or not len(x):
-        return x
-    count = -(-len(x) * target // source)
-    cutoff = min(1.0, target / source)
-    reach = int(np.ceil(half_width / cutoff))
-    out = np.empty(count)
-    for a in range(0, count, 1 << 14):
-        at = np.arange(a, min(count, a + (1 << 14))) * (source / target)
-        base = np.floor(at).astype(int)
-        k = base[:, None] + np.arange(-reach + 1, reach + 1)[None, :]
-        gap = at[:, None] - k
-        weight = cutoff * np.sinc(cutoff * gap) * np.where(np.abs(gap) < reach, 0.5 + 0.5 * np.cos(np.pi * gap / reach), 0)
-        out[a : a + len(at)] = (weight * np.where((k >= 0) & (k < len(x)), x[np.clip(k, 0, len(x) - 1)], 0)).sum(axis=1)
-    return out
-
-
-def resample(files: DataFrame, source: int, target: int) -> DataFrame:
-    """Rows with x brought to another rate; other columns stay."""
-
-    def run(batches):
-        for rows in batches:
-            yield rows.assign(x=[resample_array(x, source, target).tolist() for x in rows["x"]])
-
-    return files.mapInPandas(run, files.schema)
-
-
-def _k_weighted(x: np.ndarray, rate: float) -> np.ndarray:
-    """The loudness pre-filter (high shelf and high pass) of ITU-R BS.1770, applied in the frequency domain."""
-    f = np.fft.rfftfreq(len(x), 1 / rate)
-    out = np.fft.rfft(x)
-    for f0, q, gain, shelf in ((1681.974450955533, 0.7071752369554196, 3.999843853973347, True), (38.13547087602444, 0.5003270373238773, 0.0, False)):
-        k = np.tan(np.pi * f0 / rate)
-        if shelf:
-            vh = 10 ** (gain / 20)
-            vb = vh**0.4996667741545416
-            b = np.array([vh + vb * k / q + k * k, 2 * (k * k - vh), vh - vb * k / q + k * k])
-        else:
-            b = np.array([1.0, -2.0, 1.0]) * (1 + k / q + k * k)
-        a = np.array([1 + k / q + k * k, 2 * (k * k - 1), 1 - k / q + k * k])
-        z = np.exp(-2j * np.pi * f / rate)
-        scale = 1.0 if shelf else 1 / (1 + k / q + k * k)
-        out *= scale * (b[0] + b[1] * z + b[2] * z * z) / (a[0] + a[1] * z + a[2] * z * z) * (1.0 if shelf else a[0])
-    return np.fft.irfft(out, len(x))
-
-
-def ebu_r128(channels: Sequence[np.ndarray], rate: float) -> dict[str, float]:
-    """Integrated loudness, loudness range and largest short-term loudness of a stereo file."""
-    weighted = [_k_weighted(np.asarray(c, float), rate) for c in channels]
-
-    def levels(seconds: float, step: float) -> np.ndarray:
-        size, hop = int(seconds * rate), int(step * rate)
-        n = min(map(len, weighted))
-        if n < size:
-            return np.zeros(0)
-        starts = np.arange(0, n - size + 1, hop)
-        sums = [np.concatenate([[0], np.cumsum(c**2)]) for c in weighted]
-        return sum((s[starts + size] - s[starts]) / size for s in sums)
-
-    loud = lambda p: -0.691 + 10 * np.log10(np.maximum(p, 1e-12))
-    out = {"loudness_integrated_LUFS": -70.0, "loudness_range_LU": 0.0, "loudness_short_term_max_LUFS": -70.0}
-    blocks = levels(0.4, 0.1)
-    blocks = blocks[loud(blocks) > -70]
-    if len(blocks):
-        blocks = blocks[loud(blocks) > loud(blocks.mean()) - 10]
-        out["loudness_integrated_LUFS"] = float(loud(blocks.mean()))
-    short = levels(3.0, 1.0)
-    if len(short):
-        out["loudness_short_term_max_LUFS"] = float(loud(short).max())
-        short = short[loud(short) > -70]
-        short = short[loud(short) > loud(short.mean()) - 20] if len(short) else short
-        if len(short):
-            lo, hi = np.percentile(loud(short), [10, 95])
-            out["loudness_range_LU"] = float(hi - lo)
-    return out
-
-
-def file_globals(files: DataFrame, rate: float) -> DataFrame:
-    """(file, name, value) of whole files (file, x, stereo ARRAY<ARRAY<DOUBLE>> or null)."""
-
-    def run(batches):
-        for rows in batches:
-            for file, x, stereo in zip(rows["file"], rows["x"], rows["stereo"], strict=True):
-                complexity, level = dynamic_complexity(x, rate)
-                values = {"global.dynamic_complexity": complexity, "global.loudness_dB": level}
-                if stereo is not None and rate in (44100, 48000):
-                    values |= {f"global.{k}": v for k, v in ebu_r128(list(stereo), rate).items()}
-                yield pd.DataFrame([(file, k, float(v)) for k, v in values.items()], columns=["file", "name", "value"])
-
-    return files.select("file", "x", "stereo").mapInPandas(run, "file string, name string, value double")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longwave.functions import scalars
-from longwave.operators import features, kernels, plots, psycho, similarity, slicing, spectral, stats
+from longwave.operators import features, kernels, loudness, plots, psycho, recursion, resampling, similarity, slicing, spectral, stats
 from longwave.sources import adapters as src
-from longwave.sources import sinks
+from longwave.sources import ranges, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -829,28 +829,85 @@ def kernel_descriptors(spark, d):
     return kernels.describe_segments(arrays, 44100, kernels.GROUPS, stats.DEFAULT_STATS, 512, 256)
 
 
+@query("psycho_describe")
+def psycho_describe(spark, d):
+    arrays = _event_arrays(spark, d).withColumn("segment", F.lit(0).cast("long"))
+    return psycho.describe(arrays, 1000.0, psycho.metrics())
+
+
+#: Samples of a chunk of the event files.
+EVENT_CHUNK = 1024
+
+
 @query("onset_detect")
 def onset_detect(spark, d):
-    return kernels.detect_onsets(_event_arrays(spark, d), 100.0, "flux", 32, 16)
+    chunks = ranges.with_halo(ranges.chunked(_half_scale(src.event_samples(spark, d)), EVENT_CHUNK), 32, 64)
+    return kernels.detect_onsets(chunks, 100.0, "flux", 32, 16)
 
 
 @query("sbic")
 def sbic(spark, d):
-    return kernels.sbic_edges(_event_arrays(spark, d), 100.0, 64, 16, 6, size1=60, inc1=10, size2=40, inc2=4)
+    chunks = ranges.with_halo(ranges.chunked(_half_scale(src.event_samples(spark, d)), EVENT_CHUNK), 0, 64)
+    return kernels.sbic_edges(chunks, 100.0, 64, 16, 6, size1=60, inc1=10, size2=40, inc2=4)
 
 
-@query("resample")
-def resample(spark, d):
-    made = kernels.resample(_event_arrays(spark, d), 3, 2)
-    return made.select("file", F.posexplode("x").alias("i", "x"))
+def _half_scale(samples: DataFrame) -> DataFrame:
+    return samples.select("file", "i", (F.col("x") / 500.0).alias("x"))
 
 
-@query("psycho_describe")
-def psycho_describe(spark, d):
-    arrays = _event_arrays(spark, d).withColumn("segment", F.lit(0).cast("long"))
-    return psycho.describe(arrays, 1000.0, psycho.metrics())
+@query(
+    "resample",
+    f"""WITH {EV}, n AS (SELECT file, ceil((max(i) + 1) * 2 / 3.0)::BIGINT AS n FROM ev GROUP BY file),
+j AS (SELECT file, unnest(range(0, n)) AS j FROM n),
+k AS (SELECT file, j, j * 3 // 2 AS base, (j * 3 % 2) / 2.0::DOUBLE AS part, unnest(range(-23, 25)) AS o FROM j),
+w AS (SELECT k.file, j, x / 500.0::DOUBLE AS x, part - o AS gap FROM k JOIN ev ON ev.file = k.file AND ev.i = base + o)
+SELECT file, j AS i, round(sum(x * (2 / 3.0::DOUBLE) * CASE WHEN gap = 0 THEN 1 ELSE sin(pi() * gap * 2 / 3.0::DOUBLE) / (pi() * gap * 2 / 3.0::DOUBLE) END
+  * CASE WHEN abs(gap) < 24 THEN 0.5 + 0.5 * cos(pi() * gap / 24) ELSE 0 END), 6) AS x FROM w GROUP BY file, j""",
+)
+def resample(spark, d):
+    """Three to two by the polyphase bank, over single samples."""
+    return resampling.resample_samples(_half_scale(src.event_samples(spark, d)), 3, 2).select("file", "i", r("x"))
 
 
-@query("dynamic_complexity")
+@query(
+    "dynamic_complexity",
+    f"""WITH {EV}, b AS (SELECT file, i // 20 AS b, sum(x * x / 250000.0::DOUBLE) / 20 AS p FROM ev GROUP BY ALL),
+w AS (SELECT file, 10 * log10(avg(p) + 1e-9) AS w FROM b GROUP BY file),
+d AS (SELECT file, avg(abs(10 * log10(p + 1e-9) - w)) AS d, any_value(w) AS w FROM b JOIN w USING (file) GROUP BY file)
+SELECT file, 'global.dynamic_complexity' AS name, round(d, 6) AS value FROM d UNION ALL SELECT file, 'global.loudness_dB', round(w, 6) FROM d""",
+)
 def dynamic_complexity(spark, d):
-    return kernels.file_globals(_event_arrays(spark, d).withColumn("stereo", F.lit(None).cast("array<array<double>>")), 100.0)
+    return loudness.file_globals(ranges.chunked(_half_scale(src.event_samples(spark, d)), EVENT_CHUNK), 100.0).select("file", "name", r("value"))
+
+
+def _gates_sql() -> str:
+    loud = lambda p: f"(-0.691 + 10 * log10(greatest({p}, 1e-12)))"
+    gated = lambda name, source, gate: f"{name}0 AS (SELECT file, p, avg(p) OVER (PARTITION BY file) AS m FROM {source} WHERE {loud('p')} > -70), {name} AS (SELECT file, p FROM {name}0 WHERE {loud('p')} > {loud('m')} + {gate})"
+    block = lambda name, size, hop: f"{name} AS (SELECT file, b, sum(e) / {size * 10} AS p FROM (SELECT file, s, e, unnest(range(greatest(0, ceil((s - {size - 1}) / {hop}::DOUBLE)::BIGINT), s // {hop} + 1)) AS b FROM st) GROUP BY file, b HAVING count(*) = {size})"
+    return f"""WITH {EV}, st AS (SELECT file, i // 10 AS s, sum(x * x / 250000.0::DOUBLE) AS e FROM ev GROUP BY ALL HAVING count(*) = 10),
+{block('mo', 4, 1)}, {block('sh', 30, 10)}, {gated('gi', 'mo', -10)}, {gated('gr', 'sh', -20)},
+v AS (
+  SELECT f.file, (SELECT {loud('avg(p)')} FROM gi WHERE gi.file = f.file) AS i, (SELECT quantile_cont({loud('p')}, 0.95) - quantile_cont({loud('p')}, 0.10) FROM gr WHERE gr.file = f.file) AS r,
+    (SELECT {loud('max(p)')} FROM sh WHERE sh.file = f.file) AS m FROM (SELECT DISTINCT file FROM ev) f
+)
+SELECT file, 'global.loudness_integrated_LUFS' AS name, round(coalesce(i, -70), 6) AS value FROM v
+UNION ALL SELECT file, 'global.loudness_range_LU', round(coalesce(r, 0), 6) FROM v UNION ALL SELECT file, 'global.loudness_short_term_max_LUFS', round(coalesce(m, -70), 6) FROM v"""
+
+
+@query("loudness_gates", _gates_sql())
+def loudness_gates(spark, d):
+    """Programme loudness of the event files: blocks and both gates, with a filter that changes nothing in place of the K-weighting."""
+    steps = loudness.step_energies(ranges.chunked(_half_scale(src.event_samples(spark, d)), EVENT_CHUNK), 100.0, [recursion.Section(1.0, 0.0, 0.0, 0.0, 0.0)], "x")
+    return loudness.programme_loudness(steps, 100.0).select("file", "name", r("value"))
+
+
+@query("assembled_segments", f"""WITH {EV}, s AS (SELECT file, unnest(range(0, (max(i) + 500) // 700 + 1)) AS segment FROM ev GROUP BY file)
+SELECT s.file, segment, count(*) AS n, round(sum(x * (i - segment * 700 + 1)) / 1e6, 6) AS moment FROM s JOIN ev ON ev.file = s.file AND i >= segment * 700 AND i < segment * 700 + 1500 GROUP BY s.file, segment""")
+def assembled_segments(spark, d):
+    """Overlapping segments of 1,500 samples every 700, put together from chunks; checked by length and first moment."""
+    samples = src.event_samples(spark, d).select("file", "i", "x")
+    ends = samples.groupBy("file").agg(F.max("i").alias("last"))
+    segments = ends.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(last + 500) div 700"))).alias("segment")).selectExpr("file", "segment", "segment * 700D AS start", "segment * 700D + 1500D AS end")
+    made = ranges.assemble(ranges.chunked(samples, EVENT_CHUNK), segments, 1.0, EVENT_CHUNK).where(F.size("x") > 0)
+    moment = F.aggregate(F.transform("x", lambda v, k: v * (k + 1)), F.lit(0.0), lambda t, v: t + v)
+    return made.select("file", "segment", F.size("x").cast("long").alias("n"), r(moment / 1e6, "moment"))

@@ -105,7 +105,7 @@ def read_audio(files: DataFrame, rate: int = 44100, how: str = "mix", start: flo
 
     A file that cannot be decoded, or has no samples in the asked range, has an error and null samples.
     """
-    from longwave.operators.kernels import resample_array
+    from longwave.operators.resampling import resample_array
 
     decoders = dict(_DECODERS)
 
