@@ -16,7 +16,7 @@ hashes of its distinct shingles of ``words`` words (a text of fewer words: of th
 * Pairs of a group are first tested on parity sketches, a few bits per element: sets differ in at least as
   many elements as their sketches in bits, so that a pair whose sketches differ too much cannot link.
   What passes is verified on whole texts, in bins of bounded size.
-* Every member of a group is first tested against the group's pivot (its smallest set), and verified against
+* Every member of a group is first tested against the group's pivot (the set that meets most others in its groups), and verified against
   the nearest of its pivots, then against those others that it is not connected with yet.  Groups that the links found
   connect are done.  In what is left, members that are not connected are tested in cells of two blocks of
   a bounded number of sketches.  A cell gives back the few most similar pairs of each component that pass and are
@@ -461,12 +461,18 @@ def _groups(docs: DataFrame, keys, expected: float) -> DataFrame | None:
     # From here on, rows are in proportion to the documents that share a key with another set.
     rows = durable(_shared_keys(docs, keys, wanted))
     by_key = rows.groupBy("key").agg(
-        F.count("*").alias("held"), F.min("node").alias("pivot"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+        F.count("*").alias("held"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
     )
-    kept = durable(by_key.where("held > 1").groupBy("held", "pivot", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", "held"))
-    groups = durable(join_counted(rows, kept, ["key"], "held", F.col("node")).select("key", "node", "pivot", "held"))
+    kept = durable(by_key.where("held > 1").groupBy("held", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "held"))
+    groups = durable(join_counted(rows, kept, ["key"], "held", F.col("node")).select("key", "node", "held"))
     discard(rows, kept)
-    return groups
+    # The pivot is the set that meets most others: of a family that was made from one text, most likely that text.
+    met = groups.groupBy("node").agg(F.sum("held").alias("met"))
+    pivots = groups.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"), F.first("held").alias("held"))
+    pivots = durable(pivots)
+    with_pivots = durable(join_counted(groups.select("key", "node"), pivots, ["key"], "held", F.col("node")).select("key", "node", "pivot", "held"))
+    discard(groups, pivots)
+    return with_pivots
 
 
 def universe_partition(sized: DataFrame, num: int, den: int) -> tuple[Keys, float]:
@@ -521,12 +527,12 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, sc
     while True:
         placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
-        rest = placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root")
+        rest = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root"))
         if first:
             # The largest group of each member first: what links there need not be found again in many groups alike.
             largest = rest.groupBy("node").agg(F.max_by("key", F.struct("held", "key")).alias("key")).select("key").distinct()
-            rest = rest.join(largest, "key", "left_semi")
-        rest = durable(rest)
+            # Groups that the links have connected are done for good.
+            open_groups, rest = rest, durable(rest.join(largest, "key", "left_semi"))
         bins = 1 + (rest.agg(F.sum(F.ceil(F.col("held") / CELL_SETS))).first()[0] or 0) // CELL_SETS
         dealt = lambda df: df.withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))  # noqa: B023, E731
         blocks = rest.withColumn("blocks", F.ceil(F.col("held") / CELL_SETS).cast("int"))
@@ -544,13 +550,14 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, sc
             discard(rest, found, more)
             break
         tried_now = durable(tried.unionAll(found.select(*tried.columns)))
-        left_now = left
-        if not first:
+        if first:
+            left_now = open_groups
+        else:
             # Cells that had nothing have nothing later either.
             left_now, most = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held")), most * 64
-            discard(left)
-        discard(rest, found, tried, more)
-        tried, left, first = tried_now, left_now, False
+        discard(rest, found, tried, more, left)
+        tried, left, first = tried_now, left_now.select("key", "node", "held"), False
+        left.kept_at = left_now.kept_at
     discard(groups, sets, near, passed, links, left, tried, *texts.known)
     return roots
 
