@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longwave.operators import similarity
+from longwave.operators import hierarchy, similarity
 
 #: From this mean silhouette down, a clustering is called weak; beyond so many clusters, plots are split.
 WEAK, FACETS = 0.25, 3
@@ -21,13 +20,8 @@ def map_edges(segments: DataFrame) -> DataFrame:
 
 def merge_steps(features: DataFrame, metric: str = "euclidean", link: str = "ward") -> DataFrame:
     """(file, step, a, b, height, size): the merge tree of each file's segments."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        steps = similarity.tree_of(rows, metric, link)
-        made = pd.DataFrame(steps, columns=["a", "b", "height", "size"]).astype({"a": "int64", "b": "int64", "size": "int64"})
-        return made.assign(file=rows["file"].iloc[0], step=range(len(steps)))[["file", "step", "a", "b", "height", "size"]]
-
-    return features.select("file", "segment", "v").groupBy("file").applyInPandas(run, "file string, step long, a long, b long, height double, size long")
+    rows = features.select("file", "segment", "v")
+    return hierarchy.merge_steps(rows, similarity.merges_of(rows, metric, link))
 
 
 def colour_threshold(heights: list[float], k: int) -> float:

@@ -4,8 +4,7 @@ Everything works on (file, segment, v ARRAY<DOUBLE>).  All-pairs operators deal
 cell of two blocks is one Arrow task that computes their distances and gives back no more than is asked
 for: pairs, the nearest few of each row, or each row's sums by cluster.  No task sees more than two blocks.
 k-means is Lloyd's iteration by aggregation from k-means|| starts, and principal components come from
-summed products, so neither needs a distance matrix.  Hierarchical linkage alone does: it runs once per file, and
-a file has at most ``MOST_SEGMENTS`` segments there, since its memory grows with the square.
+summed products, so neither needs a distance matrix.  Hierarchical linkage is in :mod:`longwave.operators.hierarchy`.
 """
 
 from __future__ import annotations
@@ -18,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from longwave.operators import hierarchy
+from longwave.operators.hierarchy import LINKAGES, cut_tree
 from longwave.operators.lineage import settled
 
+__all__ = ["LINKAGES", "METRICS", "analyse", "cut_tree", "distance_matrix", "linkage"]
+
 METRICS = ("euclidean", "cityblock", "cosine", "correlation")
-LINKAGES = ("ward", "average", "complete", "single")
-#: Rows of a block, the blocks that a file of some size is cut into at least, and the most rows of a file for linkage.
-BLOCK_ROWS, LEAST_BLOCKS, MOST_SEGMENTS = 1024, 8, 8000
+#: Rows of a block, and the blocks that a file of some size is cut into at least.
+BLOCK_ROWS, LEAST_BLOCKS = 1024, 8
 #: Numbers that a step within a cell holds at a time.
 _STEP_NUMBERS = 1 << 22
 
@@ -336,95 +338,18 @@ def principal_components(features: DataFrame, count: int = 2) -> DataFrame:
     return met.select("file", "segment", F.slice(F.transform("loading", lambda a: dot(F.col("x"), a)), F.lit(1), limit).alias("xy"), F.slice("share", F.lit(1), limit).alias("share"))
 
 
-# ---- hierarchies: a file's whole matrix -----------------------------------------------------------
+# ---- hierarchies ----------------------------------------------------------------------------------
 
 
 def linkage(d: np.ndarray, method: str) -> np.ndarray:
-    """Merge steps (a, b, height, size) of agglomerative clustering, by chains of nearest neighbours."""
-    if method not in LINKAGES:
-        raise ValueError(f"unknown linkage {method!r}; known: {', '.join(LINKAGES)}")
-    n = len(d)
-    gap = d.astype(float).copy()
-    np.fill_diagonal(gap, np.inf)
-    size, alive, chain, merged = np.ones(n), np.ones(n, bool), [], []
-    while len(merged) < n - 1:
-        if not chain:
-            chain = [int(np.argmax(alive))]
-        while True:
-            row = gap[chain[-1]]
-            near = int(np.argmin(row))
-            if len(chain) > 1 and row[chain[-2]] <= row[near]:
-                break
-            chain.append(near)
-        j, i = chain.pop(), chain.pop()
-        height = gap[i, j]
-        rest = alive.copy()
-        rest[[i, j]] = False
-        x, y = gap[i, rest], gap[j, rest]
-        if method == "single":
-            new = np.minimum(x, y)
-        elif method == "complete":
-            new = np.maximum(x, y)
-        elif method == "average":
-            new = (size[i] * x + size[j] * y) / (size[i] + size[j])
-        else:
-            s = size[rest]
-            new = np.sqrt(((size[i] + s) * x * x + (size[j] + s) * y * y - s * height * height) / (size[i] + size[j] + s))
-        merged.append((height, i, j))
-        size[i] += size[j]
-        alive[j] = False
-        gap[j, :] = gap[:, j] = np.inf
-        gap[i, rest] = gap[rest, i] = new
-    # In order of height; a cluster is known by any of its rows until its number is looked up.
-    parent, steps = np.arange(2 * n - 1) if n else np.zeros(0, int), []
-    held = np.concatenate((np.ones(n), np.zeros(max(0, n - 1))))
-    for t, (height, i, j) in enumerate(sorted(merged, key=lambda m: m[0])):
-        a, b = sorted((_top(parent, i), _top(parent, j)))
-        parent[a] = parent[b] = n + t
-        held[n + t] = held[a] + held[b]
-        steps.append((a, b, height, held[n + t]))
-    return np.array(steps, float).reshape(-1, 4)
-
-
-def _top(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = int(parent[x])
-    return x
-
-
-def cut_tree(steps: np.ndarray, k: int) -> np.ndarray:
-    """Labels from 1 for at most k clusters, numbered by their first row; equal heights are not torn apart."""
-    n = len(steps) + 1
-    order = np.sort(steps[:, 2]) if len(steps) else np.zeros(0)
-    limit = -np.inf if k >= n else order[n - k - 1]
-    parent = np.arange(2 * n - 1)
-    for t, (a, b, height, _) in enumerate(steps):
-        if height <= limit:
-            parent[_top(parent, int(a))] = parent[_top(parent, int(b))] = n + t
-    tops = [_top(parent, i) for i in range(n)]
-    number = {x: c + 1 for c, x in enumerate(dict.fromkeys(tops))}
-    return np.array([number[x] for x in tops])
-
-
-def tree_of(rows: pd.DataFrame, metric: str, link: str) -> np.ndarray:
-    """The merge steps of a file's rows (segment, v), in order of segment."""
-    if len(rows) > MOST_SEGMENTS:
-        raise ValueError(f"{len(rows)} segments in one file; linkage takes at most {MOST_SEGMENTS}")
-    d = distance_matrix(np.stack(rows.sort_values("segment")["v"].to_numpy()).astype(float), metric)
-    return linkage(d, "average" if link == "ward" and metric != "euclidean" else link)
-
-
-def _tree_labels(features: DataFrame, metric: str, link: str, ks: list[int]) -> DataFrame:
-    """(file, segment, labels): a cut of each file's tree for every k."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("segment")
-        steps = tree_of(rows, metric, link)
-        labels = np.stack([cut_tree(steps, min(k, len(rows))) for k in ks], axis=1)
-        return pd.DataFrame({"file": rows["file"].to_numpy(), "segment": rows["segment"].to_numpy(), "labels": labels.tolist()})
-
-    return features.groupBy("file").applyInPandas(run, "file string, segment long, labels array<long>")
+    """Merge steps (a, b, height, size) of the rows of a distance matrix."""
+    return hierarchy.steps_of(hierarchy.merge_pairs(d, method), len(d))
+
+
+def merges_of(features: DataFrame, metric: str, link: str, small: int = hierarchy.SMALL) -> DataFrame:
+    """(file, round, i, j, height): see :func:`longwave.operators.hierarchy.merge_table`."""
+    _check(metric)
+    return hierarchy.merge_table(features, metric, link, distance_matrix, small)
 
 
 # ---- the whole comparison -------------------------------------------------------------------------
@@ -452,7 +377,7 @@ def analyse(features: DataFrame, metric: str = "euclidean", method: str = "hiera
     if not ks:
         labels = rows.select("file", "segment", one.alias("labels"))
     elif method == "hierarchical":
-        labels = _tree_labels(rows, metric, link, ks)
+        labels = hierarchy.labels(rows, merges_of(rows, metric, link), ks)
     else:
         parts = [kmeans(rows, x, seed).withColumnRenamed("cluster", f"c{t}") for t, x in enumerate(ks)]
         labels = parts[0]
