@@ -93,11 +93,16 @@ def test_allocation_turns_to_deletions_as_sets_grow():
 
 
 def test_common_counts():
+    """Pairs of a bin are told to link exactly from whole texts."""
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 60, 20)) for _ in range(80)] + [np.arange(60)]
-    got = jaccard._common(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    texts = [" ".join(f"w{x}" for x in rng.permutation(60)[: rng.integers(20, 60)]) for _ in range(40)]
+    own = [frozenset(t.split()) for t in texts]
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    rows = [(i, i) for i in range(len(texts))] + pairs
+    table = pa.table({"a": [a for a, _ in rows], "node": [b for _, b in rows], "text": [texts[b] for _, b in rows]})
+    got = jaccard._links_of(1, 50, 100)(table)
+    want = {(i, j) for i, j in pairs if 2 * len(own[i] & own[j]) >= len(own[i] | own[j])}
+    assert want and set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == want
 
 
 def test_chunks_cover_texts_and_fall_into_step():
@@ -170,7 +175,7 @@ def test_maxscore_equals_brute_force():
     docs[100:300] = docs[100]
     ids = np.sort(rng.choice(5000, 700, replace=False))
     asked = np.arange(0, 700, 7)
-    q, d, s = vectors._maxscore(ids[asked], docs[asked], ids, docs, 5, step=64)
+    q, d, s = vectors._exact_cell(ids[asked], docs[asked], ids, docs, 5)
     scores = docs[asked] @ docs.T
     scores[np.arange(len(asked)), asked] = -np.inf
     order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
@@ -178,16 +183,17 @@ def test_maxscore_equals_brute_force():
     assert np.array_equal(q, np.repeat(ids[asked], 5))
 
 
-def test_probing_finds_every_code_within_the_radius():
-    rng = np.random.default_rng(3)
-    v = rng.standard_normal((500, 16))
-    codes = vectors.learn_codes(v, np.arange(500), 5)._replace(radius=24)
-    packed = codes.encode(v)
-    asked = np.arange(20)
-    q, d, _ = vectors._probe(codes)(asked, v[:20], np.arange(500), v, 500)
-    for k in asked:
-        distance = vectors._POPCOUNT[packed ^ packed[k]].sum(axis=1)
-        assert set(d[q == k].tolist()) == set(np.flatnonzero(distance <= 24).tolist()) - {k}
+@pytest.mark.parametrize(("length", "radius", "number"), [(8, 1, 4), (6, 2, 5)])
+def test_probing_finds_every_code_within_the_radius(spark, length, radius, number):
+    """By the pigeonhole: m substrings probed to r meet every code within m (r + 1) - 1 bits."""
+    v = np.random.default_rng(3).standard_normal((500, 16))
+    codes = vectors.learn_rotation(v)._replace(length=length, radius=radius, number=number)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<double>")
+    pairs = vectors.probed_pairs(rows.where("vec_id < 20"), rows, codes).select("query_id", "vec_id").distinct().collect()
+    met = {(r["query_id"], r["vec_id"]) for r in pairs}
+    bits = codes.bits(v)[:, : length * number]
+    within = {(q, k) for q in range(20) for k in np.flatnonzero((bits != bits[q]).sum(axis=1) <= number * (radius + 1) - 1).tolist()}
+    assert len(within) > 20 and within <= met
 
 
 def test_empty_slices_of_features():
