@@ -523,11 +523,15 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, sc
     # Members other than pivots: all that are not connected yet, in cells.
     left = durable(groups.where("held > 2 AND node <> pivot").select("key", "node", "held"))
     tried = durable(docs.sparkSession.createDataFrame([], "key long, i int, j int, a long, b long"))
-    most, first = LEAST_TRIED, True
+    most, first, told = LEAST_TRIED, True, None
     while True:
-        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = left.select("key", "node", "held").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
+        if told is not None:
+            # Cells that had nothing have nothing later either.
+            mixed = mixed.join(told, "key", "left_semi")
         rest = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "held", "root"))
+        discard(told)
         if first:
             # The largest group of each member first: what links there need not be found again in many groups alike.
             largest = rest.groupBy("node").agg(F.max_by("key", F.struct("held", "key")).alias("key")).select("key").distinct()
@@ -539,7 +543,7 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, sc
         blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root").join(sets, "node")
-        both = dealt(cells).groupBy("bin").cogroup(dealt(tried.join(rest.select("key").distinct(), "key", "left_semi")).groupBy("bin"))
+        both = dealt(cells).groupBy("bin").cogroup(dealt(tried).groupBy("bin"))
         found = durable(both.applyInArrow(_cells(num, den, FIRST_TRIED if first else most), _PAIRS))
         pairs = found.select("a", "b", "na", "nb")
         more = durable((pairs.unionAll(passed) if first else pairs).distinct())
@@ -550,14 +554,14 @@ def _roots(docs: DataFrame, sized: DataFrame, words: int, num: int, den: int, sc
             discard(rest, found, more)
             break
         tried_now = durable(tried.unionAll(found.select(*tried.columns)))
+        discard(left, more, tried)
         if first:
-            left_now = open_groups
+            left, told = open_groups, None
+            discard(rest)
         else:
-            # Cells that had nothing have nothing later either.
-            left_now, most = durable(rest.join(found.select("key").distinct(), "key", "left_semi").select("key", "node", "held")), most * 64
-        discard(rest, found, tried, more, left)
-        tried, left, first = tried_now, left_now.select("key", "node", "held"), False
-        left.kept_at = left_now.kept_at
+            left, told, most = rest, durable(found.select("key").distinct()), most * 64
+        discard(found)
+        tried, first = tried_now, False
     discard(groups, sets, near, passed, links, left, tried, *texts.known)
     return roots
 
