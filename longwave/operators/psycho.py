@@ -1,9 +1,7 @@
-"""Psychoacoustic metrics: guards, curve summaries, and simplified models on third-octave or Bark spectra.
+"""Psychoacoustic metrics: guards, curve summaries, and the metrics of a segment by name.
 
-The models follow the published shapes (Zwicker's specific loudness with a power law over Bark bands, the
-weighted first moment of DIN 45692, and modulation depth around 70 Hz) with one constant each that fixes
-their unit: a 1 kHz tone of 40 dB is one sone, narrow noise of 60 dB at 1 kHz is one acum, and a 1 kHz tone
-of 60 dB fully modulated at 70 Hz is one asper.  They are not certified implementations.
+The models are in :mod:`longwave.operators.zwicker` (loudness, sharpness), :mod:`longwave.operators.roughness` and :mod:`longwave.operators.hearing`.
+They follow the published methods and their units; they are not certified implementations.
 """
 
 from __future__ import annotations
@@ -18,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longwave.functions.scalars import array_sum, pascal_factor
-from longwave.operators.spectral import BARK_EDGES
+from longwave.operators import hearing, zwicker
+from longwave.operators.roughness import daniel_weber
 from longwave.operators.stats import finite
 
 #: Percentiles of exceedance, and the durations within which segments are analysed.
@@ -75,36 +74,13 @@ def strongest_tone(tones: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- models on one segment's pressure -------------------------------------------------------------
 
 
-def _bark_pressure(p: np.ndarray, rate: float, size: int = 4096, hop: int = 2048) -> np.ndarray:
-    """Mean square pressure by frame and Bark band."""
-    p = np.pad(p, (0, max(0, size - len(p))))
-    count = 1 + (len(p) - size) // hop
-    window = np.hanning(size)
-    frames = p[np.arange(count)[:, None] * hop + np.arange(size)] * window
-    # Parseval: bins add up to the mean square.
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 * 2 / (size * (window**2).sum())
-    f = np.fft.rfftfreq(size, 1 / rate)
-    return np.stack([power[:, (f >= lo) & (f < hi)].sum(axis=1) for lo, hi in zip(BARK_EDGES, BARK_EDGES[1:], strict=False)], axis=1)
-
-
-#: By Bark band, by how many dB a diffuse field excites the ear more than a free one.
-DIFFUSE_DB = (0.0, 0.0, 0.5, 0.9, 1.2, 1.6, 2.3, 2.8, 3.0, 2.0, 0.0, -1.4, -2.0, -1.9, -1.0, 0.5, 3.0, 4.0, 4.3, 4.0)
-
-
-def specific_loudness(p: np.ndarray, rate: float, field: str = "free", shared: dict | None = None) -> np.ndarray:
-    """Sone per band and frame: a power law above a threshold in quiet of 4 dB.  shared keeps it for the segment's other metrics."""
-    if shared is not None and "specific" in shared:
-        return shared["specific"]
-    excitation = _bark_pressure(p, rate) / (20e-6) ** 2
-    if field == "diffuse":
-        more = np.resize(np.array(DIFFUSE_DB), excitation.shape[1])
-        more[len(DIFFUSE_DB) :] = DIFFUSE_DB[-1]
-        excitation = excitation * 10 ** (more / 10)
-    quiet = 10 ** (4 / 10)
-    raw = np.maximum((1 + excitation / quiet) ** 0.23 - 1, 0)
-    if shared is not None:
-        shared["specific"] = raw * 0.135
-    return raw * 0.135
+def zwicker_loudness(p: np.ndarray, rate: float, field: str = "free", shared: dict | None = None) -> zwicker.Loudness:
+    """The segment's loudness; shared keeps it for the segment's other metrics."""
+    if shared is None:
+        return zwicker.time_varying(p, rate, field)
+    if "loudness" not in shared:
+        shared["loudness"] = zwicker.time_varying(p, rate, field)
+    return shared["loudness"]
 
 
 def _summary(prefix: str, curve: np.ndarray, letter: str, percentiles: Sequence[float], std: bool = True) -> dict[str, float]:
@@ -117,46 +93,23 @@ def _summary(prefix: str, curve: np.ndarray, letter: str, percentiles: Sequence[
 
 @register("loudness")
 def loudness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES, field: str = "free", shared: dict | None = None) -> dict[str, float]:
-    specific = specific_loudness(p, rate, field, shared)
-    out = _summary("psycho.loudness", specific.sum(axis=1), "N", percentiles)
-    pattern = specific.mean(axis=0)
+    found = zwicker_loudness(p, rate, field, shared)
+    out = _summary("psycho.loudness", found.total, "N", percentiles)
+    pattern = found.specific.mean(axis=1)
     if pattern.sum() > 0:
-        z = np.arange(len(pattern)) + 0.5
-        centre = (pattern * z).sum() / pattern.sum()
-        out |= {"psycho.loudness.bark_centroid": float(centre), "psycho.loudness.bark_spread": float(np.sqrt((pattern * (z - centre) ** 2).sum() / pattern.sum()))}
+        centre = (pattern * found.bark).sum() / pattern.sum()
+        out |= {"psycho.loudness.bark_centroid": float(centre), "psycho.loudness.bark_spread": float(np.sqrt((pattern * (found.bark - centre) ** 2).sum() / pattern.sum()))}
     return out
 
 
 @register("sharpness")
 def sharpness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES, field: str = "free", shared: dict | None = None) -> dict[str, float]:
-    specific = specific_loudness(p, rate, field, shared)
-    z = np.arange(specific.shape[1]) + 0.5
-    weight = np.where(z <= 15.8, 1.0, 0.15 * np.exp(0.42 * (z - 15.8)) + 0.85)
-    total = specific.sum(axis=1)
-    return _summary("psycho.sharpness", np.where(total > 0, 0.11 * (specific * weight * z).sum(axis=1) / np.where(total > 0, total, 1), 0.0), "S", percentiles)
+    return _summary("psycho.sharpness", zwicker.sharpness(zwicker_loudness(p, rate, field, shared)), "S", percentiles)
 
 
 @register("roughness")
 def roughness(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
-    size = int(0.2 * rate)
-    p = np.pad(p, (0, max(0, size - len(p))))
-    starts = np.arange(0, len(p) - size + 1, max(1, size // 2))
-    curve = []
-    for s in starts:
-        block = p[s : s + size]
-        spectrum = np.fft.fft(block)
-        spectrum[1 : size // 2] *= 2
-        spectrum[size // 2 + 1 :] = 0
-        envelope = np.abs(np.fft.ifft(spectrum))
-        level = envelope.mean()
-        if level <= 0:
-            curve.append(0.0)
-            continue
-        modulation = np.abs(np.fft.rfft(envelope - level)) / size * 2 / level
-        f = np.fft.rfftfreq(size, 1 / rate)
-        shape = np.where(f > 0, (f / 70) * np.exp(1 - f / 70), 0)
-        curve.append(float(np.sqrt(((modulation * shape) ** 2)[(f >= 15) & (f <= 300)].sum())))
-    return _summary("psycho.roughness", np.array(curve), "R", percentiles)
+    return _summary("psycho.roughness", daniel_weber(p, rate), "R", percentiles)
 
 
 @register("tonality")
@@ -169,25 +122,35 @@ def tonality(p: np.ndarray, rate: float) -> dict[str, float]:
     power = np.abs(np.fft.rfft(p * np.hanning(len(p)))) ** 2
     f = np.fft.rfftfreq(len(p), 1 / rate)
     inner = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] >= power[2:])) + 1
-    inner = inner[(f[inner] >= 90) & (f[inner] <= 11200)]
+    # Maxima 120 dB below the largest are rounding.
+    inner = inner[(f[inner] >= 90) & (f[inner] <= 11200) & (power[inner] > 1e-12 * power.max(initial=0))]
     critical = lambda hz: 25 + 75 * (1 + 1.4 * (hz / 1000) ** 2) ** 0.69
-    tones: list[tuple[float, float]] = []
-    prominent: list[tuple[float, float]] = []
-    for k in inner[np.argsort(-power[inner], kind="stable")]:
-        width = critical(f[k])
-        lo, hi = np.searchsorted(f, (f[k] - width / 2, f[k] + width / 2))
-        a, b = max(lo, k - 2), min(hi, k + 3)
-        tone, noise = power[a:b].sum(), power[lo:hi].sum() - power[a:b].sum()
-        ratio = 10 * np.log10(tone / noise) if noise > 0 else np.inf
-        if ratio >= 8 + max(0.0, 8.33 * np.log10(1000 / f[k])) and all(abs(f[k] - g) > width / 2 for g, _ in tones):
-            tones.append((float(f[k]), float(ratio)))
-        below, above = max(20.0, f[k] - width / 2 - critical(f[k] - width)), f[k] + width / 2 + critical(f[k] + width)
-        start, end = np.searchsorted(f, (below, above))
-        scale = 100 / max(f[k] - width / 2 - below, 1e-9) if below == 20.0 else 1.0
-        beside = (power[start:lo].sum() * scale + power[hi:end].sum()) / 2
-        prominence = 10 * np.log10(power[lo:hi].sum() / beside) if beside > 0 else np.inf
-        if prominence >= 9 + max(0.0, 10 * np.log10(1000 / f[k])) and all(abs(f[k] - g) > width / 2 for g, _ in prominent):
-            prominent.append((float(f[k]), float(prominence)))
+    sums = np.concatenate(([0.0], np.cumsum(power)))
+    span = lambda a, b: sums[b] - sums[a]
+    at = f[inner]
+    width = critical(at)
+    lo, hi = np.searchsorted(f, at - width / 2), np.searchsorted(f, at + width / 2)
+    band, tone = span(lo, hi), span(np.maximum(lo, inner - 2), np.minimum(hi, inner + 3))
+    below = np.maximum(20.0, at - width / 2 - critical(at - width))
+    start, end = np.searchsorted(f, below), np.searchsorted(f, at + width / 2 + critical(at + width))
+    scale = np.where(below == 20.0, 100 / np.maximum(at - width / 2 - below, 1e-9), 1.0)
+    beside = (span(start, lo) * scale + span(hi, end)) / 2
+
+    def picked(over: np.ndarray, under: np.ndarray, limit: np.ndarray) -> list[tuple[float, float]]:
+        """Maxima whose ratio reaches the limit, the strongest first, none within half a critical band of one before it."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(under > 1e-13 * sums[-1], 10 * np.log10(over / np.maximum(under, 1e-300)), np.inf)
+        left = np.flatnonzero(ratio >= limit)
+        left = left[np.argsort(-power[inner[left]], kind="stable")]
+        found = []
+        while len(left):
+            first = left[0]
+            found.append((float(at[first]), float(ratio[first])))
+            left = left[np.abs(at[left] - at[first]) > width[left] / 2]
+        return found
+
+    tones = picked(tone, band - tone, 8 + np.maximum(0.0, 8.33 * np.log10(1000 / at)))
+    prominent = picked(band, beside, 9 + np.maximum(0.0, 10 * np.log10(1000 / at)))
     sum_dB = lambda found: float(10 * np.log10(sum(10 ** (t / 10) for _, t in found))) if found else 0.0  # noqa: E731, N806
     out = {"psycho.tonality.n_tones": float(len(tones)), "psycho.tonality.tnr_total_dB": sum_dB(tones), "psycho.tonality.pr_total_dB": sum_dB(prominent)}
     if tones:
@@ -199,16 +162,14 @@ def tonality(p: np.ndarray, rate: float) -> dict[str, float]:
 
 @register("loudness_ecma")
 def loudness_ecma(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
-    """Loudness with the flatter compression of the hearing-model standard; summed over bands, no deviation."""
-    excitation = _bark_pressure(p, rate) / (20e-6) ** 2
-    bands = np.maximum((1 + excitation / 10 ** (4 / 10)) ** 0.20 - 1, 0) * 0.2
-    return _summary("psycho.loudness_ecma", bands.sum(axis=1), "N", percentiles, std=False)
+    """The hearing model's loudness; no deviation."""
+    return _summary("psycho.loudness_ecma", hearing.loudness(p, rate), "N", percentiles, std=False)
 
 
 @register("roughness_ecma")
 def roughness_ecma(p: np.ndarray, rate: float, percentiles: Sequence[float] = PERCENTILES) -> dict[str, float]:
-    """Roughness as above, without the deviation."""
-    return {k.replace("psycho.roughness", "psycho.roughness_ecma"): v for k, v in roughness(p, rate, percentiles).items() if not k.endswith(".std")}
+    """The hearing model's roughness; no deviation."""
+    return _summary("psycho.roughness_ecma", hearing.roughness(p, rate), "R", percentiles, std=False)
 
 
 def _with(metric: Metric, **given) -> Metric:

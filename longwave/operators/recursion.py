@@ -64,6 +64,27 @@ def cascade(sections: Sequence[Section], x: np.ndarray, state: Sequence[float] |
     return x, after
 
 
+def cascade_bank(sections: Sequence[Section], x: np.ndarray) -> np.ndarray:
+    """Sections one after another over the rows of x, from rest; a section's numbers may differ by row, as columns (rows, 1)."""
+    x = np.asarray(x, float)
+    rows, n = x.shape
+    size = max(1, int(n**0.5))
+    count = n // size
+    for section in sections:
+        wide = Section(*(np.broadcast_to(np.asarray(v, float), (rows, 1)) for v in section))
+        blocks, e1, e2 = _run(wide, x[:, : count * size].reshape(rows, count, size), np.zeros((rows, count)), np.zeros((rows, count)))
+        each = Section(*(v[:, 0] for v in wide))
+        free, t1, t2 = _run(each, np.zeros((2, rows, size)), np.array([[1.0], [0.0]]), np.array([[0.0], [1.0]]))
+        starts, s1, s2 = np.empty((2, rows, count)), np.zeros(rows), np.zeros(rows)
+        for k in range(count):
+            starts[0, :, k], starts[1, :, k] = s1, s2
+            s1, s2 = t1[0] * s1 + t1[1] * s2 + e1[:, k], t2[0] * s1 + t2[1] * s2 + e2[:, k]
+        blocks = blocks + starts[0, :, :, None] * free[0, :, None, :] + starts[1, :, :, None] * free[1, :, None, :]
+        rest, _, _ = _run(each, x[:, count * size :], s1, s2)
+        x = np.concatenate((blocks.reshape(rows, count * size), rest), axis=1)
+    return x
+
+
 def step_matrix(sections: Sequence[Section]) -> np.ndarray:
     """A: how one sample of silence moves the state of a cascade."""
     size = 2 * len(sections)
