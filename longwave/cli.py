@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longwave.operators import features, kernels, plots, psycho, similarity, slicing, stats
@@ -146,9 +147,20 @@ def _available() -> None:
     print("\n".join(f"{k}: {', '.join(v)}" for k, v in listed.items()))
 
 
+def _distinct_names(paths: Sequence[str]) -> None:
+    """Outputs are called by their inputs' stems: two inputs of one stem would write the same files."""
+    seen: dict[str, str] = {}
+    for path in paths:
+        name = os.path.basename(path)
+        stem = os.path.splitext(name)[0] or name
+        if seen.setdefault(stem, path) != path:
+            raise ValueError(f"{seen[stem]} and {path} would both be written as {stem}")
+
+
 def _analyse(spark: SparkSession, paths: Sequence[str], c: config.AnalysisConfig, dry_run: bool, say) -> int:
     from longwave import analysis
 
+    _distinct_names(paths)
     frames = analysis.analyse(spark, list(paths), c)
     try:
         if dry_run:
@@ -181,9 +193,7 @@ def _analyse(spark: SparkSession, paths: Sequence[str], c: config.AnalysisConfig
 
 
 def _segment_table(spark: SparkSession, path: str) -> DataFrame:
-    wide = files.read_segment_table(spark, path)
-    wide = wide if "file" in wide.columns else wide.withColumn("file", F.input_file_name())
-    return wide.withColumn("segment", F.col("segment").cast("long"))
+    return files.read_segment_table(spark, path).withColumn("segment", F.col("segment").cast("long"))
 
 
 def _groups(wide: DataFrame) -> None:
@@ -194,6 +204,8 @@ def _groups(wide: DataFrame) -> None:
 
 def _similarity(spark: SparkSession, args: argparse.Namespace, fail) -> int:
     wide = _segment_table(spark, args.csv)
+    # Outputs are called like the tables, without what both have at the end.
+    wide = wide.withColumn("file", F.regexp_replace("file", r"\.segments\.csv$", ".csv"))
     if args.list:
         _groups(wide)
         return 0
@@ -210,9 +222,10 @@ def _similarity(spark: SparkSession, args: argparse.Namespace, fail) -> int:
         fail(str(wrong))
     index = wide.select("file", *features.INDEX_COLUMNS).cache()
     table = sinks.clusters_table(done, index)
-    table.write.mode("overwrite").csv(f"{args.out}/clusters", header=True)
+    sinks.write_files(sinks.table_lines(table, ["segment"], dict.fromkeys(("start", "end", "duration", "silhouette", "pc1", "pc2"), 4)), args.out, ".clusters.csv", "\r\n")
     near = similarity.neighbours(rows, args.neighbours, args.metric)
-    sinks.neighbours_table(near, index.select("file", "segment", "start")).write.mode("overwrite").csv(f"{args.out}/neighbours", header=True)
+    closest = sinks.neighbours_table(near, index.select("file", "segment", "start"))
+    sinks.write_files(sinks.table_lines(closest, ["segment", "rank"], {"start": 4, "neighbour_start": 4, "distance": 5}), args.out, ".neighbours.csv", "\r\n")
     if args.save_matrix:
         similarity.square(similarity.pairwise(rows, args.metric), rows).write.mode("overwrite").parquet(f"{args.out}/distances")
     clustered = done.select("file", "segment", "cluster", "silhouette").join(index, ["file", "segment"])
@@ -250,6 +263,12 @@ def _visualise(spark: SparkSession, args: argparse.Namespace, fail) -> int:
     return 0
 
 
+def _six_digits(column: str) -> Column:
+    """Six significant digits without zeros at the end; nothing where there is no value."""
+    text = F.regexp_replace(F.format_string("%.6g", column), r"(\.[0-9]*?)0+(?=e|$)", "$1")
+    return F.when(F.col(column).isNotNull(), F.regexp_replace(text, r"\.(?=e|$)", ""))
+
+
 def _extract(spark: SparkSession, folder: str, out: str) -> int:
     """The tables of a batch: chosen columns of all segments, and one row per file."""
     wide = _segment_table(spark, f"{folder}/*.segments.csv")
@@ -259,7 +278,7 @@ def _extract(spark: SparkSession, folder: str, out: str) -> int:
     plain = {short: short.replace(".", "_") for _, short in features.BATCH_COLUMNS}
     rows = chosen.select("file", "start", "end", "duration", *(F.col(f"`{k}`").alias(v) for k, v in plain.items()))
     rolled = stats.file_rollup(rows, list(plain.values()))
-    shown = rolled.select("file", "n_segments", F.format_string("%.4f", "duration").alias("duration"), *(F.format_string("%.6g", v).alias(k) for k, v in plain.items()))
+    shown = rolled.select("file", "n_segments", F.format_string("%.4f", "duration").alias("duration"), *(_six_digits(v).alias(k) for k, v in plain.items()))
     shown.coalesce(1).write.mode("overwrite").csv(f"{out}/all_files", header=True)
     return 0
 
@@ -278,6 +297,9 @@ def _batch(spark: SparkSession, args: argparse.Namespace, c: config.AnalysisConf
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         outputs = spark.createDataFrame([], "key string, modificationTime timestamp, length long")
+    double = inputs.groupBy("key").agg(F.count("*").alias("n"), F.min("path").alias("a"), F.max("path").alias("b")).where("n > 1").first()
+    if double:
+        fail(f"{double['a']} and {double['b']} would both be written as {double['key']}")
     new = [r["path"] for r in files.stale_inputs(inputs, outputs, args.force).select("path").orderBy("path").collect()]
     say(f"{len(new)} of {inputs.count()} files to analyse")
     failed = _analyse(spark, new, c, False, say) if new else 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import functools
 import glob
 import io
 import os
+import re
 import wave
 from collections.abc import Callable, Iterable, Sequence
 
@@ -173,13 +176,51 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     return parse_markers(lines)
 
 
+def table_headers(found: DataFrame) -> DataFrame:
+    """(file, header) of tables (path): the first line, read alone."""
+    from longwave.sources.ranges import open_file
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for rows in batches:
+            lines = []
+            for path in rows["path"]:
+                with open_file(path) as source:
+                    head = b""
+                    while b"\n" not in head and (more := source.read(1 << 16)):
+                        head += more
+                lines.append(head.split(b"\n")[0].decode("utf-8-sig").rstrip("\r"))
+            yield pd.DataFrame({"file": rows["path"], "header": lines})
+
+    return found.select("path").mapInPandas(run, "file string, header string")
+
+
 def read_segment_table(spark: SparkSession, path: str) -> DataFrame:
-    """A wide table with segment, start and end; duration is derived if it is not there."""
-    table = spark.read.csv(path, header=True, inferSchema=True, nanValue="nan", positiveInf="inf", negativeInf="-inf")
-    missing = [c for c in ("segment", "start", "end") if c not in table.columns]
-    if missing:
-        raise ValueError(f"not a segment table: no column {', '.join(missing)}")
-    return table if "duration" in table.columns else table.withColumn("duration", F.col("end") - F.col("start"))
+    """Wide tables with segment, start and end, and the name of each (file, unless they have a column of that name); duration is derived if it is not there.
+
+    Each table is read by its own header: those of one header in one scan, all together by name.  A column that a table lacks is null in
+    its rows, as is a cell that is no number.  The driver has each different header once, with the paths of its tables.
+    """
+    found = spark.read.format("binaryFile").load(path).select("path")
+    layouts = table_headers(found).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    parts = []
+    for layout in layouts:
+        names = next(csv.reader([layout["header"]]), [])
+        missing = [c for c in ("segment", "start", "end") if c not in names]
+        if missing:
+            raise ValueError(f"not a segment table: no column {', '.join(missing)} in {layout['files'][0]}")
+        if len(set(names)) < len(names):
+            raise ValueError(f"a column twice in {layout['files'][0]}")
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        # One path each: a name may hold what a pattern would give a meaning.
+        table = spark.read.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in layout["files"]], schema=schema, header=True, enforceSchema=True)
+        quoted = lambda n: F.col(f"`{n.replace('`', '``')}`")
+        columns = [quoted(n) if n == "file" else F.expr(f"try_cast(`{n.replace('`', '``')}` AS double)").alias(n) for n in names]
+        own = [] if "file" in names else [F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("file")]
+        duration = [] if "duration" in names else [(F.expr("try_cast(`end` AS double)") - F.expr("try_cast(`start` AS double)")).alias("duration")]
+        parts.append(table.select(*own, *columns, *duration))
+    if not parts:
+        raise ValueError(f"no table at {path}")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def long_form(wide: DataFrame, index: Sequence[str] = ("file", "segment", "start", "end", "duration")) -> DataFrame:

@@ -6,6 +6,7 @@ renames parts.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Callable
@@ -122,10 +123,14 @@ def stem(file: Column) -> Column:
 def write_files(lines: DataFrame, folder: str, suffix: str, line_end: str = "\n", basename: str | None = None) -> list[str]:
     """One text file per file of lines (file, ord, line) as <folder>/<stem><suffix>; the paths.
 
-    With a basename the file is called by that; several files then need their stems too.
+    With a basename the file is called by that; several files then need their stems too.  Files of one stem are an error, since one would
+    be written over the other.
     """
     spark = lines.sparkSession
     named = lines.withColumn("stem", stem(F.col("file")))
+    double = named.groupBy("stem").agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a < b").first()
+    if double:
+        raise ValueError(f"{double['a']} and {double['b']} would both be written as {double['stem']}{suffix}")
     made = f"{folder}/.parts{suffix}"
     value = F.concat("line", F.lit("\r")) if line_end == "\r\n" else F.col("line")
     named.repartition("stem").sortWithinPartitions("stem", "ord").select("stem", value.alias("value")).write.partitionBy("stem").mode("overwrite").text(made)
@@ -240,6 +245,15 @@ def plot_documents(wide: DataFrame, names: list[str], initial: list[str]) -> Dat
     return wide.groupBy("file").applyInPandas(document, "file string, ord long, line string")
 
 
+def table_lines(table: DataFrame, order: list[str], decimals: dict[str, int]) -> DataFrame:
+    """(file, ord, line) of a table with a header for each file, in the order of whole-number columns; columns with decimals are rounded to them."""
+    names = [c for c in table.columns if c != "file"]
+    cell = lambda c: csv_field(format_number(F.col(c).cast("double"), decimals[c])) if c in decimals else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # At most so many rows share all but the last of the ordering columns.
+    place = functools.reduce(lambda a, b: a * (1 << 20) + b, (F.col(c).cast("long") for c in order))
+    return framed(table.select("file", place.alias("ord"), F.concat_ws(",", *map(cell, names)).alias("line")), ",".join(names))
+
+
 def clusters_table(analysed: DataFrame, segments: DataFrame) -> DataFrame:
     four = lambda c: F.bround(c, 4).alias(c)
     return analysed.join(segments, ["file", "segment"]).select("file", "segment", *(four(c) for c in ("start", "end", "duration")), "cluster", *(four(c) for c in ("silhouette", "pc1", "pc2")))

@@ -80,6 +80,37 @@ def test_outputs_of_the_command_line(spark, folder, tmp_path):
     assert text.startswith("local OFFSET") and text.count('"00') == 11 and text.rstrip().endswith("-1)")
 
 
+def test_tables_of_different_headers_and_equal_stems(spark, tmp_path, capsys):
+    """Cells are read by name; a table without a column has nulls there."""
+    head = "segment,start,end,duration"
+    (tmp_path / "a.segments.csv").write_text(f"{head},dynamics.rms.mean,spectral.centroid.mean\r\n0.0,0.0,2.0,2.0,0.5,900.0\r\n1.0,2.0,3.0,1.0,nan,\r\n")
+    (tmp_path / "b [x].segments.csv").write_text(f"{head},dynamics.power_dB.mean,dynamics.rms.mean\r\n0.0,0.0,1.0,1.0,-7.0,0.25\r\n")
+    (tmp_path / "c.segments.csv").write_text(f"{head},spectral.centroid.mean,dynamics.rms.mean\r\n0.0,0.0,4.0,4.0,800.0,0.125\r\n")
+    (tmp_path / "d.segments.csv").write_text(f"{head},dynamics.rms.mean,spectral.centroid.mean\r\n0.0,0.0,4.0,4.0,1.5,x\r\n")
+    table = cli.files.read_segment_table(spark, str(tmp_path / "*.segments.csv"))
+    rows = {(os.path.basename(r["file"])[0], r["segment"]): r for r in table.collect()}
+    get = lambda f, c: rows[f, 0.0][c]
+    assert [get(f, "dynamics.rms.mean") for f in "abcd"] == [0.5, 0.25, 0.125, 1.5]
+    assert [get(f, "spectral.centroid.mean") for f in "abcd"] == [900.0, None, 800.0, None] and [get(f, "dynamics.power_dB.mean") for f in "abcd"] == [None, -7.0, None, None]
+    assert np.isnan(rows["a", 1.0]["dynamics.rms.mean"]) and len(rows) == 5
+    out = str(tmp_path / "out")
+    assert cli.main(["rollup", str(tmp_path), "-o", out]) == 0
+    rolled = {r["file"]: r for r in spark.read.csv(f"{out}/all_files", header=True).collect()}
+    assert sorted(rolled) == ["a", "b [x]", "c", "d"] and rolled["a"]["rms.mean"] == "0.5" and rolled["b [x]"]["centroid.mean"] is None and rolled["c"]["centroid.mean"] == "800"
+    (tmp_path / "bad.segments.csv").write_text("segment,start\r\n0,0\r\n")
+    with pytest.raises(ValueError, match="no column end"):
+        cli.files.read_segment_table(spark, str(tmp_path / "bad.segments.csv"))
+    for name in ("one.wav", "one.aiff"):
+        (tmp_path / name).write_bytes(_wav(np.zeros((1, 80))))
+    for command in (["analyse", str(tmp_path / "one.wav"), str(tmp_path / "one.aiff")], ["batch", str(tmp_path)]):
+        with pytest.raises(SystemExit):
+            cli.main([*command, "-o", out, *QUICK])
+        assert "would both be written as one" in capsys.readouterr().err
+    lines = spark.createDataFrame([("/x/one.wav", 0, "a"), ("/y/one.wav", 0, "b")], "file string, ord long, line string")
+    with pytest.raises(ValueError, match="both be written"):
+        cli.sinks.write_files(lines, out, ".txt")
+
+
 def test_batch_similarity_and_visualise(spark, folder, tmp_path, capsys):
     out = str(tmp_path / "out")
     flags = ["--window", "0.5", "--no-json", "--no-labels", "-o", out, *QUICK]
@@ -94,8 +125,11 @@ def test_batch_similarity_and_visualise(spark, folder, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["similarity", f"{out}/one.segments.csv", "-o", out, "-k", "3", "--save-matrix", "--reaper"]) == 0
     assert "silhouette" in capsys.readouterr().out
-    assert spark.read.parquet(f"{out}/distances").count() == 144 and os.path.exists(f"{out}/one.segments.clusters.regions.csv")
-    assert spark.read.csv(f"{out}/clusters", header=True).columns[1:] == ["segment", "start", "end", "duration", "cluster", "silhouette", "pc1", "pc2"]
+    assert spark.read.parquet(f"{out}/distances").count() == 144 and os.path.exists(f"{out}/one.clusters.regions.csv")
+    lines = open(f"{out}/one.clusters.csv", newline="").read().split("\r\n")
+    assert lines[0] == "segment,start,end,duration,cluster,silhouette,pc1,pc2" and len(lines) == 14 and lines[2].startswith("1,0.5,1.0,0.5,")
+    near = open(f"{out}/one.neighbours.csv", newline="").read().split("\r\n")
+    assert near[0] == "segment,start,rank,neighbour,neighbour_start,distance" and [x.split(",")[:3] for x in near[1:4]] == [["0", "0.0", str(k)] for k in (1, 2, 3)] and len(near) == 38
     assert cli.main(["visualise", f"{out}/one.segments.csv", "-o", out, "--smooth", "3"]) == 0
     payload = json.loads(open(f"{out}/one.segments.plot.json").read())
     assert payload["short"]["spectral.centroid.mean"] == "centroid.mean" and len(payload["range"]["dynamics.rms.mean"]) == 2 and len(payload["starts"]) == 12
