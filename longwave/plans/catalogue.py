@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longwave.functions import scalars
-from longwave.operators import features, kernels, loudness, plots, psycho, recursion, resampling, similarity, slicing, spectral, stats
+from longwave.operators import features, hierarchy, kernels, loudness, plots, psycho, recursion, resampling, similarity, slicing, spectral, stats
 from longwave.sources import adapters as src
 from longwave.sources import ranges, sinks
 
@@ -802,6 +802,23 @@ def merge_steps(spark, d):
     return plots.merge_steps(src.embedding_rows(spark, d), link="average").select("step", "a", "b", "height", "size")
 
 
+@query(
+    "single_linkage_cut",
+    """WITH RECURSIVE e AS (SELECT vec_id AS segment, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.segment AS x, b.segment AS y, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - b.v[i]) ** 2))) AS d FROM e a JOIN e b ON a.segment <> b.segment),
+t AS (SELECT round(avg(m), 6) AS t FROM (SELECT min(d) AS m FROM p GROUP BY x)),
+l AS (SELECT x, y FROM p, t WHERE d <= t),
+reach AS (SELECT segment AS x, segment AS y FROM e UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT x::BIGINT AS segment, min(y)::BIGINT AS root FROM reach GROUP BY x""",
+)
+def single_linkage_cut(spark, d):
+    """Single linkage in rounds, cut at the mean distance of nearest neighbours."""
+    rows = src.embedding_rows(spark, d)
+    limit = similarity.neighbours(rows, 1).groupBy("file").agg(F.round(F.avg("distance"), 6).alias("limit"))
+    merges = similarity.merges_of(rows, "euclidean", "single", small=128)
+    return hierarchy.components(rows, merges.join(limit, "file").where("height <= limit").select("file", "i", "j")).select("segment", "root")
+
+
 @query("map_edges", f'WITH {SEG} SELECT file, segment::BIGINT AS ord, round(s, 6) AS t FROM seg UNION ALL SELECT file, max(segment)::BIGINT + 1, round(arg_max(e, segment), 6) FROM seg GROUP BY file')
 def map_edges(spark, d):
     return plots.map_edges(src.daily_segments(spark, d)).select("file", "ord", r("t"))
