@@ -163,15 +163,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to docs, which has a column text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    plain = [F.col(f"`{c}`") for c in kept]
-    lettered = docs.select(*plain, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.select(*plain).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    lettered = tb.plainly(docs, kept, lettered=F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    at = kept.index("text")
+    schema = T.StructType(lettered.schema.fields[:-1]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             letter = np.asarray(batch.columns[-1].to_numpy(zero_copy_only=False), bool)
-            for lo, hi, buf, offsets in tb.slices(batch.column("text")):
+            for lo, hi, buf, offsets in tb.slices(batch.column(at)):
                 names, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
                 if model is not None:
                     out = outputs(buf, offsets, model)
@@ -181,4 +181,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 columns = [x.slice(lo, hi - lo) for x in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
-    return lettered.mapInArrow(predicted, schema)
+    return lettered.mapInArrow(predicted, schema).toDF(*kept, "lang_pred", "score")

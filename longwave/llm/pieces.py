@@ -269,12 +269,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: Column, alpha: float =
     """
     kept = [c for c in docs.columns if c not in (into, proof)]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = docs.select(*kept).schema.add(into, T.ArrayType(T.IntegerType(), False))
-    schema = schema.add(proof, T.BooleanType()) if proof else schema
+    plain = tb.plainly(docs, kept, key=F.xxhash64(key))
+    at = kept.index("text")
+    schema = T.StructType(plain.schema.fields[:-1]).add("made", T.ArrayType(T.IntegerType(), False))
+    schema = schema.add("proof", T.BooleanType()) if proof else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, keys = batch.column("text"), np.asarray(batch.column("__key"))
+            text, keys = batch.column(at), np.asarray(batch.columns[-1])
             void = np.asarray(text.is_null())
             for lo, hi, buf, offsets in tb.slices(text, SLICE_BYTES):
                 ids, cut = sample_slice(buf, offsets, keys[lo:hi], shared.value, alpha, seed)
@@ -290,20 +292,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: Column, alpha: float =
                     made.append(pa.array(same))
                 yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in batch.columns[:-1]), *made], names=schema.names)
 
-    return docs.select(*kept, F.xxhash64(key).alias("__key")).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, into, *([proof] if proof else []))
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, column: str = "pieces", into: str = "decoded") -> DataFrame:
     """Add the text that the piece ids of ``column`` stand for."""
     kept = [c for c in docs.columns if c != into]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = docs.select(*kept).schema.add(into, T.StringType())
+    plain, at = tb.plainly(docs, kept), kept.index(column)
+    schema = T.StructType(list(plain.schema.fields)).add("made", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                lists = part.column(column)
+                lists = part.column(at)
                 void = np.asarray(lists.is_null())
                 size = np.where(void, 0, np.asarray(lists.value_lengths().fill_null(0)))
                 raw, offsets = decode_slice(np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), shared.value)
@@ -311,4 +314,4 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, column: str = "pieces", into
                 made = pa.StringArray.from_buffers(len(part), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes()), valid)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*kept, into)

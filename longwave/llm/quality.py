@@ -148,16 +148,17 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], threshold: float = 0
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*kept).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    plain, at = tb.plainly(docs, kept), kept.index("text")
+    schema = T.StructType(list(plain.schema.fields)).add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         intercept, weights = shared.value
         for batch in batches:
-            for lo, hi, buf, offsets in tb.slices(batch.column("text")):
+            for lo, hi, buf, offsets in tb.slices(batch.column(at)):
                 owner, column, value = features(buf, offsets)
                 logit = intercept + tb.sums(value * weights[column], owner, hi - lo)
                 p = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
                 made = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in batch.columns), *made], names=schema.names)
 
-    return docs.select(*kept).mapInArrow(scored, schema)
+    return plain.mapInArrow(scored, schema).toDF(*kept, "score", "predicted")

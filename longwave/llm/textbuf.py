@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -24,6 +26,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def plainly(docs: DataFrame, kept: list[str], **more: Column) -> DataFrame:
+    """The kept columns of docs as c0, c1, ..., then others: names that functions over batches look up safely, whatever docs calls its own."""
+    return docs.select(*(F.col(f"`{c.replace('`', '``')}`").alias(f"c{k}") for k, c in enumerate(kept)), *(v.alias(k) for k, v in more.items()))
+
+
 def class_table(is_member) -> np.ndarray:
     """A 256-entry boolean table of a byte predicate."""
     return np.array([bool(is_member(b)) for b in range(256)])

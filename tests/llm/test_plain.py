@@ -37,3 +37,24 @@ def test_long_texts(spark):
     cut = {r["doc_id"]: r for r in lines.dedup(docs).collect()}
     assert cut[2]["n_lines"] == 30000 and cut[2]["text"].count("\n") < 710
     assert {r["doc_id"]: r["dup_bytes"] for r in chunks.find(docs).collect()}[1] > 0.99 * len(many)
+
+
+def test_columns_of_any_name(spark):
+    """Dots, clashing and odd names are carried along; null ids, ties and repeated rows are scored alike."""
+    from longwave.llm import langid, pieces, quality
+    from longwave.llm.queries import PIECE_MODEL
+
+    rows = [(1, "One two three", 1, "x", 2.0), (1, "One two three", 1, "x", 2.0), (None, None, None, None, None), (3, "", 5, "y", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__key` int, `a.b` string, `c0` double").withColumn("lo`ng", F.lit(9))
+    kept = docs.columns
+    made = [
+        (pieces.encode(docs, pieces.load(PIECE_MODEL), F.col("doc_id"), proof="lossless"), ["pieces", "lossless"]),
+        (quality.score(docs, (0.5, np.zeros(1 << quality.BITS, np.float32))), ["score", "predicted"]),
+        (langid.predict(docs, None), ["lang_pred", "score"]),
+    ]
+    for frame, added in made:
+        assert frame.columns == [*kept, *added]
+        got = sorted((tuple(r)[: len(kept)] for r in frame.collect()), key=repr)
+        assert got == sorted(((*r, 9) for r in rows), key=repr)
+    back = pieces.decode(made[0][0], pieces.load(PIECE_MODEL)).collect()
+    assert all(r["decoded"] == r["text"] for r in back) and all(r["lossless"] for r in back if r["text"])
