@@ -195,7 +195,10 @@ def read_ranges(ranges: DataFrame, rate: int, how: str = "mix", stereo: bool = F
                     columns.append(pa.array([None if pair is None else list(pair)], pa.list_(pa.list_(pa.float64()))))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + ["x"] + ["stereo"] * stereo)
 
-    return ranges.mapInArrow(run, schema)
+    # Rows are small before they are read: without a number of tasks, Spark would take a few partitions for all of them.
+    spark = ranges.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ranges.repartition(tasks, "file", "from").mapInArrow(run, schema)
 
 
 def peak_scale(ranged: DataFrame, rate: int, how: str = "mix", size: int = CHUNK) -> DataFrame:
