@@ -98,31 +98,44 @@ def peaks(m: np.ndarray, f: np.ndarray, least: float = 1e-5, lo: float = 20.0, h
     return freq, mag
 
 
-def yin(frame: np.ndarray, rate: float, lo: float = 20.0, hi: float = 22050.0, threshold: float = 0.15) -> tuple[float, float]:
-    """Fundamental and confidence from the cumulative-mean normalised difference; Nyquist and 0 for silence."""
-    n = len(frame)
-    if not np.any(frame):
-        return rate / 2, 0.0
-    half = n // 2
-    size = 1 << (2 * n - 1).bit_length()
-    spectrum = np.fft.rfft(frame, size)
-    head = np.fft.rfft(frame[:half], size)
-    cross = np.fft.irfft(np.conj(head) * spectrum, size)[:half]
-    square = np.concatenate([[0], np.cumsum(frame**2)])
-    difference = square[half] + (square[half : 2 * half] - square[:half]) - 2 * cross
-    difference[0] = 0
-    mean = np.cumsum(difference[1:]) / np.arange(1, half)
-    d = np.concatenate([[1.0], difference[1:] / np.where(mean > 0, mean, 1)])
-    first, last = max(2, int(rate / hi)), min(half - 1, int(rate / lo))
-    if last <= first:
-        return rate / 2, 0.0
-    below = np.flatnonzero(d[first:last] < threshold)
-    tau = first + (int(below[0]) if len(below) else int(np.argmin(d[first:last])))
-    while tau + 1 < last and d[tau + 1] < d[tau]:
-        tau += 1
-    a, b, c = d[tau - 1], d[tau], d[min(tau + 1, half - 1)]
+#: By how many dB the ear's sensitivity weighs frequencies (Hz) before the pitch is searched.
+PITCH_FREQUENCIES = (
+    0, 20, 25, 31.5, 40, 50, 63, 80, 100, 125, 160, 200, 250, 315, 400, 500, 630, 800, 1000, 1250, 1600, 2000, 2500, 3150, 4000, 5000, 6300, 8000, 9000, 10000, 12500, 15000, 20000, 25100,
+)
+PITCH_WEIGHTS = (
+    -75.8, -70.1, -60.8, -52.1, -44.2, -37.5, -31.3, -25.6, -20.9, -16.5, -12.6, -9.6, -7.0, -4.7, -3.0, -1.8, -0.8, -0.2, 0.0, 0.5, 1.6, 3.2, 5.4, 7.8, 8.1, 5.3, -2.4, -11.1, -12.8, -12.2, -7.4, -17.8, -17.8, -17.8,
+)
+
+
+def yin(m: np.ndarray, rate: float, lo: float = 20.0, hi: float = 22050.0, threshold: float = 0.15, window: str = "hann") -> np.ndarray:
+    """(frames, 2): fundamental and confidence of all frames of magnitudes at once; half the rate and 0 for silence.
+
+    The difference function comes from the weighted power spectrum by one inverse transform, freed of the window's own taper, and is divided by its running mean; the first dip below
+    the threshold counts, else the deepest one, refined by a parabola.
+    """
+    size = 2 * (m.shape[1] - 1)
+    weight = 10 ** (np.interp(np.arange(m.shape[1]) * rate / size, PITCH_FREQUENCIES, PITCH_WEIGHTS) / 20)
+    taper = np.fft.irfft(np.abs(np.fft.rfft(WINDOWS[window](size))) ** 2, size)[: size // 2]
+    r = np.fft.irfft((m * weight) ** 2, size, axis=1)[:, : size // 2] * (taper[0] / taper)
+    difference = np.maximum(r[:, :1] - r, 0)
+    mean = np.cumsum(difference[:, 1:], axis=1) / np.arange(1, size // 2)
+    d = np.concatenate((np.ones((len(m), 1)), difference[:, 1:] / np.where(mean > 0, mean, 1)), axis=1)
+    first, last = max(2, int(rate / hi)), min(size // 2 - 1, int(rate / lo))
+    out = np.tile((rate / 2, 0.0), (len(m), 1))
+    held = np.flatnonzero(r[:, 0] > 0)
+    if last - first < 2 or not len(held):
+        return out
+    d = d[held]
+    inner = d[:, first:last]
+    # A dip: no lower one on either side.
+    dip = (inner <= d[:, first - 1 : last - 1]) & (inner <= d[:, first + 1 : last + 1]) & (inner < threshold)
+    tau = first + np.where(dip.any(axis=1), dip.argmax(axis=1), inner.argmin(axis=1))
+    each = np.arange(len(held))
+    a, b, c = d[each, tau - 1], d[each, tau], d[each, tau + 1]
     bend = a - 2 * b + c
-    return rate / (tau + (0.5 * (a - c) / bend if bend else 0)), float(max(0.0, 1 - b))
+    at = tau + np.where(bend > 0, 0.5 * (a - c) / np.where(bend > 0, bend, 1), 0)
+    out[held, 0], out[held, 1] = rate / at, np.maximum(0.0, 1 - b)
+    return out
 
 
 def dissonance(freq: np.ndarray, mag: np.ndarray) -> float:
@@ -234,7 +247,7 @@ class Frames:
 
     @cached_property
     def pitch(self) -> np.ndarray:
-        return np.array([yin(row, self.rate) for row in self.x])
+        return yin(self.m, self.rate, window=self.settings.window)
 
 
 Group = Callable[[Frames], dict[str, np.ndarray]]
@@ -571,18 +584,59 @@ def detect_onsets(chunks: DataFrame, rate: float, method: str = "complex", size:
     return _edges_of(curves, lambda c: pick_onsets(c, rate / hop, alpha, delay, silence))
 
 
-def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int = 60, size2: int = 200, inc2: int = 20, least: int = 10) -> list[int]:
+class Moments:
+    """Log determinants of covariances of any ranges of vectors, from running sums of the vectors and of their outer products.
+
+    Sums are kept every STRIDE vectors; a range's costs a difference of two of them, and less than STRIDE vectors at each end.
+    """
+
+    STRIDE = 16
+
+    def __init__(self, v: np.ndarray):
+        self.v = v - v.mean(axis=0) if len(v) else v
+        n, d = self.v.shape
+        whole = self.v[: n // self.STRIDE * self.STRIDE].reshape(-1, self.STRIDE, d)
+        self.first = np.concatenate((np.zeros((1, d)), np.cumsum(whole.sum(axis=1), axis=0)))
+        self.second = np.concatenate((np.zeros((1, d, d)), np.cumsum(whole.transpose(0, 2, 1) @ whole, axis=0)))
+        self.read = len(whole) * self.STRIDE  # vectors whose products were taken so far
+
+    def _upto(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = at // self.STRIDE
+        place = block[:, None] * self.STRIDE + np.arange(self.STRIDE)
+        rest = np.where((place < at[:, None])[:, :, None], self.v[np.minimum(place, len(self.v) - 1)], 0.0)
+        self.read += int((at - block * self.STRIDE).sum())
+        return self.first[block] + rest.sum(axis=1), self.second[block] + rest.transpose(0, 2, 1) @ rest
+
+    def spread(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        (s_lo, p_lo), (s_hi, p_hi) = self._upto(lo), self._upto(hi)
+        n = (hi - lo).astype(float)
+        mean = (s_hi - s_lo) / n[:, None]
+        cov = (p_hi - p_lo) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        return np.linalg.slogdet(cov + 1e-8 * np.eye(self.v.shape[1]))[1]
+
+
+def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int = 60, size2: int = 200, inc2: int = 20, least: int = 10, moments: Moments | None = None) -> list[int]:
     """Frames where two Gaussians describe the vectors around them better than one (Bayesian criterion)."""
     n, d = v.shape
-    ridge = 1e-8 * np.eye(d)
-    spread = lambda a: np.linalg.slogdet(np.atleast_2d(np.cov(a.T, bias=True)) + ridge)[1]
+    moments = moments or Moments(v)
 
-    def gain(lo: int, at: int, hi: int) -> float:
+    def gains(lo: int, at: np.ndarray, hi: int) -> np.ndarray:
+        ends = lambda x: np.full(len(at), x)
         penalty = 0.5 * cpw * (d + d * (d + 1) / 2) * np.log(hi - lo)
-        return 0.5 * ((hi - lo) * spread(v[lo:hi]) - (at - lo) * spread(v[lo:at]) - (hi - at) * spread(v[at:hi])) - penalty
+        whole = moments.spread(np.array([lo]), np.array([hi]))[0]
+        return 0.5 * ((hi - lo) * whole - (at - lo) * moments.spread(ends(lo), at) - (hi - at) * moments.spread(at, ends(hi))) - penalty
+
+    def gain(lo: int, at: int, hi: int) -> float:
+        return float(gains(lo, np.array([at]), hi)[0])
 
     def best(lo: int, hi: int, step: int) -> tuple[float, int]:
-        return max(((gain(lo, at, hi), at) for at in range(lo + least, hi - least + 1, step)), default=(-1.0, 0))
+        at = np.arange(lo + least, hi - least + 1, step)
+        if not len(at):
+            return -1.0, 0
+        found = gains(lo, at, hi)
+        # Of equal ones the last.
+        k = len(at) - 1 - int(found[::-1].argmax())
+        return float(found[k]), int(at[k])
 
     found, lo = [], 0
     while lo + 2 * least <= n:

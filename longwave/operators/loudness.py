@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from longwave.operators.lineage import settled
 from longwave.operators.recursion import Section, cascade, chunk_states
 
 #: Fixed values (ITU-R BS.1770, EBU Tech 3342): gates in LUFS and LU, quantiles of the range, seconds of blocks and of their hop.
@@ -47,7 +46,7 @@ def step_energies(chunks: DataFrame, rate: float, sections: Sequence[Section], c
     size, state_size = int(step * rate), 2 * len(sections)
     signals = lambda row: [np.asarray(c, float) for c in (row[column] if column == "stereo" else [row[column]])]
     chunks = chunks.where(F.col(column).isNotNull())
-    states = settled(chunk_states(chunks, sections, signals, (column,)))
+    states = chunk_states(chunks, sections, signals, (column,))
     entered = chunks.select("file", "chunk", "first", column).join(states, ["file", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

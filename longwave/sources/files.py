@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: Fixed value: suffixes of audio files.
 AUDIO_SUFFIXES = (".wav", ".aif", ".aiff", ".flac", ".ogg", ".mp3", ".m4a")
 
+#: Markers that every file may get: a few MB.
+MOST_MARKS = 100_000
+
 
 def expand_inputs(inputs: Iterable[str]) -> list[str]:
     """Folders give their audio files, patterns whatever they match, other paths themselves; first ones stay."""
@@ -163,9 +166,12 @@ def parse_markers(lines: DataFrame) -> DataFrame:
 
 def markers_for(marks: DataFrame, files: DataFrame) -> DataFrame:
     """The marks of one marker file for every one of files (file); without a usable mark it is an error."""
-    if marks.isEmpty():
+    count = marks.limit(MOST_MARKS + 1).count()
+    if not count:
         raise ValueError("no usable marker")
-    # What every file gets is the whole marker file, which is a list made by hand.
+    if count > MOST_MARKS:
+        raise ValueError(f"more than {MOST_MARKS} markers for every file")
+    # What every file gets is the whole marker file, which is a list made by hand, and of checked size.
     one = F.lit(1).alias("one")
     each = files.select("file", one).join(F.broadcast(marks.drop("file").select("*", one)), "one")
     return each.drop("one")

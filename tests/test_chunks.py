@@ -199,3 +199,20 @@ def test_changes_by_chunks(spark):
     assert any(abs(t - 2.5) < 0.2 for t in found)
     whole = kernels.whole_chunks(spark.createDataFrame([("f", x.tolist())], "file string, x array<double>"))
     assert sorted(found) == sorted(r["t"] for r in kernels.sbic_edges(whole, 8000, 512, 256, 6, **options).collect())
+
+
+def test_running_moments_are_covariances():
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((900, 5)) @ rng.standard_normal((5, 5)) + 300
+    v[400:] = v[400:] * 3 - 700
+    moments = kernels.Moments(v)
+    for lo, hi in ((0, 900), (3, 20), (16, 32), (399, 431), (100, 101)):
+        want = np.linalg.slogdet(np.cov(v[lo:hi].T, bias=True) + 1e-8 * np.eye(5))[1]
+        assert moments.spread(np.array([lo]), np.array([hi]))[0] == pytest.approx(want, abs=0.05 if hi - lo < 6 else 1e-6)
+    counted = kernels.Moments(v)
+    before = counted.read
+    assert any(abs(k - 400) <= 20 for k in kernels.change_frames(v, moments=counted))
+    # A pass over a window for each of its candidates would read it whole: some 300 vectors three times, for ten candidates or more.
+    asked = kernels.Moments(v)
+    asked.spread(np.full(20, 0), np.arange(20, 40))
+    assert asked.read - len(v) // 16 * 16 < 20 * 16 and counted.read - before < 0.1 * 900 * 900

@@ -111,3 +111,19 @@ def test_vector_names(spark):
 
     v = spark.createDataFrame([("f", 0, 0, "mfcc.coeffs.00", 1.0), ("f", 0, 0, "spectral.flux", 2.0)], "file string, segment long, frame long, name string, value double")
     assert sorted(r["name"] for r in stats.frame_stats(v, ["mean"]).collect()) == ["mfcc.coeffs.mean.00", "spectral.flux.mean"]
+
+
+def test_pitch_of_all_frames_at_once():
+    rate = 44_100
+    t = np.arange(3 * rate) / rate
+    # From 300 Hz: below, the ear's weighting pulls the single peak of a sine up, though not a sound with harmonics.
+    sweep = np.sin(2 * np.pi * (300 * t + 300 * t * t))
+    frames = kernels.frame_array(sweep, 2048, 1024)[:-3]
+    found = kernels.yin(kernels.spectra(frames), rate)
+    true = 300 + 600 * (np.arange(len(frames)) * 1024 + 1024) / rate
+    assert (np.abs(found[:, 0] / true - 1) < 0.01).mean() > 0.97 and found[:, 1].min() > 0.5
+    for hz in (82.4, 220.0, 987.0):
+        saw = sum(np.sin(2 * np.pi * hz * n * t[:8192]) / n for n in range(1, 12))
+        assert kernels.yin(kernels.spectra(kernels.frame_array(saw, 2048, 1024)[:4]), rate)[:, 0] == pytest.approx(hz, rel=0.01)
+    silent = kernels.yin(np.zeros((2, 1025)), rate)
+    assert silent.tolist() == [[rate / 2, 0.0]] * 2
