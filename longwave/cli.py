@@ -257,9 +257,11 @@ def _visualise(spark: SparkSession, args: argparse.Namespace, fail) -> int:
         for n in names:
             part = features.overlay(wide.select("file", "segment", F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("value")), ("file", "name"), 8)
             wide = wide.drop(n).join(part.select("file", "segment", F.col("z").alias(n)), ["file", "segment"])
-    documents = sinks.plot_documents(wide.select("file", *features.INDEX_COLUMNS, *(F.col(f"`{n}`") for n in names)), names, list(features.DEFAULT_VIEW))
-    for path in sinks.write_files(documents, args.out, ".plot.json"):
-        print(path)
+    shown = wide.select("file", *features.INDEX_COLUMNS, *(F.col(f"`{n}`") for n in names)).cache()
+    for suffix, as_page in ((".plot.json", False), (".plot.html", True)):
+        for path in sinks.write_files(sinks.plot_documents(shown, names, list(features.DEFAULT_VIEW), as_page), args.out, suffix):
+            print(path)
+    shown.unpersist()
     return 0
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from longwave.functions.scalars import csv_field, format_number
 from longwave.operators.features import order_columns
+from longwave.sources.page import page
 
 Lines = Callable[[DataFrame], DataFrame]
 _LABELS: dict[str, tuple[Lines, str]] = {}
@@ -232,15 +233,16 @@ def plot_payload(wide: list[dict], names: list[str], initial: list[str]) -> str:
     return json.dumps(payload, allow_nan=False)
 
 
-def plot_documents(wide: DataFrame, names: list[str], initial: list[str]) -> DataFrame:
-    """(file, ord, line): the plot payload of each file."""
+def plot_documents(wide: DataFrame, names: list[str], initial: list[str], as_page: bool = False) -> DataFrame:
+    """(file, ord, line): the plot payload of each file, or the page that shows it."""
 
     plain = [f"c{k}" for k in range(len(names))]  # grouped functions take no dotted names
     wide = wide.select("file", "start", "end", *(F.col(f"`{n}`").cast("double").alias(p) for n, p in zip(names, plain, strict=True)))
 
     def document(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.rename(columns=dict(zip(plain, names, strict=True))).sort_values("start").to_dict("records")
-        return pd.DataFrame({"file": [part["file"].iloc[0]], "ord": [0], "line": [plot_payload(rows, names, initial)]})
+        file, text = part["file"].iloc[0], plot_payload(rows, names, initial)
+        return pd.DataFrame({"file": [file], "ord": [0], "line": [page(text, file.rsplit("/", 1)[-1]) if as_page else text]})
 
     return wide.groupBy("file").applyInPandas(document, "file string, ord long, line string")
 

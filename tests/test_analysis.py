@@ -132,4 +132,6 @@ def test_batch_similarity_and_visualise(spark, folder, tmp_path, capsys):
     assert near[0] == "segment,start,rank,neighbour,neighbour_start,distance" and [x.split(",")[:3] for x in near[1:4]] == [["0", "0.0", str(k)] for k in (1, 2, 3)] and len(near) == 38
     assert cli.main(["visualise", f"{out}/one.segments.csv", "-o", out, "--smooth", "3"]) == 0
     payload = json.loads(open(f"{out}/one.segments.plot.json").read())
+    text = open(f"{out}/one.segments.plot.html").read()
+    assert json.loads(text.split('type="application/json">')[1].split("</script>")[0]) == payload and text.startswith("<!doctype html>") and "@" not in text.split("<script")[0]
     assert payload["short"]["spectral.centroid.mean"] == "centroid.mean" and len(payload["range"]["dynamics.rms.mean"]) == 2 and len(payload["starts"]) == 12

@@ -31,7 +31,7 @@ def test_query(name, spark, sf, duck):
     columns = sorted(found.columns)
     rows = sorted((tuple(_plain(r[c]) for c in columns) for r in found.collect()), key=repr)
     if name not in catalogue.ORACLE_SQL:
-        assert rows or name in ("sbic", "onset_detect")
+        assert rows or name == "sbic"  # too few samples here; tests/test_chunks.py has what it finds
         return
     cursor = duck.execute(catalogue.ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
