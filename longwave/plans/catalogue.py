@@ -898,7 +898,8 @@ def dynamic_complexity(spark, d):
 
 
 def _gates_sql() -> str:
-    loud = lambda p: f"(-0.691 + 10 * log10(greatest({p}, 1e-12)))"
+    # greatest() would pass a null over, as of a file without blocks.
+    loud = lambda p: f"(CASE WHEN {p} IS NOT NULL THEN -0.691 + 10 * log10(greatest({p}, 1e-12)) END)"
     gated = lambda name, source, gate: f"{name}0 AS (SELECT file, p, avg(p) OVER (PARTITION BY file) AS m FROM {source} WHERE {loud('p')} > -70), {name} AS (SELECT file, p FROM {name}0 WHERE {loud('p')} > {loud('m')} + {gate})"
     block = lambda name, size, hop: f"{name} AS (SELECT file, b, sum(e) / {size * 10} AS p FROM (SELECT file, s, e, unnest(range(greatest(0, ceil((s - {size - 1}) / {hop}::DOUBLE)::BIGINT), s // {hop} + 1)) AS b FROM st) GROUP BY file, b HAVING count(*) = {size})"
     return f"""WITH {EV}, st AS (SELECT file, i // 10 AS s, sum(x * x / 250000.0::DOUBLE) AS e FROM ev GROUP BY ALL HAVING count(*) = 10),
