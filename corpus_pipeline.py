@@ -75,17 +75,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and thin documents so that expected tokens meet the target weights; decided by row, that is by id and text.
 
-    Without labels, or tokens, every row stays once.  Only rows that do not stay exactly once are shuffled.
+    Without labels, or tokens, every row stays once.
     """
     keyed = docs.select(*COLUMNS, _row_key().alias("__key"))
     labels = domain_labels(spark, sf_dir).where(F.col("domain").isin(*MIX_WEIGHTS))
     rated = mixing.mix(keyed.select("doc_id", "text", F.col("__key").alias("key")), labels, MIX_WEIGHTS)
     odd = durable(rated.where("copies <> 1").groupBy("key").agg(F.min("copies").cast("int").alias("copies")))
-    flagged = keyed.withColumn("__touched", may_hold(spark, membership(odd, "key", TOUCHED_BITS), F.col("__key")))
-    once = flagged.where("NOT __touched").select(*COLUMNS)
-    met = flagged.where("__touched").join(odd, F.col("__key") == F.col("key"), "left")
-    repeated = met.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)))))
-    return once.unionAll(repeated.select(*COLUMNS))
+    # A bitmap would spare rows that stay once the shuffle, but not without Python, which this stage does without.
+    met = keyed.join(odd, F.col("__key") == F.col("key"), "left")
+    return met.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1))))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
