@@ -155,19 +155,22 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     return rate, missed()
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], budget: float = 1.0, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs without text, with n_tokens, p_<domain>, rate, copies and residual (the worst miss of a target, as a share of all)."""
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], budget: float = 1.0, fit_rows: int = FIT_ROWS, keep_text: bool = False) -> DataFrame:
+    """docs without text, with n_tokens, p_<domain>, rate, copies and residual (the worst miss of a target, as a share of all).
+
+    With ``keep_text`` the text stays: posteriors are then taken again as rows are read, so that no text is shuffled or kept twice.
+    """
     model = learn(docs, labels, fit_rows)
     made = ("text", "rate", "copies", "residual", "n_tokens", *(f"p_{d}" for d in model))
     kept = [c for c in docs.columns if c not in made]
     row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
     read = docs.select(row, F.xxhash64("doc_id", F.xxhash64("text")).alias("draw"), "text")
-    shown = [F.col(f"row.`{c}`").alias(c) for c in kept]
+    shown = [F.col(f"row.`{c}`").alias(c) for c in kept] + [F.col("text")] * keep_text
     if not model:
         none = read.select(*shown, F.size(_words(F.col("text"))).cast("long").alias("n_tokens"))
         return none.select("*", F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"), F.lit(0.0).alias("residual"))
-    members = durable(posteriors(read, model).drop("text"))
+    members = durable(posteriors(read.select("text") if keep_text else read, model).drop("text"))
     rate, residual = fit_rates(members, list(model), weights, budget)
-    rated = members.withColumn("rate", rate)
+    rated = (posteriors(read, model) if keep_text else members).withColumn("rate", rate)
     copies = F.floor(F.col("rate") + at_random("draw")).cast("long").alias("copies")
     return rated.select(*shown, "n_tokens", *(F.col(f"`p_{d}`") for d in model), "rate", copies, F.lit(residual).alias("residual"))

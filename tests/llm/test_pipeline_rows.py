@@ -38,3 +38,9 @@ def test_stages_take_nulls_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
         assert stage(spark, docs, "/root/testdata/sf0.001").count() <= 4
+
+
+def test_mixing_shuffles_no_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus_pipeline.mix_sources(spark, docs, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
