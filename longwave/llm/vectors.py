@@ -12,6 +12,7 @@ smaller id.  With fewer than ``k`` candidates all of them are returned; without
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from typing import NamedTuple
@@ -31,7 +32,7 @@ FIT_ROWS, FIT_QUERIES = 8192, 256
 #: The share of true neighbours of the fitted queries that probing must meet, and the share of rows it should not exceed.
 REACH, PROBED = 0.95, 0.09
 #: Bits of a code at most, of the part that is compared before reranking, and choices of a substring's length and radius.
-CODE_BITS, COMPARED, LENGTHS, RADII = 1024, 128, (8, 10, 12, 14, 16, 18, 20), (0, 1, 2, 3)
+CODE_BITS, COMPARED, LENGTHS, RADII = 1024, 256, (8, 10, 12, 14, 16, 18, 20), (0, 1, 2, 3)
 
 #: The exact search in SQL, with queries vec_id % 50 = 0 and k = 5.
 ORACLE_SQL = """
@@ -246,6 +247,10 @@ class Codes(NamedTuple):
         return np.array(flips, np.int64)
 
 
+#: The first COMPARED bits as columns.
+_W = [f"w{k}" for k in range(COMPARED // 64)]
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
     """The first COMPARED bits of codes as 64-bit words."""
     part = np.zeros((len(bits), COMPARED), bool)
@@ -332,7 +337,7 @@ def learn_codes(rows: DataFrame, k: int) -> Codes | None:
 
 
 def _postings(rows: DataFrame, codes: Codes, probe: bool) -> DataFrame:
-    """The index (bucket, vec_id, w0, w1), a row per substring; for queries, a row per probed bucket."""
+    """The index (bucket, vec_id, w0, w1, ...), a row per substring; for queries, a row per probed bucket."""
     shared = rows.sparkSession.sparkContext.broadcast((codes, codes.ball() if probe else np.zeros(1, np.int64)))
 
     def run(batches):
@@ -346,9 +351,9 @@ def _postings(rows: DataFrame, codes: Codes, probe: bool) -> DataFrame:
             for a in range(0, len(ids), step):
                 bucket = (own[a : a + step, :, None] ^ ball[None, None, :]) + place
                 each = np.repeat(np.arange(a, min(len(ids), a + step)), bucket.shape[1] * bucket.shape[2])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(ids[each]), pa.array(words[each, 0]), pa.array(words[each, 1])], ["bucket", "vec_id", "w0", "w1"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(ids[each]), *(pa.array(words[each, k]) for k in range(len(_W)))], ["bucket", "vec_id", *_W])
 
-    return rows.mapInArrow(run, "bucket long, vec_id long, w0 long, w1 long")
+    return rows.mapInArrow(run, f"bucket long, vec_id long, {', '.join(f'{w} long' for w in _W)}")
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -363,11 +368,22 @@ def _moderate(v: Column) -> Column:
 
 
 def probed_pairs(asked: DataFrame, rows: DataFrame, codes: Codes) -> DataFrame:
-    """(query_id, vec_id, differ) for each bucket in which a query meets a row; differ: bits among the compared ones."""
-    probes = _postings(asked, codes, probe=True).select("bucket", F.col("vec_id").alias("query_id"), F.col("w0").alias("q0"), F.col("w1").alias("q1"))
-    met = _postings(rows, codes, probe=False).join(probes, "bucket")
-    differ = F.bit_count(F.col("w0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("q1")))
-    return met.select("query_id", "vec_id", differ.alias("differ"))
+    """(query_id, vec_id, differ) for buckets in which a query meets a row; differ: bits among the compared ones.
+
+    Near copies share most of their substrings.  The compared bits tell whether a pair meets in the first substrings
+    already, so that only the first of those buckets gives it; pairs that meet only in later ones may come repeatedly.
+    """
+    probes = _postings(asked, codes, probe=True).select("bucket", F.col("vec_id").alias("query_id"), *(F.col(w).alias(f"q{w}") for w in _W))
+    gaps = [F.col(w).bitwiseXOR(F.col(f"q{w}")) for w in _W]
+    count = lambda parts: functools.reduce(Column.__add__, map(F.bit_count, parts))
+    place, first = F.shiftright("bucket", 32), F.lit(True)
+    for k in range(min(codes.number, COMPARED // codes.length)):
+        bits = np.zeros((1, COMPARED), bool)
+        bits[0, k * codes.length : (k + 1) * codes.length] = True
+        apart = count(g.bitwiseAND(F.lit(m)) for g, m in zip(gaps, _words(bits)[0].tolist(), strict=True) if m)
+        first = first & ((place <= k) | (apart > codes.radius))
+    met = _postings(rows, codes, probe=False).join(probes, "bucket").where(first)
+    return met.select("query_id", "vec_id", count(gaps).alias("differ"))
 
 
 def nearest_cosine(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:

@@ -196,6 +196,16 @@ def test_probing_finds_every_code_within_the_radius(spark, length, radius, numbe
     assert len(within) > 20 and within <= met
 
 
+def test_near_copies_meet_once(spark):
+    """A pair that shares many of the first substrings is one row of the join, not one for each of them."""
+    random = np.random.default_rng(4)
+    v = random.standard_normal(16) + 1e-3 * random.standard_normal((200, 16))
+    codes = vectors.learn_rotation(random.standard_normal((500, 16)))._replace(length=8, radius=1, number=12)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, v array<double>")
+    pairs = vectors.probed_pairs(rows.where("vec_id < 10"), rows, codes).select("query_id", "vec_id")
+    assert pairs.count() == pairs.distinct().count() == 10 * 200
+
+
 def test_empty_slices_of_features():
     buf, offsets = _slice(["", " "])
     assert len(quality.features(buf, offsets)[0]) == 0
