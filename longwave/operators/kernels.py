@@ -615,16 +615,70 @@ class Moments:
         return np.linalg.slogdet(cov + 1e-8 * np.eye(self.v.shape[1]))[1]
 
 
+#: Groups of candidates that become one.
+_GROUPED = 16
+
+
+def _first_gain(moments: Moments, gains: Callable[[int, np.ndarray, int], np.ndarray], penalty: Callable[[int, int], float], lo: int, n: int, size: int, step: int, least: int) -> int | None:
+    """The first end of a window that grows from lo at which a candidate gains, or None; as if every candidate were tried at every end.
+
+    Let s(a, b) be b - a times the log determinant of a range, and r(lo, at, hi) = s(lo, hi) - s(lo, at) - s(at, hi).  As s is no less than its sum over
+    parts of a range, r(lo, at, hi) <= r(lo, at, old) + r(lo, old, hi) for at < old < hi.  Candidates that were tried at an older end are tried again only when
+    this bound reaches the penalty.  They are held in groups, older ones in larger groups, whose number grows as the logarithm of the window.
+    """
+    s = lambda a, b: (b - a) * moments.spread(*np.broadcast_arrays(a, b))
+    # What rounding may change in s, which is most where vectors are constant.
+    slack = 1 + 8 * moments.v.shape[1] * np.finfo(float).eps * np.abs(moments.second[-1]).max() / 1e-8
+    # By level, groups of candidates: the first one and the one after the last, the largest ratio at an older end, that end, and s(lo, end).
+    levels: list[list[list]] = [[]]
+    hi, known = min(lo + size, n), 0
+
+    def gained(groups: list[list]) -> bool:
+        """Try all candidates of some groups at hi."""
+        ks = np.concatenate([np.arange(g[0], g[1]) for g in groups])
+        found = gains(lo, lo + least + ks * step, hi)
+        for group, most in zip(groups, np.maximum.reduceat(found, np.cumsum([0] + [g[1] - g[0] for g in groups[:-1]])), strict=True):
+            group[2:] = 2 * (most + penalty(lo, hi)), hi, whole
+        return bool(found.max() > 0)
+
+    while True:
+        whole = float(s(np.array([lo]), np.array([hi]))[0])
+        held = [group for level in levels for group in level]
+        again = []
+        if held:
+            ratio, old, own = (np.array([group[c] for group in held]) for c in (2, 3, 4))
+            bound = ratio + whole - own - s(old, np.array([hi]))
+            again = [held[k] for k in np.flatnonzero(~(bound < 2 * penalty(lo, hi) - slack))]
+        if (there := (hi - lo - 2 * least) // step + 1) > known:
+            levels[0].append([known, there, 0.0, hi, whole])
+            again.append(levels[0][-1])
+            known = there
+        if again and gained(again):
+            return hi
+        for k, level in enumerate(levels):
+            if len(level) >= 2 * _GROUPED:
+                merged = [level[0][0], level[_GROUPED - 1][1], 0.0, hi, whole]
+                del level[:_GROUPED]
+                if k + 1 == len(levels):
+                    levels.append([])
+                levels[k + 1].append(merged)
+                if gained([merged]):
+                    return hi
+        if hi >= n:
+            return None
+        hi = min(hi + step, n)
+
+
 def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int = 60, size2: int = 200, inc2: int = 20, least: int = 10, moments: Moments | None = None) -> list[int]:
     """Frames where two Gaussians describe the vectors around them better than one (Bayesian criterion)."""
     n, d = v.shape
     moments = moments or Moments(v)
+    penalty = lambda lo, hi: 0.5 * cpw * (d + d * (d + 1) / 2) * np.log(hi - lo)
 
     def gains(lo: int, at: np.ndarray, hi: int) -> np.ndarray:
         ends = lambda x: np.full(len(at), x)
-        penalty = 0.5 * cpw * (d + d * (d + 1) / 2) * np.log(hi - lo)
         whole = moments.spread(np.array([lo]), np.array([hi]))[0]
-        return 0.5 * ((hi - lo) * whole - (at - lo) * moments.spread(ends(lo), at) - (hi - at) * moments.spread(at, ends(hi))) - penalty
+        return 0.5 * ((hi - lo) * whole - (at - lo) * moments.spread(ends(lo), at) - (hi - at) * moments.spread(at, ends(hi))) - penalty(lo, hi)
 
     def gain(lo: int, at: int, hi: int) -> float:
         return float(gains(lo, np.array([at]), hi)[0])
@@ -640,21 +694,13 @@ def change_frames(v: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int =
 
     found, lo = [], 0
     while lo + 2 * least <= n:
-        hi, hit = min(lo + size1, n), 0
-        while True:
-            value, at = best(lo, hi, inc1)
-            if value > 0:
-                a, b = max(lo, at - size2 // 2), min(n, at + size2 // 2)
-                fine, closer = best(a, b, inc2)
-                hit = closer if fine > 0 else at
-                break
-            if hi >= n:
-                break
-            hi = min(hi + inc1, n)
-        if not hit:
+        hi = _first_gain(moments, gains, penalty, lo, n, size1, inc1, least)
+        if hi is None:
             break
-        found.append(hit)
-        lo = hit
+        at = best(lo, hi, inc1)[1]
+        fine, closer = best(max(lo, at - size2 // 2), min(n, at + size2 // 2), inc2)
+        lo = closer if fine > 0 else at
+        found.append(lo)
     # A boundary stays if it still separates the pieces on both sides of it.
     kept: list[int] = []
     for k, at in enumerate(found):

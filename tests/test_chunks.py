@@ -216,3 +216,34 @@ def test_running_moments_are_covariances():
     asked = kernels.Moments(v)
     asked.spread(np.full(20, 0), np.arange(20, 40))
     assert asked.read - len(v) // 16 * 16 < 20 * 16 and counted.read - before < 0.1 * 900 * 900
+
+
+def _plain_changes(v, size, step, least):
+    """The first end of a growing window at which a candidate gains, by trying all of them at every end."""
+    s = lambda a, b: (b - a) * np.linalg.slogdet(np.cov(v[a:b].T, bias=True) + 1e-8 * np.eye(v.shape[1]))[1]
+    d, n = v.shape[1], len(v)
+    for hi in [*range(size, n, step), n]:
+        if any(s(0, hi) - s(0, at) - s(at, hi) > 1.5 * (d + d * (d + 1) / 2) * np.log(hi) for at in range(least, hi - least + 1, step)):
+            return hi
+    return None
+
+
+@pytest.mark.parametrize("change", [None, 470, 800])
+def test_growing_windows_miss_no_gain(monkeypatch, change):
+    v = np.random.default_rng(7).standard_normal((900, 4))
+    v[change or 900 :] *= 1.8
+    ends, found = [], kernels._first_gain
+    monkeypatch.setattr(kernels, "_first_gain", lambda *a: ends.append(found(*a)) or ends[-1])
+    kernels.change_frames(v, size1=60, inc1=10, size2=40, inc2=4)
+    assert ends[0] == _plain_changes(v, 60, 10, 10) and (change is None) == (ends[0] is None)
+
+
+def test_windows_without_changes_are_not_read_again_and_again():
+    v = np.random.default_rng(8).standard_normal((6000, 4))
+    read = []
+    for n in (1500, 6000):
+        moments = kernels.Moments(v[:n])
+        assert kernels.change_frames(v[:n], size1=60, inc1=10, size2=40, inc2=4, moments=moments) == []
+        read.append(moments.read)
+    # All candidates at every end would read sixteen times as much.
+    assert read[1] < 7 * read[0]
