@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from longwave.llm import textbuf as tb
 
-SLICE_BYTES = 1 << 20
+#: Bytes of text that are sampled at once: their tables take some 200 bytes for each.
+SLICE_BYTES = 1 << 18
 BLANK = "▁"
 
 

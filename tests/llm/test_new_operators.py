@@ -277,3 +277,25 @@ def test_ngram_keys_depend_on_language_and_order():
 
     assert key("en", "a b") != key("fr", "a b") and key("en", "a b") != key("en", "b a") and key("en", "a b") == key("en", "a b")
     assert len(key("en", "a")) == 0 and len(tb.NOT_SPACE) == 256
+
+
+def test_sampled_pieces_need_bounded_memory_and_do_not_depend_on_the_slices():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from longwave.llm import pieces, textbuf
+    from longwave.llm.queries import PIECE_MODEL
+
+    v = pieces.load(PIECE_MODEL)
+    draw = np.random.default_rng(0)
+    texts = pa.array([" ".join("".join(map(chr, draw.integers(97, 123, 6))) for _ in range(300)) for _ in range(500)])
+    key = np.arange(len(texts), dtype=np.int64)
+    run = lambda size: [pieces.sample_slice(buf, at, key[lo:hi], v, 1.0, 17)[0] for lo, hi, buf, at in textbuf.slices(texts, size)]
+    whole = np.concatenate(run(1 << 20))
+    tracemalloc.start()
+    cut = np.concatenate(run(pieces.SLICE_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(whole, cut) and peak < 150e6
